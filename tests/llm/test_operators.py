@@ -1,0 +1,201 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from brute import contamination, dedup, licenses, simhash, tokens
+from pyspark.sql import functions as F
+
+from chronogaz.llm import decontaminate, html_extraction, language_id, license_scan, media_columns, simhash_dedup, source_mix, suffix_dedup, token_output, toxicity
+from chronogaz.llm import queries as Q
+
+EMPTY = "doc_id long, text string"
+
+
+def nasty():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgéü ") for _ in range(rng.randint(1, 9))).strip() or "x"
+    base = [" ".join(word() for _ in range(rng.randint(1, 120))) for _ in range(25)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    passage = " ".join(word() for _ in range(60))
+    for i in range(25, 60):
+        a, b = rng.choice(base), rng.choice(base)
+        rows.append((i, rng.choice([a, a[: len(a) // 2] + " " + passage + " " + b[len(b) // 3 :], b.upper(), passage, a + "  " + b, a.replace("a", "ä", 1)])))
+    rows += [(60, None), (61, ""), (62, "   \n\t "), (63, "-" * 300), (64, "x" + "-" * 180 + "y"), (65, "a" * 49), (66, "a" * 50), (67, "b" + "a" * 50), (68, "ab" * 400), (69, "<|endoftext|> and  two \n spaces ² ½ 'll we'll"), (70, " lead"), (71, "trail "), (72, "z" + "ab" * 390)]
+    rows += [(100 + i, "Licensed under the Apache License, Version 2.0. MIT license; CC-BY x " * (i % 3)) for i in range(6)]
+    rows.append((200, " ".join(word() for _ in range(20000)) + " " + passage))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    extra = [(d, t, "s", "fp", 1, 2) for d, t in nasty()]
+    return spark.createDataFrame(extra, "doc_id long, text string, source string, fp string, size int, row int").repartition(5)
+
+
+@pytest.fixture(scope="module")
+def real(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def rows_of(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+def got(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
+
+
+def test_dedup(spark, docs, real, sf):
+    for df in (docs, real):
+        assert got(suffix_dedup.dedup_digest(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(dedup(rows_of(df)), key=str)
+    assert suffix_dedup.dedup_digest(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_dedup_hot_groups(spark, docs):
+    """Small limits: every anchor group counts as hot or is split over many buckets."""
+    want = sorted(dedup(rows_of(docs)), key=str)
+    for kw in ({"hot": 1}, {"hot": 3, "shard_bytes": 3000, "bucket_rows": 50}, {"shard_bytes": 500}):
+        assert got(suffix_dedup.dedup_digest(docs, **kw), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_media(spark, docs):
+    out = {r.doc_id: r for r in media_columns.media_digest(docs).collect()}
+    for d, t in rows_of(docs):
+        raw = (t or "").encode()
+        pay = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        r = out[d]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]))
+    muxed = media_columns.mux(docs, "text")
+    back = media_columns.payloads(muxed).where("doc_id = 200").first()
+    assert bytes(back.payload).rstrip() == back.text.encode().rstrip()
+    table = media_columns.packets(muxed).where("doc_id = 200").orderBy("packet_no").collect()
+    assert [p.byte_end - p.byte_start for p in table] == [192] * len(table) and table[-1].timestamp_ms > table[0].timestamp_ms
+
+
+def test_media_lacing_and_damage():
+    m = media_columns
+    frames = [b"a" * 300, b"b" * 5, b"c" * 40]
+    xiph = b"\x81\x00\x05\x82\x02" + b"\xff\x2d\x05" + b"".join(frames)
+    size = lambda n: m.vint(n, 2)
+    signed = lambda d: m.vint(d + (1 << 13) - 1, 2)
+    ebml = b"\x81\x00\x06\x06\x02" + size(300) + signed(5 - 300) + b"".join(frames)
+    body = m.uint(m.TIMESTAMP, 1000) + m.element(m.SIMPLE_BLOCK, xiph) + m.element(m.BLOCK_GROUP, m.element(m.BLOCK, ebml))
+    data = m._head(0)[0] + m.SEGMENT.to_bytes(4, "big") + b"\xff" + m.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + body
+    found = m.parse(data)
+    assert [data[a:b] for _, _, a, b, _, _ in found] == frames * 2
+    assert [p[1] for p in found] == [1005] * 3 + [1006] * 3
+    full = m.mux_bytes(b"q" * 19200)
+    assert len(m.parse(full)) == 100 and len(m.parse(full[: len(full) // 2])) < 100 and m.parse(b"") == [] and m.parse(b"\0\0") == []
+
+
+def test_tokens(spark, docs, real):
+    for df in (docs, real):
+        assert got(token_output.token_digest(df), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(tokens(rows_of(df), token_output.tokenizer_path()), key=str)
+    assert token_output.token_digest(spark.createDataFrame([], EMPTY)).count() == 0
+    out = token_output.write_tokens(real, token_output.shared_dir(spark), encoding="delta")
+    assert token_output.read_tokens(spark, out, ("doc_id", "n_tokens"), (5, 9)).count() == 5
+
+
+def test_contamination(spark, docs, real, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got(decontaminate.contamination(real, bench), *cols) == sorted(contamination(rows_of(real), items), key=str)
+    own = [(1, nasty()[40][1]), (2, "apache license"), (3, None), (4, "!!"), (11, nasty()[3][1]), (5, "version")]
+    ben = spark.createDataFrame(own, "item_id long, text string")
+    want = sorted(contamination(rows_of(docs), own), key=str)
+    assert got(decontaminate.contamination(docs, ben), *cols) == want
+    assert got(decontaminate.contamination(docs, ben, block_bytes=40), *cols) == want
+    bad = {w[0] for w in want if w[5]}
+    assert {r.doc_id for r in decontaminate.remove_contaminated(docs, ben).collect()} == {d for d, _ in nasty()} - bad
+
+
+def test_language(spark, sf):
+    out = Q.op5_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").toPandas()
+    held = out[out.held_out]
+    assert (held.lang_pred == held.lang).mean() > 0.95 and out.score.between(0, 1).all()
+    odd = spark.createDataFrame([(1, None, True), (2, "", True), (3, "12 -- 34", True)], "doc_id long, text string, held_out boolean")
+    assert {r.lang_pred for r in language_id.predict(odd, None).collect()} == {"und"}
+    assert language_id.fit(spark.createDataFrame([], EMPTY + ", lang string")) is None
+
+
+def test_mix(spark, sf):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", "c", None, "Z"] if i % 3 else ["a"]), rng.randint(0, 40)) for i in range(900)] + [(5, "a", 9), (None, "b", 4), (901, "empty", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    a = source_mix.mix(df, F.col("n"), range_rows=50)
+    assert got(a, "doc_id", "size", "taken") == got(source_mix.mix(df.repartition(7), F.col("n")), "doc_id", "size", "taken")
+    p = a.toPandas()
+    total = p["size"].sum()
+    by = p.groupby(p.source.fillna("~")).agg(n=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    assert abs(by.target.sum() - 1.5 * total) < 1e-6 and (by.target <= 2 * by.n + 1e-9).all() and (by.taken == np.floor(by.target)).all()
+    assert (p.taken <= 2 * p["size"]).all()
+    names = sorted(by.index)  # "~" stands for null, last
+    w = dict(zip(names, [3, 1, 2] * 9))
+    free = [s for s in names if by.target[s] < 2 * by.n[s] - 1e-9]
+    assert len({round(by.target[s] / w[s], 6) for s in free}) <= 1
+    docs = spark.createDataFrame([(1, "a b c", "x", "q"), (2, None, "x", "q"), (3, "d", None, "q")], "doc_id long, text string, source string, taken string")
+    assert source_mix.mixed_rows(docs).columns == docs.columns
+    assert source_mix.mix(spark.createDataFrame([], "doc_id long, source string, n long"), F.col("n")).count() == 0
+
+
+def test_licenses(spark, docs, real):
+    for df in (docs, real):
+        assert got(license_scan.license_scan(df), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(licenses(rows_of(df), license_scan.PHRASES), key=str)
+    lines = spark.createDataFrame([(1, "x\nRELEASED under the MIT licence\nLicensed under the Apache License, Version 2.0"), (2, "under the the the"), (3, None)], EMPTY)
+    found = {(r.doc_id, r.line, r.template) for r in license_scan.block_matches(lines).collect()}
+    want = set()
+    for d, text in rows_of(lines):
+        for i, line in enumerate((text or "").split("\n")):
+            block = set(license_scan.words(line.encode()))
+            for name, t in license_scan.TEMPLATES.items():
+                toks = set(license_scan.words(t.encode()))
+                want |= {(d, i, name)} if len(toks & block) >= 0.8 * len(toks) - 1e-9 else set()
+    assert found == want and (1, 1, "mit") in found
+
+
+def test_simhash(spark, docs, real):
+    for df in (docs, real):
+        assert got(simhash_dedup.near_duplicates(df), "doc_id", "fingerprint", "component_id") == sorted(simhash(rows_of(df)), key=str)
+    assert simhash_dedup.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_simhash_links_of_split_shards(spark):
+    rng = random.Random(5)
+    near = [rng.getrandbits(64) for _ in range(6)]
+    fps = sorted({(n ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4)))) & ((1 << 64) - 1) for n in near for _ in range(60)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 2}
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    for tree in (4000, 20, 4):
+        assert {tuple(r) for r in simhash_dedup.links(df, 2, tree).collect()} == want
+
+
+def test_toxicity(spark, sf):
+    big = sf.replace("0.001", "0.01")
+    out = Q.op9_toxicity(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").toPandas()
+    held = out[out.held_out]
+    assert (held.predicted == held.toxic).mean() > 0.95 and held[held.toxic == 1].predicted.mean() > 0.8
+    none = toxicity.fit(spark.createDataFrame([], EMPTY + ", toxic int"))
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "you are an idiot"), (4, "I will kill you")], EMPTY)
+    s = {r.doc_id: r.score for r in toxicity.score(odd, none).collect()}
+    assert s[1] == s[2] < 0.5 < s[3]
+    assert [r.doc_id for r in toxicity.drop_toxic(odd, none).orderBy("doc_id").collect()][:2] == [1, 2]
+
+
+def test_grammar_contexts():
+    lex = toxicity.Lexicon({"vej*": 1.0})
+    at = lambda t: [toxicity.CONTEXTS[i] for i in range(4) if lex.features(t)[3 * i]]
+    assert at("such an idiot") == [""] and at("you idiot") == ["t"] and at("idiot, you") == ["t"]
+    assert at("not an idiot") == ["n"] and at("not here. idiot") == [""] and at("they said idiot") == ["r"] and at("vejtion") == [""] and at("fine words") == []
+
+
+def test_html(spark):
+    page = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li>a</li></ul></nav><div class="ad">buy</div><article><header><h1>Head &amp; x</h1></header><p><b>One<br>two<p>three &lt;\n 4</p><div class="comments"><p>me</p></div></article><footer>&copy; z</footer>'
+    bare = "<body><p>shared one two three four five six seven eight nine ten eleven twelve</p><p>own {} text</p>"
+    rows = [(1, "http://a/x", page), (2, "http://a/y", None), (3, "http://b/1", bare.format("q")), (4, "http://b/2", bare.format("r")), (5, "http://c/2", bare.format("r")), (6, None, "plain <b>text</b> <a hre")]
+    out = {r.page_id: r for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1].text == "Head & x\nOne two\nthree < 4" and out[1].n_chars == len(out[1].text)
+    assert out[2].text == "" and out[3].text == "own q text" and out[4].text == "own r text" and "shared one" in out[5].text and out[6].text == "plain text"
