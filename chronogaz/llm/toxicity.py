@@ -190,7 +190,7 @@ def candidates(rows: DataFrame, most: int = CANDIDATES) -> tuple[list[str], int,
     p = nt / (nt + nn)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     g = a * F.log(a / (p * (a + b))) + F.when(b > 0, b * F.log(b / ((1 - p) * (a + b)))).otherwise(0.0)
-    best = total.where((F.col("unit") != "") & (F.col("a") >= 2) & (a / nt > 2 * b / nn)).withColumn("g", g).orderBy(F.desc("g"), "unit").limit(4 * most).collect()
+    best = total.where((F.col("unit") != "") & (F.col("a") >= 2) & (a / nt > 8 * b / nn)).withColumn("g", g).orderBy(F.desc("g"), "unit").limit(4 * most).collect()
     chains: dict = defaultdict(list)
     for r in best:  # a stem and a longer unit of it with equal counts stand in the same texts
         own = chains[(r.a, r.b)]
@@ -236,7 +236,7 @@ def fit(df: DataFrame, per_label: int = PER_LABEL, most: int = CANDIDATES) -> To
 
     got = rows.select("text", F.col("toxic").cast("int")).mapInArrow(featured, "toxic int, f array<double>").collect()
     got.sort(key=lambda r: (r.toxic, list(r.f)))
-    weights = logistic(np.array([r.f for r in got]), np.array([r.toxic for r in got], np.float32), l1=0, l2=2e-4, rounds=1500).astype(float)
+    weights = logistic(np.array([r.f for r in got]), np.array([r.toxic for r in got], np.float32), l1=0, l2=1e-5, rounds=3000).astype(float)
     # The sample is balanced between the labels or not; the bias keeps its own rate, so 0.5 is an even bet in it.
     return ToxicityModel(lexicon, weights)
 

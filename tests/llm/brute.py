@@ -41,14 +41,18 @@ def contamination(rows, items, n=10):
         ws = words(text)
         for i in range(max(1, len(ws) - n + 1) if ws else 0):
             wins.add((item, tuple(ws[i : i + n])))
-    out = []
+    by = {}
+    for item, w in wins:
+        by.setdefault(w, set()).add(str(item))
+    sizes, out = {len(w) for w in by}, []
     for d, text in rows:
         ws, hit, found = words(text), set(), set()
-        for item, w in wins:
-            for i in range(len(ws) - len(w) + 1):
-                if tuple(ws[i : i + len(w)]) == w:
-                    hit |= set(range(i, i + len(w)))
-                    found.add(str(item))
+        for size in sizes:
+            for i in range(len(ws) - size + 1):
+                items_ = by.get(tuple(ws[i : i + size]))
+                if items_:
+                    hit |= set(range(i, i + size))
+                    found |= items_
         out.append((d, len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return sorted(out)
 
