@@ -157,7 +157,8 @@ def _shards(df: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
             yield row()
 
     rows = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "shard long, ids binary, ends binary, text binary, size long")
-    name, buckets = f"shards_{uuid.uuid4().hex}", spark.sparkContext.defaultParallelism * 4
+    # more buckets than shuffle partitions: joins then deal the other side to these buckets
+    name, buckets = f"shards_{uuid.uuid4().hex}", max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")) + 1)
     # binary columns hold compressed text already
     rows.write.bucketBy(buckets, "shard").option("path", shared_dir(spark)).option("compression", "none").option("parquet.enable.dictionary", "false").format("parquet").saveAsTable(name)
     table = spark.table(name)
