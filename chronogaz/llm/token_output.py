@@ -11,10 +11,13 @@ the narrow columns alone. A null text is empty: its tokens are the end id alone.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +25,8 @@ from chronogaz.llm.common import batches, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: Bytes of a row group and of a page; characters of text in a file; entries of a task's table of known pieces.
-ROW_GROUP, PAGE, TEXT_IN_FILE, KNOWN = 32 << 20, 256 << 10, 32 << 20, 600_000
+#: Bytes of a row group and of a page; characters of text in a file; entries of a task's table of known pieces; text in a batch.
+ROW_GROUP, PAGE, TEXT_IN_FILE, KNOWN, BATCH = 32 << 20, 256 << 10, 32 << 20, 1_200_000, 4 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -33,20 +36,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class PieceEncoder:
-    """encode() of a byte-level BPE, with the ids of pieces that were seen before taken from a bounded table.
+    """encode() of a byte-level BPE for batches of texts, with the ids of known pieces taken from a bounded table.
 
     A text in which no space touches other white space falls into pieces, one from each space to the next, whose ids
     do not depend on their surroundings: the pre-tokenizer starts a token at such a space and none goes past the next.
-    Every other text, and any text that holds an added token's string, goes through encode() as a whole.
+    Every other text, and any text that holds an added token's string, goes through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str):
-        import re
-
+    def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.end_id = Tokenizer.from_file(path), end_id
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
         added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s ", r" \s", r"\A ", r" \Z", *added]))
@@ -54,37 +57,55 @@ class PieceEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        """The ids as bytes of self.dtype."""
-        if not text:
-            return b""
-        if self.whole.search(text):
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        try:
-            return self._first(first) + b"".join(map(self.known.__getitem__, rest))
-        except KeyError:
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            new = [w for w in set(rest) if w not in self.known]
-            self.known.update(zip(new, self._encode([" " + w for w in new])))
-            return self._first(first) + b"".join(map(self.known.__getitem__, rest))
-
-    def _first(self, piece: str) -> bytes:
-        return self._encode([piece])[0] if piece else b""
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece with a space before it."""
+        if len(self.known) > KNOWN // 2:
+            self.known, self.older = {}, self.known
+        got = [self.known.get(w) or self.older.get(w) for w in pieces]
+        new = [i for i, x in enumerate(got) if x is None]
+        for i, ids in zip(new, self._encode([" " + pieces[i] for i in new])):
+            got[i] = ids
+        self.known.update(zip(pieces, got))
+        return got
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, the end id after each text, and how many each text has."""
+        n = len(texts)
+        alone = [i for i, t in enumerate(texts) if self.whole.search(t)]
+        parted = list(texts)
+        for i in alone:
+            parted[i] = ""
+        lists = pc.split_pattern(pa.array(parted, pa.string()), " ")
+        offsets = lists.offsets.to_numpy()
+        pieces = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        index = pieces.indices.to_numpy().astype(np.int64)
+        firsts = offsets[:-1] - offsets[0]
+        heads = [lists.values[int(o)].as_py() for o in offsets[:-1]]
+        for i in alone:
+            heads[i] = texts[i]
+        ids = self._pieces(pieces.dictionary.to_pylist())
+        index[firsts] = len(ids) + np.arange(n)  # a text's first piece has no space before it
+        ids += self._encode(heads)
+        size = np.array([len(x) for x in ids]) // np.dtype(self.dtype).itemsize
+        start = np.cumsum(size) - size
+        each = size[index]
+        total = int(each.sum())
+        flat = np.frombuffer(b"".join(ids), self.dtype)[np.repeat(start[index] - np.cumsum(each) + each, each) + np.arange(total)]
+        counts = np.add.reduceat(each, firsts) if n else np.array([], np.int64)
+        out = np.full(total + n, self.end_id, np.int32)
+        out[np.arange(total) + np.repeat(np.arange(n), counts)] = flat
+        return out, counts + 1
 
 
 def encode(df: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_tokens, tokens), each list closed by the end id."""
 
     def run(it):
-        enc = PieceEncoder(path)
-        end = np.array([end_id], enc.dtype).tobytes()
-        for batch in (b for x in it for b in batches([x], 8 << 20)):
-            raw = [enc.encode(t or "") + end for t in batch.column(1).to_pylist()]
-            ids = np.frombuffer(b"".join(raw), enc.dtype).astype(np.int32)
-            ends = np.cumsum([0, *(len(r) // enc.dtype().itemsize for r in raw)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "n_tokens", "tokens"])
+        enc = PieceEncoder(path, end_id)
+        for batch in (b for x in it for b in batches([x], BATCH)):
+            ids, counts = enc.encode([t or "" for t in batch.column(1).to_pylist()])
+            ends = np.append(0, np.cumsum(counts)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "n_tokens", "tokens"])
 
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>")
 
