@@ -148,7 +148,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFr
         sizes = dealt.groupBy("path", "shard").agg(F.count("*").alias("n"))
         fits = (F.col("n") > 1) & (F.col("n") <= tree)
         lists = dealt.join(sizes.where(fits), ["path", "shard"]).groupBy("shard").agg(F.collect_list("fp").alias("fps")).select("fps")
-        part = lists.mapInArrow(found, "a long, b long")
+        part = lists.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(found, "a long, b long")
         out = part if out is None else out.unionByName(part)
         large = cut(sizes.where(F.col("n") > tree).select("path", "shard"))
         frees = {r.path: free[r.path] for r in large.select("path").distinct().collect()}
