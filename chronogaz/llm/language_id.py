@@ -24,6 +24,8 @@ from chronogaz.llm.common import batches
 
 DIM = 1 << 13
 PER_LANG, LANDMARKS, RIDGE = 600, 192, 1e-3
+#: Up to so many ids of the sample are broadcast (8 bytes each).
+MOST_IDS = 1_000_000
 #: Steepness of the softmax over the scores, which lie about -1 and 1.
 SHARP = 4.0
 _LETTER = re.compile(r"[^\W\d_]")
@@ -85,6 +87,7 @@ def training_sample(df: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
             rows = presence([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in np.packbits(rows, axis=1)], pa.binary()), b.column(2)], ["lang", "bits", "doc_id"])
 
+    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
     return known.join(ids, "doc_id", "left_semi").select("lang", F.col("text").cast("string"), F.col("doc_id").cast("string")).mapInArrow(bits, "lang string, bits binary, doc_id string")
 
 

@@ -48,7 +48,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.where(~F.col("held_out")).join(labels, "doc_id").select("doc_id", "text", "toxic"))
+    model = toxicity.fit(docs.where(~F.col("held_out")).select("doc_id", "text"), labels)
     return toxicity.score(docs, model, extra=("held_out",))
 
 

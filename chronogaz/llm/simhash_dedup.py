@@ -192,7 +192,7 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One document of each group stays, with all its columns: the one with the smallest doc_id (of rows that share it
-    and their text, one)."""
-    groups = near_duplicates(docs, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    and their text, one). Rows without a doc_id stay, one of equal texts: nothing can name them as a group's keeper."""
+    groups = near_duplicates(docs, shingle, radius).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])  # one shuffle, by doc_id
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))

@@ -26,7 +26,7 @@ from chronogaz.llm.common import batches, shared_dir
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of a row group and of a page; characters of text in a file; entries of a task's table of known pieces; text in a batch.
-ROW_GROUP, PAGE, TEXT_IN_FILE, KNOWN, BATCH = 32 << 20, 256 << 10, 32 << 20, 1_200_000, 4 << 20
+ROW_GROUP, PAGE, TEXT_IN_FILE, KNOWN, BATCH = 32 << 20, 256 << 10, 32 << 20, 600_000, 2 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronogaz.llm.common import batches
+from chronogaz.llm.common import batches, cut
 
 PER_LABEL, CANDIDATES = 4000, 600
 STEMS = (3, 4, 5, 6, 7)
@@ -160,12 +160,15 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def sample(df: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
-    """(doc_id, text, toxic): at most per_label labelled texts of each label; equal texts of a label count once."""
-    known = df.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull())
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+    """(doc_id, text, toxic): at most per_label labelled texts of each label; equal texts of a label count once.
+
+    The rows are chosen by id alone; their list, bounded by per_label, is broadcast to fetch the texts."""
+    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").join(docs.select("doc_id"), "doc_id")
     order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = known.select("doc_id", "toxic").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).select("doc_id", "toxic").distinct()
-    return known.join(ids, ["doc_id", "toxic"], "left_semi").select("doc_id", F.col("text").cast("string").alias("text"), "toxic").dropDuplicates(["text", "toxic"])
+    ids = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).select("doc_id", "toxic").distinct()
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    return texts.dropDuplicates(["text", "toxic"])
 
 
 def candidates(rows: DataFrame, most: int = CANDIDATES) -> tuple[list[str], int, int]:
@@ -204,9 +207,9 @@ def candidates(rows: DataFrame, most: int = CANDIDATES) -> tuple[list[str], int,
     return [r.unit for r in best if r.unit in left][:most], nt, nn
 
 
-def fit(df: DataFrame, per_label: int = PER_LABEL, most: int = CANDIDATES) -> ToxicityModel:
-    """The model from labelled rows (doc_id, text, toxic); the driver gets counts of the candidates and their places."""
-    rows = sample(df, per_label)
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most: int = CANDIDATES) -> ToxicityModel:
+    """The model from documents and labels (doc_id, toxic); the driver gets counts of the candidates and their places."""
+    rows = cut(sample(docs, labels, per_label))
     units, nt, nn = candidates(rows, most)
     base = np.zeros(WIDTH + 1)
     base[0:12:3], base[-1] = (6.0, 8.0, 1.0, 1.0), -4.0

@@ -162,6 +162,12 @@ def test_simhash(spark, docs, real):
     assert simhash_dedup.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_keep_one(spark, docs):
+    kept = simhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {c for _, _, c in simhash(rows_of(docs))}
+
+
 def test_simhash_links_of_split_shards(spark):
     rng = random.Random(5)
     near = [rng.getrandbits(64) for _ in range(6)]
@@ -178,7 +184,7 @@ def test_toxicity(spark, sf):
     out = Q.op9_toxicity(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").toPandas()
     held = out[out.held_out]
     assert (held.predicted == held.toxic).mean() > 0.95 and held[held.toxic == 1].predicted.mean() > 0.6  # some labels have no cue
-    none = toxicity.fit(spark.createDataFrame([], EMPTY + ", toxic int"))
+    none = toxicity.fit(spark.createDataFrame([], EMPTY), spark.createDataFrame([], "doc_id long, toxic int"))
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "you are an idiot"), (4, "I will kill you")], EMPTY)
     s = {r.doc_id: r.score for r in toxicity.score(odd, none).collect()}
     assert s[1] == s[2] < 0.5 < s[3]
