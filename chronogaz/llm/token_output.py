@@ -11,6 +11,8 @@ the narrow columns alone. A null text is empty: its tokens are the end id alone.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import zlib
@@ -101,11 +103,14 @@ def encode(df: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_tokens, tokens), each list closed by the end id."""
 
     def run(it):
-        enc = PieceEncoder(path, end_id)
+        enc, batch = PieceEncoder(path, end_id), None
         for batch in (b for x in it for b in batches([x], BATCH)):
             ids, counts = enc.encode([t or "" for t in batch.column(1).to_pylist()])
             ends = np.append(0, np.cumsum(counts)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "n_tokens", "tokens"])
+        del enc, batch  # the worker lives on: give the tables' memory back
+        with contextlib.suppress(AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>")
 
