@@ -22,7 +22,7 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 SEED = "mix-1"
 #: Rows in one key range of a source.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 #: Up to so many sources their plan is broadcast (a row of some 50 bytes for each).
 MOST_SOURCES = 1_000_000
 WORDS = r"[^\x20\x09-\x0D]+"
