@@ -27,8 +27,9 @@ from chronogaz.llm.common import batches, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: Bytes of a row group and of a page; characters of text in a file; entries of a task's table of known pieces; text in a batch.
-ROW_GROUP, PAGE, TEXT_IN_FILE, KNOWN, BATCH = 32 << 20, 256 << 10, 32 << 20, 600_000, 2 << 20
+#: Bytes of a row group and of a page; characters of text in a file; entries of a task's table of known pieces; text in a batch;
+#: pieces encoded as one text.
+ROW_GROUP, PAGE, TEXT_IN_FILE, KNOWN, BATCH, JOINED = 32 << 20, 256 << 10, 32 << 20, 600_000, 2 << 20, 64
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -55,17 +56,33 @@ class PieceEncoder:
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
         added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s ", r" \s", r"\A ", r" \Z", *added]))
+        space = "\u0120"  # fixed value: how a byte-level vocabulary writes the space
+        self.opens = np.zeros(self.tok.get_vocab_size(), bool)
+        self.opens[[i for t, i in self.tok.get_vocab().items() if t.startswith(space)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _spaced(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that hold no space, each with a space before it: some are encoded as one text, and the
+        tokens that open with a space part it again."""
+        if not pieces:
+            return []
+        texts = [" " + " ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        flat = b"".join(self._encode(texts))
+        at = np.flatnonzero(self.opens[np.frombuffer(flat, self.dtype)])
+        if len(at) != len(pieces):  # a vocabulary that writes spaces in another way
+            return self._encode([" " + p for p in pieces])
+        cuts = [*(at * np.dtype(self.dtype).itemsize).tolist(), len(flat)]
+        return [flat[a:z] for a, z in zip(cuts, cuts[1:])]
+
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece with a space before it."""
         if len(self.known) > KNOWN // 2:
             self.known, self.older = {}, self.known
         got = [self.known.get(w) or self.older.get(w) for w in pieces]
         new = [i for i, x in enumerate(got) if x is None]
-        for i, ids in zip(new, self._encode([" " + pieces[i] for i in new])):
+        for i, ids in zip(new, self._spaced([pieces[i] for i in new])):
             got[i] = ids
         self.known.update(zip(pieces, got))
         return got
