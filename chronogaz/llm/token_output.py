@@ -14,7 +14,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import re
 import zlib
 
 import numpy as np
@@ -29,7 +28,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of a row group and of a page; characters of text in a file; entries of a task's table of known pieces; text in a batch;
 #: pieces encoded as one text.
-ROW_GROUP, PAGE, TEXT_IN_FILE, KNOWN, BATCH, JOINED = 32 << 20, 256 << 10, 32 << 20, 600_000, 2 << 20, 64
+ROW_GROUP, PAGE, TEXT_IN_FILE, KNOWN, BATCH, JOINED = 32 << 20, 256 << 10, 32 << 20, 600_000, 4 << 20, 64
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -54,8 +53,7 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s ", r" \s", r"\A ", r" \Z", *added]))
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         space = "\u0120"  # fixed value: how a byte-level vocabulary writes the space
         self.opens = np.zeros(self.tok.get_vocab_size(), bool)
         self.opens[[i for t, i in self.tok.get_vocab().items() if t.startswith(space)]] = True
@@ -65,7 +63,12 @@ class PieceEncoder:
 
     def _spaced(self, pieces: list[str]) -> list[bytes]:
         """The ids of pieces that hold no space, each with a space before it: some are encoded as one text, and the
-        tokens that open with a space part it again."""
+        tokens that open with a space part it again. Pieces that end in white space go one by one."""
+        ended = [i for i, p in enumerate(pieces) if p[-1].isspace()]
+        if ended:
+            out = iter(self._spaced([p for p in pieces if not p[-1].isspace()]))
+            odd = dict(zip(ended, self._encode([" " + pieces[i] for i in ended])))
+            return [odd[i] if i in odd else next(out) for i in range(len(pieces))]
         if not pieces:
             return []
         texts = [" " + " ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
@@ -80,39 +83,82 @@ class PieceEncoder:
         """The ids of each piece with a space before it."""
         if len(self.known) > KNOWN // 2:
             self.known, self.older = {}, self.known
-        got = [self.known.get(w) or self.older.get(w) for w in pieces]
-        new = [i for i, x in enumerate(got) if x is None]
+        got = list(map(self.known.get, pieces))
+        missing = [i for i, x in enumerate(got) if x is None]
+        new = []
+        for i in missing:
+            w = pieces[i]
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(i)
+            else:
+                got[i] = self.known[w] = ids
         for i, ids in zip(new, self._spaced([pieces[i] for i in new])):
-            got[i] = ids
-        self.known.update(zip(pieces, got))
+            got[i] = self.known[pieces[i]] = ids
         return got
 
+    @staticmethod
+    def _parted(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct pieces between spaces, the piece at each place, and the places where a text begins."""
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        offsets = lists.offsets.to_numpy()
+        pieces = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        return pieces.dictionary, pieces.indices.to_numpy().copy(), offsets[:-1] - offsets[0]
+
+    @staticmethod
+    def _touching(pieces: pa.Array, index: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """The texts in which a space touches other white space, or that begin or end with a space."""
+        trimmed = pc.and_(pc.equal(pc.utf8_trim_whitespace(pieces), pieces), pc.greater(pc.binary_length(pieces), 0))
+        open_or_closed = np.flatnonzero(~trimmed.to_numpy(zero_copy_only=False))
+        if not len(open_or_closed):
+            return np.array([], np.int64)
+        opens, closes = np.zeros(len(pieces), bool), np.zeros(len(pieces), bool)
+        for k in open_or_closed.tolist():
+            p = pieces[k].as_py()
+            opens[k], closes[k] = not p or p[0].isspace(), not p or p[-1].isspace()
+        first, last = np.zeros(len(index), bool), np.zeros(len(index), bool)
+        first[firsts] = last[np.append(firsts[1:], len(index)) - 1] = True
+        return np.flatnonzero(np.add.reduceat((opens[index] & ~first) | (closes[index] & ~last), firsts))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and how many each text has."""
         n = len(texts)
-        alone = [i for i, t in enumerate(texts) if self.whole.search(t)]
-        parted = list(texts)
-        for i in alone:
-            parted[i] = ""
-        lists = pc.split_pattern(pa.array(parted, pa.string()), " ")
-        offsets = lists.offsets.to_numpy()
-        pieces = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        index = pieces.indices.to_numpy().astype(np.int64)
-        firsts = offsets[:-1] - offsets[0]
-        heads = [lists.values[int(o)].as_py() for o in offsets[:-1]]
+        if not n:
+            return np.array([], np.int32), np.array([], np.int64)
+        alone = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        parted = ["" if any(a in t for a in self.added) else t for t in texts] if alone else texts
+        pieces, index, firsts = self._parted(parted)
+        touching = self._touching(pieces, index, firsts).tolist()
+        if touching:
+            alone, parted = alone + touching, list(parted)
+            for i in touching:
+                parted[i] = ""
+            pieces, index, firsts = self._parted(parted)
+        pieces = pieces.to_pylist()
+        heads = [pieces[k] for k in index[firsts]]
         for i in alone:
             heads[i] = texts[i]
-        ids = self._pieces(pieces.dictionary.to_pylist())
-        index[firsts] = len(ids) + np.arange(n)  # a text's first piece has no space before it
+        index[firsts] = len(pieces) + np.arange(n)  # a text's first piece has no space before it
+        used = np.zeros(len(pieces) + n, bool)
+        used[index] = True
+        ids = [b""] * len(pieces)
+        spaced = np.flatnonzero(used[: len(pieces)]).tolist()
+        for k, x in zip(spaced, self._pieces([pieces[k] for k in spaced])):
+            ids[k] = x
         ids += self._encode(heads)
-        size = np.array([len(x) for x in ids]) // np.dtype(self.dtype).itemsize
-        start = np.cumsum(size) - size
+        size = np.array(list(map(len, ids)), np.int32) // np.dtype(self.dtype).itemsize
+        start = np.cumsum(size, dtype=np.int64) - size
         each = size[index]
-        total = int(each.sum())
-        flat = np.frombuffer(b"".join(ids), self.dtype)[np.repeat(start[index] - np.cumsum(each) + each, each) + np.arange(total)]
-        counts = np.add.reduceat(each, firsts) if n else np.array([], np.int64)
+        ends = np.cumsum(each, dtype=np.int64)
+        counts = np.add.reduceat(each, firsts, dtype=np.int64)
+        total = int(ends[-1])
+        source = np.repeat(start[index] - ends + each, each)
+        source += np.arange(total)
+        flat = np.frombuffer(b"".join(ids), self.dtype)[source]
         out = np.full(total + n, self.end_id, np.int32)
-        out[np.arange(total) + np.repeat(np.arange(n), counts)] = flat
+        held = np.ones(total + n, bool)
+        held[np.cumsum(counts + 1) - 1] = False
+        out[held] = flat
         return out, counts + 1
 
 

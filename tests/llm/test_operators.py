@@ -205,3 +205,17 @@ def test_html(spark):
     out = {r.page_id: r for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[1].text == "Head & x\nOne two\nthree < 4" and out[1].n_chars == len(out[1].text)
     assert out[2].text == "" and out[3].text == "own q text" and out[4].text == "own r text" and "shared one" in out[5].text and out[6].text == "plain text"
+
+
+def test_piece_encoder_equals_the_tokenizer():
+    import random
+
+    rnd = random.Random(1)
+    texts = ["", " ", "  ", " a", "a ", "a  b", "a\nb", "a\n", "a\n\n", "\n a", "a \n b", "x  y", "x  y", "<|endoftext|>", "a <|endoftext|> b", "it's  we'll 12 3", "a\x1cb c", "a\x1c c"]
+    texts += ["".join(rnd.choice("ab1. \n'é　") for _ in range(rnd.randrange(40))) for _ in range(2000)]
+    enc = token_output.PieceEncoder(token_output.tokenizer_path(), 0)
+    for _ in range(2):  # the second time from the table of known pieces
+        ids, counts = enc.encode(texts)
+        want = [enc.tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert counts.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
