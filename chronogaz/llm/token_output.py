@@ -197,9 +197,11 @@ def read_tokens(spark: SparkSession, out: str, columns: tuple[str, ...] = ("part
     return (df.where(F.col("doc_id").between(*doc_ids)) if doc_ids else df).select(*columns)
 
 
-def starts(rows: DataFrame) -> DataFrame:
-    """Adds start, the ids before each document: sums for each file first, then a running sum inside each file."""
-    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each file
+def starts(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Adds start, the ids before each document: sums for each file first, then a running sum inside each file.
+
+    The sums are taken of sizes (part, n_tokens), the same rows without wider columns, if given."""
+    sums = (rows if sizes is None else sizes).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each file
     base, at = [], 0
     for r in sorted(sums):
         base.append((r.part, at))
@@ -223,4 +225,4 @@ def token_digest(df: DataFrame, out: str | None = None, path: str | None = None)
 
     # Row numbers follow the file's order only inside a split, so ties are ordered by what the rows themselves hold.
     rows = read_tokens(spark, out).mapInArrow(crc, "part int, doc_id long, n_tokens long, n_read long, ids_crc32 long").withColumn("_row", F.struct("n_tokens", "ids_crc32"))
-    return starts(rows).select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32")
+    return starts(rows, read_tokens(spark, out, ("part", "n_tokens"))).select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32")
