@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import os
 import zlib
 
@@ -162,16 +163,22 @@ class PieceEncoder:
         return out, counts + 1
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> PieceEncoder:
+    """One encoder for each Python worker: its bounded table of known pieces serves the worker's later tasks too."""
+    return PieceEncoder(path, end_id)
+
+
 def encode(df: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_tokens, tokens), each list closed by the end id."""
 
     def run(it):
-        enc, batch = PieceEncoder(path, end_id), None
+        enc, batch = encoder(path, end_id), None
         for batch in (b for x in it for b in batches([x], BATCH)):
             ids, counts = enc.encode([t or "" for t in batch.column(1).to_pylist()])
             ends = np.append(0, np.cumsum(counts)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "n_tokens", "tokens"])
-        del enc, batch  # the worker lives on: give the tables' memory back
+        del enc, batch  # the worker lives on: give the batches' memory back
         with contextlib.suppress(AttributeError):
             ctypes.CDLL(None).malloc_trim(0)
 
