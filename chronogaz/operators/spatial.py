@@ -99,6 +99,44 @@ def densify(edges: DataFrame, by: list[str], step: float) -> DataFrame:
     return rows.select(*by, "k", (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("lon"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("lat"))
 
 
+def in_cell_reach(points: DataFrame, segs: DataFrame, size: float) -> DataFrame:
+    """Points (id) with the segments whose box meets their cell or one beside it; segments are dealt to cells, one wider."""
+    wide = segs.withColumn("_cx", F.explode(F.sequence(cell(F.least("x1", "x2"), size) - 1, cell(F.greatest("x1", "x2"), size) + 1)))
+    wide = wide.withColumn("_cy", F.explode(F.sequence(cell(F.least("y1", "y2"), size) - 1, cell(F.greatest("y1", "y2"), size) + 1)))
+    p = points.select("id", cell(F.col("lon"), size).alias("_cx"), cell(F.col("lat"), size).alias("_cy"))
+    return p.join(wide, ["_cx", "_cy"])
+
+
+def self_crossings(segs: DataFrame, line: str, size: float) -> DataFrame:
+    """(line, a_seq, b_seq): segments of one line, not neighbours, that cross inside both; met in shared cells."""
+    dealt = segs.withColumn("_cx", cell_span(F.least("x1", "x2"), F.greatest("x1", "x2"), size)).withColumn("_cy", cell_span(F.least("y1", "y2"), F.greatest("y1", "y2"), size))
+    a, b = (dealt.select(line, "_cx", "_cy", *[F.col(c).alias(f"{s}_{c}") for c in ("seq", "x1", "y1", "x2", "y2")]) for s in "ab")
+    side = lambda s, p, q: (F.col(f"{q}_{p[0]}") - F.col(f"{s}_x1")) * (F.col(f"{s}_y2") - F.col(f"{s}_y1")) - (F.col(f"{q}_{p[1]}") - F.col(f"{s}_y1")) * (F.col(f"{s}_x2") - F.col(f"{s}_x1"))
+    crosses = (side("a", ("x1", "y1"), "b") * side("a", ("x2", "y2"), "b") < 0) & (side("b", ("x1", "y1"), "a") * side("b", ("x2", "y2"), "a") < 0)
+    first = lambda c, lo, hi: F.greatest(cell(F.least(f"a_{lo}", f"a_{hi}"), size), cell(F.least(f"b_{lo}", f"b_{hi}"), size)) == F.col(c)
+    met = a.join(b, [line, "_cx", "_cy"]).where("a_seq + 1 < b_seq").where(first("_cx", "x1", "x2") & first("_cy", "y1", "y2"))
+    return met.where(crosses).select(line, "a_seq", "b_seq")
+
+
+#: Steps to the eight cells around one, with their costs.
+STEPS = [(dx, dy, 14 if dx and dy else 10) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
+
+
+def grid_edges(cells: DataFrame, stride: int = 1000) -> DataFrame:
+    """(src, dst, weight) between free cells (x, y), named x * stride + y; a diagonal needs both cells beside it free."""
+    name = lambda x, y: x * stride + y
+    x, y = F.col("x"), F.col("y")
+    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).cast("long").alias("weight")) for dx, dy, w in STEPS]))
+    out = cells.select("x", "y", steps.alias("s")).select("x", "y", "s.*")
+    free = cells.select(name(x, y).alias("_k"))
+    straight = out.withColumn("dst", name(x + F.col("dx"), y + F.col("dy"))).join(free, F.col("dst") == F.col("_k"), "left_semi")
+    beside = F.array(name(x + F.col("dx"), y), name(x, y + F.col("dy")))
+    diagonal = straight.where("dx <> 0 and dy <> 0").withColumn("_b", F.explode(beside)).join(free, F.col("_b") == F.col("_k"), "left_semi")
+    diagonal = diagonal.groupBy("x", "y", "dst", "weight").agg(F.count("*").alias("_n")).where("_n = 2")
+    both = straight.where("dx = 0 or dy = 0").select("x", "y", "dst", "weight").unionByName(diagonal.select("x", "y", "dst", "weight"))
+    return both.select(name(x, y).alias("src"), "dst", "weight")
+
+
 def segments(vertices: DataFrame, line: str = "line_id", order: str = "seq") -> DataFrame:
     """Edge table of polylines."""
     w = Window.partitionBy(line).orderBy(order)
