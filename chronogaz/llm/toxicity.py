@@ -163,10 +163,13 @@ class ToxicityModel:
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     """(doc_id, text, toxic): at most per_label labelled texts of each label; equal texts of a label count once.
 
-    The rows are chosen by id alone; their list, bounded by per_label, is broadcast to fetch the texts."""
-    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").join(docs.select("doc_id"), "doc_id")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).select("doc_id", "toxic").distinct()
+    The rows are chosen by id alone; their list, bounded by per_label, is broadcast to fetch the texts. A label's rows are
+    counted, and only the share of hashes that holds half as many again as needed goes to the task that ranks them."""
+    known = cut(labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").join(docs.select("doc_id"), "doc_id").withColumn("_h", F.xxhash64(F.col("doc_id").cast("string"))))
+    counts = known.groupBy("toxic").agg(F.count("*").alias("_all"))  # two rows
+    near = known.join(F.broadcast(counts), "toxic").where(F.col("_h") / 2.0**64 + 0.5 <= (1.5 * per_label + 200) / F.col("_all"))
+    order = Window.partitionBy("toxic").orderBy("_h", "doc_id")
+    ids = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).select("doc_id", "toxic").distinct()
     texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
     return texts.dropDuplicates(["text", "toxic"])
 
