@@ -41,6 +41,30 @@ def rare_words(toks: DataFrame, key: str, lo: int, hi: int, length: int) -> Data
     return n.where(F.col("n").between(lo, hi)).select("word")
 
 
+def word_pairs(toks: DataFrame, key: str) -> DataFrame:
+    """(key, at, phrase): each word with the next one of its text."""
+    w = Window.partitionBy(key).orderBy("at")
+    return toks.select(key, "at", F.concat("word", F.lit(" "), F.lead("word").over(w)).alias("phrase")).where("phrase is not null")
+
+
+def every_other(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """Of each run of adjacent places the first, third and so on: the choice in order where only neighbours conflict."""
+    w = Window.partitionBy(key).orderBy(at)
+    runs = rows.withColumn("_run", F.col(at) - F.row_number().over(w))
+    inner = Window.partitionBy(key, "_run").orderBy(at)
+    return runs.withColumn("_n", F.row_number().over(inner)).where("_n % 2 = 1").drop("_run", "_n")
+
+
+def index_quantile(values: DataFrame, by: str, value: str, n: str, share: float, limit: float) -> DataFrame:
+    """(by, n, worst, p95, n_long) from values with their counts: the value at place floor((n - 1) * share) in order."""
+    totals = values.groupBy(by).agg(F.sum(n).alias("_all"), F.sum(F.when(F.col(value).isNotNull(), F.col(n)).otherwise(0)).alias("_m"), F.max(value).alias("worst"), F.sum(F.when(F.col(value) > limit, F.col(n)).otherwise(0)).alias("n_long"))
+    upto = F.sum(n).over(Window.partitionBy(by).orderBy(value))
+    ranked = values.where(F.col(value).isNotNull()).withColumn("_hi", upto).join(totals.select(by, "_m"), by)
+    place = F.floor((F.col("_m") - 1) * share) + 1
+    at = ranked.where((F.col("_hi") >= place) & (F.col("_hi") - F.col(n) < place)).select(by, F.col(value).alias("p95"))
+    return totals.join(at, by, "left").select(by, F.col("_all").alias("n"), "worst", "p95", "n_long")
+
+
 def mentions(toks: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
     """(key, word, first_at, n) of dictionary words: counted before they are joined."""
     per = toks.groupBy(key, "word").agg(F.min("at").cast("long").alias("first_at"), F.count("*").alias("n"))

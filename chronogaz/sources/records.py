@@ -17,7 +17,7 @@ def read_records(spark: SparkSession, path: str, schema: StructType) -> tuple[Da
     """(records with `file`, violations): one document per file; unreadable files become violations."""
     wide = StructType([*schema.fields]).add("_corrupt_record", StringType())
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
-    whole = spark.read.option("wholetext", True).text(path).select(name.alias("file"), F.from_json("value", wide, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    whole = spark.read.text(path, wholetext=True).select(name.alias("file"), F.from_json("value", wide, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     rows = whole.select("r.*", "file")
     bad = rows.where("_corrupt_record is not null").select(F.lit("readable").alias("rule_id"), F.lit("error").alias("severity"), F.col("file").alias("path"), F.lit("not a JSON document of this kind").alias("message"))
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), bad
