@@ -49,6 +49,14 @@ def segment_km(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: C
     return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
 
 
+def segment_degrees(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance of a point to a segment in plain degrees."""
+    dx, dy = x2 - x1, y2 - y1
+    n = dx * dx + dy * dy
+    t = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x1) * dx + (py - y1) * dy) / n))).otherwise(0.0)
+    return F.sqrt(F.pow(px - x1 - t * dx, 2) + F.pow(py - y1 - t * dy, 2))
+
+
 def round_half_up(x: Column, digits: int) -> Column:
     """floor(x * 10^d + 0.5) / 10^d: ties go up, also below zero."""
     return F.floor(x * float(10**digits) + 0.5) / float(10**digits)

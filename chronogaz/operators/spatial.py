@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronogaz.functions import geo
+from chronogaz.operators.graph import checkpointed
 
 
 def cell(x: Column, size: float) -> Column:
@@ -118,6 +119,47 @@ def self_crossings(segs: DataFrame, line: str, size: float) -> DataFrame:
     return met.where(crosses).select(line, "a_seq", "b_seq")
 
 
+def cover(edges: DataFrame, size: float) -> DataFrame:
+    """(cx, cy, area_id): cells whose centre an area holds; only cells in some area's box are tested."""
+    box = edges.groupBy("area_id").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"))
+    cells = box.withColumn("cx", cell_span(F.col("w"), F.col("e"), size)).withColumn("cy", cell_span(F.col("s"), F.col("n"), size)).select("cx", "cy").distinct()
+    centres = cells.select(F.struct("cx", "cy").alias("id"), ((F.col("cx") + 0.5) * size).alias("lon"), ((F.col("cy") + 0.5) * size).alias("lat"))
+    return containing(centres, edges).select("id.cx", "id.cy", "area_id")
+
+
+def share_in_box(west: float, south: float, east: float, north: float) -> Column:
+    """The share of the segment x1, y1 with extent dx, dy inside a box."""
+
+    def span(a: str, d: str, lo: float, hi: float):
+        p, q, x = F.col(a), F.col(d), F.lit
+        into = F.when(q > 0, (x(lo) - p) / q).when(q < 0, (x(hi) - p) / q).when(p.between(lo, hi), 0.0).otherwise(2.0)
+        out = F.when(q > 0, (x(hi) - p) / q).when(q < 0, (x(lo) - p) / q).otherwise(1.0)
+        return into, out
+
+    (a, b), (c, d) = span("x1", "dx", west, east), span("y1", "dy", south, north)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), b, d) - F.greatest(F.lit(0.0), a, c))
+
+
+def simplify(vertices: DataFrame, tolerance: float) -> DataFrame:
+    """(line_id, seq, lon, lat) that stay: each round splits every open span at its farthest vertex beyond the tolerance
+    (ties: the first); rounds grow with the depth of the splits, not with the number of lines."""
+    line = Window.partitionBy("line_id").orderBy("seq")
+    both = Window.partitionBy("line_id")
+    v = vertices.withColumn("kept", (F.col("seq") == F.min("seq").over(both)) | (F.col("seq") == F.max("seq").over(both)))
+    v = checkpointed(v)
+    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    while True:
+        own = F.when(F.col("kept"), F.struct("seq", "lon", "lat"))
+        s = v.withColumns({"a": F.last(own, True).over(before), "b": F.first(own, True).over(after)})
+        far = geo.segment_degrees(F.col("lon"), F.col("lat"), F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))
+        s = s.withColumn("_d", F.when(~F.col("kept"), far))
+        best = F.max(F.when(F.col("_d") > tolerance, F.struct(F.col("_d").alias("d"), (-F.col("seq")).alias("s")))).over(Window.partitionBy("line_id", "a.seq", "kept"))
+        new = checkpointed(s.withColumn("_s", best).select("line_id", "seq", "lon", "lat", (F.col("kept") | F.coalesce(-F.col("_s.s") == F.col("seq"), F.lit(False))).alias("kept"), (~F.col("kept") & F.coalesce(-F.col("_s.s") == F.col("seq"), F.lit(False))).alias("_new")))
+        if new.where("_new").isEmpty():
+            return new.where("kept").select("line_id", "seq", "lon", "lat")
+        v = new.drop("_new")
+
+
 #: Steps to the eight cells around one, with their costs.
 STEPS = [(dx, dy, 14 if dx and dy else 10) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
 

@@ -53,3 +53,25 @@ def test_dissolve_cancels_shared_edges_and_keeps_area(spark):
     assert rows(spatial.shoelace(e, "area_id"), "area_id", "area") == [(1, 1.0), (2, 1.0)]
     p = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 0.5), (3, 5.0, 0.5)], "id int, lon double, lat double")
     assert rows(spatial.containing(p, e), "id", "area_id") == [(1, 1), (2, 2)]
+
+
+def plain_simplify(points, tolerance):
+    def far(p, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        n = dx * dx + dy * dy
+        t = min(1, max(0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / n)) if n else 0
+        return ((p[0] - a[0] - t * dx) ** 2 + (p[1] - a[1] - t * dy) ** 2) ** 0.5
+
+    def keep(lo, hi):
+        best = max(range(lo + 1, hi), key=lambda i: (far(points[i], points[lo], points[hi]), -i), default=None)
+        if best is None or far(points[best], points[lo], points[hi]) <= tolerance:
+            return set()
+        return {best} | keep(lo, best) | keep(best, hi)
+
+    return {0, len(points) - 1} | keep(0, len(points) - 1)
+
+
+def test_simplified_lines_equal_the_plain_version(spark):
+    lines = {k: [(float(i * 7 % 5 + i), float(i * (k + 3) % 11)) for i in range(n)] for k, n in enumerate((1, 2, 3, 30, 61))}
+    df = spark.createDataFrame([(k, i, x, y) for k, ps in lines.items() for i, (x, y) in enumerate(ps)], "line_id int, seq int, lon double, lat double")
+    assert rows(spatial.simplify(df, 2.0), "line_id", "seq") == sorted((k, i) for k, ps in lines.items() for i in plain_simplify(ps, 2.0))
