@@ -166,6 +166,14 @@ def grf3_shortest_costs(spark, sf):
     return G.shortest_costs(both, start, 60).select("node", "cost")
 
 
+@query()
+def grf3_shortest_paths(spark, sf):
+    """From node 7 to every node that it reaches, with the node before: no limit, and no twin, as SQL would walk all paths."""
+    g = V.v_graph(spark, sf)
+    both = g.unionByName(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    return G.shortest_costs(both, spark.range(7, 8).select(F.col("id").alias("node")))
+
+
 @query(", a(id, ancestor, depth) AS (SELECT id, parent, 1 FROM v_tree WHERE parent IS NOT NULL UNION ALL SELECT a.id, t.parent, a.depth + 1 FROM a JOIN v_tree t ON t.id = a.ancestor WHERE t.parent IS NOT NULL) SELECT id, ancestor::BIGINT AS ancestor, depth::BIGINT AS depth FROM a", ("v_tree",))
 def grf8_ancestors(spark, sf):
     return G.ancestors(V.v_tree(spark, sf)).select("id", "ancestor", F.col("depth").cast("long").alias("depth"))
