@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import contextlib
+import ctypes
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +81,24 @@ def crc_mod(column, mod: int):
     return F.crc32(column.cast("string").cast("binary")) % mod
 
 
-def crc_of(value) -> int:
-    return zlib.crc32(str(value).encode())
-
-
-def slug(text: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")
+def give_back() -> None:
+    """Called at a task's end: the Python worker lives on, so freed memory goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes of a stream of codes in the order of their first `depth` codes, by prefix doubling."""
+    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
+    order, have = np.argsort(rank, kind="stable"), 1
+    while have < depth:
+        step = min(have, depth - have)
+        later = np.append(rank[step:], np.zeros(min(step, len(rank)), np.int64))[: len(rank)]
+        order = np.lexsort((later, rank))
+        a, b = rank[order], later[order]
+        fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.array([], bool)
+        rank = np.empty_like(rank)
+        rank[order] = np.cumsum(fresh)
+        have += step
+    return order

@@ -1,7 +1,7 @@
 """Token-ID output: Parquet list columns of token ids in document order, read back by column.
 
 Format: rows (part, doc_id, n_tokens, tokens array<int>) in ascending doc_id order (nulls first; rows with the same
-doc_id in the order of their text), one file for each range of doc_ids. Token lists are dictionary encoded, or with
+doc_id in the order of their texts' hashes, then their texts, so that one doc_id may take many files), one file for each range. Token lists are dictionary encoded, or with
 encoding="delta" written by the version 2 writer as DELTA_BINARY_PACKED; row groups and pages have a set size and the
 page index is written, so that counts, single documents and ranges are read without the token pages of others.
 
@@ -11,8 +11,6 @@ the narrow columns alone. A null text is empty: its tokens are the end id alone.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import functools
 import os
 import zlib
@@ -23,13 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronogaz.llm.common import batches, shared_dir
+from chronogaz.llm.common import batches, give_back, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: Bytes of a row group and of a page; characters of text in a file; entries of a task's table of known pieces; text in a batch;
-#: pieces encoded as one text.
-ROW_GROUP, PAGE, TEXT_IN_FILE, KNOWN, BATCH, JOINED = 32 << 20, 256 << 10, 32 << 20, 600_000, 4 << 20, 64
+#: Bytes of a row group and of a page; bytes of text in a file; entries of a worker's table of known words; text in a batch;
+#: words encoded as one text.
+ROW_GROUP, PAGE, TEXT_IN_FILE, KNOWN, BATCH, JOINED = 8 << 20, 256 << 10, 32 << 20, 1_000_000, 4 << 20, 64
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,10 +37,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class PieceEncoder:
-    """encode() of a byte-level BPE for batches of texts, with the ids of known pieces taken from a bounded table.
+    """encode() of a byte-level BPE for columns of texts, with the ids of known words taken from a bounded table.
 
     A text in which no space touches other white space falls into pieces, one from each space to the next, whose ids
     do not depend on their surroundings: the pre-tokenizer starts a token at such a space and none goes past the next.
+    A piece that ends in full stops or commas after a letter is a word and a tail, which the pre-tokenizer parts too.
     Every other text, and any text that holds an added token's string, goes through the tokenizer as a whole.
     """
 
@@ -50,58 +49,66 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
-        self.tok, self.end_id = Tokenizer.from_file(path), end_id
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.tok = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.end = self._binary(np.array([end_id], self.dtype), np.array([1]))
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())  # known words and their ids
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        space = "\u0120"  # fixed value: how a byte-level vocabulary writes the space
+        space = "Ġ"  # fixed value: how a byte-level vocabulary writes the space
         self.opens = np.zeros(self.tok.get_vocab_size(), bool)
         self.opens[[i for t, i in self.tok.get_vocab().items() if t.startswith(space)]] = True
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _spaced(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces that hold no space, each with a space before it: some are encoded as one text, and the
-        tokens that open with a space part it again. Pieces that end in white space go one by one."""
-        ended = [i for i, p in enumerate(pieces) if p[-1].isspace()]
-        if ended:
-            out = iter(self._spaced([p for p in pieces if not p[-1].isspace()]))
-            odd = dict(zip(ended, self._encode([" " + pieces[i] for i in ended])))
-            return [odd[i] if i in odd else next(out) for i in range(len(pieces))]
-        if not pieces:
-            return []
-        texts = [" " + " ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
-        flat = b"".join(self._encode(texts))
-        at = np.flatnonzero(self.opens[np.frombuffer(flat, self.dtype)])
-        if len(at) != len(pieces):  # a vocabulary that writes spaces in another way
-            return self._encode([" " + p for p in pieces])
-        cuts = [*(at * np.dtype(self.dtype).itemsize).tolist(), len(flat)]
-        return [flat[a:z] for a, z in zip(cuts, cuts[1:])]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece with a space before it."""
-        if len(self.known) > KNOWN // 2:
-            self.known, self.older = {}, self.known
-        got = list(map(self.known.get, pieces))
-        missing = [i for i, x in enumerate(got) if x is None]
-        new = []
-        for i in missing:
-            w = pieces[i]
-            ids = self.older.get(w)
-            if ids is None:
-                new.append(i)
-            else:
-                got[i] = self.known[w] = ids
-        for i, ids in zip(new, self._spaced([pieces[i] for i in new])):
-            got[i] = self.known[pieces[i]] = ids
-        return got
+        parted = self.tok.pre_tokenizer.pre_tokenize_str(" ab., a") if self.tok.pre_tokenizer else []
+        self.tails = ".," if [t for t, _ in parted] == [space + "ab", ".,", space + "a"] else ""
+
+    def _binary(self, flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """Runs of flat as one binary value each."""
+        ends = np.append(0, np.cumsum(sizes)).astype(np.int32) * self.dtype().itemsize
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*rows, np.array([], self.dtype)]), np.array(list(map(len, rows)), np.int64)
+
+    def _spaced(self, words: pa.Array) -> pa.Array:
+        """The ids of words that hold no space, each with a space before it: some are encoded as one text, and the
+        tokens that open with a space part it again. A word that ends in white space ends its text."""
+        closed = np.flatnonzero(pc.not_equal(pc.utf8_rtrim_whitespace(words), words).to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.concatenate([np.arange(0, len(words), JOINED), closed + 1, [len(words)]])).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words), " ").to_pylist()
+        flat, _ = self._encode([" " + t for t in texts])
+        at = np.flatnonzero(self.opens[flat])
+        if len(at) != len(words):  # a vocabulary that writes spaces in another way
+            return self._binary(*self._encode([" " + w for w in words.to_pylist()]))
+        return self._binary(flat, np.diff(np.append(at, len(flat))))
+
+    def _ids(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces, each with a space before it."""
+        words, last = pieces, None
+        if self.tails:
+            last = pc.utf8_slice_codeunits(pieces, -1)
+            parts = pc.and_(pc.is_in(last, value_set=pa.array(list(self.tails))), pc.utf8_is_alpha(pc.utf8_slice_codeunits(pieces, -2, -1)))
+            words, last = pc.if_else(parts, pc.utf8_slice_codeunits(pieces, 0, -1), pieces), pc.if_else(parts, last, "").dictionary_encode()
+        distinct = words.dictionary_encode()
+        at = pc.index_in(distinct.dictionary, value_set=self.words)
+        new = distinct.dictionary.filter(at.is_null())
+        place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        if len(new):
+            place[place < 0] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.ids = pa.concat_arrays([self.ids, self._spaced(new)])
+        own = self.ids.take(pa.array(place))
+        if len(self.words) > KNOWN:  # the words of this batch stay
+            self.words, self.ids = distinct.dictionary, own
+        out = own.take(distinct.indices)
+        if last is not None and len(last.dictionary) > 1:
+            ends = self._binary(*self._encode(last.dictionary.to_pylist()))
+            out = pc.binary_join_element_wise(out, ends.take(last.indices), b"")
+        return out
 
     @staticmethod
-    def _parted(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    def _parted(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct pieces between spaces, the piece at each place, and the places where a text begins."""
-        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy()
         pieces = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         return pieces.dictionary, pieces.indices.to_numpy().copy(), offsets[:-1] - offsets[0]
@@ -121,46 +128,35 @@ class PieceEncoder:
         first[firsts] = last[np.append(firsts[1:], len(index)) - 1] = True
         return np.flatnonzero(np.add.reduceat((opens[index] & ~first) | (closes[index] & ~last), firsts))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, the end id after each text, and how many each text has."""
-        n = len(texts)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, the end id after each text, and how many each text has. A null text is empty."""
+        n, texts = len(texts), pc.fill_null(texts, "")
         if not n:
             return np.array([], np.int32), np.array([], np.int64)
-        alone = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        parted = ["" if any(a in t for a in self.added) else t for t in texts] if alone else texts
-        pieces, index, firsts = self._parted(parted)
-        touching = self._touching(pieces, index, firsts).tolist()
-        if touching:
-            alone, parted = alone + touching, list(parted)
-            for i in touching:
-                parted[i] = ""
-            pieces, index, firsts = self._parted(parted)
-        pieces = pieces.to_pylist()
-        heads = [pieces[k] for k in index[firsts]]
-        for i in alone:
-            heads[i] = texts[i]
-        index[firsts] = len(pieces) + np.arange(n)  # a text's first piece has no space before it
-        used = np.zeros(len(pieces) + n, bool)
-        used[index] = True
-        ids = [b""] * len(pieces)
-        spaced = np.flatnonzero(used[: len(pieces)]).tolist()
-        for k, x in zip(spaced, self._pieces([pieces[k] for k in spaced])):
-            ids[k] = x
-        ids += self._encode(heads)
-        size = np.array(list(map(len, ids)), np.int32) // np.dtype(self.dtype).itemsize
-        start = np.cumsum(size, dtype=np.int64) - size
-        each = size[index]
-        ends = np.cumsum(each, dtype=np.int64)
-        counts = np.add.reduceat(each, firsts, dtype=np.int64)
-        total = int(ends[-1])
-        source = np.repeat(start[index] - ends + each, each)
-        source += np.arange(total)
-        flat = np.frombuffer(b"".join(ids), self.dtype)[source]
-        out = np.full(total + n, self.end_id, np.int32)
-        held = np.ones(total + n, bool)
-        held[np.cumsum(counts + 1) - 1] = False
-        out[held] = flat
-        return out, counts + 1
+        alone = np.zeros(n, bool)
+        for a in self.added:
+            alone |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        pieces, index, firsts = self._parted(pc.if_else(pa.array(alone), "", texts) if alone.any() else texts)
+        touching = self._touching(pieces, index, firsts)
+        if len(touching):
+            alone[touching] = True
+            pieces, index, firsts = self._parted(pc.if_else(pa.array(alone), "", texts))
+        heads = pc.if_else(pa.array(alone), texts, pieces.take(pa.array(index[firsts])))
+        index[firsts] = -1  # a text's first piece has no space before it
+        held = np.zeros(len(pieces) + 1, bool)
+        held[index] = True
+        used = np.flatnonzero(held[:-1])
+        spaced = self._ids(pieces.take(pa.array(used)))
+        ids = pa.concat_arrays([spaced, self._binary(*self._encode(heads.to_pylist())), self.end])
+        place = np.full(len(pieces), -1, np.int64)
+        place[used] = np.arange(len(used))
+        index = place[index]
+        index[firsts] = len(used) + np.arange(n)
+        index = np.insert(index, np.append(firsts[1:], len(index)), len(ids) - 1)
+        got = ids.take(pa.array(index))
+        offsets = np.frombuffer(got.buffers()[1], np.int32)[: len(got) + 1] // self.dtype().itemsize
+        out = np.frombuffer(got.buffers()[2], self.dtype)[: offsets[-1]].astype(np.int32)
+        return out, np.diff(offsets[np.append(firsts + np.arange(n), len(index))]).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=1)
@@ -175,21 +171,22 @@ def encode(df: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def run(it):
         enc, batch = encoder(path, end_id), None
         for batch in (b for x in it for b in batches([x], BATCH)):
-            ids, counts = enc.encode([t or "" for t in batch.column(1).to_pylist()])
+            ids, counts = enc.encode(batch.column(1))
             ends = np.append(0, np.cumsum(counts)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "n_tokens", "tokens"])
         del enc, batch  # the worker lives on: give the batches' memory back
-        with contextlib.suppress(AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>")
 
 
 def write_tokens(df: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, encoding: str = "dictionary", text_in_file: int = TEXT_IN_FILE) -> str:
     """Writes the tokens of (doc_id, text) to the folder out, in ascending doc_id order over its files."""
-    size = df.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // text_in_file), df.sparkSession.sparkContext.defaultParallelism)
-    ordered = df.select("doc_id", "text").repartitionByRange(int(parts), "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(int(parts), *order).sortWithinPartitions(*order, "text")
     writer = encode(ordered, path or tokenizer_path(), end_id).select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "tokens").write
     options = {"compression": "zstd", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.page.write-checksum.enabled": "true"}
     if encoding == "delta":
@@ -205,17 +202,15 @@ def read_tokens(spark: SparkSession, out: str, columns: tuple[str, ...] = ("part
 
 
 def starts(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Adds start, the ids before each document: sums for each file first, then a running sum inside each file.
+    """Adds start, the ids before each document, to rows (part, row, n_tokens): sums for each file, a running sum over the
+    files (a row each), then one inside each file in the order of its rows.
 
     The sums are taken of sizes (part, n_tokens), the same rows without wider columns, if given."""
-    sums = (rows if sizes is None else sizes).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each file
-    base, at = [], 0
-    for r in sorted(sums):
-        base.append((r.part, at))
-        at += r.n
-    offsets = rows.sparkSession.createDataFrame(base, "part int, _base long")
-    w = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "_row").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(F.broadcast(offsets), "part").withColumn("start", F.col("_base") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).drop("_base")
+    sums = (rows if sizes is None else sizes).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(offsets, "part").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).drop("base")
 
 
 def token_digest(df: DataFrame, out: str | None = None, path: str | None = None) -> DataFrame:
@@ -227,9 +222,11 @@ def token_digest(df: DataFrame, out: str | None = None, path: str | None = None)
         for b in it:
             lists = b.column(3)
             ids, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-            sums = [zlib.crc32(ids[a:z].tobytes()) for a, z in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())], ["part", "doc_id", "n_tokens", "n_read", "ids_crc32"])
-
-    # Row numbers follow the file's order only inside a split, so ties are ordered by what the rows themselves hold.
-    rows = read_tokens(spark, out).mapInArrow(crc, "part int, doc_id long, n_tokens long, n_read long, ids_crc32 long").withColumn("_row", F.struct("n_tokens", "ids_crc32"))
-    return starts(rows, read_tokens(spark, out, ("part", "n_tokens"))).select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32")
+            data = memoryview(ids).cast("B")
+            sums = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())], ["part", "row", "doc_id", "n_tokens", "ids_crc32"])
+        give_back()
+
+    place = F.col("_metadata.row_index").alias("row")  # of the row in its file
+    rows = read_tokens(spark, out, ("part", place, "doc_id", "tokens")).mapInArrow(crc, "part int, row long, doc_id long, n_tokens long, ids_crc32 long")
+    return starts(rows, read_tokens(spark, out, ("part", "n_tokens"))).select("doc_id", "start", "n_tokens", "ids_crc32")

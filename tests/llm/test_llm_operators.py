@@ -1,10 +1,12 @@
 import hashlib
 import random
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from brute import contamination, dedup, licenses, simhash, tokens
+from brute import contamination, dedup, licenses, simhash, tokens, words
 from pyspark.sql import functions as F
 
 from chronogaz.llm import decontaminate, html_extraction, language_id, license_scan, media_columns, simhash_dedup, source_mix, suffix_dedup, token_output, toxicity
@@ -98,6 +100,18 @@ def test_tokens(spark, docs, real):
     assert token_output.read_tokens(spark, out, ("doc_id", "n_tokens"), (5, 9)).count() == 5
 
 
+def test_tokens_of_repeated_and_null_ids(spark):
+    rows = [(5, "x y z"), (5, "a"), (5, None), (None, "n one"), (None, "n"), (5, "a"), (2, "two two"), (9, "")]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, start int").repartition(4)
+    for r in (token_output.token_digest(df).orderBy("start").collect(),):
+        assert [x.start for x in r] == np.cumsum([0] + [x.n_tokens for x in r])[:-1].tolist()
+        assert [x.doc_id for x in r] == [None, None, 2, 5, 5, 5, 5, 9]
+    assert sorted(x.ids_crc32 for x in r) == sorted(c for _, _, _, c in tokens([(0, t) for _, t in rows], token_output.tokenizer_path()))
+    out = token_output.write_tokens(df, token_output.shared_dir(spark), text_in_file=1)
+    files = token_output.read_tokens(spark, out).select("part", F.col("_metadata.row_index").alias("row"), "doc_id", F.size("tokens").alias("n"), "n_tokens").orderBy("part", "row").collect()
+    assert [(x.doc_id, x.n) for x in files] == [(x.doc_id, x.n_tokens) for x in r] and all(x.n == x.n_tokens for x in files)
+
+
 def test_contamination(spark, docs, real, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
@@ -112,6 +126,43 @@ def test_contamination(spark, docs, real, sf):
     assert {r.doc_id for r in decontaminate.remove_contaminated(docs, ben).collect()} == {d for d, _ in nasty()} - bad
 
 
+def test_contamination_rows(spark):
+    """Shards with few words, repeated and null doc_ids, several blocks, true longest matches, clashing columns."""
+    one = "a b c d e"
+    items = [(1, one + " f g h i j k l"), (2, "v w x y z"), (3, "k l v w x y z"), (None, "solo"), (3, "k l v w x y z")]
+    rows = [(1, "word", "q"), (1, "v w x y z", "q"), (None, "", "q"), (None, None, "q"), (None, "a b c d e f g h i j k l v w x y z", "q"), (1, "solo", "q"), (7, "z a b c d e f g h i j k q v w x y", "q"), (7, "b c d e f g h i j k l", "q")]
+    ben = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    want = sorted(((d, t, r.n_words, r.n_hit, r.items, r.longest) for d, t, _ in rows for r in [plain_longest(t, items)]), key=str)
+    for parts in (1, 8):
+        for block in (8 << 20, 10):
+            m = decontaminate.matches(docs.repartition(parts), ben, block_bytes=block).collect()
+            got_ = sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), tuple(r["items"]), (r.longest_match, r.longest_at, r.longest_item)) for r in m), key=str)
+            assert got_ == sorted(((d, n, h, i, x) for d, _, n, h, i, x in want), key=str)
+            kept = decontaminate.remove_contaminated(docs.repartition(parts), ben, block_bytes=block)
+            assert kept.columns == docs.columns and sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted((str(d), t or "") for d, t, _ in rows if not plain_longest(t, items).n_hit)
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert {(r.n_hit, r.longest_match) for r in decontaminate.contamination(docs, none).collect()} == {(0, 0)}
+    assert decontaminate.contamination(docs.limit(0), ben).count() == 0 and decontaminate.remove_contaminated(docs, none).count() == len(rows)
+
+
+def plain_longest(text, items, n=10):
+    ws, hit, found, best = words(text), set(), set(), (0, 0, "")
+    for item, t in items:
+        iw = words(t)
+        for i in range(len(ws)):
+            for j in range(len(iw)):
+                k = 0
+                while i + k < len(ws) and j + k < len(iw) and ws[i + k] == iw[j + k]:
+                    k += 1
+                if k >= n or 0 < k == len(iw) < n:
+                    hit |= set(range(i, i + k))
+                    found.add("" if item is None else str(item))
+                    best = min(best, (-k, i, "" if item is None else str(item)))
+    longest = (-best[0], best[1], best[2]) if best[0] else (0, None, None)
+    return types.SimpleNamespace(n_words=len(ws), n_hit=len(hit), items=tuple(sorted(found)), longest=longest)
+
+
 def test_language(spark, sf):
     out = Q.op5_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").toPandas()
     held = out[out.held_out]
@@ -144,16 +195,45 @@ def test_mix(spark, sf):
 def test_licenses(spark, docs, real):
     for df in (docs, real):
         assert got(license_scan.license_scan(df), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(licenses(rows_of(df), license_scan.PHRASES), key=str)
-    lines = spark.createDataFrame([(1, "x\nRELEASED under the MIT licence\nLicensed under the Apache License, Version 2.0"), (2, "under the the the"), (3, None)], EMPTY)
-    found = {(r.doc_id, r.line, r.template) for r in license_scan.block_matches(lines).collect()}
-    want = set()
-    for d, text in rows_of(lines):
-        for i, line in enumerate((text or "").split("\n")):
-            block = set(license_scan.words(line.encode()))
-            for name, t in license_scan.TEMPLATES.items():
-                toks = set(license_scan.words(t.encode()))
-                want |= {(d, i, name)} if len(toks & block) >= 0.8 * len(toks) - 1e-9 else set()
-    assert found == want and (1, 1, "mit") in found
+
+
+def plain_blocks(text, name, template, containment=0.8, span=1.5):
+    """Runs of overlapping windows that hold enough of a template's tokens, every window counted."""
+    ws, tw = words(text), words(template)
+    toks, width, out = set(tw), -int(-len(tw) * span // 1), []
+    for i in range(len(ws)):
+        at = [k for k in range(i, min(len(ws), i + width)) if ws[k] in toks]
+        if len({ws[k] for k in at}) >= containment * len(toks) - 1e-9 and at[0] == i:
+            # the shortest end at which the window that opens here has enough, and all later ones
+            for k in at:
+                n = len({ws[j] for j in at if j <= k})
+                if n >= containment * len(toks) - 1e-9:
+                    out.append((i, k + 1))
+    runs = []
+    for a, z in sorted(out):
+        if runs and a < runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], z))
+        else:
+            runs.append((a, z))
+    return {(name, a, z - 1) for a, z in runs}
+
+
+def test_license_blocks(spark, docs):
+    rng = random.Random(9)
+    T = license_scan.TEMPLATES
+    wrap = lambda t, n: "\n".join(" ".join(w) for w in (t.split()[i : i + n] for i in range(0, len(t.split()), n)))
+    rows = [(1, "x\nRELEASED under the MIT licence\nLicensed under the Apache License, Version 2.0"), (2, "under the the the"), (3, None), (4, "")]
+    rows += [(10 + i, "intro words " * 20 + wrap(t, 7) + " and so on " * 30) for i, t in enumerate(T.values())]
+    for i in range(40):  # words lost and put in, so that containment lies about the threshold
+        t = rng.choice(list(T.values())).split()
+        rows.append((100 + i, " ".join(w for x in t for w in ([x] if rng.random() < 0.85 else []) + (["filler"] if rng.random() < 0.3 else []))))
+    df = spark.createDataFrame([(d, t, "c") for d, t in rows], EMPTY + ", template string").repartition(3)
+    found = {(r.doc_id, r.template, r.first_word, r.last_word) for r in license_scan.block_matches(df).collect()}
+    want = {(d, *b) for d, t in rows for name, text in T.items() for b in plain_blocks(t, name, text)}
+    assert found == want and len(want) > 30 and {n for d, n, _, _ in found if d < 100} == set(T)
+    labels = {r.doc_id: r["labels"] for r in license_scan.license_scan(df).collect()}
+    assert all({n for x, n, _, _ in want if x == d} <= set(labels[d].split(",")) for d, _ in rows) and labels[3] == labels[4] == ""
+    assert license_scan.license_scan(df.limit(0)).count() == 0 and license_scan.block_matches(df.limit(0)).count() == 0
 
 
 def test_simhash(spark, docs, real):
@@ -185,17 +265,31 @@ def test_toxicity(spark, sf):
     held = out[out.held_out]
     assert (held.predicted == held.toxic).mean() > 0.95 and held[held.toxic == 1].predicted.mean() > 0.6  # some labels have no cue
     none = toxicity.fit(spark.createDataFrame([], EMPTY), spark.createDataFrame([], "doc_id long, toxic int"))
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "you are an idiot"), (4, "I will kill you")], EMPTY)
+    odd = spark.createDataFrame([(1, None, 0), (2, "", 1), (3, "you are an idiot", 0), (4, "I will kill you", 1), (5, "not an idiot", 1), (5, "not an idiot", 1)], EMPTY + ", score int")
     s = {r.doc_id: r.score for r in toxicity.score(odd, none).collect()}
     assert s[1] == s[2] < 0.5 < s[3]
-    assert [r.doc_id for r in toxicity.drop_toxic(odd, none).orderBy("doc_id").collect()][:2] == [1, 2]
+    kept = toxicity.drop_toxic(odd, none)
+    assert kept.columns == odd.columns and [(r.doc_id, r.score) for r in kept.orderBy("doc_id").collect()] == [(1, 0), (2, 1), (5, 1), (5, 1)]
+    assert toxicity.drop_toxic(odd.limit(0), none).count() == 0 and toxicity.score(odd.limit(0), none).count() == 0
 
 
 def test_grammar_contexts():
-    lex = toxicity.Lexicon({"vej*": 1.0})
-    at = lambda t: [toxicity.CONTEXTS[i] for i in range(4) if lex.features(t)[3 * i]]
-    assert at("such an idiot") == [""] and at("you idiot") == ["t"] and at("idiot, you") == ["t"]
-    assert at("not an idiot") == ["n"] and at("not here. idiot") == [""] and at("they said idiot") == ["r"] and at("vejtion") == [""] and at("fine words") == []
+    lex, grammar = toxicity.Lexicon({"vej*": 1.0}), toxicity.Grammar(toxicity.BASE)
+    at = lambda t: ["".join(sorted(o)) for c in lex.clauses(t, grammar) for o, _, _ in c]
+    assert at("such an idiot") == [""] and at("you idiot") == ["t"] and at("idiot, you") == ["t"] and at("you say you are no idiot, you") == ["nrt"]
+    assert at("not an idiot") == ["n"] and at("not here. idiot") == [""] and at("they said idiot") == ["rt"] and at("vejtion") == [""] and at("fine words") == []
+    assert at("du idiot") == ["t"] and at("pas un idiot") == ["n"] and at("dijo idiot") == ["r"]
+
+
+def test_clause_scores_are_weights_along_the_path():
+    """Every clause's score against the weights of its words and contexts, multiplied out by hand."""
+    model = toxicity.ToxicityModel({"vej*": 0.5}, {"t": 0.5, "n": -2.0, "r": -1.0}, toxicity.BASE_WEIGHTS)
+    e = np.exp
+    got_ = model.clause_scores("You vejtion! Fine words. He said: not an idiot; they said no moron, you vejer")
+    want = [0.5 * e(0.5), e(-2.0), e(0.5 - 2.0 - 1.0) + 0.5 * e(0.5 - 2.0 - 1.0)]
+    assert np.allclose(got_, want)
+    f = toxicity.clause_features(model.lexicon.clauses("You vejtion! not an idiot", model.grammar))
+    assert np.allclose(f, [max(want[:2]), np.log1p(sum(want[:2])), np.log(3), 1])
 
 
 def test_html(spark):
@@ -207,6 +301,69 @@ def test_html(spark):
     assert out[2].text == "" and out[3].text == "own q text" and out[4].text == "own r text" and "shared one" in out[5].text and out[6].text == "plain text"
 
 
+def plain_pages(rows, least=12, share=0.3):
+    """The shared-run rule, page by page, over what the parser reads."""
+    H = html_extraction
+    parsed = [(p, H.re.sub(r"^\w+://([^/]*).*", r"\1", u or ""), H.blocks(h or "")) for p, u, h in rows]
+    on, of = {}, {}
+    for p, host, bs in parsed:
+        of[host] = of.get(host, 0) + 1
+        for t, z in bs:
+            ws = t.split(" ")
+            for i in range(max(1, len(ws) - least + 1)):
+                if z != H.ARTICLE:
+                    on.setdefault((host, tuple(ws[i : i + least])), set()).add(p)
+    out = {}
+    for p, host, bs in parsed:
+        named = any(z in (H.ARTICLE, H.SUSPECT) for _, z in bs)
+        kept, most = [], []
+        for t, z in bs:
+            ws = t.split(" ")
+            if z not in ((H.ARTICLE, H.SUSPECT) if named else (H.OUTSIDE, H.SUSPECT, H.SUSPECT_OUTSIDE)):
+                continue
+            gone, n_pages = set(), 1
+            for i in range(max(1, len(ws) - least + 1)) if z != H.ARTICLE else ():
+                n = len(on[host, tuple(ws[i : i + least])])
+                n_pages = max(n_pages, n)
+                enough = 2 if z != H.OUTSIDE else max(3, of[host] / 2) if len(ws) < least else max(2, share * of[host])
+                gone |= set(range(i, min(i + least, len(ws)))) if n >= enough else set()
+            kept.append(" ".join(w for i, w in enumerate(ws) if i not in gone))
+            most.append((n_pages, t))
+        if not any(kept) and not named:
+            kept = [t for n, t in most if n == min(most)[0]]
+        out[p] = "\n".join(k for k in kept if k)
+    return out
+
+
+def test_html_by_host_suffix_arrays(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice("ab cd ef gh ij kl".split()) + str(rng.randrange(6)) for _ in range(n))
+    menu, terms, story, rows = "Home News Sport", say(30), [say(40), say(5)], []
+    for i in range(24):
+        host = "abc"[i % 3 > 0] + ".org" if i < 20 else "one.net"
+        own = [say(rng.randrange(1, 40)) for _ in range(3)]
+        body = story if i in (3, 6) else own + ([own[0][:20] + " " + terms] if i % 2 else [])
+        mid = f'<main><p>{say(20)}</p><div class="share-price">{say(4)}</div><div class="share-it">{menu} and {terms}</div><p>{terms}</p></main>' if i % 5 == 0 else "".join(f"<p>{t}</p>" for t in body)
+        rows.append((i, f"http://{host}/{i}", f'<div>{menu}</div><nav>{say(3)}</nav>{mid}<div class="site-footer">{terms}</div><p>{terms}</p>'))
+    rows += [(30, "http://a.org/x", None), (31, "http://a.org/y", ""), (32, None, f"<p>{terms}")]
+    df = spark.createDataFrame([(*r, 1, "h", "t") for r in rows], "page_id long, url string, html string, row int, host string, text string")
+    want = plain_pages(rows)
+    for parts in (1, 7):
+        got_ = {r.page_id: r.text for r in html_extraction.extract(df.repartition(parts)).collect()}
+        assert got_ == want
+    assert story[0] in want[3] and story[0] in want[6] and terms not in want[1] and menu not in want[1] and terms in want[0] and len(want[0].split("\n")) > 2
+    assert html_extraction.extract(df.limit(0)).count() == 0
+    twice = html_extraction.extract(df.where("page_id < 3").unionByName(df.where("page_id = 1"))).where("page_id = 1").collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_html_names():
+    z = html_extraction._named
+    assert [z(x) for x in ("comments", "site-nav top", "cookieBanner", "share-price table", "related-work", "post", "ad-slot-3", "shareholder")] == [2, 2, 2, 1, 1, 0, 2, 0]
+    got_ = html_extraction.blocks('<main><p>a</p><article class="teaser">b</article><div id="related-work">c</div></main><p>d')
+    assert [t for t, z in got_ if z == html_extraction.ARTICLE] == ["a"] and ("c", html_extraction.SUSPECT) in got_ and ("d", html_extraction.OUTSIDE) in got_
+
+
 def test_piece_encoder_equals_the_tokenizer():
     import random
 
@@ -215,7 +372,7 @@ def test_piece_encoder_equals_the_tokenizer():
     texts += ["".join(rnd.choice("ab1. \n'é　") for _ in range(rnd.randrange(40))) for _ in range(2000)]
     enc = token_output.PieceEncoder(token_output.tokenizer_path(), 0)
     for _ in range(2):  # the second time from the table of known pieces
-        ids, counts = enc.encode(texts)
+        ids, counts = enc.encode(pa.array(texts))
         want = [enc.tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
         assert counts.tolist() == [len(w) for w in want]
         assert ids.tolist() == [i for w in want for i in w]
