@@ -157,10 +157,45 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFr
     return out.distinct()
 
 
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges as stars: every node but the smallest of a component, with that smallest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[i], label[j]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    rest = label != np.arange(len(nodes))
+    return nodes[rest], nodes[label[rest]]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> (node, root): the smallest node of each component; large-star and small-star rounds."""
-    both = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    """(a, b) -> (node, root): every node but the smallest of each component, with the smallest.
+
+    Each task contracts its own edges to stars; rounds of large-star and small-star joins bring the stars of different
+    tasks together, until every node stands under one root and no root under another."""
+
+    def stars(it):
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in it]
+        a, b = (np.concatenate([g[k] for g in got] or [np.array([], np.int64)]) for k in (0, 1))
+        a, b = contracted(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def down(df: DataFrame) -> DataFrame:
+        return cut(df.mapInArrow(stars, "a long, b long"))
+
+    both = down(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
+        ends = both.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(both.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or up = 1 and root = 1").isEmpty():
+            return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
         # large star: every larger neighbour is linked to the smallest of the neighbourhood
         near = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -169,11 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.where("a <> b").distinct()
         m = low.groupBy("a").agg(F.min("b").alias("m"))
         star = low.join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(m.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        star = cut(star)
-        same = [x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() for x in (both, star)]
-        if same[0] == same[1]:
-            return star.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        both = star
+        both = down(star)
 
 
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
