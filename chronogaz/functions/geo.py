@@ -39,14 +39,30 @@ def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.radians(lon) * MERCATOR_M, F.log(F.tan(F.radians(lat) / 2 + F.lit(3.141592653589793 / 4))) * MERCATOR_M
 
 
-def segment_km(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Distance of a point to a segment, on the plane about the point."""
+def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    return F.degrees(x / MERCATOR_M), F.degrees(F.atan(F.exp(y / MERCATOR_M)) * 2 - F.lit(3.141592653589793 / 2))
+
+
+def ground_scale(y: Column) -> Column:
+    """Ground metres, on the mean sphere, in a Mercator metre at northing y."""
+    return F.lit(EARTH_KM * 1000 / MERCATOR_M) / F.cosh(y / MERCATOR_M)
+
+
+def segment_t(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Where on a segment (0 to 1) the foot of a point lies, on the plane about the point."""
     k = F.cos(F.radians(py)) * DEG_LON_KM
     ax, ay, bx, by = (x1 - px) * k, (y1 - py) * DEG_LAT_KM, (x2 - px) * k, (y2 - py) * DEG_LAT_KM
     dx, dy = bx - ax, by - ay
     n = dx * dx + dy * dy
-    t = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / n))).otherwise(0.0)
-    return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / n))).otherwise(0.0)
+
+
+def segment_km(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance of a point to a segment, on the plane about the point."""
+    k = F.cos(F.radians(py)) * DEG_LON_KM
+    ax, ay, bx, by = (x1 - px) * k, (y1 - py) * DEG_LAT_KM, (x2 - px) * k, (y2 - py) * DEG_LAT_KM
+    t = segment_t(px, py, x1, y1, x2, y2)
+    return F.sqrt(F.pow(ax + t * (bx - ax), 2) + F.pow(ay + t * (by - ay), 2))
 
 
 def segment_degrees(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -38,25 +38,66 @@ def nearest(a: DataFrame, b: DataFrame, max_km: float, distance=geo.haversine_km
     return best.select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.km").alias("km"))
 
 
+def boxes(edges: DataFrame, by: str) -> DataFrame:
+    """(by, w, e, s, n): the box of each area or line."""
+    x, y = (F.least("x1", "x2"), F.greatest("x1", "x2")), (F.least("y1", "y2"), F.greatest("y1", "y2"))
+    return edges.groupBy(by).agg(F.min(x[0]).alias("w"), F.max(x[1]).alias("e"), F.min(y[0]).alias("s"), F.max(y[1]).alias("n"))
+
+
 def containing(points: DataFrame, edges: DataFrame, band: float = 1.0) -> DataFrame:
-    """(id, area_id) for points inside areas by even-odd crossings: edges in bands of latitude, half-open at vertices."""
-    e = edges.where("y1 <> y2").withColumn("_b", cell_span(F.least("y1", "y2"), F.greatest("y1", "y2"), band))
-    p = points.select("id", "lon", "lat", cell(F.col("lat"), band).alias("_b"))
+    """(id, area_id) for points inside areas by even-odd crossings, half-open at vertices.
+
+    Points meet areas by the cells of the areas' boxes first; a pair then meets the area's edges in the point's band of
+    latitude alone. A hot cell's points are split by the skew join: the edges of an area and band are few."""
+    box = boxes(edges, "area_id").withColumn("_cx", cell_span(F.col("w"), F.col("e"), band)).withColumn("_b", cell_span(F.col("s"), F.col("n"), band))
+    p = points.select("id", "lon", "lat", cell(F.col("lon"), band).alias("_cx"), cell(F.col("lat"), band).alias("_b"))
+    pairs = p.join(box, ["_cx", "_b"]).where("lon between w and e and lat between s and n").select("id", "lon", "lat", "area_id", "_b")
+    e = edges.where("y1 <> y2").select("area_id", "x1", "y1", "x2", "y2", cell_span(F.least("y1", "y2"), F.greatest("y1", "y2"), band).alias("_b"))
     straddles = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
     x = F.col("x1") + (F.col("lat") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    hits = p.join(e, "_b").where(straddles & (F.col("lon") < x))
+    hits = pairs.join(e, ["area_id", "_b"]).where(straddles & (F.col("lon") < x))
     return hits.groupBy("id", "area_id").agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", "area_id")
 
 
-def nearest_edge(points: DataFrame, edges: DataFrame, max_km: float, by: list[str]) -> DataFrame:
-    """For each point and `by` value the distance to the nearest edge within max_km: (id, by..., km)."""
+def passed_cells(segs: DataFrame, size: float) -> DataFrame:
+    """Segments with every cell (_cx, _cy) that they pass: rows grow with a segment's length, not with its box.
+
+    They are dealt out first, as a small table of long segments would be one task's."""
+    spread = segs.repartition(int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = spread.withColumn("_cx", cell_span(F.least("x1", "x2"), F.greatest("x1", "x2"), size))
+    slope = (F.col("y2") - F.col("y1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0))
+    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
+    at = lambda x: F.least(hi, F.greatest(lo, F.col("y1") + (x - F.col("x1")) * slope))
+    a, b = at(F.col("_cx") * size), at((F.col("_cx") + 1) * size)
+    pad = size * 1e-6  # a crossing at a corner counts for both cells
+    return dealt.withColumn("_cy", cell_span(F.when(slope.isNull(), lo).otherwise(F.least(a, b)) - pad, F.when(slope.isNull(), hi).otherwise(F.greatest(a, b)) + pad, size))
+
+
+def near_edges(points: DataFrame, edges: DataFrame, max_km: float) -> DataFrame:
+    """Points (id, lon, lat) with the edges within max_km and their distance km; a pair may come more than once.
+
+    Points are dealt to the cells that they can reach, edges to those that they pass."""
     size = max(max_km / geo.DEG_LAT_KM, 0.25)
     pad = F.lit(max_km * 1.01 / geo.DEG_LAT_KM)
-    pad_x = pad / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("y1"), F.abs("y2")) + pad)))
-    e = edges.withColumn("_cx", cell_span(F.least("x1", "x2") - pad_x, F.greatest("x1", "x2") + pad_x, size)).withColumn("_cy", cell_span(F.least("y1", "y2") - pad, F.greatest("y1", "y2") + pad, size))
-    p = points.select("id", "lon", "lat", cell(F.col("lon"), size).alias("_cx"), cell(F.col("lat"), size).alias("_cy"))
-    near = p.join(e, ["_cx", "_cy"]).withColumn("km", geo.segment_km(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).where(F.col("km") <= max_km)
-    return near.groupBy("id", *by).agg(F.min("km").alias("km"))
+    pad_x = F.least(F.lit(180.0), pad / F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + pad))))
+    p = points.select("id", "lon", "lat")
+    p = p.withColumn("_cx", cell_span(F.col("lon") - pad_x, F.col("lon") + pad_x, size)).withColumn("_cy", cell_span(F.col("lat") - pad, F.col("lat") + pad, size))
+    both = p.join(passed_cells(edges, size), ["_cx", "_cy"]).drop("_cx", "_cy")
+    km = geo.segment_km(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    return both.withColumn("km", km).where(F.col("km") <= max_km)
+
+
+def nearest_edge(points: DataFrame, edges: DataFrame, max_km: float, by: list[str]) -> DataFrame:
+    """For each point and `by` value the distance to the nearest edge within max_km: (id, by..., km)."""
+    return near_edges(points, edges, max_km).groupBy("id", *by).agg(F.min("km").alias("km"))
+
+
+def nearest_foot(points: DataFrame, edges: DataFrame, max_km: float, names: list[str]) -> DataFrame:
+    """The nearest edge of each point within max_km, ties by its names: (id, names..., km, t, foot_lon, foot_lat)."""
+    near = near_edges(points, edges, max_km).withColumn("t", geo.segment_t(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    best = near.groupBy("id").agg(F.min(F.struct("km", *names, "t", "x1", "y1", "x2", "y2")).alias("m")).select("id", "m.*")
+    at = lambda a, b: F.col(a) + F.col("t") * (F.col(b) - F.col(a))
+    return best.select("id", *names, "km", "t", at("x1", "x2").alias("foot_lon"), at("y1", "y2").alias("foot_lat"))
 
 
 def place_status(points: DataFrame, edges: DataFrame, near_km: float = 3.0) -> DataFrame:
@@ -121,7 +162,7 @@ def self_crossings(segs: DataFrame, line: str, size: float) -> DataFrame:
 
 def cover(edges: DataFrame, size: float) -> DataFrame:
     """(cx, cy, area_id): cells whose centre an area holds; only cells in some area's box are tested."""
-    box = edges.groupBy("area_id").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"))
+    box = boxes(edges, "area_id")
     cells = box.withColumn("cx", cell_span(F.col("w"), F.col("e"), size)).withColumn("cy", cell_span(F.col("s"), F.col("n"), size)).select("cx", "cy").distinct()
     centres = cells.select(F.struct("cx", "cy").alias("id"), ((F.col("cx") + 0.5) * size).alias("lon"), ((F.col("cy") + 0.5) * size).alias("lat"))
     return containing(centres, edges).select("id.cx", "id.cy", "area_id")

@@ -54,16 +54,6 @@ def spa16_outline_provenance(spark, sf):
     return g.agg(F.count("*").alias("n_samples"), F.count_if("hit").alias("n_near"), F.bool_and("hit").alias("proven"))
 
 
-@query("""SELECT DISTINCT a.line_id, a.seq AS at_vertex FROM (SELECT *, min(seq) OVER w AS lo, max(seq) OVER w AS hi FROM v_line WINDOW w AS (PARTITION BY line_id)) a WHERE (seq = lo OR seq = hi) AND NOT EXISTS (SELECT 1 FROM v_line b WHERE b.lon = a.lon AND b.lat = a.lat AND b.line_id <> a.line_id)""", ("v_line",))
-def spa23_dangling_ends(spark, sf):
-    """Line ends at which no other line has a vertex."""
-    p = V.v_line(spark, sf)
-    shared = p.groupBy("lon", "lat").agg((F.min("line_id") == F.max("line_id")).alias("alone")).where("alone").select("lon", "lat")
-    ends = p.groupBy("line_id").agg(F.min(F.struct("seq", "lon", "lat")).alias("a"), F.max(F.struct("seq", "lon", "lat")).alias("b"))
-    ends = ends.select("line_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("e")).select("line_id", "e.*")
-    return ends.join(shared, ["lon", "lat"], "left_semi").select("line_id", F.col("seq").cast("long").alias("at_vertex"))
-
-
 @query(""", three AS (SELECT line_id, seq, lon, lat FROM (SELECT *, max(seq) OVER (PARTITION BY line_id) AS n FROM v_line) WHERE n >= 3 AND seq IN (1, (n + 1) // 2, n)),
 land AS (SELECT line_id, three.seq FROM three JOIN v_edge e ON (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1) WHERE area_id % 2 = 0 GROUP BY line_id, three.seq, area_id HAVING count(*) % 2 = 1)
 SELECT line_id, count(*)::BIGINT AS n_land FROM land GROUP BY 1 HAVING count(*) >= 2""", ("v_line", "v_edge"))

@@ -176,24 +176,6 @@ def agg22_observed_expected(spark, sf):
     return rows.select("area_id", "observed", (F.abs(F.col("observed") * 25 - F.col("_t")) * 10 > 3 * F.col("_t")).alias("flagged"))
 
 
-@query("""SELECT line_id, seq, coalesce(NOT lag(step) OVER w, true) AND coalesce(NOT lead(step) OVER w, true) AS single, step FROM (SELECT line_id, seq, coalesce(km < 1500 AND t1 * t2 < 0 AND abs(t1) > radians(20) AND abs(t2) > radians(20), false) AS step FROM (
-SELECT *, atan2(lag(dx) OVER w * dy - lag(dy) OVER w * dx, lag(dx) OVER w * dx + lag(dy) OVER w * dy) AS t1, atan2(dx * lead(dy) OVER w - dy * lead(dx) OVER w, dx * lead(dx) OVER w + dy * lead(dy) OVER w) AS t2
-FROM (SELECT line_id, seq, x2 - x1 AS dx, y2 - y1 AS dy, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) * 111.32e0 AS km FROM v_seg) WINDOW w AS (PARTITION BY line_id ORDER BY seq))) WINDOW w AS (PARTITION BY line_id ORDER BY seq) QUALIFY step""", ("v_seg",))
-def win10_stair_steps(spark, sf):
-    """Short segments between opposite turns of over 20 degrees; single without a step beside them."""
-    w = Window.partitionBy("line_id").orderBy("seq")
-    x1, y1, x2, y2 = (F.col(c) for c in EDGE[1:])
-    s = S.segments(V.v_line(spark, sf)).select("line_id", F.col("seq").cast("long").alias("seq"), (x2 - x1).alias("dx"), (y2 - y1).alias("dy"), geo.flat_degrees_km(x1, y1, x2, y2).alias("km"))
-    turn = lambda a, b, c, d: F.atan2(a * d - b * c, a * c + b * d)
-    dx, dy = F.col("dx"), F.col("dy")
-    s = s.withColumns({"t1": turn(F.lag("dx").over(w), F.lag("dy").over(w), dx, dy), "t2": turn(dx, dy, F.lead("dx").over(w), F.lead("dy").over(w))})
-    wide = math.radians(20)
-    step = F.coalesce((F.col("km") < 1500) & (F.col("t1") * F.col("t2") < 0) & (F.abs("t1") > wide) & (F.abs("t2") > wide), F.lit(False))
-    s = s.withColumn("step", step)
-    free = lambda c: F.coalesce(~c, F.lit(True))
-    return s.withColumn("single", free(F.lag("step").over(w)) & free(F.lead("step").over(w))).where("step").select("line_id", "seq", "single", "step")
-
-
 @query("""SELECT line_id, a::BIGINT AS first_east, min(seq)::BIGINT AS then_north FROM v_line JOIN (SELECT line_id AS l, min(seq) AS a FROM v_line WHERE lon > 10 GROUP BY 1) ON l = line_id WHERE lat > 35 AND seq >= a GROUP BY 1, 2""", ("v_line",))
 def win13_passed_in_order(spark, sf):
     """Lines that pass one gate and, there or later, the next: the first place of each."""
@@ -298,13 +280,6 @@ def spa17_surface(spark, sf):
     return top.select("id", F.when(F.col("k") == 2, "lake").when(F.col("k") == 1, "land").otherwise("sea").alias("surface"))
 
 
-@query(f"SELECT id, line_id, min(seq)::BIGINT AS first_at FROM v_site p JOIN v_seg ON {V.seg('p.lon', 'p.lat')} <= 5 GROUP BY 1, 2", ("v_site", "v_seg"))
-def spa20_passes_near(spark, sf):
-    """Lines that pass a site within 5 km, and the first segment that does."""
-    seg = S.segments(V.v_line(spark, sf))
-    return S.nearest_edge(V.v_site(spark, sf), seg, 5.0, ["line_id", "seq"]).groupBy("id", "line_id").agg(F.min("seq").cast("long").alias("first_at"))
-
-
 @query(_PT_IN.format(p="v_site") + " SELECT DISTINCT area_id FROM inside", ("v_site", "v_edge"))
 def spa32_area_with_anchor(spark, sf):
     """Areas that hold a site."""

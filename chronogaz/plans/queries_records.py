@@ -121,12 +121,6 @@ def agg6_first_seen_order(spark, sf):
     return V.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_distinct(F.transform(at, lambda x: x.l_suppkey.cast("string"))), ",").alias("suppliers"))
 
 
-@query("SELECT l_returnflag, count(*) AS n, count_if(l_quantity > 45) AS n_large, sum(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END)::BIGINT AS n_first, max(CASE WHEN l_linenumber <= 3 THEN l_quantity END)::DOUBLE AS largest_within FROM lineitem GROUP BY 1")
-def agg12_audit_totals(spark, sf):
-    q, line = F.col("l_quantity"), F.col("l_linenumber")
-    return V.read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(q > 45).alias("n_large"), F.sum(F.when(line == 1, 1).otherwise(0)).alias("n_first"), F.max(F.when(line <= 3, q)).cast("double").alias("largest_within"))
-
-
 @query("SELECT count(*) AS n, count_if(o_orderstatus = 'F') AS kept, count_if(o_orderpriority LIKE '1%') AS known, count_if(o_orderstatus <> 'F') AS excluded FROM orders")
 def agg13_kept_known_excluded(spark, sf):
     s = F.col("o_orderstatus")
@@ -255,18 +249,6 @@ def geo3_mercator(spark, sf):
     return V.v_site(spark, sf).select("id", F.floor(F.radians("lon") * RADIUS).alias("x"), F.floor(y * RADIUS).alias("y"), F.floor(F.lit(1e6) * F.cos(F.radians("lat"))).alias("scale_ppm"))
 
 
-@query("SELECT a.line_id, a.seq, ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / ((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)) AS t FROM v_seg a JOIN v_seg b ON a.line_id = b.line_id AND b.seq = a.seq + 2 WHERE (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) <> 0", ("v_seg",))
-def geo6_crossing_parameter(spark, sf):
-    """Where on a segment the line through the segment after the next one crosses it."""
-    w = Window.partitionBy("line_id").orderBy("seq")
-    at = {f"p{i}": F.lead(F.struct("lon", "lat"), i).over(w) for i in range(4)}
-    p = V.v_line(spark, sf).withColumns(at).where("p3 is not null")
-    d = lambda i, c: F.col(f"p{i + 1}.{c}") - F.col(f"p{i}.{c}")
-    off = lambda c: F.col(f"p2.{c}") - F.col(f"p0.{c}")
-    den = d(0, "lon") * d(2, "lat") - d(0, "lat") * d(2, "lon")
-    return p.where(den != 0).select("line_id", "seq", ((off("lon") * d(2, "lat") - off("lat") * d(2, "lon")) / den).alias("t"))
-
-
 @query(f"SELECT id, floor((lon + 180) / 360 * {WORLD * 64}e0)::BIGINT AS px, floor((0.5e0 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * {WORLD * 64}e0)::BIGINT AS py FROM v_site", ("v_site",))
 def geo9_pixels(spark, sf):
     """Pixels of the world map at zoom 6."""

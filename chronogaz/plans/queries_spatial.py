@@ -61,10 +61,12 @@ def jon16_nearest_flat(spark, sf):
     return S.nearest(V.v_site(spark, sf), V.v_probe(spark, sf), 150.0, geo.flat_degrees_km).select("a_id", "b_id", geo.scaled(F.col("km")).alias("m"))
 
 
-@query(f"SELECT p.id, floor(min({V.seg('p.lon', 'p.lat')}) * 1000 + 0.5e0)::BIGINT AS m FROM v_site p, v_seg GROUP BY p.id HAVING min({V.seg('p.lon', 'p.lat')}) <= 60", ("v_site", "v_seg"))
+@query(f"""SELECT id, line_id, seq::BIGINT AS seq, floor(km * 1000 + 0.5e0)::BIGINT AS m, floor((x1 + t * (x2 - x1)) * 10000 + 0.5e0)::BIGINT AS foot_x, floor((y1 + t * (y2 - y1)) * 10000 + 0.5e0)::BIGINT AS foot_y FROM (
+SELECT p.id, line_id, seq, x1, y1, x2, y2, {V.seg('p.lon', 'p.lat')} AS km, {V.seg_t('p.lon', 'p.lat')} AS t, row_number() OVER (PARTITION BY p.id ORDER BY {V.seg('p.lon', 'p.lat')}, line_id, seq) AS rn FROM v_site p, v_seg WHERE {V.seg('p.lon', 'p.lat')} <= 60) WHERE rn = 1""", ("v_site", "v_seg"))
 def jon17_nearest_segment(spark, sf):
-    seg = S.segments(V.v_line(spark, sf)).select("x1", "y1", "x2", "y2")
-    return S.nearest_edge(V.v_site(spark, sf), seg, 60.0, []).select("id", geo.scaled(F.col("km")).alias("m"))
+    """The nearest segment of any line, and the foot point on it."""
+    near = S.nearest_foot(V.v_site(spark, sf), S.segments(V.v_line(spark, sf)), 60.0, ["line_id", "seq"])
+    return near.select("id", "line_id", F.col("seq").cast("long").alias("seq"), geo.scaled(F.col("km")).alias("m"), geo.scaled(F.col("foot_lon"), 10000.0).alias("foot_x"), geo.scaled(F.col("foot_lat"), 10000.0).alias("foot_y"))
 
 
 @query(f"SELECT line_id, floor(sum({V.hav('x1', 'y1', 'x2', 'y2')}) * 10 + 0.5e0)::BIGINT AS hm FROM v_seg GROUP BY 1", ("v_seg",))

@@ -52,6 +52,23 @@ def v_line(spark, sf_dir):
     return li.select(F.col("l_orderkey").alias("line_id"), F.row_number().over(w).alias("seq"), lon.alias("lon"), lat.alias("lat"))
 
 
+def v_road(spark, sf_dir):
+    """Short roads of three vertices, one for each customer, that start at its point."""
+    k = F.col("c_custkey")
+    step = lambda a: (k * a % 21 - 10) / F.lit(40.0)
+    p = points(spark, sf_dir, "customer", "c_custkey", 7433, 5779)
+    at = F.array(F.struct(F.lit(1).alias("seq"), F.col("lon"), F.col("lat")), F.struct(F.lit(2).alias("seq"), (F.col("lon") + F.col("dx1")).alias("lon"), (F.col("lat") + F.col("dy1")).alias("lat")), F.struct(F.lit(3).alias("seq"), (F.col("lon") + F.col("dx1") + F.col("dx2")).alias("lon"), (F.col("lat") + F.col("dy1") + F.col("dy2")).alias("lat")))
+    moved = p.withColumnRenamed("id", "c_custkey").withColumns({"dx1": step(37), "dy1": step(53), "dx2": step(41), "dy2": step(59)})
+    return moved.select(k.alias("road_id"), F.explode(at).alias("v")).select("road_id", "v.*")
+
+
+def v_way(spark, sf_dir):
+    """Ways between numbered nodes: runs of seven share their inner nodes, every second way is drawn backwards."""
+    k = F.col("p_partkey")
+    a, b = (k + F.floor(k / 7)).cast("long"), (k + F.floor(k / 7) + 1).cast("long")
+    return read(spark, sf_dir, "part").select(k.alias("way_id"), F.when(k % 2 == 0, a).otherwise(b).alias("start"), F.when(k % 2 == 0, b).otherwise(a).alias("end"), (F.col("p_size") % 6 + 2).cast("long").alias("n_vertices"))
+
+
 def v_period(spark, sf_dir):
     """Intervals of customers between their orders, in days; empty ones dropped."""
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", day("o_orderdate").alias("from"), F.col("o_orderstatus").alias("holder"), F.col("o_orderpriority").alias("note"))
@@ -82,6 +99,10 @@ ORACLE_VIEWS = {
     "v_probe": "SELECT c_custkey AS id, -10e0 + (c_custkey * 7433 % 6000) / 100e0 AS lon, 20e0 + (c_custkey * 5779 % 3000) / 100e0 AS lat FROM customer",
     "v_edge": f"SELECT n_nationkey AS area_id, n_regionkey AS holder, seq, -10e0 + (n_nationkey % 5) * 12 + ax * 6 AS x1, 20e0 + (n_nationkey // 5) * 6 + ay * 3 AS y1, -10e0 + (n_nationkey % 5) * 12 + bx * 6 AS x2, 20e0 + (n_nationkey // 5) * 6 + by_ * 3 AS y2 FROM nation, ({_EDGES})",
     "v_line": "SELECT l_orderkey AS line_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq, -10e0 + (l_partkey * 31 % 6000) / 100e0 AS lon, 20e0 + ((l_suppkey * 17 + l_partkey) % 3000) / 100e0 AS lat FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem)",
+    "v_road": "SELECT road_id, v.seq AS seq, v.lon AS lon, v.lat AS lat FROM (SELECT road_id, unnest([{'seq': 1, 'lon': lon, 'lat': lat}, {'seq': 2, 'lon': lon + dx1, 'lat': lat + dy1}, {'seq': 3, 'lon': lon + dx1 + dx2, 'lat': lat + dy1 + dy2}]) AS v FROM (SELECT c_custkey AS road_id, -10e0 + (c_custkey * 7433 % 6000) / 100e0 AS lon, 20e0 + (c_custkey * 5779 % 3000) / 100e0 AS lat, (c_custkey * 37 % 21 - 10) / 40e0 AS dx1, (c_custkey * 53 % 21 - 10) / 40e0 AS dy1, (c_custkey * 41 % 21 - 10) / 40e0 AS dx2, (c_custkey * 59 % 21 - 10) / 40e0 AS dy2 FROM customer))",
+    "v_rseg": "SELECT * FROM (SELECT road_id, seq, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM v_road WINDOW w AS (PARTITION BY road_id ORDER BY seq)) WHERE x2 IS NOT NULL",
+    "v_rend": "SELECT road_id, 'start' AS side, max(lon) FILTER (seq = 1) AS lon, max(lat) FILTER (seq = 1) AS lat, max(lon) FILTER (seq = 2) AS before_lon, max(lat) FILTER (seq = 2) AS before_lat FROM v_road GROUP BY 1 UNION ALL SELECT road_id, 'end', max(lon) FILTER (seq = 3), max(lat) FILTER (seq = 3), max(lon) FILTER (seq = 2), max(lat) FILTER (seq = 2) FROM v_road GROUP BY 1",
+    "v_way": 'SELECT p_partkey AS way_id, p_partkey + p_partkey // 7 + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS "start", p_partkey + p_partkey // 7 + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS "end", (p_size % 6 + 2)::BIGINT AS n_vertices FROM part',
     "v_day": "SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT AS d FROM orders",
     "v_period": "SELECT * FROM (SELECT o_custkey AS area_id, o_orderkey AS id, d AS f, lead(d) OVER (PARTITION BY o_custkey ORDER BY d, o_orderkey) AS t, o_orderstatus AS holder, o_orderpriority AS note FROM v_day) WHERE t > f",
     "v_override": "SELECT area_id, id, f, t, 'X' AS holder FROM (SELECT *, max(t) OVER (PARTITION BY area_id ORDER BY f, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM (SELECT o_custkey AS area_id, o_orderkey AS id, d + 10 AS f, d + 55 AS t FROM v_day WHERE o_orderkey % 7 = 0)) WHERE p IS NULL OR p <= f",
@@ -89,7 +110,7 @@ ORACLE_VIEWS = {
     "v_graph": "SELECT * FROM (SELECT o_custkey % 5000 AS src, o_orderkey % 5000 AS dst, o_orderkey * 31 % 97 + 1 AS weight FROM orders) WHERE src <> dst",
     "v_seg": "SELECT * FROM (SELECT line_id, seq, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM v_line WINDOW w AS (PARTITION BY line_id ORDER BY seq)) WHERE x2 IS NOT NULL",
 }
-_NEEDS = {"v_period": ("v_day",), "v_override": ("v_day",), "v_seg": ("v_line",)}
+_NEEDS = {"v_period": ("v_day",), "v_override": ("v_day",), "v_seg": ("v_line",), "v_rseg": ("v_road",), "v_rend": ("v_road",)}
 
 
 def closure(views: tuple[str, ...]) -> list[str]:
@@ -106,10 +127,17 @@ def hav(a: str, b: str, c: str, d: str) -> str:
     return f"(asin(sqrt(least(1e0, pow(sin((radians({d}) - radians({b})) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({c} - ({a})) / 2), 2)))) * (2 * 6371.0088e0))"
 
 
+def seg_t(px: str, py: str) -> str:
+    """Where on the segment x1, y1, x2, y2 the foot of a point lies, in the oracle's SQL."""
+    k = f"(cos(radians({py})) * 111.32e0)"
+    ax, ay, bx, by = f"((x1 - {px}) * {k})", f"((y1 - {py}) * 110.574e0)", f"((x2 - {px}) * {k})", f"((y2 - {py}) * 110.574e0)"
+    n = f"(({bx} - {ax}) * ({bx} - {ax}) + ({by} - {ay}) * ({by} - {ay}))"
+    return f"(CASE WHEN {n} > 0 THEN greatest(0e0, least(1e0, -({ax} * ({bx} - {ax}) + {ay} * ({by} - {ay})) / {n})) ELSE 0e0 END)"
+
+
 def seg(px: str, py: str) -> str:
     """Kilometres from a point to the segment x1, y1, x2, y2, in the oracle's SQL."""
     k = f"(cos(radians({py})) * 111.32e0)"
     ax, ay, bx, by = f"((x1 - {px}) * {k})", f"((y1 - {py}) * 110.574e0)", f"((x2 - {px}) * {k})", f"((y2 - {py}) * 110.574e0)"
-    n = f"(({bx} - {ax}) * ({bx} - {ax}) + ({by} - {ay}) * ({by} - {ay}))"
-    t = f"(CASE WHEN {n} > 0 THEN greatest(0e0, least(1e0, -({ax} * ({bx} - {ax}) + {ay} * ({by} - {ay})) / {n})) ELSE 0e0 END)"
+    t = seg_t(px, py)
     return f"sqrt(pow({ax} + {t} * ({bx} - {ax}), 2) + pow({ay} + {t} * ({by} - {ay}), 2))"
