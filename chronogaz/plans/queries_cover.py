@@ -18,18 +18,6 @@ def _edges(spark, sf):
     return V.v_edge(spark, sf).select("area_id", "x1", "y1", "x2", "y2")
 
 
-@query(_CELL + ", moved AS (SELECT area_id, x1 + 3 AS x1, y1 + 1 AS y1, x2 + 3 AS x2, y2 + 1 AS y2 FROM v_edge)" + _COVER.format(name="a", edges="v_edge") + _COVER.format(name="b", edges="moved") + """
-SELECT a.area_id AS area_a, b.area_id AS area_b, count(*)::BIGINT AS n_cells, floor(sum(cos(radians(a.cy + 0.5e0))) * 111.32e0 * 110.574e0 + 0.5e0)::BIGINT AS km2 FROM a JOIN b ON a.cx = b.cx AND a.cy = b.cy GROUP BY 1, 2""", ("v_edge",))
-def spa8_overlap(spark, sf):
-    """Square kilometres, by cells of one degree, that areas share with the same areas moved."""
-    e = _edges(spark, sf)
-    moved = e.select("area_id", *[(F.col(c) + (3 if c[0] == "x" else 1)).alias(c) for c in ("x1", "y1", "x2", "y2")])
-    a, b = S.cover(e, 1.0).withColumnRenamed("area_id", "area_a"), S.cover(moved, 1.0).withColumnRenamed("area_id", "area_b")
-    km2 = F.cos(F.radians(F.col("cy") + 0.5)) * geo.DEG_LON_KM * geo.DEG_LAT_KM
-    g = a.join(b, ["cx", "cy"]).groupBy("area_a", "area_b")
-    return g.agg(F.count("*").alias("n_cells"), F.floor(F.sum(km2) + 0.5).cast("long").alias("km2"))
-
-
 @query(_CELL + _COVER.format(name="a", edges="v_edge") + " SELECT min(cx * 1000 + cy)::BIGINT AS piece, count(*)::BIGINT AS n_cells FROM a WHERE area_id % 7 = 0 GROUP BY area_id", ("v_edge",))
 def spa9_uncovered_pieces(spark, sf):
     """Connected cells of the domain that the listed areas leave open (here those of every seventh area)."""
