@@ -66,28 +66,28 @@ WITH w AS (
 ), bw AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
 ), wins AS (
-  SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS win
-  FROM bw, LATERAL (SELECT unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i) WHERE len(ws) > 0
+  SELECT r, coalesce(item_id::VARCHAR, '') AS item, i AS j, least(10, len(ws)) AS n, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS win
+  FROM (SELECT *, row_number() OVER () AS r FROM bw), LATERAL (SELECT unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i) WHERE len(ws) > 0
 ), places AS (
   SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS win
   FROM w, (SELECT DISTINCT n FROM wins), LATERAL (SELECT unnest(range(1, len(ws) - n + 2)) AS i) WHERE len(ws) >= n
 ), hits AS (
-  SELECT p.doc_id, p.i, p.n, x.item_id FROM places p JOIN wins x USING (n, win)
+  SELECT p.doc_id, p.i, p.n, x.item, x.r, x.j FROM places p JOIN wins x USING (n, win)
 ), hit_words AS (
   SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id
 ), hit_items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
-), runs AS (
-  SELECT doc_id, max(e - s) AS longest_match FROM (
-    SELECT doc_id, run, min(i) AS s, max(i + n) AS e FROM (
-      SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i, n, item_id ROWS UNBOUNDED PRECEDING) AS run FROM (
-        SELECT *, CASE WHEN i <= max(i + n) OVER (PARTITION BY doc_id ORDER BY i, n, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM hits))
-    GROUP BY doc_id, run) GROUP BY doc_id
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+), verbatim AS (
+  SELECT doc_id, item, min(i) - 1 AS place, n + count(*) - 1 AS size
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, r, n, i - j ORDER BY i) AS g FROM hits) GROUP BY doc_id, item, r, n, i - j, g
+), longest AS (
+  SELECT * FROM verbatim QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, place, item) = 1
 )
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_match, 0)::BIGINT AS longest_match
-FROM w LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id) LEFT JOIN runs USING (doc_id)""",
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest.size, 0)::BIGINT AS longest_match,
+       longest.place AS longest_at, longest.item AS longest_item
+FROM w LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id) LEFT JOIN longest USING (doc_id)""",
     "op6_source_mix": f"""
 WITH d AS (SELECT doc_id, source, {_SIZE}::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
