@@ -2,17 +2,21 @@
 
 A lexicon transducer rewrites a clause's words to symbols: insult (with a weight), threat, target, negation, reported
 speech, other. It is composed with three context transducers - negation (holds for the next words), reported speech
-(holds to the clause's end) and target (anywhere before; the reversed clause gives what comes after) - and each insult
-or threat comes out with its context. A document's features are the strongest match and the sum of the matches in each
-context, taken over clauses; a logistic model weighs the contexts.
+(holds to the clause's end) and target (anywhere before; the reversed clause gives what comes after). Their arcs carry
+weights, logarithms that add up along the composed path; a match weighs its word's weight times the exponent of its
+path's, and a clause's score is the sum over its matches. A document is judged by its clauses: the strongest one, all
+together, and how many there are.
 
-The grammar's fixed words are English; insults of every language are learned, as words or word stems, from labelled
-rows: units that stand far more often in toxic texts, weighed together by sparse logistic regression, so that units
-which merely stand beside others get no weight. Learned on a bounded sample: at most `per_label` labelled texts of each
-label, those with the smallest hash of their doc_id. All rows are scored over their whole text.
+Insults of every language are learned, as words or word stems, from labelled rows: units that stand far more often in
+toxic texts, weighed together by sparse logistic regression, so that units which merely stand beside others get no
+weight. The arcs' weights are learned from the same rows, from the words' weights summed by context. The words for
+threat, target, negation and report are lists of four languages. Learned on a bounded sample: at most `per_label`
+labelled texts of each label, those with the smallest hash of their doc_id. All rows are scored over their whole text.
 
 Null and empty texts have no matches and get the model's base score. Without toxic and other labelled rows nothing is
-learned, and the fixed words alone count. Repeated rows and other columns have no effect.
+learned, and the fixed words alone count. Repeated rows and other columns have no effect; other columns pass through
+drop_toxic, whatever their names. A very long text is cut into clauses as any other: it must fit a task's memory some
+ten times.
 """
 
 from __future__ import annotations
@@ -26,17 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronogaz.llm.common import batches, cut
+from chronogaz.llm.common import batches, cut, give_back
 
 PER_LABEL, CANDIDATES = 4000, 600
+#: Bytes of text in a batch.
+BATCH = 2 << 20
 STEMS = (3, 4, 5, 6, 7)
 
-# The grammar's English words.
-INSULTS = "idiot idiots moron morons stupid scum loser losers trash pathetic worthless disgusting clown clowns dumb fool imbecile".split()
-THREATS = "kill hurt destroy hang shoot burn beat smash crush stab".split()
-TARGETS = "you your yours they them their he him she her these those people all".split()
-NEGATIONS = "not no never nobody nothing without isn aren wasn weren don doesn didn neither nor".split()
-REPORTS = "said says say wrote writes claimed claims reported reports quoted quotes called according alleged".split()
+# Our own choice: the grammar's words, in English, French, German and Spanish.
+INSULTS = "idiot idiots moron morons stupid scum loser losers trash pathetic worthless disgusting clown clowns dumb fool imbecile imbécile crétin abruti dummkopf trottel abschaum imbécil estúpido idiota basura".split()
+THREATS = "kill hurt destroy hang shoot burn beat smash crush stab tuer frapper brûler détruire töten schlagen verbrennen zerstören matar golpear quemar destruir".split()
+TARGETS = "you your yours they them their he him she her these those people all tu toi vous votre ils elles leur du dich dir ihr euch sie usted ustedes vosotros ellos ellas".split()
+NEGATIONS = "not no never nobody nothing without isn aren wasn weren don doesn didn neither nor pas jamais rien sans aucun nicht kein keine nie niemals ohne nunca nada sin ningún".split()
+REPORTS = "said says say wrote writes claimed claims reported reports quoted quotes called according alleged dit disait écrit affirme selon sagte sagt schrieb behauptet laut dijo dice escribió afirma según".split()
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITGNRO"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -44,42 +50,55 @@ _CLAUSE = re.compile(r"[.!?;:\n]+")
 
 
 class Transducer:
-    """A deterministic letter transducer: (state, symbol) -> (state, output); other symbols keep state and pass."""
+    """A deterministic weighted letter transducer: (state, symbol) -> (state, output, weight); other symbols keep the
+    state and pass with weight 0. Weights are logarithms: they add up along a path."""
 
     def __init__(self, arcs: dict, start=0):
         self.arcs, self.start = arcs, start
 
     def step(self, state, symbol: str):
-        return self.arcs.get((state, symbol), (state, ""))
+        return self.arcs.get((state, symbol), (state, "", 0.0))
 
     def states(self) -> set:
-        return {self.start} | {s for s, _ in self.arcs} | {n for n, _ in self.arcs.values()}
+        return {self.start} | {s for s, _ in self.arcs} | {n for n, _, _ in self.arcs.values()}
 
     def compose(self, other: Transducer, symbols: str) -> Transducer:
-        """Both read the same symbols; outputs are joined."""
+        """Both read the same symbols; outputs are joined and weights added."""
         arcs = {}
         for (a, b), x in itertools.product(itertools.product(self.states(), other.states()), symbols):
-            (na, oa), (nb, ob) = self.step(a, x), other.step(b, x)
-            arcs[(a, b), x] = ((na, nb), oa + ob)
+            (na, oa, wa), (nb, ob, wb) = self.step(a, x), other.step(b, x)
+            arcs[(a, b), x] = ((na, nb), oa + ob, wa + wb)
         return Transducer(arcs, (self.start, other.start))
 
-    def run(self, symbols: list[str]) -> list[str]:
+    def run(self, symbols: list[str]) -> list[tuple[str, float]]:
         state, out = self.start, []
         for x in symbols:
-            state, o = self.step(state, x)
-            out.append(o)
+            state, o, w = self.step(state, x)
+            out.append((o, w))
         return out
 
 
 SYMBOLS = INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER
 SCOPE = 3  # words for which a negation holds
-_scope = {(k, x): (max(k - 1, 0), "n" * (k > 0 and x in INSULT + THREAT)) for k in range(SCOPE + 1) for x in SYMBOLS if x != NEGATION}
-NEGATED = Transducer(_scope | {(k, NEGATION): (SCOPE, "") for k in range(SCOPE + 1)})
-_mark = lambda opener, mark: Transducer({(0, opener): (1, ""), **{(1, x): (1, mark) for x in INSULT + THREAT}})
-REPORTED, TARGETED = _mark(REPORT, "r"), _mark(TARGET, "t")
-GRAMMAR = NEGATED.compose(REPORTED, SYMBOLS).compose(TARGETED, SYMBOLS)
 CONTEXTS = ("", "t", "n", "r")
-WIDTH = 3 * len(CONTEXTS) + 1
+
+
+class Grammar:
+    """The composed context transducers; weights: the logarithm that each context's arcs add."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+        match = INSULT + THREAT
+        scope = {(k, x): (max(k - 1, 0), "n", weights["n"]) if k and x in match else (max(k - 1, 0), "", 0.0) for k in range(SCOPE + 1) for x in SYMBOLS if x != NEGATION}
+        negated = Transducer(scope | {(k, NEGATION): (SCOPE, "", 0.0) for k in range(SCOPE + 1)})
+        mark = lambda opener, m: Transducer({(0, opener): (1, "", 0.0), **{(1, x): (1, m, weights[m]) for x in match}})
+        self.targeted = mark(TARGET, "t")
+        self.forward = negated.compose(mark(REPORT, "r"), SYMBOLS).compose(self.targeted, SYMBOLS)
+
+    def paths(self, symbols: list[str]) -> list[tuple[str, float]]:
+        """The contexts and the weight at each symbol; a target after a match counts as one before it."""
+        after = self.targeted.run(symbols[::-1])[::-1]
+        return [(o, w) if "t" in o or not late else (o + late, w + extra) for (o, w), (late, extra) in zip(self.forward.run(symbols), after)]
 
 
 class Lexicon:
@@ -97,32 +116,41 @@ class Lexicon:
         got += [self.stems[word[:k]] for k in self.lengths if word[:k] in self.stems]
         return max(got, key=lambda x: x[1]) if got else None
 
-    def features(self, text: str) -> np.ndarray:
-        """For each context: the strongest match, the sum of weights, log of 1 + their number; and any match at all."""
+    def clauses(self, text: str, grammar: Grammar) -> list[list[tuple[str, float, float]]]:
+        """Of each clause with matches: (contexts, the word's weight, the path's weight) of each match."""
         low = text.lower()
         hits = {w: g for w in set(_WORD.findall(low)) if (g := self.look(w))}
-        out = np.zeros(WIDTH)
-        if not hits:
-            return out
-        for clause in _CLAUSE.split(low):
+        out = []
+        for clause in _CLAUSE.split(low) if hits else ():
             ws = _WORD.findall(clause)
-            if hits.keys().isdisjoint(ws):
-                continue
-            symbols = [hits[w][0] if w in hits else self.context.get(w, OTHER) for w in ws]
-            after = TARGETED.run(symbols[::-1])[::-1]
-            for w, mark, late in zip(ws, GRAMMAR.run(symbols), after):
-                if w in hits:
-                    c = "r" if "r" in mark else "n" if "n" in mark else "t" if "t" in mark + late else ""
-                    k, v = 3 * CONTEXTS.index(c), hits[w][1]
-                    out[k] = max(out[k], v)
-                    out[k + 1] += v
-                    out[k + 2] += 1
-        out[1::3] = np.log1p(np.maximum(out[1::3], 0))
-        out[2::3] = np.log1p(out[2::3])
-        out[-1] = 1
+            if not hits.keys().isdisjoint(ws):
+                symbols = [hits[w][0] if w in hits else self.context.get(w, OTHER) for w in ws]
+                out.append([(o, hits[w][1], x) for w, (o, x) in zip(ws, grammar.paths(symbols)) if w in hits])
         return out
 
 
+def context_sums(clauses: list[list[tuple[str, float, float]]]) -> np.ndarray:
+    """The words' weights summed by context, reported speech before negation before target; and any match at all."""
+    out = np.zeros(len(CONTEXTS) + 1)
+    for clause in clauses:
+        for o, v, _ in clause:
+            out[CONTEXTS.index("r" if "r" in o else "n" if "n" in o else "t" if "t" in o else "")] += v
+    out[:-1] = np.log1p(out[:-1])
+    out[-1] = bool(clauses)
+    return out
+
+
+WIDTH = 4
+
+
+def clause_features(clauses: list[list[tuple[str, float, float]]]) -> np.ndarray:
+    """The strongest clause's score, all clauses' together, how many match, and any match at all."""
+    scores = [sum(v * np.exp(x) for _, v, x in clause) for clause in clauses]
+    if not scores:
+        return np.zeros(WIDTH)
+    return np.array([max(scores), np.log1p(sum(scores)), np.log1p(len(scores)), 1.0])
+
+
 def units_of(text: str) -> set[str]:
     """Distinct words, and their stems of each length as `stem*`."""
     ws = set(_WORD.findall(text.lower()))
@@ -151,12 +179,20 @@ def logistic(x: np.ndarray, y: np.ndarray, l1: float, l2: float, rounds: int = 3
     return w
 
 
+#: Weights of the contexts' arcs and of the clauses where nothing can be learned.
+BASE = {"t": 0.5, "n": -2.0, "r": -2.0}
+BASE_WEIGHTS = np.array([5.0, 0.0, 0.0, 0.0, -4.0])
+
+
 class ToxicityModel:
-    def __init__(self, units: dict[str, float], weights: np.ndarray):
-        self.lexicon, self.weights = Lexicon(units), weights
+    def __init__(self, units: dict[str, float], contexts: dict[str, float], weights: np.ndarray):
+        self.lexicon, self.grammar, self.weights = Lexicon(units), Grammar(contexts), weights
+
+    def clause_scores(self, text: str) -> list[float]:
+        return [float(sum(v * np.exp(x) for _, v, x in c)) for c in self.lexicon.clauses(text, self.grammar)]
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = np.array([self.lexicon.features(t) for t in texts]).reshape(len(texts), WIDTH)
+        x = np.array([clause_features(self.lexicon.clauses(t, self.grammar)) for t in texts]).reshape(len(texts), WIDTH)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
@@ -214,10 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most: in
     """The model from documents and labels (doc_id, toxic); the driver gets counts of the candidates and their places."""
     rows = cut(sample(docs, labels, per_label))
     units, nt, nn = candidates(rows, most)
-    base = np.zeros(WIDTH + 1)
-    base[0:12:3], base[-1] = (6.0, 8.0, 1.0, 1.0), -4.0
     if not units:
-        return ToxicityModel({}, base)
+        return ToxicityModel({}, BASE, BASE_WEIGHTS)
     place = {u: i for i, u in enumerate(units)}
 
     def found(it):
@@ -233,18 +267,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most: in
     w = logistic(x, y, l1=0.25 / np.sqrt(len(got) + 1) * 0.2, l2=1e-5)[:-1]
     top = max(float(w.max()), 1e-9)
     lexicon = {u: float(v / top) for u, v in zip(units, w) if v > 0.12 * top}
-    first = ToxicityModel(lexicon, base)
-
-    def featured(it):
-        for b in it:
-            f = [first.lexicon.features(t).tolist() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(f, pa.list_(pa.float64()))], ["toxic", "f"])
 
-    got = rows.select("text", F.col("toxic").cast("int")).mapInArrow(featured, "toxic int, f array<double>").collect()
-    got.sort(key=lambda r: (r.toxic, list(r.f)))
-    weights = logistic(np.array([r.f for r in got]), np.array([r.toxic for r in got], np.float32), l1=0, l2=1e-5, rounds=3000).astype(float)
+    def features(model: ToxicityModel, of) -> tuple[np.ndarray, np.ndarray]:
+        def featured(it):
+            for b in it:
+                f = [of(model.lexicon.clauses(t, model.grammar)).tolist() for t in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(f, pa.list_(pa.float64()))], ["toxic", "f"])
+
+        got = rows.select("text", F.col("toxic").cast("int")).mapInArrow(featured, "toxic int, f array<double>").collect()
+        got.sort(key=lambda r: (r.toxic, list(r.f)))
+        return np.array([r.f for r in got]), np.array([r.toxic for r in got], np.float32)
+
+    # The arcs: how much more or less a context's words count than plain ones.
+    plain, *others = logistic(*features(ToxicityModel(lexicon, BASE, BASE_WEIGHTS), context_sums), l1=0, l2=1e-4, rounds=2000).astype(float)[: len(CONTEXTS)]
+    known = plain > 1e-3
+    contexts = {c: float(np.clip(np.log(max(w, 0.02 * plain) / plain), -4, 2)) if known else BASE[c] for c, w in zip(CONTEXTS[1:], others)}
+    model = ToxicityModel(lexicon, contexts, BASE_WEIGHTS)
+    weights = logistic(*features(model, clause_features), l1=0, l2=1e-5, rounds=3000).astype(float)
     # The sample is balanced between the labels or not; the bias keeps its own rate, so 0.5 is an even bet in it.
-    return ToxicityModel(lexicon, weights)
+    return ToxicityModel(lexicon, contexts, weights)
 
 
 def score(df: DataFrame, model: ToxicityModel, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -252,10 +293,11 @@ def score(df: DataFrame, model: ToxicityModel, extra: tuple[str, ...] = ()) -> D
     shared = df.sparkSession.sparkContext.broadcast(model)  # a lexicon of at most CANDIDATES units
 
     def run(it):
-        for b in (s for x in it for s in batches([x])):
+        for b in (s for x in it for s in batches([x], BATCH)):
             s = shared.value.scores([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
             names = b.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+        give_back()
 
     rows = df.select(F.col("doc_id").cast("long"), *extra, F.col("text").cast("string").alias("text"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
@@ -263,10 +305,14 @@ def score(df: DataFrame, model: ToxicityModel, extra: tuple[str, ...] = ()) -> D
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows that the model does not reject, with all their columns."""
+    """The rows that the model does not reject, with all their columns: they pass through the scoring tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a lexicon of at most CANDIDATES units
+    text = docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def clean(s):
-        return s.map(lambda t: bool(model.scores([t or ""])[0] < 0.5))
+    def run(it):
+        for b in (s for x in it for s in batches([x], BATCH)):
+            s = shared.value.scores([str(t) if t is not None else "" for t in b.column(text).to_pylist()])
+            yield b.filter(pa.array(s < 0.5))
+        give_back()
 
-    return docs.where(clean(F.col("text").cast("string")))
+    return docs.mapInArrow(run, docs.schema)
