@@ -1,14 +1,18 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text. Tokens get one global order, by how many blocks of the whole corpus hold them (rarest
-first, then by the token). A block matches a template when it holds at least `containment` of the template's distinct
-tokens. The filters lose nothing: of a template of t tokens that needs c, any block that qualifies has one of the
-template's t - c + 1 rarest tokens (prefix filter), has c distinct tokens (length filter), and shares so many that the
-tokens after its first shared prefix token still suffice (positional filter); what is left is counted exactly.
+Blocks are the windows of `span` consecutive words of a text, one and a half times a template's words, whatever its line
+ends: a notice wrapped over lines is a block as any other. Tokens get one global order, by how many texts of the whole
+corpus hold them (rarest first, then by the token). A block matches a template when it holds at least `containment` of
+the template's distinct tokens. The filters lose nothing: of a template of t tokens that needs c, any block that
+qualifies has one of the template's t - c + 1 rarest tokens (prefix filter), so only the words about such a token are
+looked at; they must hold c of the template's tokens at all (length filter); and a block that opens with a token must
+find c - 1 others in what is left of the window (positional filter). What is left is counted exactly. Blocks of one
+template that overlap are one match.
 
 Beside the join, base phrases are found at every place where their words stand consecutively.
 
-A null or empty text has no words and no blocks. Repeated rows stay apart, other columns pass through where said.
+A null or empty text has no words and no blocks. Repeated rows stay apart. Columns besides doc_id and text are not read,
+whatever their names. A text is held word by word: it must fit a task's memory some fifteen times.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronogaz.llm.common import WORD_TABLE, batches, text_bytes, words
+from chronogaz.llm.common import batches, give_back, text_bytes, words
 
 # Base phrases and their labels.
 PHRASES = {
@@ -29,82 +33,119 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Notices as they stand in files: template name -> text.
+# Public license notices, template name -> text.
 TEMPLATES = {
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
     "gpl-2.0": "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2",
+    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "apache-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "mit": "Released under the MIT License",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the software without restriction",
+    "mit-notice": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.',
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
     "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-conditions": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
 }
 CONTAINMENT = 0.8
+#: Words of a block, as a multiple of the template's.
+SPAN = 1.5
+#: Bytes of text in a batch.
+BATCH = 2 << 20
 
 
 def token_counts(df: DataFrame, tokens: list[str]) -> dict[str, int]:
-    """In how many blocks of the whole corpus each of the given tokens stands (a bounded list: the templates')."""
+    """In how many texts of the whole corpus each of the given tokens stands (a bounded list: the templates')."""
     known = frozenset(t.encode() for t in tokens)
 
     def run(it):
         total: Counter = Counter()
-        for batch in it:
+        for batch in (s for b in it for s in batches([b], BATCH)):
             for raw in text_bytes(batch):
-                for line in raw.translate(LINES).split(b"\n"):
-                    total.update(known.intersection(line.split()))
+                total.update(known.intersection(words(raw)))
         yield pa.RecordBatch.from_pydict({"token": [t.decode() for t in total], "n": list(total.values())}, pa.schema([("token", pa.string()), ("n", pa.int64())]))
+        give_back()
 
     rows = df.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {t: 0 for t in tokens} | {r.token: r.n for r in rows}
 
 
-#: WORD_TABLE that leaves line ends in place.
-LINES = WORD_TABLE[:10] + b"\n" + WORD_TABLE[11:]
-
-
 class TemplateIndex:
     """Templates by the tokens of their prefixes in the global order."""
 
-    def __init__(self, templates: dict[str, str], counts: dict[str, int], containment: float):
-        self.order = {t: i for i, t in enumerate(sorted(counts, key=lambda t: (counts[t], t)))}
-        self.templates, self.by_prefix = {}, {}
+    def __init__(self, templates: dict[str, str], counts: dict[str, int], containment: float, span: float = SPAN):
+        order = {t: i for i, t in enumerate(sorted(counts, key=lambda t: (counts[t], t)))}
+        self.templates: dict[str, tuple[frozenset, int, int]] = {}
+        self.by_prefix: dict[bytes, list[str]] = {}
         for name, text in templates.items():
-            toks = sorted({t.decode() for t in words(text.encode())}, key=self.order.__getitem__)
+            ws = words(text.encode())
+            toks = sorted(set(ws), key=lambda t: order[t.decode()])
             need = max(1, -int(-len(toks) * containment // 1))
-            self.templates[name] = (toks, need)
-            for at, t in enumerate(toks[: len(toks) - need + 1]):
-                self.by_prefix.setdefault(t.encode(), []).append((name, at))
+            self.templates[name] = (frozenset(toks), need, -int(-len(ws) * span // 1))
+            for t in toks[: len(toks) - need + 1]:
+                self.by_prefix.setdefault(t, []).append(name)
         self.prefix = frozenset(self.by_prefix)
 
-    def matches(self, line: bytes) -> list[tuple[str, float]]:
-        """(template, containment) of each template that the block meets."""
-        block = set(line.split())
-        hits = self.prefix & block
-        out, seen = [], set()
-        for t in hits:
-            for name, at in self.by_prefix[t]:
-                toks, need = self.templates[name]
-                if name in seen or len(block) < need:
-                    continue
-                first = next(i for i, x in enumerate(toks) if x.encode() in block)
-                seen.add(name)
-                if len(toks) - first >= need and (n := sum(x.encode() in block for x in toks)) >= need:
-                    out.append((name, n / len(toks)))
+    def matches(self, ws: list[bytes]) -> list[tuple[str, int, int, float]]:
+        """(template, first word, end, best containment) of each run of blocks that meet a template."""
+        if self.prefix.isdisjoint(ws):
+            return []
+        near: dict[str, list[int]] = {}
+        for i, w in enumerate(ws):
+            if w in self.prefix:
+                for name in self.by_prefix[w]:
+                    near.setdefault(name, []).append(i)
+        out = []
+        for name, places in near.items():
+            toks, need, span = self.templates[name]
+            lo = hi = 0
+            for p in [*places, len(ws) + 2 * span]:  # stretches of words that any block about these places lies in
+                if hi and p - span + 1 > hi:
+                    if len(toks.intersection(ws[lo:hi])) >= need:
+                        out += [(name, a, z, n / len(toks)) for a, z, n in _blocks(ws, lo, hi, toks, need, span)]
+                    lo = hi = 0
+                if not hi:
+                    lo = max(0, p - span + 1)
+                hi = min(len(ws), p + span)
         return out
 
 
+def _blocks(ws: list[bytes], lo: int, hi: int, toks: frozenset, need: int, span: int) -> list[tuple[int, int, int]]:
+    """(first word, end, most tokens) of the runs of windows of `span` words in lo..hi that hold `need` of the tokens."""
+    at = [i for i in range(lo, hi) if ws[i] in toks]
+    count: Counter = Counter()
+    out, left = [], 0
+    for right, i in enumerate(at):
+        count[ws[i]] += 1
+        while i - at[left] >= span:
+            w = ws[at[left]]
+            count[w] -= 1
+            if not count[w]:
+                del count[w]
+            left += 1
+        if len(count) >= need:
+            a, z, n = at[left], i + 1, len(count)
+            if out and a < out[-1][1]:
+                a, n = out[-1][0], max(n, out[-1][2])
+                out.pop()
+            out.append((a, z, n))
+    return out
+
+
 def block_matches(df: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
-    """The join: (doc_id, line long, template, containment) for every block that meets a template."""
+    """The join: (doc_id, first_word, last_word, template, containment) for every run of blocks that meet a template."""
     templates = templates or TEMPLATES
     index = TemplateIndex(templates, _counts(df, templates), containment)
 
     def run(it):
-        for batch in it:
-            out = [(d, i, n, c) for d, raw in zip(batch.column(0).to_pylist(), text_bytes(batch)) for i, line in enumerate(raw.translate(LINES).split(b"\n")) for n, c in index.matches(line)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.float64()))], ["doc_id", "line", "template", "containment"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())
+        for batch in (s for b in it for s in batches([b], BATCH)):
+            out = [(d, a, z - 1, n, c) for d, raw in zip(batch.column(0).to_pylist(), text_bytes(batch)) for n, a, z, c in index.matches(words(raw))]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], ["doc_id", "first_word", "last_word", "template", "containment"])
+        give_back()
 
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, line long, template string, containment double")
+    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, first_word long, last_word long, template string, containment double")
 
 
 def _counts(df: DataFrame, templates: dict[str, str]) -> dict[str, int]:
@@ -123,11 +164,10 @@ def license_scan(df: DataFrame, templates: dict[str, str] | None = None, contain
 
     def run(it):
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
-        for batch in (s for b in it for s in batches([b])):
+        for batch in (s for b in it for s in batches([b], BATCH)):
             out = []
             for doc, raw in zip(batch.column(0).to_pylist(), text_bytes(batch)):
-                low = raw.translate(LINES)
-                ws = low.split()
+                ws = words(raw)
                 joined = b" " + b" ".join(ws) + b" "
                 places, labels, score = [], set(), 0.0
                 if any(x in joined for x in lasts):
@@ -136,11 +176,9 @@ def license_scan(df: DataFrame, templates: dict[str, str] | None = None, contain
                         places += [joined.count(b" ", 0, at) - 1 for at in found]
                         labels |= {label} if found else set()
                 own = set()
-                if not index.prefix.isdisjoint(ws):
-                    for line in low.split(b"\n"):
-                        for name, c in index.matches(line):
-                            own.add(name)
-                            score = max(score, c)
+                for name, _, _, c in index.matches(ws):
+                    own.add(name)
+                    score = max(score, c)
                 out.append((doc, len(ws), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | own)), 1.0 if places else score))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(schema)], schema=schema)
 

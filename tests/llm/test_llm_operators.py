@@ -76,6 +76,18 @@ def test_media(spark, docs):
     assert [p.byte_end - p.byte_start for p in table] == [192] * len(table) and table[-1].timestamp_ms > table[0].timestamp_ms
 
 
+def test_media_rows(spark):
+    odd = spark.createDataFrame([(1, "ab", 7, 8), (1, "ab", 7, 8), (None, None, 7, 8), (2, "", 7, 8)], "doc_id long, text string, track int, packet int")
+    out = media_columns.media_digest(odd).collect()
+    assert len(out) == 4 and len({(r.payload_sha256, r.media_sha256, r.feature) for r in out}) == 2 and sorted(r.n_bytes for r in out) == [0, 0, 2, 2]
+    table = media_columns.packets(media_columns.mux(odd, "text"))
+    assert table.columns.count("track") == 1 and {"packet", "packet_no", "byte_start"} <= set(table.columns) and {r.track for r in table.collect()} == {1} and table.count() == 4
+    assert media_columns.media_digest(odd.limit(0)).count() == 0 and media_columns.packets(media_columns.mux(odd.limit(0), "text")).count() == 0
+    full = media_columns.mux_bytes(b"q" * 192 * 8 * 32 * 3)
+    cues = media_columns.cue_points(full)
+    assert len(cues) == 3 and [t for t, _ in cues] == sorted({p[1] // 6144 * 6144 for p in media_columns.parse(full)})
+
+
 def test_media_lacing_and_damage():
     m = media_columns
     frames = [b"a" * 300, b"b" * 5, b"c" * 40]
@@ -190,6 +202,11 @@ def test_mix(spark, sf):
     docs = spark.createDataFrame([(1, "a b c", "x", "q"), (2, None, "x", "q"), (3, "d", None, "q")], "doc_id long, text string, source string, taken string")
     assert source_mix.mixed_rows(docs).columns == docs.columns
     assert source_mix.mix(spark.createDataFrame([], "doc_id long, source string, n long"), F.col("n")).count() == 0
+    assert source_mix.mixed_rows(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, f"a b {i} " * 9, "x", i, i, i, i) for i in range(40)] + [(1, "c", "y", 0, 0, 0, 0)], "doc_id long, text string, source string, n_rows int, _key int, range int, row int")
+    got_ = source_mix.mix(odd, source_mix.word_count(F.col("text")), range_rows=4)
+    assert got_.columns == odd.columns + list(source_mix.RESULT) and got_.count() == 41 and source_mix.mixed_rows(odd).columns == odd.columns
+    assert got(got_, "n_rows", "taken") == got(source_mix.mix(odd.repartition(5), source_mix.word_count(F.col("text")), range_rows=4), "n_rows", "taken")
 
 
 def test_licenses(spark, docs, real):
