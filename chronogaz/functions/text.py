@@ -52,3 +52,11 @@ def range_text(a: Column, b: Column) -> Column:
         .when(a.isNull(), F.concat(F.lit("until "), year_text(b)))
         .otherwise(F.concat(year_text(a), F.lit(" to "), year_text(b)))
     )
+
+
+def name_variants(name: Column, connectors: tuple[str, ...]) -> Column:
+    """The name, and if it opens with a connector word, with that word in both cases."""
+    opens = F.lower(F.split_part(name, F.lit(" "), F.lit(1))).isin(*connectors) & F.contains(name, F.lit(" "))
+    rest = F.substr(name, F.lit(2))
+    both = F.array(name, F.concat(F.upper(F.substr(name, F.lit(1), F.lit(1))), rest), F.concat(F.lower(F.substr(name, F.lit(1), F.lit(1))), rest))
+    return F.array_distinct(F.when(opens, both).otherwise(F.array(name)))

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that spark.checkpoint.dir names; sets one only where there is none."""
-    sc = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one is set only where there is none, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return (root or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 
@@ -76,3 +83,31 @@ def cycle_members(tree: DataFrame) -> DataFrame:
             break
         step = left
     return connected_components(step.select(F.col("id").alias("src"), F.col("to").alias("dst"))).select(F.col("node").alias("id"), F.col("component").alias("cycle"))
+
+
+def positions(df: DataFrame, key: str) -> DataFrame:
+    """Adds pos, each row's place from 1 in the order of a unique key: ranges of keys, their counts summed, rows numbered
+    inside their range. The ranges' sums are one row for each range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.repartitionByRange(n, key).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(key))
+    return ranged.join(F.broadcast(base), "range").withColumn("pos", (F.col("base") + inside).cast("long")).drop("range", "base")  # a row for each range
+
+
+def traced_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(src, dst, weight, id) -> (target, back, node, edge, cost): the least-cost path to each target that is reached, from
+    the target back; edge is the id of the edge that leads to the node, null at the source."""
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "id"))
+    best = checkpointed(both.groupBy("src", "dst").agg(F.min(F.struct("weight", "id")).alias("m")).select("src", "dst", "m.weight", "m.id"))
+    reached = shortest_costs(best.drop("id"), sources)
+    step = reached.join(best.select(F.col("src").alias("prev"), F.col("dst").alias("node"), F.col("id").alias("edge")), ["prev", "node"], "left").select("node", "cost", "prev", "edge")
+    at = checkpointed(targets.select("node").distinct().join(step, "node").withColumns({"target": F.col("node"), "back": F.lit(0)}))
+    out = at
+    while True:
+        on = at.where("prev is not null").select("target", (F.col("back") + 1).alias("back"), F.col("prev").alias("node"))
+        at = checkpointed(on.join(step, "node"))
+        if at.isEmpty():
+            return out.select("target", "back", "node", "edge", "cost")
+        out = out.unionByName(at.select(out.columns))

@@ -225,3 +225,11 @@ def segments(vertices: DataFrame, line: str = "line_id", order: str = "seq") ->
     w = Window.partitionBy(line).orderBy(order)
     cols = {"x2": F.lead("lon").over(w), "y2": F.lead("lat").over(w)}
     return vertices.withColumns(cols).where("x2 is not null").select(line, order, F.col("lon").alias("x1"), F.col("lat").alias("y1"), "x2", "y2")
+
+
+def rings_km2(edges: DataFrame, by: str) -> DataFrame:
+    """(by, ring, x1 .. y2), ring 0 the outer one -> (by, km2): the outer ring less its holes, zero at least."""
+    part = F.radians(F.col("x2") - F.col("x1")) * (F.sin(F.radians("y1")) + F.sin(F.radians("y2")))
+    rings = edges.groupBy(by, "ring").agg((F.abs(F.sum(part)) * (geo.EARTH_KM**2) / 2).alias("km2"))
+    signed = F.sum(F.when(F.col("ring") == 0, F.col("km2")).otherwise(-F.col("km2")))
+    return rings.groupBy(by).agg(F.greatest(F.lit(0.0), signed).alias("km2"))

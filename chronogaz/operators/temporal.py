@@ -109,3 +109,26 @@ def override(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
     pieces = grouped.withColumn("_c", cuts).withColumn("_p", F.explode(F.transform(F.sequence(F.lit(0), F.size("_c") - 2), lambda i: F.struct(F.get("_c", i).alias("f"), F.get("_c", i + 1).alias("t")))))
     held = F.get(F.filter("_o", lambda x: (x["_f"] <= F.col("_p.f")) & (F.col("_p.t") <= x["_t"])), F.lit(0))["_h"]
     return pieces.select(key, F.col("_p.f").alias("from"), F.col("_p.t").alias("to"), F.coalesce(held, F.col("holder")).alias("holder"))
+
+
+def history(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
+    """Base periods (key, from, to, holder, sources) with the overrides (key, id, from, to, holder, sources) of each key laid
+    over them one after the other, by start and id, touching periods of one holder merged after each: their sources unite,
+    and a later cut keeps the united sources on both sides. Rounds grow with the largest number of overrides of a key."""
+    from chronogaz.operators.graph import checkpointed
+
+    place = F.row_number().over(Window.partitionBy(key).orderBy("from", "id"))
+    laid = checkpointed(over.withColumn("place", place))
+    rounds = laid.agg(F.max("place")).first()[0] or 0
+    now = checkpointed(merge_touching(base, [key], ["holder"]))
+    for r in range(1, rounds + 1):
+        o = laid.where(F.col("place") == r).select(F.col(key).alias("_k"), F.col("from").alias("_f"), F.col("to").alias("_t"), F.col("holder").alias("_h"), F.col("sources").alias("_s"))
+        hit = now.join(o, (F.col(key) == F.col("_k")) & (F.col("_f") < F.col("to")) & (F.col("from") < F.col("_t")), "left")
+        piece = lambda a, b, h, s: F.struct(a.alias("from"), b.alias("to"), h.alias("holder"), s.alias("sources"))
+        f, t = F.greatest("from", "_f"), F.least("to", "_t")
+        own = F.col("holder"), F.col("sources")
+        cut = F.array(piece(F.col("from"), f, *own), piece(f, t, F.col("_h"), F.col("_s")), piece(t, F.col("to"), *own))
+        whole = F.array(piece(F.col("from"), F.col("to"), *own))
+        pieces = F.filter(F.when(F.col("_k").isNull(), whole).otherwise(cut), lambda p: p["from"] < p["to"])
+        now = checkpointed(merge_touching(hit.select(key, F.explode(pieces).alias("p")).select(key, "p.*"), [key], ["holder"]))
+    return now

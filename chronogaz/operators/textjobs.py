@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronogaz.functions.text import one_edit, search_fold
 
 
-def ranked_search(names: DataFrame, queries: tuple[str, ...], top: int) -> DataFrame:
+def ranked_search(names: DataFrame, queries: tuple[str, ...], top: int, key: str = "name") -> DataFrame:
     """(name) and a few query strings -> (q, name, rank, pos): exact 0, prefix or word start 1, typo 2 from 5 letters on.
 
     Every name meets every query of the stated set once, as columns of its own row; only matches become rows."""
@@ -20,9 +20,10 @@ def ranked_search(names: DataFrame, queries: tuple[str, ...], top: int) -> DataF
         if len(q) >= 5:
             rank = rank.when(_any_near(F.split(f, " "), x), 2)
         hits.append(F.struct(x.alias("q"), rank.cast("long").alias("rank"), F.when(f.startswith(q), 0).otherwise(1).alias("pref")))
-    rows = names.withColumn("_f", search_fold(F.col("name"))).select("name", "_f", F.explode(F.filter(F.array(*hits), lambda h: h["rank"].isNotNull())).alias("h"))
-    w = Window.partitionBy("q").orderBy("rank", "pref", "_f", "name")
-    return rows.select("name", "_f", "h.*").withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= top)
+    cols = dict.fromkeys(("name", key))
+    rows = names.withColumn("_f", search_fold(F.col("name"))).select(*cols, "_f", F.explode(F.filter(F.array(*hits), lambda h: h["rank"].isNotNull())).alias("h"))
+    w = Window.partitionBy("q").orderBy("rank", "pref", "_f", key)
+    return rows.select(*cols, "_f", "h.*").withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= top)
 
 
 def _any_near(words, q):
@@ -69,3 +70,57 @@ def mentions(toks: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
     """(key, word, first_at, n) of dictionary words: counted before they are joined."""
     per = toks.groupBy(key, "word").agg(F.min("at").cast("long").alias("first_at"), F.count("*").alias("n"))
     return per.join(dictionary, "word").select(key, "word", "first_at", "n")
+
+
+def same_names(named: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(id, name) -> (a, b, name), a < b: different ids of one name, without the allowed pairs (a, b)."""
+    a, b = (named.select(F.col("id").alias(s), "name") for s in "ab")
+    return a.join(b, "name").where("a < b").join(allowed, ["a", "b"], "left_anti").select("a", "b", "name")
+
+
+def passages(refs: DataFrame, verses: DataFrame, book: str, verse: str, text: str) -> DataFrame:
+    """(book, first, last) -> (book, found, passage, error): the verses there are in order; a passage only if none is missing."""
+    rows = refs.withColumn(verse, F.explode(F.sequence("first", "last")))
+    got = rows.join(verses.select(book, verse, F.col(text).alias("t"), F.lit(1).alias("there")), [book, verse], "left")
+    g = got.groupBy(book).agg(F.count("*").alias("need"), F.count("there").alias("n"), F.bool_and(F.col("there").isNotNull() | ~F.col(verse).isin(F.col("first"), F.col("last"))).alias("both"), F.array_sort(F.collect_list(F.when(F.col("there") == 1, F.struct(verse, "t")))).alias("p"))
+    found = F.when(F.col("n") > 0, F.array_join(F.transform("p", lambda x: x["t"]), " "))
+    error = F.when(F.col("n") == 0, "no verse").when(F.col("n") < F.col("need"), F.when(F.col("both"), "missing interior verse").otherwise("missing end verse"))
+    return g.select(book, found.alias("found"), F.when(F.col("n") == F.col("need"), found).alias("passage"), error.alias("error"))
+
+
+def without_names(df: DataFrame, text: str, names: str) -> DataFrame:
+    """Rows whose folded text holds none of the row's names as a substring; a row without names holds none."""
+    return df.withColumn("_f", search_fold(F.col(text))).where(~F.coalesce(F.exists(names, lambda n: F.contains(F.col("_f"), F.lower(n))), F.lit(False))).drop("_f")
+
+
+def cased_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, low, cap): words in lower case, places from 1, and whether the word is capitalised."""
+    ws = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("[A-Za-z0-9À-ÖØ-öø-ÿ]+"), F.lit(0))
+    first = F.substring("word", 1, 1)
+    return df.select(key, F.posexplode(ws).alias("pos", "word")).select(key, (F.col("pos") + 1).alias("pos"), F.lower("word").alias("low"), (first != F.lower(first)).alias("cap"))
+
+
+def whole_word_mentions(toks: DataFrame, names: DataFrame, own: DataFrame, key: str) -> DataFrame:
+    """(key, name, pos): words that are names (name), but for a text's own name (key, own) and for capitalised words beside
+    another, which are parts of a longer name."""
+    w = Window.partitionBy(key).orderBy("pos")
+    near = toks.withColumns({"before": F.lag("cap").over(w), "after": F.lead("cap").over(w)})
+    free = ~(F.col("cap") & (F.coalesce("before", F.lit(False)) | F.coalesce("after", F.lit(False))))
+    hits = near.where(free).join(names, F.col("low") == F.col("name"))
+    return hits.join(own, key, "left").where(F.col("own").isNull() | (F.col("name") != F.col("own"))).select(key, "name", "pos")
+
+
+def chosen(mentions_: DataFrame, key: str) -> DataFrame:
+    """(key, place, at, n words) -> those chosen in order of place in the text, longer first: one for each place, none
+    overlapping. A text's mentions are folded in its own row."""
+    order = F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("n"), "place")))
+    rows = mentions_.groupBy(key).agg(order.alias("m"))
+    kind = "array<" + rows.schema["m"].dataType.elementType.simpleString() + ">"
+
+    def step(acc, x):
+        last = F.element_at(acc, -1)
+        free = (F.size(acc) == 0) | (x["at"] >= last["at"] - last["n"])
+        return F.when(free & ~F.exists(acc, lambda y: y["place"] == x["place"]), F.concat(acc, F.array(x))).otherwise(acc)
+
+    kept = F.aggregate("m", F.expr(f"cast(array() as {kind})"), step)
+    return rows.select(key, F.explode(kept).alias("c")).select(key, "c.place", "c.at", (-F.col("c.n")).alias("n"))

@@ -154,13 +154,6 @@ def set5_catalogue(spark, sf):
     return _catalogue(spark, sf)[1]
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {_FLAG} AS v FROM lineitem")
-def set6_expand_catalogue(spark, sf):
-    li, cat = _catalogue(spark, sf)
-    coded = li.join(F.broadcast(cat), "v").drop("v")  # six values at most
-    return coded.join(F.broadcast(cat), "ix").select("l_orderkey", "l_linenumber", "l_partkey", "v")
-
-
 @query("SELECT event_id, CASE event_type WHEN 'signup' THEN 'route-1/stage-1' WHEN 'purchase' THEN 'route-2/stage-1' ELSE event_type END AS key FROM events")
 def set8_retired_keys(spark, sf):
     old = F.create_map(F.lit("signup"), F.lit("route-1/stage-1"), F.lit("purchase"), F.lit("route-2/stage-1"))

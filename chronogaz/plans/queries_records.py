@@ -255,17 +255,3 @@ def geo9_pixels(spark, sf):
     pi = math.pi
     y = F.log(F.tan(F.lit(pi / 4) + F.radians("lat") / 2))
     return V.v_site(spark, sf).select("id", F.floor((F.col("lon") + 180) / 360 * (WORLD * 64)).alias("px"), F.floor((F.lit(0.5) - y / (2 * pi)) * (WORLD * 64)).alias("py"))
-
-
-@query("SELECT doc_id, text IS DISTINCT FROM CASE WHEN doc_id % 7 = 0 THEN substr(text, 2) ELSE text END AS stale FROM documents")
-def txt4_stale_text(spark, sf):
-    stored = F.when(F.col("doc_id") % 7 == 0, F.expr("substr(text, 2)")).otherwise(F.col("text"))
-    return V.read(spark, sf, "documents").select("doc_id", (~F.col("text").eqNullSafe(stored)).alias("stale"))
-
-
-@query("SELECT id, 'o:' || id AS source, 'no such record' AS message FROM v_period WHERE id % 5 = 0", ("v_period",))
-def txt10_source_exists(spark, sf):
-    """Sources whose record is not in the catalogue."""
-    known = V.read(spark, sf, "orders").where("o_orderkey % 5 <> 0").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("source"))
-    rows = V.v_period(spark, sf).select("id", F.explode("sources").alias("source"))
-    return rows.join(known, "source", "left_anti").select("id", "source", F.lit("no such record").alias("message"))

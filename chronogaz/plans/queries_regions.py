@@ -21,10 +21,10 @@ def _edges(spark, sf):
     return V.v_edge(spark, sf).select("area_id", "seq", "x1", "y1", "x2", "y2")
 
 
-def _overlaps(spark, sf):
+def _overlaps(spark, sf, levels=R.LEVELS):
     e = _edges(spark, sf)
     moved = e.select("area_id", *[(F.col(c) + (3.24 if c[0] == "x" else 1.16)).alias(c) for c in ("x1", "y1", "x2", "y2")])
-    return R.overlaps_km2(R.refined_cover(e), R.refined_cover(moved))
+    return R.overlaps_km2(R.refined_cover(e, levels=levels), R.refined_cover(moved, levels=levels), levels=levels)
 
 
 @query(f"SELECT area_a, area_b, floor(km2 + 0.5e0)::BIGINT AS km2 FROM ({_OVER})", ("v_edge",))
@@ -125,7 +125,7 @@ def spa10_acceptance_report(spark, sf):
     ones), anchors in no area of the expected kind, areas expected and not built."""
     e = _edges(spark, sf)
     site = V.v_site(spark, sf)
-    over = _overlaps(spark, sf).where("km2 > 1 and area_a <> area_b")
+    over = _overlaps(spark, sf, 3).where("km2 > 1 and area_a <> area_b")
     flat = e.select("area_id", "x1", "y1", "x2", "y2")
     inside = S.containing(site, flat)
     named = site.select("id", (F.col("id") % 25).cast("int").alias("area_id"))

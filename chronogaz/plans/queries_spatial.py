@@ -75,11 +75,6 @@ def agg9_line_length(spark, sf):
     return s.groupBy("line_id").agg(geo.scaled(F.sum(geo.haversine_km(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))), 10.0).alias("hm"))
 
 
-@query("SELECT area_id, floor(abs(sum(radians(x2 - x1) * (sin(radians(y1)) + sin(radians(y2))))) * 6371.0088e0 * 6371.0088e0 / 2 + 0.5e0)::BIGINT AS km2 FROM v_edge GROUP BY 1", ("v_edge",))
-def agg10_spherical_area(spark, sf):
-    return S.sphere_km2(V.v_edge(spark, sf), "area_id").select("area_id", F.floor(F.col("km2") + 0.5).cast("long").alias("km2"))
-
-
 @query("SELECT area_id, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM v_edge GROUP BY 1", ("v_edge",))
 def agg11_planar_area(spark, sf):
     return S.shoelace(V.v_edge(spark, sf), "area_id")

@@ -71,13 +71,6 @@ def flt8_name_rule(spark, sf):
     return hit.join(V.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey")
 
 
-@query("SELECT area_id, count(*)::BIGINT AS n, bool_and(closed) AS closed FROM (SELECT area_id, lead(x1, 1, x1) OVER w = x2 OR seq = 7 AS closed FROM v_edge WINDOW w AS (PARTITION BY area_id ORDER BY seq)) GROUP BY area_id", ("v_edge",))
-def flt11_closed_rings(spark, sf):
-    w = Window.partitionBy("area_id").orderBy("seq")
-    e = V.v_edge(spark, sf).withColumn("closed", (F.lead("x1").over(w) == F.col("x2")) | (F.col("seq") == 7))
-    return e.groupBy("area_id").agg(F.count("*").alias("n"), F.bool_and("closed").alias("closed"))
-
-
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars > 4000 UNION ALL SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND n_chars <= 4000")
 def flt14_hosted_files(spark, sf):
     """Too large, or not in the listing."""

@@ -45,40 +45,3 @@ def txt2_best_name(spark, sf):
     p = V.read(spark, sf, "part")
     names = F.array(F.when(F.col("p_size") > 25, F.struct(F.lit(0).alias("rank"), F.col("p_brand").alias("name"))), F.struct(F.lit(1).alias("rank"), F.col("p_name").alias("name")), F.struct(F.lit(2).alias("rank"), F.col("p_type").alias("name")))
     return p.select(F.col("p_partkey").alias("id"), F.array_min(F.array_compact(names))["name"].alias("name"))
-
-
-@query("SELECT doc_id FROM documents WHERE NOT (contains(lower(coalesce(text, '')), 'the') OR contains(lower(coalesce(text, '')), 'der'))")
-def txt5_no_name_in_passage(spark, sf):
-    """Passages that hold none of the names, as substrings."""
-    names = F.array(F.lit("the"), F.lit("der"))
-    folded = F.lower(F.coalesce("text", F.lit("")))
-    return V.read(spark, sf, "documents").where(~F.exists(names, lambda n: F.contains(folded, n))).select("doc_id")
-
-
-@query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9À-ÖØ-öø-ÿ]+') AS w FROM documents), k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
-dict AS (SELECT word FROM (SELECT word, count(DISTINCT doc_id) AS n FROM k GROUP BY 1) WHERE n BETWEEN 2 AND 5 AND length(word) >= 6)
-SELECT doc_id, word, min(pos)::BIGINT AS first_at, count(*)::BIGINT AS n FROM k JOIN dict USING (word) GROUP BY 1, 2""")
-def txt7_whole_word_mentions(spark, sf):
-    """Mentions of dictionary words (rare words of the corpus), whole words only, the first place of each."""
-    toks = J.tokens(V.read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
-    return J.mentions(toks, J.rare_words(toks, "doc_id", 2, 5, 6), "doc_id")
-
-
-@query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND levenshtein(lower(a.p_name), lower(b.p_name)) <= 1""")
-def jon14_similar_names(spark, sf):
-    p = V.read(spark, sf, "part").select("p_partkey", "p_brand", X.key_fold(F.col("p_name")).alias("n"))
-    a, b = (p.withColumnsRenamed({"p_partkey": s, "n": f"n_{s}"}) for s in "ab")
-    return a.join(b, "p_brand").where("a < b").where(F.levenshtein("n_a", "n_b", 1) >= 0).select("a", "b")
-
-
-@query("SELECT s_suppkey, s_name, s_name || ' / ' || lower(s_name) AS variants FROM supplier")
-def str13_name_variants(spark, sf):
-    v = F.array_distinct(F.array("s_name", F.lower("s_name")))
-    return V.read(spark, sf, "supplier").select("s_suppkey", "s_name", F.array_join(v, " / ").alias("variants"))
-
-
-@query("""SELECT url, count(*)::BIGINT AS n, row_number() OVER (ORDER BY count(*) DESC, url)::BIGINT AS pos FROM (SELECT split_part(url, '/', 3) AS url FROM pages) GROUP BY 1 ORDER BY n DESC, url LIMIT 8""")
-def srt1_top_hosts(spark, sf):
-    n = V.read(spark, sf, "pages").groupBy(F.split_part("url", F.lit("/"), F.lit(3)).alias("url")).agg(F.count("*").alias("n"))
-    top = n.orderBy(F.desc("n"), "url").limit(8)
-    return top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n"), "url")).cast("long"))  # eight rows

@@ -67,21 +67,6 @@ def str12_labels(spark, sf):
     return V.read(spark, sf, "orders").select("o_orderkey", F.when(status == "F", "Finished").when(status == "O", "Open").otherwise("Partly done").alias("status_label"), F.when(price >= 250000, "certain").when(price >= 100000, "likely").otherwise("disputed").alias("confidence_label"))
 
 
-@query("""SELECT p_partkey::VARCHAR AS path, unnest(list_filter([CASE WHEN p_name IS NULL OR trim(p_name) = '' THEN 'required: name' END, CASE WHEN NOT regexp_matches(p_brand, '^Brand#[1-3][1-5]$') THEN 'pattern: brand' END, CASE WHEN p_size NOT BETWEEN 1 AND 40 THEN 'range: size' END, CASE WHEN p_type NOT IN (SELECT min(p_type) FROM part) THEN 'enum: type' END], lambda x: x IS NOT NULL)) AS message FROM part""")
-def txt9_record_rules(spark, sf):
-    """Required, pattern, range and enum rules in one pass; each break is a violation."""
-    p = V.read(spark, sf, "part")
-    allowed = p.agg(F.min("p_type").alias("_t"))
-    rules = {
-        "required: name": F.col("p_name").isNull() | (F.trim("p_name") == ""),
-        "pattern: brand": ~F.col("p_brand").rlike("^Brand#[1-3][1-5]$"),
-        "range: size": ~F.col("p_size").between(1, 40),
-        "enum: type": F.col("p_type") != F.col("_t"),
-    }
-    broken = F.array_compact(F.array(*[F.when(c, F.lit(m)) for m, c in rules.items()]))
-    return p.join(F.broadcast(allowed)).select(F.col("p_partkey").cast("string").alias("path"), F.explode(broken).alias("message"))  # one row
-
-
 @query("""SELECT event_type, count(*)::BIGINT AS n, max(value) AS worst, max(value) FILTER (rn = floor((m - 1) * 0.95e0) + 1) AS p95, count(*) FILTER (value > 50)::BIGINT AS n_long FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY 1""")
 def agg24_frame_summary(spark, sf):
     """Count, p95 by index, worst and number of long frames. Equal values are counted before they are ranked."""

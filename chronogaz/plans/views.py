@@ -93,6 +93,12 @@ def v_graph(spark, sf_dir, m: int = 5000):
     return read(spark, sf_dir, "orders").select((F.col("o_custkey") % m).alias("src"), (F.col("o_orderkey") % m).alias("dst"), (F.col("o_orderkey") * 31 % 97 + 1).alias("weight")).where("src <> dst")
 
 
+def v_graph_ids(spark, sf_dir, m: int = 5000):
+    """The graph with an id for each edge."""
+    o = read(spark, sf_dir, "orders")
+    return o.select((F.col("o_custkey") % m).alias("src"), (F.col("o_orderkey") % m).alias("dst"), (F.col("o_orderkey") * 31 % 97 + 1).alias("weight"), F.col("o_orderkey").alias("id")).where("src <> dst")
+
+
 _EDGES = " UNION ALL ".join(f"SELECT {i} AS seq, {a[0]} AS ax, {a[1]} AS ay, {b[0]} AS bx, {b[1]} AS by_" for i, (a, b) in enumerate(zip(RING, RING[1:] + RING[:1])))
 ORACLE_VIEWS = {
     "v_site": "SELECT s_suppkey AS id, -10e0 + (s_suppkey * 7919 % 6000) / 100e0 AS lon, 20e0 + (s_suppkey * 6101 % 3000) / 100e0 AS lat FROM supplier",

@@ -23,10 +23,12 @@ def read_records(spark: SparkSession, path: str, schema: StructType) -> tuple[Da
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), bad
 
 
-def read_features(spark: SparkSession, path: str, properties: str = "map<string,string>") -> DataFrame:
-    """(file, at, id, properties, kind, rings): one row per feature; polygon and line rings alike as arrays of points."""
+def read_features(spark: SparkSession, path: str, properties: str = "map<string,string>", lines: bool = False) -> DataFrame:
+    """(file, at, id, properties, kind, rings): one row per feature; polygon and line rings alike as arrays of points.
+
+    A file is one collection, or with lines a collection on each line."""
     schema = f"type string, features array<struct<id:string,properties:{properties},geometry:struct<type:string,coordinates:string>>>"
-    docs = spark.read.schema(schema).option("multiLine", True).json(path)
+    docs = spark.read.schema(schema).option("multiLine", not lines).json(path)
     rows = docs.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.posexplode("features").alias("at", "f"))
     kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     point, rings = "array<double>", "array<array<array<double>>>"
@@ -74,9 +76,9 @@ def read_lookup(spark: SparkSession, path: str, schema: StructType, key: str) ->
     return best.select(key, "_v.*") if rest else best
 
 
-def read_sidecars(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:
-    """JSON documents whose key stands in the body, else in the file's name; rows with neither are left out."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+def read_sidecars(spark: SparkSession, path: str, schema: StructType, key: str, multiline: bool = True) -> DataFrame:
+    """JSON documents (one to a file, or to a line) whose key stands in the body, else in the file's name; rows with neither are left out."""
+    rows = spark.read.schema(schema).option("multiLine", multiline).json(path)
     named = F.regexp_extract(F.col("_metadata.file_name"), FILE_ID, 1)
     return rows.withColumn(key, F.coalesce(F.nullif(F.col(key), F.lit("")), F.nullif(named, F.lit("")))).where(F.col(key).isNotNull())
 
