@@ -5,7 +5,9 @@ EBML elements, clusters, simple blocks and block groups, all four kinds of lacin
 track, timestamp, byte range and keyframe flag; `payloads` puts a track's bytes together again from those ranges.
 
 Nulls: a null payload is muxed as an empty one, a null media value has no packets. A file that is cut off or damaged
-gives the packets before the damage. Repeated rows stay apart; other columns pass through.
+gives the packets before the damage. Repeated rows stay apart; other columns pass through, and one that has the name of
+a column of the packet table gives way to it. A payload and its media are held whole: a very long one must fit a task's
+memory some six times, and batches of rows are cut to a bounded number of bytes.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronogaz.llm.common import text_bytes
+from chronogaz.llm.common import batches, cut, give_back, text_bytes
 
 #: Samples in a frame, frames in a laced block, blocks in a cluster, samples a second.
 FRAME, LACE, BLOCKS, RATE = 192, 8, 32, 8000
+#: Bytes of a column in a batch.
+BATCH = 4 << 20
 
 # Fixed values of the Matroska format: element ids.
 EBML, EBML_VERSION, EBML_READ, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -182,12 +186,14 @@ def padded(data: bytes, unit: int = FRAME) -> bytes:
 
 def mux(df: DataFrame, payload: str, media: str = "media") -> DataFrame:
     """Adds the Matroska form of a binary or string column, padded with spaces to whole frames."""
+    rows = df.drop(media).withColumn(media, F.coalesce(F.col(payload).cast("binary"), F.lit(b"")))
 
-    @F.pandas_udf("binary")
-    def to_media(s):
-        return s.map(lambda x: mux_bytes(padded(bytes(x) if x is not None else b"")))
+    def run(it):
+        for b in (s for x in it for s in batches([x], BATCH, media)):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([mux_bytes(padded(x)) for x in text_bytes(b, media)], pa.binary())], b.schema.names)
+        give_back()
 
-    return df.withColumn(media, to_media(F.col(payload).cast("binary")))
+    return rows.mapInArrow(run, rows.schema)
 
 
 PACKETS = "array<struct<track:int,timestamp_ms:long,byte_start:long,byte_end:long,lace:int,keyframe:boolean>>"
@@ -196,13 +202,16 @@ PACKETS = "array<struct<track:int,timestamp_ms:long,byte_start:long,byte_end:lon
 def packets(df: DataFrame, media: str = "media") -> DataFrame:
     """The packet table: a row for each packet, with the columns of df but the media."""
 
+    names = ("track", "timestamp_ms", "byte_start", "byte_end", "lace", "keyframe")
+
     @F.pandas_udf(PACKETS)
     def parsed(s):
-        names = ("track", "timestamp_ms", "byte_start", "byte_end", "lace", "keyframe")
         return s.map(lambda x: [dict(zip(names, p)) for p in parse(bytes(x))] if x is not None else [])
 
-    kept = [F.col(c) for c in df.columns if c != media]
-    return df.select(*kept, F.posexplode(parsed(F.col(media))).alias("packet_no", "_p")).select(*kept, "packet_no", "_p.*")
+    own = {"packet_no", *names}
+    kept = [c for c in df.columns if c != media and c not in own]
+    found = df.select(F.struct(*kept, F.lit(0).alias("_")).alias("row"), F.posexplode(parsed(F.col(media))).alias("packet_no", "packet"))
+    return found.select(*[F.col("row")[c].alias(c) for c in kept], "packet_no", "packet.*")
 
 
 def payloads(df: DataFrame, media: str = "media", payload: str = "payload", track: int = 1) -> DataFrame:
@@ -219,26 +228,29 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 
 def media_digest(df: DataFrame) -> DataFrame:
-    """For each row (doc_id, text): the text is muxed, the stored bytes are parsed, and features are computed from the packets.
+    """For each row (doc_id, text): the text is muxed into a media column of a table in the shared folder, the stored
+    bytes are read back and parsed, and features are computed from the packets.
 
     feature: packets, clusters named by cues, mean and spread of the samples, zero crossings about 128. A function of
     the stored bytes alone, so equal texts get equal values.
     """
 
     def run(it):
-        for batch in it:
-            ids, out = batch.column(0).to_pylist(), []
-            for doc, raw in zip(ids, text_bytes(batch)):
-                media = mux_bytes(padded(raw))
+        names, types = ([x.split()[k] for x in FEATURES.split(", ")] for k in (0, 1))
+        for batch in (s for b in it for s in batches([b], BATCH, "media")):
+            out = []
+            for doc, size, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found = parse(media)
                 payload = b"".join([media[a:b] for _, _, a, b, _, _ in found])
                 s = np.frombuffer(payload, np.uint8)
                 high = s >= 128
                 feature = f"{len(found)}:{len(cue_points(media))}:{s.mean():.4f}:{s.std():.4f}:{int(np.count_nonzero(high[1:] != high[:-1]))}"
-                out.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(found), found[-1][1] + FRAME * 1000 // RATE))
-            names = [x.split()[0] for x in FEATURES.split(", ")]
+                out.append((doc, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(found), found[-1][1] + FRAME * 1000 // RATE))
             cols = list(zip(*out)) if out else [[] for _ in names]
-            types = [pa.string() if x.endswith("string") else pa.int64() for x in FEATURES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if t == "string" else pa.int64()) for c, t in zip(cols, types)], names)
+        give_back()
 
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, FEATURES)
+    text = F.col("text").cast("string")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
+    stored = cut(mux(rows, "text").select("doc_id", "n_bytes", "media"))
+    return stored.mapInArrow(run, FEATURES)
