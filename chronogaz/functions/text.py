@@ -60,3 +60,20 @@ def name_variants(name: Column, connectors: tuple[str, ...]) -> Column:
     rest = F.substr(name, F.lit(2))
     both = F.array(name, F.concat(F.upper(F.substr(name, F.lit(1), F.lit(1))), rest), F.concat(F.lower(F.substr(name, F.lit(1), F.lit(1))), rest))
     return F.array_distinct(F.when(opens, both).otherwise(F.array(name)))
+
+
+def country_label(name: Column, countries: Column) -> Column:
+    """Distinct countries that the name does not hold as whole words, in their order: "A, B and C"; none gives null."""
+    own = F.filter(F.array_distinct(countries), lambda c: ~F.regexp_like(name, F.concat(F.lit("(^|[^A-Za-z])"), c, F.lit("([^A-Za-z]|$)"))))
+    head = F.array_join(F.slice(own, F.lit(1), F.size(own) - 1), ", ")
+    return F.when(F.size(own) == 1, F.get(own, F.lit(0))).when(F.size(own) > 1, F.concat(head, F.lit(" and "), F.element_at(own, -1)))
+
+
+def media_verdict(url: Column, page: Column) -> Column:
+    """Whether a media URL lies in the folders that its decoded file name hashes to, and its page names the same file."""
+    part = lambda i: F.element_at(F.split(url, "/"), i)
+    file = F.try_url_decode(part(-1))
+    h = F.md5(file.cast("binary"))
+    named = F.try_url_decode(F.regexp_extract(page, "File:(.*)$", 1))
+    folders = (F.substring(h, 1, 1) == part(-3)) & (F.substring(h, 1, 2) == part(-2))
+    return F.when(file.isNull() | named.isNull(), "bad escape").when(~folders, "hash folders").when(file != named, "page names another file").otherwise("ok")

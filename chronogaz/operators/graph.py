@@ -111,3 +111,17 @@ def traced_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> Da
         if at.isEmpty():
             return out.select("target", "back", "node", "edge", "cost")
         out = out.unionByName(at.select(out.columns))
+
+
+def running(values: DataFrame, by: str, value: str, n: str) -> DataFrame:
+    """(by, value, n), values distinct in a key -> with upto: n summed over the key's values up to this one.
+
+    Key and value are range-partitioned together, so a hot key takes many ranges; their sums, a row for each key and range,
+    are summed first, then the values inside a range."""
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(values.select(by, value, n).repartitionByRange(parts, by, value).withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy(by, "range").agg(F.sum(n).alias("s")).select(F.col(by).alias("_by"), F.col("range").alias("_range"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    inside = F.sum(n).over(Window.partitionBy(by, "range").orderBy(value))
+    rows = ranged.withColumn("inside", inside).join(base, F.col(by).eqNullSafe(F.col("_by")) & (F.col("range") == F.col("_range")))
+    return rows.select(by, value, n, (F.col("base") + F.col("inside")).alias("upto"))

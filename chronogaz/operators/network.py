@@ -207,3 +207,16 @@ def stitched(vertices: DataFrame, anchors: DataFrame, name: str, line: str, limi
 
     kind = {f.name: f.dataType.simpleString() for f in vertices.schema.fields}
     return rows.groupBy(name).applyInPandas(one, f"{name} {kind[name]}, pos long, {line} {kind[line]}, reversed boolean")
+
+
+def passed_in_order(vertices: DataFrame, via: DataFrame, line: str, first: int, second: int, near_m: float = 1.0) -> DataFrame:
+    """(line, first_at, second_at, passed): the first vertex within near_m of a line's first place and, there or later, of
+    its second; via: (line, place, vx, vy)."""
+    p = vertices.select(line, "seq", "lon", "lat")
+    hit = via.join(p, line).where(geo.haversine_km(F.col("lon"), F.col("lat"), F.col("vx"), F.col("vy")) * 1000 <= near_m).select(line, "place", "seq")
+    a = hit.where(F.col("place") == first).groupBy(line).agg(F.min("seq").alias("first_at"))
+    both = via.groupBy(line).agg(F.count_if(F.col("place") == first).alias("na"), F.count_if(F.col("place") == second).alias("nb")).where("na > 0 and nb > 0").select(line).join(a, line, "left")
+    b = hit.where(F.col("place") == second).join(both, line).where(F.col("seq") >= F.coalesce("first_at", F.lit(1))).groupBy(line).agg(F.min("seq").alias("second_at"))
+    rows = both.join(b, line, "left")
+    at = lambda c: F.col(c).cast("long").alias(c)
+    return rows.select(line, at("first_at"), at("second_at"), (F.col("first_at").isNotNull() & F.col("second_at").isNotNull()).alias("passed"))

@@ -97,14 +97,18 @@ def holder_at(points: DataFrame, periods: DataFrame, key: str, at: str, width: i
     return p.join(cells, on, "left").drop("_k", "_b")
 
 
-def override(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
+def override(base: DataFrame, over: DataFrame, key: str, width: int = 365) -> DataFrame:
     """Base intervals (key, from, to, holder) with non-overlapping overrides of the same key laid over them.
 
     An override keeps only what lies in a base interval; pieces are the base's cuts. All overrides of a key are cut in
-    one pass: elementary pieces between consecutive bounds, each with the override that holds it, else its base."""
-    o = over.select(F.col(key).alias("_k"), F.col("from").alias("_f"), F.col("to").alias("_t"), F.col("holder").alias("_h"))
-    hits = base.join(o, (base[key] == o["_k"]) & (o["_f"] < base["to"]) & (base["from"] < o["_t"]), "left")
-    grouped = hits.groupBy(key, "from", "to", "holder").agg(F.array_sort(F.collect_list(F.when(F.col("_f").isNotNull(), F.struct("_f", "_t", "_h")))).alias("_o"))
+    one pass: elementary pieces between consecutive bounds, each with the override that holds it, else its base. Base and
+    overrides meet in buckets of `width`, so a key with many periods is no product."""
+    own = F.struct("from", "to", "holder")
+    a = base.select(F.col(key), own.alias("a_id"), F.col("from").alias("a_from"), F.col("to").alias("a_to")).distinct()
+    b = over.select(F.col(key), F.struct(F.col("from").alias("_f"), F.col("to").alias("_t"), F.col("holder").alias("_h")).alias("b_id"), F.col("from").alias("b_from"), F.col("to").alias("b_to"))
+    held_by = overlaps(a, b, key, width).groupBy(key, "a_id").agg(F.array_sort(F.collect_list("b_id")).alias("_o"))
+    none = F.array().cast(held_by.schema["_o"].dataType)
+    grouped = base.withColumn("a_id", own).join(held_by, [key, "a_id"], "left").withColumn("_o", F.coalesce("_o", none)).drop("a_id")
     cuts = F.array_sort(F.array_distinct(F.concat(F.array("from", "to"), F.flatten(F.transform("_o", lambda x: F.array(F.greatest(F.col("from"), x["_f"]), F.least(F.col("to"), x["_t"])))))))
     pieces = grouped.withColumn("_c", cuts).withColumn("_p", F.explode(F.transform(F.sequence(F.lit(0), F.size("_c") - 2), lambda i: F.struct(F.get("_c", i).alias("f"), F.get("_c", i + 1).alias("t")))))
     held = F.get(F.filter("_o", lambda x: (x["_f"] <= F.col("_p.f")) & (F.col("_p.t") <= x["_t"])), F.lit(0))["_h"]

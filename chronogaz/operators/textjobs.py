@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronogaz.functions.text import one_edit, search_fold
+from chronogaz.operators.graph import running
 
 
 def ranked_search(names: DataFrame, queries: tuple[str, ...], top: int, key: str = "name") -> DataFrame:
@@ -59,8 +60,8 @@ def every_other(rows: DataFrame, key: str, at: str) -> DataFrame:
 def index_quantile(values: DataFrame, by: str, value: str, n: str, share: float, limit: float) -> DataFrame:
     """(by, n, worst, p95, n_long) from values with their counts: the value at place floor((n - 1) * share) in order."""
     totals = values.groupBy(by).agg(F.sum(n).alias("_all"), F.sum(F.when(F.col(value).isNotNull(), F.col(n)).otherwise(0)).alias("_m"), F.max(value).alias("worst"), F.sum(F.when(F.col(value) > limit, F.col(n)).otherwise(0)).alias("n_long"))
-    upto = F.sum(n).over(Window.partitionBy(by).orderBy(value))
-    ranked = values.where(F.col(value).isNotNull()).withColumn("_hi", upto).join(totals.select(by, "_m"), by)
+    upto = running(values.where(F.col(value).isNotNull()), by, value, n).withColumnRenamed("upto", "_hi")
+    ranked = upto.join(totals.select(by, "_m"), by)
     place = F.floor((F.col("_m") - 1) * share) + 1
     at = ranked.where((F.col("_hi") >= place) & (F.col("_hi") - F.col(n) < place)).select(by, F.col(value).alias("p95"))
     return totals.join(at, by, "left").select(by, F.col("_all").alias("n"), "worst", "p95", "n_long")
@@ -124,3 +125,15 @@ def chosen(mentions_: DataFrame, key: str) -> DataFrame:
 
     kept = F.aggregate("m", F.expr(f"cast(array() as {kind})"), step)
     return rows.select(key, F.explode(kept).alias("c")).select(key, "c.place", "c.at", (-F.col("c.n")).alias("n"))
+
+
+REFERENCE = r"^((?:[1-3] )?[A-Z][A-Za-z ]*) ([0-9]+):([0-9]+)(?:-([0-9]+))?$"
+
+
+def references(df: DataFrame, ref: str, books: DataFrame) -> DataFrame:
+    """Adds to df, less ref: code, chapter, first_verse, last_verse, verdict of a reference; books: (book, code), a fixed list."""
+    part = lambda i: F.regexp_extract(ref, REFERENCE, i)
+    number = lambda i: F.nullif(part(i), F.lit("")).cast("long")
+    rows = df.withColumns({"book": part(1), "chapter": number(2), "first_verse": number(3), "last_verse": F.coalesce(number(4), number(3))}).join(F.broadcast(books), "book", "left")  # some seventy books
+    verdict = F.when(F.col("book") == "", "not a reference").when(F.col("code").isNull(), "unknown book").when(F.col("last_verse") < F.col("first_verse"), "ends before it starts").otherwise("ok")
+    return rows.withColumn("verdict", verdict).drop("book", ref)

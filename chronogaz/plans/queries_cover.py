@@ -65,24 +65,6 @@ def spa25_outside_land(spark, sf):
     return box.join(border, "area_id", "left").select("area_id", F.when(frame, "beyond").when(F.col("_b"), "enclosed").otherwise("island").alias("class"))
 
 
-def _lo(a: str, d: str, lo: int, hi: int) -> str:
-    return f"CASE WHEN {d} > 0 THEN ({lo} - {a}) / {d} WHEN {d} < 0 THEN ({hi} - {a}) / {d} WHEN {a} BETWEEN {lo} AND {hi} THEN 0e0 ELSE 2e0 END"
-
-
-def _hi(a: str, d: str, lo: int, hi: int) -> str:
-    return f"CASE WHEN {d} > 0 THEN ({hi} - {a}) / {d} WHEN {d} < 0 THEN ({lo} - {a}) / {d} ELSE 1e0 END"
-
-
-@query(f"""SELECT line_id, floor(sum(len) * 1000 + 0.5e0)::BIGINT AS before, floor(sum(len * greatest(0e0, t1 - t0)) * 1000 + 0.5e0)::BIGINT AS kept FROM (SELECT line_id, sqrt(dx * dx + dy * dy) AS len, greatest(0e0, {_lo('x1', 'dx', 0, 30)}, {_lo('y1', 'dy', 25, 40)}) AS t0, least(1e0, {_hi('x1', 'dx', 0, 30)}, {_hi('y1', 'dy', 25, 40)}) AS t1
-FROM (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM v_seg)) GROUP BY 1 HAVING sum(len * greatest(0e0, t1 - t0)) >= 0.1e0""", ("v_seg",))
-def spa26_cut_to_mask(spark, sf):
-    """Line lengths in degrees before and after the cut to a box; lines left with under a tenth of a degree go."""
-    s = S.segments(V.v_line(spark, sf)).withColumns({"dx": F.col("x2") - F.col("x1"), "dy": F.col("y2") - F.col("y1")})
-    s = s.withColumn("len", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).withColumn("share", S.share_in_box(0.0, 25.0, 30.0, 40.0))
-    g = s.groupBy("line_id").agg(F.sum("len").alias("b"), F.sum(F.col("len") * F.col("share")).alias("k")).where("k >= 0.1")
-    return g.select("line_id", geo.scaled(F.col("b")).alias("before"), geo.scaled(F.col("k")).alias("kept"))
-
-
 @query()
 def spa3_simplified_lines(spark, sf):
     """Vertices that line simplification at 3 degrees keeps. No twin: recursive; tests hold it against a plain version."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronogaz.operators import graph as G
 from chronogaz.operators import rules
 from chronogaz.plans import views as V
 from chronogaz.plans.registry import query
@@ -110,12 +111,6 @@ def jon24_exact_set(spark, sf):
     return have.exceptAll(want).withColumn("kind", F.lit("extra")).unionByName(want.exceptAll(have).withColumn("kind", F.lit("missing")))
 
 
-@query("SELECT d.doc_id, l.quality, l.doc_id IS NULL AS missed FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR l.quality IS DISTINCT FROM d.doc_id % 2")
-def jon28_fill_from_lookup(spark, sf):
-    d, l = V.read(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("old")), V.read(spark, sf, "labels").select("doc_id", "quality", F.lit(1).alias("_f"))  # noqa: E741
-    return d.join(l, "doc_id", "left").where(F.col("_f").isNull() | ~F.col("quality").eqNullSafe(F.col("old"))).select("doc_id", "quality", F.col("_f").isNull().alias("missed"))
-
-
 @query("""SELECT o_orderkey, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice), '') AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY o_orderkey""")
 def jon29_hydrate(spark, sf):
     li = V.read(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).alias("p"))
@@ -144,9 +139,8 @@ _FLAG = "l_returnflag || l_linestatus"
 def _catalogue(spark, sf):
     li = V.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("v"))
     first = li.groupBy("v").agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey")).alias("at"))
-    from pyspark.sql import Window
-
-    return li, first.select("v", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("ix"))  # distinct values only
+    placed = G.positions(first, "at")  # the values' places in first-seen order, by ranges
+    return li, placed.select("v", (F.col("pos") - 1).alias("ix"))
 
 
 @query(f"""SELECT v, (row_number() OVER (ORDER BY pos.a, pos.b, pos.c) - 1)::BIGINT AS ix FROM (SELECT {_FLAG} AS v, min(struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey)) AS pos FROM lineitem GROUP BY 1)""")

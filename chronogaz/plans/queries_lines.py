@@ -159,31 +159,6 @@ def agg17_dominant_neighbour(spark, sf):
 _KM2 = "abs(sum(radians(x2 - x1) * (sin(radians(y1)) + sin(radians(y2))))) * 6371.0088e0 * 6371.0088e0 / 2"
 
 
-@query(f"SELECT area_id, km2 BETWEEN 500000 AND 800000 AS in_range, abs(km2 / 700000 - 1) <= 0.1e0 AS on_target FROM (SELECT area_id, {_KM2} AS km2 FROM v_edge GROUP BY 1)", ("v_edge",))
-def agg21_area_sanity(spark, sf):
-    km2 = F.col("km2")
-    return S.sphere_km2(V.v_edge(spark, sf), "area_id").select("area_id", km2.between(500000, 800000).alias("in_range"), (F.abs(km2 / 700000 - 1) <= 0.1).alias("on_target"))
-
-
-@query(_PT_IN.format(p="v_probe") + " SELECT n_nationkey AS area_id, count(i.id)::BIGINT AS observed, abs(count(i.id) * 25 - (SELECT count(*) FROM v_probe)) * 10 > 3 * (SELECT count(*) FROM v_probe) AS flagged FROM nation LEFT JOIN inside i ON i.area_id = n_nationkey GROUP BY 1", ("v_probe", "v_edge"))
-def agg22_observed_expected(spark, sf):
-    """Points in each area against an even share of them; flagged beyond 30 %."""
-    probe = V.v_probe(spark, sf)
-    n = S.containing(probe, _edges(spark, sf)).groupBy("area_id").agg(F.count("*").alias("observed"))
-    areas = V.read(spark, sf, "nation").select(F.col("n_nationkey").alias("area_id"))
-    total = probe.agg(F.count("*").alias("_t"))
-    rows = areas.join(n, "area_id", "left").fillna(0, ["observed"]).join(F.broadcast(total))  # one row
-    return rows.select("area_id", "observed", (F.abs(F.col("observed") * 25 - F.col("_t")) * 10 > 3 * F.col("_t")).alias("flagged"))
-
-
-@query("""SELECT line_id, a::BIGINT AS first_east, min(seq)::BIGINT AS then_north FROM v_line JOIN (SELECT line_id AS l, min(seq) AS a FROM v_line WHERE lon > 10 GROUP BY 1) ON l = line_id WHERE lat > 35 AND seq >= a GROUP BY 1, 2""", ("v_line",))
-def win13_passed_in_order(spark, sf):
-    """Lines that pass one gate and, there or later, the next: the first place of each."""
-    w = Window.partitionBy("line_id").orderBy("seq")
-    p = V.v_line(spark, sf).withColumn("a", F.min(F.when(F.col("lon") > 10, F.col("seq"))).over(w))
-    return p.where("lat > 35 and a is not null").groupBy("line_id", F.col("a").cast("long").alias("first_east")).agg(F.min("seq").cast("long").alias("then_north"))
-
-
 _D = V.hav("a.lon", "a.lat", "b.lon", "b.lat")
 
 

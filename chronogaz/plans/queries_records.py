@@ -81,12 +81,6 @@ def flt15_any_disputed(spark, sf):
     return V.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_quantity") >= 49).alias("disputed"))
 
 
-@query("SELECT o_orderkey, o_custkey, s_suppkey AS site, s_suppkey IS NULL AS unresolved FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey AND s_suppkey % 3 <> 0")
-def jon4_resolve_or_report(spark, sf):
-    s = V.read(spark, sf, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("site"))
-    return V.read(spark, sf, "orders").join(s, F.col("site") == F.col("o_custkey"), "left").select("o_orderkey", "o_custkey", "site", F.col("site").isNull().alias("unresolved"))
-
-
 def _compared(spark, sf):
     """Derived periods against a stored copy with some holders changed and some rows missing."""
     d = V.v_period(spark, sf).select("area_id", "id", "holder")
@@ -121,26 +115,12 @@ def agg6_first_seen_order(spark, sf):
     return V.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_distinct(F.transform(at, lambda x: x.l_suppkey.cast("string"))), ",").alias("suppliers"))
 
 
-@query("SELECT count(*) AS n, count_if(o_orderstatus = 'F') AS kept, count_if(o_orderpriority LIKE '1%') AS known, count_if(o_orderstatus <> 'F') AS excluded FROM orders")
-def agg13_kept_known_excluded(spark, sf):
-    s = F.col("o_orderstatus")
-    return V.read(spark, sf, "orders").agg(F.count("*").alias("n"), F.count_if(s == "F").alias("kept"), F.count_if(F.col("o_orderpriority").startswith("1")).alias("known"), F.count_if(s != "F").alias("excluded"))
-
-
 @query("SELECT o_custkey, count_if(o_orderkey % 3 = 0) || ' mapped, ' || count_if(o_orderkey % 3 <> 0) || ' unmapped' AS summary FROM orders GROUP BY 1")
 def agg20_summary_text(spark, sf):
     mapped = F.col("o_orderkey") % 3 == 0
     return V.read(spark, sf, "orders").groupBy("o_custkey").agg(F.format_string("%d mapped, %d unmapped", F.count_if(mapped), F.count_if(~mapped)).alias("summary"))
 
 
-@query("SELECT line_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_points FROM (SELECT line_id, seq, (line_id + seq) % 4 = 0 AS cut, seq - row_number() OVER (PARTITION BY line_id, (line_id + seq) % 4 = 0 ORDER BY seq) AS run FROM v_line) WHERE NOT cut GROUP BY line_id, run HAVING count(*) >= 2", ("v_line",))
-def win9_split_at_excluded(spark, sf):
-    """Pieces between excluded points, of two points at least."""
-    p = V.v_line(spark, sf).withColumn("cut", (F.col("line_id") + F.col("seq")) % 4 == 0)
-    p = p.withColumn("run", F.sum(F.col("cut").cast("int")).over(Window.partitionBy("line_id").orderBy("seq"))).where("not cut")
-    return p.groupBy("line_id", "run").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n_points")).where("n_points >= 2").drop("run")
-
-
 _BAND = "CASE WHEN p_partkey % 97 = 0 THEN 0 WHEN p_size > 45 THEN 1 WHEN p_type LIKE 'STANDARD%' THEN 2 ELSE 3 END"
 
 
@@ -159,13 +139,6 @@ def win16_label_choice(spark, sf):
     return V.read(spark, sf, "part").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("p_brand", "p_type", "p_partkey")
 
 
-@query("SELECT p_brand, p_partkey, n = 1 AND p_size >= 5 AS kept FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS n FROM part)")
-def srt6_largest_part(spark, sf):
-    """The largest part of each group, unless too small; the rest is reported as dropped."""
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey")
-    return V.read(spark, sf, "part").withColumn("_n", F.row_number().over(w)).select("p_brand", "p_partkey", F.expr("_n = 1 and p_size >= 5").alias("kept"))
-
-
 @query("SELECT l_orderkey, l_suppkey, 'repeated' AS message FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT DISTINCT l_orderkey, l_suppkey, 'endpoint' FROM lineitem JOIN orders ON o_orderkey = l_orderkey AND o_custkey = l_suppkey")
 def set3_mentioned_once(spark, sf):
     m = V.read(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
@@ -180,15 +153,6 @@ def set4_union_of_sources(spark, sf):
     return one.groupBy("area_id", "holder").agg(F.array_join(F.array_sort(F.collect_list("s")), ",").alias("sources"))
 
 
-@query("SELECT line_id, 'union-' || min(line_id) OVER (PARTITION BY shape) AS geometry_id FROM (SELECT line_id, string_agg(seq || ':' || lon::BIGINT || ' ' || lat::BIGINT, ',' ORDER BY seq) AS shape FROM (SELECT line_id, seq, floor(lon / 30) AS lon, floor(lat / 30) AS lat FROM v_line) GROUP BY 1)", ("v_line",))
-def set7_geometry_registry(spark, sf):
-    """Equal geometry has one id, named by its first user; users are joined to a registry, so no shape's group is one task's."""
-    at = F.sort_array(F.collect_list(F.struct("seq", F.floor(F.col("lon") / 30).alias("x"), F.floor(F.col("lat") / 30).alias("y"))))
-    g = V.v_line(spark, sf).groupBy("line_id").agg(F.sha2(F.to_json(at), 256).alias("shape"))
-    registry = g.groupBy("shape").agg(F.concat(F.lit("union-"), F.min("line_id").cast("string")).alias("geometry_id"))
-    return g.join(registry, "shape").select("line_id", "geometry_id")
-
-
 @query(r"SELECT p_partkey, lower(trim(p_name)) AS key, trim(regexp_replace(lower(p_type), '\s+', ' ', 'g')) AS spaced FROM part")
 def str3_keys(spark, sf):
     return V.read(spark, sf, "part").select("p_partkey", text.key_fold(F.col("p_name")).alias("key"), text.space_fold(F.col("p_type")).alias("spaced"))
@@ -207,21 +171,6 @@ def str4_one_edit_or_swap(spark, sf):
     return a.join(b, "size").where((F.col("one") < F.col("other")) & near).select("one", "other")
 
 
-@query("SELECT p_partkey, p_size AS chapter, p_partkey % 30 + 1 AS first_verse, p_partkey % 40 AS last_verse, p_partkey % 40 >= p_partkey % 30 + 1 AS valid FROM part")
-def str5_reference_grammar(spark, sf):
-    ref = F.concat_ws("", F.lit("Book "), "p_size", F.lit(":"), F.col("p_partkey") % 30 + 1, F.lit("-"), F.col("p_partkey") % 40)
-    part = lambda i: F.regexp_extract("ref", r"^([A-Z][a-z]+) (\d+):(\d+)-(\d+)$", i).cast("long")
-    p = V.read(spark, sf, "part").withColumn("ref", ref).select("p_partkey", part(2).alias("chapter"), part(3).alias("first_verse"), part(4).alias("last_verse"))
-    return p.withColumn("valid", F.col("last_verse") >= F.col("first_verse"))
-
-
-@query("SELECT n_regionkey, CASE WHEN len(l) > 1 THEN array_to_string(l[:-2], ', ') || ' and ' || l[-1] ELSE l[1] END AS label FROM (SELECT n_regionkey, list_sort(list(DISTINCT n_name)) AS l FROM nation GROUP BY 1)")
-def str7_location_label(spark, sf):
-    names = V.read(spark, sf, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_set("n_name")).alias("l"))
-    label = F.when(F.size("l") > 1, F.concat(F.array_join(F.slice("l", F.lit(1), F.size("l") - 1), ", "), F.lit(" and "), F.element_at("l", -1))).otherwise(F.element_at("l", 1))
-    return names.select("n_regionkey", label.alias("label"))
-
-
 @query("SELECT p_brand, string_agg(n, ', ' ORDER BY n) AS also FROM (SELECT p_brand, min(p_type) AS n FROM part GROUP BY p_brand, lower(p_type)) GROUP BY 1")
 def str9_also_known_as(spark, sf):
     one = V.read(spark, sf, "part").groupBy("p_brand", F.lower("p_type").alias("k")).agg(F.min("p_type").alias("n"))
@@ -242,13 +191,6 @@ def str14_media_warnings(spark, sf):
     return V.read(spark, sf, "part").select("p_partkey", (w < 1200).alias("narrow"), (w > F.lit(2.2).cast("double") * h).alias("wide")).where("narrow or wide")
 
 
-@query(f"SELECT id, floor(radians(lon) * {RADIUS}e0)::BIGINT AS x, floor(ln(tan(pi() / 4 + radians(lat) / 2)) * {RADIUS}e0)::BIGINT AS y, floor(1e6 * cos(radians(lat)))::BIGINT AS scale_ppm FROM v_site", ("v_site",))
-def geo3_mercator(spark, sf):
-    """Whole metres, and the ground scale 1 / cosh(y / R) in millionths."""
-    y = F.log(F.tan(F.lit(math.pi / 4) + F.radians("lat") / 2))
-    return V.v_site(spark, sf).select("id", F.floor(F.radians("lon") * RADIUS).alias("x"), F.floor(y * RADIUS).alias("y"), F.floor(F.lit(1e6) * F.cos(F.radians("lat"))).alias("scale_ppm"))
-
-
 @query(f"SELECT id, floor((lon + 180) / 360 * {WORLD * 64}e0)::BIGINT AS px, floor((0.5e0 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * {WORLD * 64}e0)::BIGINT AS py FROM v_site", ("v_site",))
 def geo9_pixels(spark, sf):
     """Pixels of the world map at zoom 6."""

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronogaz.functions import geo, text
+from chronogaz.operators import graph as G
 from chronogaz.operators import rules
 from chronogaz.plans import views as V
 from chronogaz.plans.registry import query
@@ -71,13 +72,6 @@ def flt8_name_rule(spark, sf):
     return hit.join(V.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE n_chars > 4000 UNION ALL SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND n_chars <= 4000")
-def flt14_hosted_files(spark, sf):
-    """Too large, or not in the listing."""
-    d = V.read(spark, sf, "documents").select("doc_id", "n_chars")
-    return d.where("n_chars > 4000").unionByName(d.where("n_chars <= 4000").join(V.read(spark, sf, "labels"), "doc_id", "left_anti"))
-
-
 @query("SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS level, count(*)::BIGINT AS n, floor(sum(l_quantity) + 0.5e0)::BIGINT AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def agg1_cost_rollup(spark, sf):
     li = V.read(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus")
@@ -94,11 +88,6 @@ def agg3_duplicate_labels(spark, sf):
     return V.read(spark, sf, "part").groupBy("p_brand", text.key_fold(F.col("p_name")).alias("name")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("SELECT o_custkey, n, CASE WHEN n > 15 THEN 'error' ELSE 'warning' END AS severity FROM (SELECT o_custkey, count(*)::BIGINT AS n FROM orders GROUP BY 1) WHERE n > 15 OR n < 4")
-def agg4_count_limits(spark, sf):
-    return rules.count_limits(V.read(spark, sf, "orders"), "o_custkey", F.lit(15), F.lit(4))
-
-
 @query("SELECT o_orderkey, array_to_string(list_sort(list_distinct([o_orderstatus, o_orderpriority, 'c' || o_custkey % 3, o_orderstatus, 'c' || o_orderkey % 3])), ',') AS ids FROM orders")
 def agg5_distinct_sources(spark, sf):
     c = lambda k: F.concat(F.lit("c"), (F.col(k) % 3).cast("string"))
@@ -106,12 +95,6 @@ def agg5_distinct_sources(spark, sf):
     return V.read(spark, sf, "orders").select("o_orderkey", F.array_join(F.sort_array(F.array_distinct(arrays)), ",").alias("ids"))
 
 
-@query("SELECT conv_id, count(*)::BIGINT AS n, string_agg(role || ':' || turn, ' ' ORDER BY turn, role) AS passages FROM conversations GROUP BY conv_id")
-def agg7_group_passages(spark, sf):
-    g = V.read(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("p"))
-    return g.select("conv_id", "n", F.array_join(F.transform("p", lambda x: F.concat(x["role"], F.lit(":"), x["turn"].cast("string"))), " ").alias("passages"))
-
-
 @query("SELECT line_id, min(lon) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north FROM v_line GROUP BY 1", ("v_line",))
 def agg8_extent(spark, sf):
     return V.v_line(spark, sf).groupBy("line_id").agg(F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north"))
@@ -122,24 +105,25 @@ _P = "list_element(v, (floor((n - 1) * {}e0) + 1)::BIGINT)"
 
 @query(f"SELECT event_type, n, {_P.format(0.5)} AS p50, {_P.format(0.95)} AS p95, {_P.format(0.99)} AS p99 FROM (SELECT event_type, count(value)::BIGINT AS n, list(value ORDER BY value) AS v FROM events GROUP BY 1)")
 def agg14_index_percentiles(spark, sf):
-    """The value at index floor((n - 1) * f): ranks inside hash buckets of value ranges are not needed, as rows of equal
-    value are counted first and a running count over distinct values finds the index."""
+    """The value at index floor((n - 1) * f): equal values are counted first, a running count over ranges finds the index."""
     e = V.read(spark, sf, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("event_type")
-    run = e.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
+    run = G.running(e, "event_type", "value", "c")
+    total = run.groupBy("event_type").agg(F.max("upto").alias("n"))
     at = lambda f: F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * f), F.col("value")))
-    return run.groupBy("event_type", "n").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    return run.join(total, "event_type").groupBy("event_type", "n").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 @query("SELECT event_type, median(value) AS median, median(value) > 40 AS over FROM events GROUP BY 1")
 def agg15_median_gate(spark, sf):
-    return V.read(spark, sf, "events").groupBy("event_type").agg(F.median("value").alias("median"), (F.median("value") > 40).alias("over"))
-
-
-@query("SELECT user_id, floor(sum(value) * 100 + 0.5e0)::BIGINT AS total FROM events GROUP BY 1 ORDER BY total DESC, user_id LIMIT 10")
-def agg16_slowest(spark, sf):
-    total = V.read(spark, sf, "events").groupBy("user_id").agg(geo.scaled(F.sum("value"), 100.0).alias("total"))
-    return total.orderBy(F.desc("total"), "user_id").limit(10)
+    """The median as the mean of the two middle values, found by running counts, and whether it is over the limit."""
+    e = V.read(spark, sf, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("c"))
+    run = G.running(e, "event_type", "value", "c")
+    total = run.groupBy("event_type").agg(F.max("upto").alias("n"))
+    at = lambda f: F.min(F.when(F.col("upto") > f((F.col("n") - 1) / 2), F.col("value")))
+    g = run.join(total, "event_type").groupBy("event_type").agg(at(F.floor).alias("lo"), at(F.ceil).alias("hi"))
+    mid = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) / 2)
+    every = V.read(spark, sf, "events").select("event_type").distinct()
+    return every.join(g, "event_type", "left").select("event_type", mid.alias("median"), (mid > 40).alias("over"))
 
 
 @query("SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1 UNION ALL SELECT c_name, min(c_custkey) FROM customer GROUP BY 1 HAVING count(DISTINCT c_custkey) = 1")
@@ -171,11 +155,6 @@ def win14_drop_consecutive(spark, sf):
     return V.read(spark, sf, "events").withColumn("p", F.lag("event_type").over(w)).where(~F.col("event_type").eqNullSafe(F.col("p"))).select("event_id", "user_id")
 
 
-@query("SELECT conv_id, turn, role FROM conversations ORDER BY conv_id DESC, turn, role LIMIT 200")
-def srt2_canonical_order(spark, sf):
-    return V.read(spark, sf, "conversations").select("conv_id", "turn", "role").orderBy(F.desc("conv_id"), "turn", "role").limit(200)
-
-
 @query("SELECT id, lon, lat FROM v_site ORDER BY lat, lon, id LIMIT 50", ("v_site",))
 def srt3_reading_order(spark, sf):
     x, y = geo.mercator(F.col("lon"), F.col("lat"))
@@ -192,28 +171,3 @@ def str6_year_text(spark, sf):
     o = V.read(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 200 - 100).alias("y")).where("y <> 0 and y <> -30")
     end = F.when(F.col("o_orderkey") % 4 != 0, F.col("y") + 30)
     return o.select("o_orderkey", text.year_text(F.col("y")).alias("year"), text.range_text(F.col("y"), end).alias("span"))
-
-
-@query("SELECT p_partkey, substr(md5(p_name), 1, 1) || '/' || substr(md5(p_name), 1, 2) || '/' || replace(p_name, ' ', '_') AS path, CASE WHEN p_size <= 10 THEN 330 WHEN p_size <= 20 THEN 500 WHEN p_size <= 35 THEN 960 ELSE 1280 END AS width FROM part")
-def str10_media_path(spark, sf):
-    """Hash folders of a file name, and its step on the width ladder."""
-    h = F.md5(F.col("p_name").cast("binary"))
-    width = F.when(F.col("p_size") <= 10, 330).when(F.col("p_size") <= 20, 500).when(F.col("p_size") <= 35, 960).otherwise(1280)
-    return V.read(spark, sf, "part").select("p_partkey", F.concat_ws("/", F.substring(h, 1, 1), F.substring(h, 1, 2), F.translate("p_name", " ", "_")).alias("path"), width.alias("width"))
-
-
-@query("SELECT source, sum(strlen(coalesce(text, '')))::BIGINT AS bytes, sum(strlen(coalesce(text, ''))) > 100000 AS over FROM documents GROUP BY source")
-def snk5_size_budget(spark, sf):
-    d = V.read(spark, sf, "documents").groupBy("source").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"))
-    return d.select("source", "bytes", (F.col("bytes") > 100000).alias("over"))
-
-
-@query("SELECT count(*)::BIGINT AS n_files, max(strlen(coalesce(text, '')))::BIGINT AS largest, arg_max(doc_id, strlen(coalesce(text, '')) * 1000000000 - doc_id) AS largest_id, count(*) <= 20000 AS ok FROM documents")
-def snk6_tree_limits(spark, sf):
-    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    return V.read(spark, sf, "documents").agg(F.count("*").alias("n_files"), F.max(n).alias("largest"), F.max_by("doc_id", n * 1000000000 - F.col("doc_id")).alias("largest_id"), (F.count("*") <= 20000).alias("ok"))
-
-
-@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
-def snk7_checksums(spark, sf):
-    return V.read(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
