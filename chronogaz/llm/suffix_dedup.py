@@ -38,6 +38,8 @@ from chronogaz.llm.common import batches, cut, shared_dir, text_bytes
 LENGTH = 50
 #: Bytes of text in a shard; codes and kept samples in a range; places of one code beyond which it is hot.
 SHARD_BYTES, CODE_ROWS, BUCKET_ROWS, HOT = 8 << 20, 2_000_000, 120_000, 5_000
+#: Bytes of text in a bucket of the table of shards.
+BUCKET_BYTES = 64 << 20
 NULL_ID = (1 << 63) - 1
 _CHUNK_BITS = 17
 _U = np.uint64
@@ -134,9 +136,10 @@ def _load(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, n
     return shard, np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), np.frombuffer(_unzip(text), np.uint8)
 
 
-def _shards(df: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+def _shards(df: DataFrame, shard_bytes: int) -> tuple[str, int]:
     """The documents as rows of many texts, in a table bucketed by shard so that later joins leave the text where it is."""
     spark = df.sparkSession
+    size = int(df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
 
     def run(it):
         part, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
@@ -157,12 +160,11 @@ def _shards(df: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
             yield row()
 
     rows = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "shard long, ids binary, ends binary, text binary, size long")
-    # more buckets than shuffle partitions: joins then deal the other side to these buckets
-    name, buckets = f"shards_{uuid.uuid4().hex}", max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")) + 1)
+    # more buckets than shuffle partitions: joins then deal the other side to these buckets; a bucket's texts stay bounded
+    name, buckets = f"shards_{uuid.uuid4().hex}", max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, size // BUCKET_BYTES)
     # binary columns hold compressed text already
     rows.write.bucketBy(buckets, "shard").option("path", shared_dir(spark)).option("compression", "none").option("parquet.enable.dictionary", "false").format("parquet").saveAsTable(name)
-    table = spark.table(name)
-    return table, int(table.agg(F.sum("size")).first()[0] or 0)
+    return name, size
 
 
 def _codes(table: DataFrame, length: int, bits: int, ranges: int) -> DataFrame:
@@ -354,10 +356,11 @@ def _by_shard(df: DataFrame, *cols: str, name: str) -> DataFrame:
     return df.groupBy("shard").agg(F.collect_list(F.struct(*cols)).alias(name))
 
 
-def dedup(df: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, bucket_rows: int = BUCKET_ROWS, hot: int = HOT) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: the bytes that stay)."""
-    table, size = _shards(df, shard_bytes)
+def dedup(df: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, bucket_rows: int = BUCKET_ROWS, hot: int = HOT, keep: bool = True) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if keep, kept (binary: the bytes that stay)."""
+    table_name, size = _shards(df, shard_bytes)
     spark = df.sparkSession
+    table = spark.table(table_name)
     w = min(32, length // 2)
     bits = min(63, max(40, size.bit_length() + 10))
     ranges = max(spark.sparkContext.defaultParallelism * 2, size // 13 // CODE_ROWS)
@@ -389,7 +392,10 @@ def dedup(df: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, b
                 gone = _gone(buf, ends, ids, b.column(4)[i].as_py() or [], b.column(5)[i].as_py() or [], length, bits, places)
                 yield _digest(ids, ends, buf, gone)
 
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = cut(out if keep else out.drop("kept"))
+    spark.sql(f"DROP TABLE {table_name}")  # the catalogue's entry alone: the files lie in the shared folder
+    return out
 
 
 def _gone(buf, ends, ids, kept, masks, length: int, bits: int, ranges: int) -> np.ndarray:
@@ -425,4 +431,4 @@ def _digest(ids, ends, buf, gone) -> pa.RecordBatch:
 
 def dedup_digest(df: DataFrame, **kw) -> DataFrame:
     """The figures of dedup() without the bytes."""
-    return dedup(df, **kw).drop("kept")
+    return dedup(df, keep=False, **kw)
