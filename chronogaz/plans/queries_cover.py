@@ -18,18 +18,6 @@ def _edges(spark, sf):
     return V.v_edge(spark, sf).select("area_id", "x1", "y1", "x2", "y2")
 
 
-@query(_CELL + _COVER.format(name="a", edges="v_edge") + " SELECT min(cx * 1000 + cy)::BIGINT AS piece, count(*)::BIGINT AS n_cells FROM a WHERE area_id % 7 = 0 GROUP BY area_id", ("v_edge",))
-def spa9_uncovered_pieces(spark, sf):
-    """Connected cells of the domain that the listed areas leave open (here those of every seventh area)."""
-    whole = S.cover(_edges(spark, sf), 1.0).select("cx", "cy").distinct()
-    listed = S.cover(_edges(spark, sf).where("area_id % 7 <> 0"), 1.0).select("cx", "cy").distinct()
-    name = F.col("cx") * 1000 + F.col("cy")
-    gaps = G.checkpointed(whole.join(listed, ["cx", "cy"], "left_anti").select(name.alias("node")))
-    steps = gaps.select(F.col("node").alias("src"), F.explode(F.array(F.col("node"), F.col("node") + 1, F.col("node") + 1000)).alias("dst"))
-    linked = steps.join(gaps.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
-    return G.connected_components(linked).groupBy(F.col("component").alias("piece")).agg(F.count("*").alias("n_cells"))
-
-
 @query(f""", smp AS (SELECT area_id, seq, k, x1 + k / n * (x2 - x1) AS lon, y1 + k / n * (y2 - y1) AS lat FROM (SELECT *, unnest(range(0, n::BIGINT)) AS k FROM (SELECT *, greatest(1, ceil(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 1.5e0)) AS n FROM v_edge)))
 SELECT area_id, count(*)::BIGINT AS n_samples, count(*) FILTER (hit)::BIGINT AS n_near, bool_and(hit) AS proven FROM (SELECT area_id, EXISTS (SELECT 1 FROM v_seg WHERE {V.seg('s.lon', 's.lat')} <= 5) AS hit FROM smp s) GROUP BY 1""", ("v_edge", "v_seg"))
 def spa16_outline_provenance(spark, sf):

@@ -45,15 +45,6 @@ def flt13_shape_precedence(spark, sf):
     return n.select(F.col("n_nationkey").alias("area_id"), F.array_min(F.array_compact(own))["shape"].alias("shape"))
 
 
-@query("""SELECT p.id, count(*)::BIGINT AS n_segments, count(DISTINCT line_id)::BIGINT AS n_lines FROM v_site p JOIN v_seg ON floor(least(x1, x2) / 0.5e0) <= floor(lon / 0.5e0) + 1 AND floor(greatest(x1, x2) / 0.5e0) >= floor(lon / 0.5e0) - 1
-AND floor(least(y1, y2) / 0.5e0) <= floor(lat / 0.5e0) + 1 AND floor(greatest(y1, y2) / 0.5e0) >= floor(lat / 0.5e0) - 1 GROUP BY 1""", ("v_site", "v_seg"))
-def jon18_segment_index(spark, sf):
-    """Segments whose box touches a point's cell or one of its eight neighbours."""
-    seg = S.segments(V.v_line(spark, sf))
-    n = S.in_cell_reach(V.v_site(spark, sf), seg, 0.5).groupBy("id", "line_id").agg(F.count("*").alias("n"))
-    return n.groupBy("id").agg(F.sum("n").alias("n_segments"), F.count("*").alias("n_lines"))
-
-
 _SHIFTED = ", pt AS (SELECT id, lon + 4 AS lon, lat + 2 AS lat FROM v_probe)"
 _PT_IN = ", inside AS (SELECT p.id, e.area_id FROM {p} p JOIN v_edge e ON (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1, 2 HAVING count(*) % 2 = 1)"
 
@@ -85,11 +76,6 @@ def _at_stops(spark, sf):
     return hit.select(F.col("y").cast("long").alias("y"), "area_id", "id", "holder", (F.col("from") > F.col("_first")).alias("known_start"))
 
 
-@query(_STOPS + " SELECT y, p.area_id, p.id, holder, f > s AS known_start FROM stops JOIN v_period p ON f <= d AND d < t JOIN (SELECT area_id, min(f) AS s FROM v_period GROUP BY 1) b ON b.area_id = p.area_id", ("v_period",))
-def jon25_holder_at_stop(spark, sf):
-    return _at_stops(spark, sf)
-
-
 @query(_STOPS + " SELECT y, holder, count(*)::BIGINT AS n_areas, count(*) FILTER (f > s)::BIGINT AS n_known, min(p.area_id) AS first_area FROM stops JOIN v_period p ON f <= d AND d < t JOIN (SELECT area_id, min(f) AS s FROM v_period GROUP BY 1) b ON b.area_id = p.area_id GROUP BY 1, 2", ("v_period",))
 def tmp5_state_at_stops(spark, sf):
     """All stops at once: how many areas each holder has."""

@@ -29,16 +29,6 @@ def prj4_straight_line(spark, sf):
     return p.groupBy("line_id").agg(F.array_join(F.transform(at, lambda x: x.p), ",").alias("path"), F.count("*").alias("n_points")).where("n_points >= 2")
 
 
-@query("SELECT o_orderkey, coalesce(b.lon, a.lon) AS lon, coalesce(b.lat, a.lat) AS lat FROM orders LEFT JOIN v_site a ON a.id = o_custkey LEFT JOIN v_site b ON b.id = o_orderkey % 1000", ("v_site",))
-def prj5_stage_anchor(spark, sf):
-    """The destination's point, else the start's."""
-    s = V.v_site(spark, sf)
-    a, b = s.toDF("a", "alon", "alat"), s.toDF("b", "blon", "blat")
-    o = V.read(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    o = o.join(a, F.col("a") == F.col("o_custkey"), "left").join(b, F.col("b") == F.col("o_orderkey") % 1000, "left")
-    return o.select("o_orderkey", F.coalesce("blon", "alon").alias("lon"), F.coalesce("blat", "alat").alias("lat"))
-
-
 @query("SELECT p_partkey, coalesce(CASE WHEN p_size % 4 = 0 THEN p_brand END, CASE WHEN p_size % 4 = 1 THEN p_type END, p_name) AS name FROM part")
 def prj6_display_name(spark, sf):
     n = F.col("p_size") % 4
@@ -76,30 +66,6 @@ def flt12_hide_represented(spark, sf):
     return seen.select("n_nationkey", "n_name")
 
 
-@query("SELECT l_orderkey, bool_or(l_quantity >= 49) AS disputed FROM lineitem GROUP BY 1")
-def flt15_any_disputed(spark, sf):
-    return V.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_quantity") >= 49).alias("disputed"))
-
-
-def _compared(spark, sf):
-    """Derived periods against a stored copy with some holders changed and some rows missing."""
-    d = V.v_period(spark, sf).select("area_id", "id", "holder")
-    s = d.where("id % 13 <> 0").select(F.col("area_id").alias("a"), F.col("id").alias("i"), F.when(F.col("id") % 11 == 0, "?").otherwise(F.col("holder")).alias("stored"))
-    j = d.join(s, (F.col("area_id") == F.col("a")) & (F.col("id") == F.col("i")), "full_outer")
-    kind = F.when(F.col("i").isNull(), "missing").when(F.col("id").isNull(), "extra").otherwise("changed")
-    return j.where(F.col("i").isNull() | ~F.col("stored").eqNullSafe(F.col("holder"))).select("area_id", "id", "holder", "stored", kind.alias("kind"))
-
-
-@query("SELECT area_id, id, holder, CASE WHEN id % 13 = 0 THEN NULL ELSE '?' END AS stored, CASE WHEN id % 13 = 0 THEN 'missing' ELSE 'changed' END AS kind FROM v_period WHERE id % 13 = 0 OR id % 11 = 0", ("v_period",))
-def jon23_stored_against_derived(spark, sf):
-    return _compared(spark, sf)
-
-
-@query("SELECT area_id, count(*) AS n_changed FROM v_period WHERE id % 13 = 0 OR id % 11 = 0 GROUP BY 1", ("v_period",))
-def tmp3_changed_histories(spark, sf):
-    return _compared(spark, sf).groupBy("area_id").agg(F.count("*").alias("n_changed"))
-
-
 @query("SELECT id, area_id FROM v_site, (SELECT area_id, min(x1) - 1.2e0 AS w, max(x1) + 1.2e0 AS e, min(y1) - 1.2e0 AS s, max(y1) + 1.2e0 AS n FROM v_edge GROUP BY 1) WHERE lon BETWEEN w AND e AND lat BETWEEN s AND n", ("v_site", "v_edge"))
 def jon26_pin_in_expanded_box(spark, sf):
     """Boxes are dealt to the degree cells that they touch; each pin lies in one cell."""

@@ -37,11 +37,3 @@ SELECT q, name, f, CASE WHEN f = q THEN 0 WHEN starts_with(f, q) THEN 1 WHEN con
 CASE WHEN starts_with(f, q) THEN 0 ELSE 1 END AS pref FROM ({_LOW}), ({_Q})) WHERE rank IS NOT NULL) WHERE pos <= 8""")
 def txt1_ranked_search(spark, sf):
     return J.ranked_search(_names(spark, sf), _QUERIES, 8).select("q", "name", "rank", "pos")
-
-
-@query("""SELECT id, name FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank, name) AS rn FROM (
-SELECT p_partkey AS id, p_name AS name, 1 AS rank FROM part UNION ALL SELECT p_partkey, p_type, 2 FROM part UNION ALL SELECT p_partkey, p_brand, 0 FROM part WHERE p_size > 25)) WHERE rn = 1""")
-def txt2_best_name(spark, sf):
-    p = V.read(spark, sf, "part")
-    names = F.array(F.when(F.col("p_size") > 25, F.struct(F.lit(0).alias("rank"), F.col("p_brand").alias("name"))), F.struct(F.lit(1).alias("rank"), F.col("p_name").alias("name")), F.struct(F.lit(2).alias("rank"), F.col("p_type").alias("name")))
-    return p.select(F.col("p_partkey").alias("id"), F.array_min(F.array_compact(names))["name"].alias("name"))

@@ -11,14 +11,6 @@ from chronogaz.plans import views as V
 from chronogaz.plans.registry import query
 
 
-@query("""SELECT p_partkey, strpos(lower(strip_accents(p_type)), 'ste')::BIGINT AS starts, substr(p_type, strpos(lower(strip_accents(p_type)), 'ste')::BIGINT, 3) AS marked FROM part WHERE contains(lower(strip_accents(p_type)), 'ste')""")
-def txt3_highlight(spark, sf):
-    """Where a query stands in a name and the original letters there; the fold keeps every letter's place."""
-    at = F.locate("ste", X.search_fold(F.col("p_type")))
-    p = V.read(spark, sf, "part").select("p_partkey", "p_type", at.cast("long").alias("starts")).where("starts > 0")
-    return p.select("p_partkey", "starts", F.substr("p_type", F.col("starts").cast("int"), F.lit(3)).alias("marked"))
-
-
 @query("""WITH own AS (SELECT 'part:' || p_partkey AS owner, lower(trim(p_name)) AS norm FROM part UNION ALL SELECT 'customer:' || c_custkey, lower(trim(c_name)) FROM customer UNION ALL SELECT 'region:' || r_regionkey, lower(trim(r_name)) FROM region UNION ALL SELECT 'nation:' || n_nationkey, lower(trim(n_name)) FROM nation)
 SELECT norm, min(owner) AS owner FROM own WHERE norm NOT IN (SELECT lower(trim(n_name)) FROM nation) GROUP BY 1 HAVING count(DISTINCT owner) = 1""")
 def txt6_mention_dictionary(spark, sf):
@@ -48,19 +40,6 @@ def txt8_chosen_mentions(spark, sf):
     return J.every_other(first.join(rare, "phrase"), "doc_id", "pos").select("doc_id", F.col("pos").cast("long").alias("pos"), "phrase")
 
 
-@query("""SELECT doc_id, prefix || ':' || val AS cite, CASE prefix WHEN 'part' THEN coalesce(p_name, 'Part ' || val) ELSE coalesce(n_name, 'Nation ' || val) END AS label, CASE prefix WHEN 'part' THEN 'https://example.org/p/' ELSE 'https://example.org/n?id=' END || val AS url
-FROM (SELECT doc_id, 'part' AS prefix, doc_id % 3000 AS val FROM documents UNION ALL SELECT doc_id, 'nation', doc_id % 30 FROM documents) LEFT JOIN part ON prefix = 'part' AND p_partkey = val LEFT JOIN nation ON prefix = 'nation' AND n_nationkey = val""")
-def str8_citations(spark, sf):
-    """Label and address of each citation by its prefix; those without an entry get a plain label."""
-    cites = V.read(spark, sf, "documents").select("doc_id", F.explode(F.array(F.concat(F.lit("part:"), (F.col("doc_id") % 3000).cast("string")), F.concat(F.lit("nation:"), (F.col("doc_id") % 30).cast("string")))).alias("cite"))
-    entry = lambda t, key, name: V.read(spark, sf, t).select(F.concat(F.lit(f"{t}:"), F.col(key).cast("string")).alias("cite"), F.col(name).alias("entry"))
-    entries = entry("part", "p_partkey", "p_name").unionByName(entry("nation", "n_nationkey", "n_name"))
-    prefix, value = F.split_part("cite", F.lit(":"), F.lit(1)), F.split_part("cite", F.lit(":"), F.lit(2))
-    url = F.concat(F.when(prefix == "part", "https://example.org/p/").otherwise("https://example.org/n?id="), F.url_encode(value))
-    plain = F.concat(F.initcap(prefix), F.lit(" "), value)
-    return cites.join(entries, "cite", "left").select("doc_id", "cite", F.coalesce("entry", plain).alias("label"), url.alias("url"))
-
-
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' ELSE 'Partly done' END AS status_label, CASE WHEN o_totalprice >= 250000 THEN 'certain' WHEN o_totalprice >= 100000 THEN 'likely' ELSE 'disputed' END AS confidence_label FROM orders")
 def str12_labels(spark, sf):
     status, price = F.col("o_orderstatus"), F.col("o_totalprice")

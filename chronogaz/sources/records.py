@@ -55,16 +55,19 @@ def edges(features: DataFrame) -> DataFrame:
     return e.select("file", "at", "ring", "seq", F.col("e.a")[0].alias("x1"), F.col("e.a")[1].alias("y1"), F.col("e.b")[0].alias("x2"), F.col("e.b")[1].alias("y2"))
 
 
-def read_corpus(spark: SparkSession, path: str, codes: DataFrame) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, codes: DataFrame, may_be_empty: bool = False) -> DataFrame:
     """Lines `CODE C:V text` -> (book, chapter, verse, text); codes: (code, book).
 
     Lines off the pattern and unknown codes are left out; of a repeated key the last line stays. Lines keep their file's
-    order by the reader's own row numbers, so one key's lines must stand in one file."""
+    order by the reader's own row numbers; of a key that stands in several files a line of the file read last stays. A
+    corpus without any verse is an error unless it may be empty."""
     pattern = r"^(\S+) (\d+):(\d+) (.*)$"
     part = lambda i: F.regexp_extract("value", pattern, i)
     lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()).where(F.col("value").rlike(pattern))
     verses = lines.select(part(1).alias("code"), part(2).cast("int").alias("chapter"), part(3).cast("int").alias("verse"), part(4).alias("text"), "_at")
     known = verses.join(codes.select("code", "book").distinct(), "code")
+    if not may_be_empty and known.isEmpty():
+        raise ValueError(f"no verse of a known code in {path}")
     return known.groupBy("book", "chapter", "verse").agg(F.max_by("text", "_at").alias("text"))
 
 
