@@ -184,6 +184,33 @@ def test_language(spark, sf):
     assert language_id.fit(spark.createDataFrame([], EMPTY + ", lang string")) is None
 
 
+def plain_places(text):
+    """The hashed places of a text's byte n-grams, one at a time."""
+    raw, out = text.lower().encode(), set()
+    for n in (1, 2, 3):
+        for i in range(len(raw) - n + 1):
+            out.add((int.from_bytes(raw[i : i + n], "big") * int(language_id._MUL[n - 1]) & 0xFFFFFFFF) >> 19)
+    return out
+
+
+def test_language_kernel_equals_sets(spark):
+    texts = {"en": ["the cat and the hat", "of mice and men", "this is the end"], "de": ["der Hund und die Katze", "das Ende ist nah", "über den Fluß"], "fr": ["le chat et le chien", "la fin du monde", "où est la gare"]}
+    rows = [(i, t, lang) for i, (t, lang) in enumerate((t, lang) for lang, ts in texts.items() for t in ts)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(set(np.flatnonzero(p)) == plain_places(t) for (_, t, _), p in zip(rows, language_id.presence([t for _, t, _ in rows])))
+    marks = [set(np.flatnonzero(model.marks[:, k])) for k in range(model.marks.shape[1])]
+    ask = ["the hound and the end", "die Katze", "le monde", "é", "a" * 5000]
+    got_ = {r.doc_id: r for r in language_id.predict(spark.createDataFrame([(i, t, False, "x") for i, t in enumerate(ask)], "doc_id long, text string, held_out boolean, lang string"), model).collect()}
+    for i, t in enumerate(ask):
+        own = plain_places(t)
+        k = np.array([len(own & m) / (len(own) * len(m)) ** 0.5 for m in marks])
+        s = k @ model.weights.astype(float) + model.bias
+        e = np.exp(language_id.SHARP * (s - s.max()))
+        assert got_[i].lang_pred == model.langs[int(s.argmax())] and abs(got_[i].score - e.max() / e.sum()) < 1e-4
+    assert [got_[i].lang_pred for i in range(3)] == ["en", "de", "fr"]
+    assert language_id.predict(spark.createDataFrame([], EMPTY + ", held_out boolean"), model).count() == 0
+
+
 def test_mix(spark, sf):
     rng = random.Random(3)
     rows = [(i, rng.choice(["a", "b", "c", None, "Z"] if i % 3 else ["a"]), rng.randint(0, 40)) for i in range(900)] + [(5, "a", 9), (None, "b", 4), (901, "empty", 0)]
