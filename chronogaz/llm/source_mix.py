@@ -7,8 +7,10 @@ once (or more often) and cuts in the last epoch. The row at the cut gives the wo
 takes its budget to the word.
 
 Null sources are a source of their own. A null or empty text has size 0 and takes nothing. Rows with the same doc_id
-have the same key and stand in the order of their size; equal rows in any order, as they are equal. Sources without
-words have target 0.
+have the same key and stand in the order of their size; equal rows in any order, as they are equal. Rows without a
+doc_id get a key from all their columns, so that they spread over the key ranges. Sources without words have target 0.
+Columns of any name pass through; one that has the name of a column of the result gives way to it. Texts are counted
+where they are read, however long.
 """
 
 from __future__ import annotations
@@ -54,31 +56,42 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return cut.select("source", "source_size", "n_rows", target.cast("double").alias("target"))
 
 
-def mix(df: DataFrame, size, source: str = "source", key: str = "doc_id", seed: str = SEED, range_rows: int = RANGE_ROWS, **policy) -> DataFrame:
-    """Adds size, source_size, target, taken (words) and copies (whole rows: full epochs, and one more if the last
-    epoch takes at least half of the row) to each row of df, whose other columns pass through."""
-    rows = cut(df.withColumn("size", size.cast("long")))  # the sizes are counted once
-    sizes = rows.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    plan = targets(sizes, **policy).withColumnRenamed("source", "_source")
+RESULT = ("size", "source_size", "target", "taken", "copies")
+
+
+def _mixed(df: DataFrame, size, source: str, key: str, seed: str, range_rows: int, policy: dict) -> DataFrame:
+    """(row: all columns of df, and RESULT); df's names cannot clash with those used here."""
+    plain = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    named = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null"), F.xxhash64(*plain).cast("string")))
     #: md5 text sorts as its number does; its first 8 digits name the key range
-    keyed = rows.withColumn("_key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary")))
+    rows = df.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(key).alias("id"), size.cast("long").alias("size"), F.md5(F.concat(F.lit(seed + ":"), named).cast("binary")).alias("key"))
+    rows = cut(rows)  # the sizes are counted once
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+    plan = targets(sizes, **policy).withColumnRenamed("source", "of")
     small = plan.count() <= MOST_SOURCES
-    keyed = keyed.join(F.broadcast(plan) if small else plan, F.col(source).eqNullSafe(F.col("_source")))
-    part = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / float(1 << 32) * F.ceil(F.col("n_rows") / float(range_rows)))
-    keyed = keyed.withColumn("_range", part.cast("long"))
-    sums = keyed.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
-    upto = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", F.col(key), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(base, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    keyed = rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("of")))
+    part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32) * F.ceil(F.col("n_rows") / float(range_rows)))
+    keyed = keyed.withColumn("range", part.cast("long"))
+    sums = keyed.groupBy("of", "range").agg(F.sum("size").alias("sum"))
+    upto = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col("of").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("of", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.join(base, F.col("of").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     budget = F.floor("target")
     full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - full * F.col("source_size")
-    part_taken = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_base") + F.col("_inside"))))
-    out = placed.withColumn("taken", (full * F.col("size") + part_taken).cast("long"))
-    out = out.withColumn("copies", (full + (part_taken * 2 >= F.greatest(F.col("size"), F.lit(1))).cast("int")).cast("int"))
-    return out.drop("_key", "_source", "_range", "_s", "_r", "_base", "_inside", "n_rows")
+    part_taken = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("base") + F.col("inside"))))
+    taken = (full * F.col("size") + part_taken).cast("long")
+    copies = (full + (part_taken * 2 >= F.greatest(F.col("size"), F.lit(1))).cast("int")).cast("int")
+    return placed.select("row", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+
+
+def mix(df: DataFrame, size, source: str = "source", key: str = "doc_id", seed: str = SEED, range_rows: int = RANGE_ROWS, **policy) -> DataFrame:
+    """Adds size, source_size, target, taken (words) and copies (whole rows: full epochs, and one more if the last
+    epoch takes at least half of the row) to each row of df, whose other columns pass through."""
+    out = _mixed(df, size, source, key, seed, range_rows, policy)
+    return out.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in RESULT], *RESULT)
 
 
 def word_count(text):
@@ -86,10 +99,7 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0))
 
 
-def mixed_rows(df: DataFrame, text: str = "text", **kw) -> DataFrame:
+def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = SEED, range_rows: int = RANGE_ROWS, **policy) -> DataFrame:
     """The mix itself: every row as often as `copies` says, with the columns of df."""
-    cols = df.columns
-    inner = {"size": "size_in", "source_size": "source_size_in", "target": "target_in", "taken": "taken_in", "copies": "copies_in"}
-    out = mix(df.withColumnsRenamed({c: v for c, v in inner.items() if c in cols}), word_count(F.col(text)), **kw)
-    out = out.where("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*[F.col(inner[c] if c in inner else c).alias(c) for c in cols])
+    out = _mixed(df, word_count(F.col(text)), source, key, seed, range_rows, policy)
+    return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
