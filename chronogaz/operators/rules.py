@@ -24,13 +24,6 @@ def duplicates(df: DataFrame, key: Column, member: str) -> DataFrame:
     return g.where("n > 1")
 
 
-def count_limits(df: DataFrame, key: str, limit: Column, low: Column) -> DataFrame:
-    """Groups outside their class's limits: above is an error, below a warning."""
-    n = df.groupBy(key).agg(F.count("*").alias("n"))
-    out = n.withColumn("severity", F.when(F.col("n") > limit, "error").when(F.col("n") < low, "warning"))
-    return out.where("severity is not null")
-
-
 def report(*parts: DataFrame) -> DataFrame:
     """One failure list of all rules."""
     return reduce(DataFrame.unionByName, parts)

@@ -168,19 +168,6 @@ def cover(edges: DataFrame, size: float) -> DataFrame:
     return containing(centres, edges).select("id.cx", "id.cy", "area_id")
 
 
-def share_in_box(west: float, south: float, east: float, north: float) -> Column:
-    """The share of the segment x1, y1 with extent dx, dy inside a box."""
-
-    def span(a: str, d: str, lo: float, hi: float):
-        p, q, x = F.col(a), F.col(d), F.lit
-        into = F.when(q > 0, (x(lo) - p) / q).when(q < 0, (x(hi) - p) / q).when(p.between(lo, hi), 0.0).otherwise(2.0)
-        out = F.when(q > 0, (x(hi) - p) / q).when(q < 0, (x(lo) - p) / q).otherwise(1.0)
-        return into, out
-
-    (a, b), (c, d) = span("x1", "dx", west, east), span("y1", "dy", south, north)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), b, d) - F.greatest(F.lit(0.0), a, c))
-
-
 def simplify(vertices: DataFrame, tolerance: float) -> DataFrame:
     """(line_id, seq, lon, lat) that stay: each round splits every open span at its farthest vertex beyond the tolerance
     (ties: the first); rounds grow with the depth of the splits, not with the number of lines."""

@@ -67,12 +67,6 @@ def index_quantile(values: DataFrame, by: str, value: str, n: str, share: float,
     return totals.join(at, by, "left").select(by, F.col("_all").alias("n"), "worst", "p95", "n_long")
 
 
-def mentions(toks: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
-    """(key, word, first_at, n) of dictionary words: counted before they are joined."""
-    per = toks.groupBy(key, "word").agg(F.min("at").cast("long").alias("first_at"), F.count("*").alias("n"))
-    return per.join(dictionary, "word").select(key, "word", "first_at", "n")
-
-
 def same_names(named: DataFrame, allowed: DataFrame) -> DataFrame:
     """(id, name) -> (a, b, name), a < b: different ids of one name, without the allowed pairs (a, b)."""
     a, b = (named.select(F.col("id").alias(s), "name") for s in "ab")

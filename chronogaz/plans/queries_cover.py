@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronogaz.functions import geo
-from chronogaz.operators import graph as G
 from chronogaz.operators import spatial as S
 from chronogaz.plans import views as V
 from chronogaz.plans.registry import query
 
-_CELL = ", cell AS (SELECT x::BIGINT AS cx, y::BIGINT AS cy, x + 0.5e0 AS lon, y + 0.5e0 AS lat FROM range(-10, 60) a(x), range(15, 60) b(y))"
-_COVER = ", {name} AS (SELECT cx, cy, e.area_id FROM cell JOIN {edges} e ON (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)"
 
 
 def _edges(spark, sf):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -100,34 +98,42 @@ def _samples(spark, sf):
     return s.select("area_id", "pos", (F.col("area_id") * 10000 + F.col("pos")).alias("id"), "lon", "lat")
 
 
-_NEAR = _SAMPLES + f", nr AS (SELECT area_id, pos, EXISTS (SELECT 1 FROM v_site b WHERE {V.hav('s.lon', 's.lat', 'b.lon', 'b.lat')} <= 60) AS near FROM smp s)"
-
-
-def _near_samples(spark, sf):
-    s = _samples(spark, sf)
-    hit = S.within_km(s, V.v_site(spark, sf), 60.0).select(F.col("a_id").alias("id"), F.lit(True).alias("near")).distinct()
-    return s.join(hit, "id", "left").select("area_id", "pos", F.coalesce("near", F.lit(False)).alias("near"))
+_DIST = _SAMPLES.replace("x1 + k / n * (x2 - x1) AS lon", f"{V.hav('x1', 'y1', 'x2', 'y2')} / n AS km, x1 + k / n * (x2 - x1) AS lon") + f", nr AS (SELECT area_id, pos, km, d, d <= 60 AS near FROM (SELECT s.*, (SELECT min({V.hav('s.lon', 's.lat', 'b.lon', 'b.lat')}) FROM v_site b) AS d FROM smp s))"
 
 
-@query(_NEAR + """, r AS (SELECT *, sum(fresh) OVER (PARTITION BY area_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN near IS DISTINCT FROM lag(near) OVER (PARTITION BY area_id ORDER BY pos) THEN 1 ELSE 0 END AS fresh FROM nr)),
+@query(_DIST + """, r AS (SELECT *, sum(fresh) OVER (PARTITION BY area_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN near IS DISTINCT FROM lag(near) OVER (PARTITION BY area_id ORDER BY pos) THEN 1 ELSE 0 END AS fresh FROM nr)),
 w AS (SELECT *, max(run) OVER (PARTITION BY area_id) AS top, bool_or(near AND run = 1) OVER (PARTITION BY area_id) AS head FROM r)
-SELECT area_id, arg_min(pos, pos - run * 100000)::BIGINT AS starts, count(*)::BIGINT AS n FROM w WHERE near GROUP BY area_id, CASE WHEN run = top AND head THEN 1 ELSE run END""", ("v_edge", "v_site"))
+SELECT area_id, arg_min(pos, pos - run * 100000)::BIGINT AS starts, count(*)::BIGINT AS n, floor(sum(km) + 0.5e0)::BIGINT AS km, floor(min(d) * 1000 + 0.5e0)::BIGINT AS closest_m FROM w WHERE near GROUP BY area_id, CASE WHEN run = top AND head THEN 1 ELSE run END""", ("v_edge", "v_site"))
 def win8_near_stretches(spark, sf):
-    """Stretches of a ring near a site; the ring's first and last stretch join up."""
+    """Stretches of a ring near a site: where they start, their length, how near they come; the first and last join up."""
+    e = V.v_edge(spark, sf)
+    length = e.select("area_id", "seq", geo.haversine_km(*(F.col(c) for c in EDGE[1:])).alias("len"))
+    s = S.densify(e, ["area_id", "seq"], 0.75)
+    n = s.groupBy("area_id", "seq").agg(F.count("*").alias("n")).join(length, ["area_id", "seq"]).select("area_id", "seq", (F.col("len") / F.col("n")).alias("km"))
+    s = s.join(n, ["area_id", "seq"]).withColumns({"id": F.struct("area_id", "seq", "k"), "pos": F.col("seq") * 100 + F.col("k")})
+    d = S.within_km(s.select("id", "lon", "lat"), V.v_site(spark, sf), 60.0).groupBy(F.col("a_id").alias("id")).agg(F.min("km").alias("d"))
     w = Window.partitionBy("area_id").orderBy("pos")
-    s = _near_samples(spark, sf).withColumn("_f", (~F.col("near").eqNullSafe(F.lag("near").over(w))).cast("int")).withColumn("run", F.sum("_f").over(w))
+    s = s.join(d, "id", "left").withColumn("near", F.col("d").isNotNull())
+    s = s.withColumn("_f", (~F.col("near").eqNullSafe(F.lag("near").over(w))).cast("int")).withColumn("run", F.sum("_f").over(w))
     whole = Window.partitionBy("area_id")
     s = s.withColumns({"top": F.max("run").over(whole), "head": F.bool_or(F.col("near") & (F.col("run") == 1)).over(whole)}).where("near")
     joined = F.when((F.col("run") == F.col("top")) & F.col("head"), 1).otherwise(F.col("run"))
-    g = s.groupBy("area_id", joined.alias("_r"))
-    return g.agg(F.min_by("pos", F.col("pos") - F.col("run") * 100000).cast("long").alias("starts"), F.count("*").alias("n")).drop("_r")
+    g = s.groupBy("area_id", joined.alias("_r")).agg(F.min_by("pos", F.col("pos") - F.col("run") * 100000).cast("long").alias("starts"), F.count("*").alias("n"), F.floor(F.sum("km") + 0.5).cast("long").alias("km"), geo.scaled(F.min("d")).alias("closest_m"))
+    return g.drop("_r")
 
 
-@query(_NEAR + " SELECT area_id, count(*)::BIGINT AS n_samples, count(*) FILTER (near)::BIGINT AS n_near, count(*) FILTER (near) / count(*) >= 0.1e0 AS allowed FROM nr GROUP BY 1", ("v_edge", "v_site"))
-def agg18_contact_share(spark, sf):
-    """The share of an outline that has a site near it."""
-    g = _near_samples(spark, sf).groupBy("area_id").agg(F.count("*").alias("n_samples"), F.count_if("near").alias("n_near"))
-    return g.withColumn("allowed", F.col("n_near") / F.col("n_samples") >= 0.1)
+@query(_SAMPLES.replace("x1 + k / n * (x2 - x1) AS lon", f"{V.hav('x1', 'y1', 'x2', 'y2')} / n AS km, x1 + k / n * (x2 - x1) AS lon") + f", nr AS (SELECT area_id, km, EXISTS (SELECT 1 FROM v_site b WHERE {V.hav('s.lon', 's.lat', 'b.lon', 'b.lat')} <= 60) AS near FROM smp s) SELECT area_id, floor(sum(km) + 0.5e0)::BIGINT AS perimeter_km, floor(coalesce(sum(km) FILTER (near), 0) + 0.5e0)::BIGINT AS contact_km, coalesce(sum(km) FILTER (near), 0) / sum(km) >= 0.1e0 AS allowed FROM nr GROUP BY 1", ("v_edge", "v_site"))
+def agg18_contact_km(spark, sf):
+    """Kilometres of an outline and of its stretches that have a site near them: each sample stands for its share of its edge."""
+    e = V.v_edge(spark, sf)
+    length = e.select("area_id", "seq", geo.haversine_km(*(F.col(c) for c in EDGE[1:])).alias("len"))
+    s = S.densify(e, ["area_id", "seq"], 0.75)
+    n = s.groupBy("area_id", "seq").agg(F.count("*").alias("n")).join(length, ["area_id", "seq"]).select("area_id", "seq", (F.col("len") / F.col("n")).alias("km"))
+    s = s.join(n, ["area_id", "seq"]).withColumn("id", F.struct("area_id", "seq", "k"))
+    near = S.within_km(s.select("id", "lon", "lat"), V.v_site(spark, sf), 60.0).select(F.col("a_id").alias("id"), F.lit(True).alias("near")).distinct()
+    g = s.join(near, "id", "left").groupBy("area_id").agg(F.sum("km").alias("p"), F.coalesce(F.sum(F.when(F.col("near"), F.col("km"))), F.lit(0.0)).alias("c"))
+    whole = lambda c: F.floor(F.col(c) + 0.5).cast("long")
+    return g.select("area_id", whole("p").alias("perimeter_km"), whole("c").alias("contact_km"), (F.col("c") / F.col("p") >= 0.1).alias("allowed"))
 
 
 @query(_SAMPLES + f""", c AS (SELECT area_id, b.id % 4 AS cand, count(DISTINCT pos)::BIGINT AS n FROM smp s JOIN v_site b ON {V.hav('s.lon', 's.lat', 'b.lon', 'b.lat')} <= 100 GROUP BY 1, 2),
@@ -222,13 +228,15 @@ def spa12_label_in_area(spark, sf):
     return p.select("id", (F.col("id") % 25).alias("area_id")).join(S.containing(p, _edges(spark, sf)), ["id", "area_id"], "left_anti")
 
 
-@query(_PT_IN.format(p="v_site") + f""", edge AS (SELECT p.id FROM v_site p CROSS JOIN v_edge GROUP BY 1 HAVING min({V.seg('p.lon', 'p.lat')}) <= 10) SELECT p.id, CASE WHEN e.id IS NOT NULL THEN 'on boundary' WHEN i.area_id IS NULL THEN 'outside' WHEN i.area_id % 5 = p.id % 5 THEN 'as expected' ELSE 'elsewhere' END AS verdict
-FROM v_site p LEFT JOIN inside i ON i.id = p.id LEFT JOIN edge e ON e.id = p.id""", ("v_site", "v_edge"))
+@query(", pt AS (SELECT id, CASE WHEN id % 8 = 0 THEN -10 + (id % 5) * 12 + 0.001e0 ELSE lon END AS lon, lat FROM v_site)" + _PT_IN.format(p="pt") + f""", edge AS (SELECT p.id FROM pt p CROSS JOIN v_edge GROUP BY 1 HAVING min({V.seg('p.lon', 'p.lat')}) <= 0.15e0) SELECT p.id, CASE WHEN p.id % 11 = 0 THEN 'label only' WHEN e.id IS NOT NULL THEN 'on boundary' WHEN i.area_id IS NULL THEN 'outside' WHEN i.area_id % 5 = p.id % 5 THEN 'as expected' ELSE 'in ' || i.area_id END AS verdict
+FROM pt p LEFT JOIN inside i ON i.id = p.id LEFT JOIN edge e ON e.id = p.id""", ("v_site", "v_edge"))
 def spa15_anchor_checks(spark, sf):
-    p = V.v_site(spark, sf)
+    """Anchors against the areas that they are expected in: on a boundary within 0.15 km, outside, as expected, in another;
+    some are labels alone and not checked. (Every eighth site is moved next to a boundary.)"""
+    p = V.v_site(spark, sf).withColumn("lon", F.when(F.col("id") % 8 == 0, F.lit(-10) + F.col("id") % 5 * 12 + F.lit(0.001)).otherwise(F.col("lon")))
     inside = S.containing(p, _edges(spark, sf))
-    edge = S.nearest_edge(p, _edges(spark, sf), 10.0, [])
-    verdict = F.when(F.col("km").isNotNull(), "on boundary").when(F.col("area_id").isNull(), "outside").when(F.col("area_id") % 5 == F.col("id") % 5, "as expected").otherwise("elsewhere")
+    edge = S.nearest_edge(p, _edges(spark, sf), 0.15, [])
+    verdict = F.when(F.col("id") % 11 == 0, "label only").when(F.col("km").isNotNull(), "on boundary").when(F.col("area_id").isNull(), "outside").when(F.col("area_id") % 5 == F.col("id") % 5, "as expected").otherwise(F.concat(F.lit("in "), F.col("area_id").cast("string")))
     return p.select("id").join(inside, "id", "left").join(edge, "id", "left").select("id", verdict.alias("verdict"))
 
 
