@@ -47,6 +47,16 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_class(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """rows joined to their classes (key, n: rows of the class, ...), without n. Classes of over a thousandth of all rows,
+    a thousand at most, are broadcast, so that none of them is one task's."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = classes.where(F.col("n") > total // 1000 + 1)
+    few = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes.where(F.col("n") <= total // 1000 + 1), key)
+    return few.unionByName(rest).drop("n")
+
+
 def words(data: bytes) -> list[bytes]:
     """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased."""
     return data.translate(WORD_TABLE).split()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronogaz.llm.common import LOWER_ASCII, cut, text_bytes
+from chronogaz.llm.common import LOWER_ASCII, by_class, cut, text_bytes
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints in one tree; a larger shard is dealt out again.
@@ -210,15 +210,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id, n_links (of its fingerprint to others)."""
     fps = cut(fingerprints(df, shingle))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     edges = cut(links(classes.select("fp"), radius))
     roots = components(edges)
     ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     linked = classes.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), F.col("fp") == F.col("node"))
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(smallest, "root").select("fp", "component_id").join(ends, "fp")
-    labels = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return fps.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    labels = classes.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return by_class(fps, cut(labels), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
