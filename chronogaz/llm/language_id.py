@@ -6,9 +6,9 @@ Nystroem map over `landmarks` training texts gives features, and one-versus-rest
 for each language. Scoring multiplies a batch's presence matrix by the landmarks' and by the weights.
 
 Fitted on a bounded sample: at most `per_lang` texts of each language, those with the smallest hash of their doc_id,
-and `landmarks` of these; all rows are scored, each over its whole text. Texts that are null or have no letter get
+and `landmarks` of these; only the share of hashes that holds half as many again as needed is ranked. All rows are scored, each over its whole text. Texts that are null or have no letter get
 `und` with score 0; so does every text if nothing can be learned from. Languages are names of any kind; nulls teach
-nothing. Repeated rows and extra columns have no effect on others.
+nothing. Repeated rows and extra columns have no effect on others. A very long text is one of a batch of bounded bytes.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronogaz.llm.common import batches
+from chronogaz.llm.common import batches, cut
 
 DIM = 1 << 13
 PER_LANG, LANDMARKS, RIDGE = 600, 192, 1e-3
-#: Up to so many ids of the sample are broadcast (8 bytes each).
+#: Up to so many languages, or ids of the sample, are broadcast (8 bytes each).
 MOST_IDS = 1_000_000
 #: Steepness of the softmax over the scores, which lie about -1 and 1.
 SHARP = 4.0
@@ -79,8 +79,12 @@ class KernelModel:
 def training_sample(df: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """(lang, bits): presence rows, packed to bits, of at most per_lang texts of each language."""
     known = df.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang).select("doc_id").distinct()
+    hashed = known.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    counts = cut(hashed.groupBy("lang").agg(F.count("*").alias("n")))  # a row for each language
+    counts = F.broadcast(counts) if counts.count() <= MOST_IDS else counts
+    near = hashed.join(counts, "lang").where(F.col("h") / 2.0**64 + 0.5 <= (1.5 * per_lang + 200) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_lang).select("doc_id").distinct()
 
     def bits(it):
         for b in it:
