@@ -13,6 +13,10 @@ from chronogaz.functions import geo
 from chronogaz.operators.graph import checkpointed
 
 
+#: Up to so many points are broadcast with the cells that they reach (some 40 bytes a cell, a dozen cells a point).
+FEW_POINTS = 20_000
+
+
 def cell(x: Column, size: float) -> Column:
     return F.floor(x / size)
 
@@ -82,7 +86,8 @@ def near_edges(points: DataFrame, edges: DataFrame, max_km: float) -> DataFrame:
     pad_x = F.least(F.lit(180.0), pad / F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + pad))))
     p = points.select("id", "lon", "lat")
     p = p.withColumn("_cx", cell_span(F.col("lon") - pad_x, F.col("lon") + pad_x, size)).withColumn("_cy", cell_span(F.col("lat") - pad, F.col("lat") + pad, size))
-    both = p.join(passed_cells(edges, size), ["_cx", "_cy"]).drop("_cx", "_cy")
+    small = points.count() <= FEW_POINTS  # then the edges' cells stream past the points and are not shuffled
+    both = passed_cells(edges, size).join(F.broadcast(p) if small else p, ["_cx", "_cy"]).drop("_cx", "_cy")
     km = geo.segment_km(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     return both.withColumn("km", km).where(F.col("km") <= max_km)
 
@@ -94,7 +99,11 @@ def nearest_edge(points: DataFrame, edges: DataFrame, max_km: float, by: list[st
 
 def nearest_foot(points: DataFrame, edges: DataFrame, max_km: float, names: list[str]) -> DataFrame:
     """The nearest edge of each point within max_km, ties by its names: (id, names..., km, t, foot_lon, foot_lat)."""
-    near = near_edges(points, edges, max_km).withColumn("t", geo.segment_t(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    # The least distance first, as plain numbers; only edges at that distance are compared by name.
+    near = near_edges(points, edges, max_km)
+    least = near.groupBy("id").agg(F.min("km").alias("least"))
+    near = near.join(F.broadcast(least) if points.count() <= FEW_POINTS else least, "id").where(F.col("km") == F.col("least"))
+    near = near.withColumn("t", geo.segment_t(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
     best = near.groupBy("id").agg(F.min(F.struct("km", *names, "t", "x1", "y1", "x2", "y2")).alias("m")).select("id", "m.*")
     at = lambda a, b: F.col(a) + F.col("t") * (F.col(b) - F.col(a))
     return best.select("id", *names, "km", "t", at("x1", "x2").alias("foot_lon"), at("y1", "y2").alias("foot_lat"))
