@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronogaz.llm import decontaminate, html_extraction, language_id, license_scan, media_columns, simhash_dedup, source_mix, suffix_dedup, token_output, toxicity
+from chronogaz.llm import (
+    decontaminate,
+    fill_middle,
+    html_extraction,
+    language_id,
+    lexical_search,
+    license_scan,
+    media_columns,
+    sharding,
+    simhash_dedup,
+    source_mix,
+    suffix_dedup,
+    token_output,
+    toxicity,
+)
 from chronogaz.llm.common import crc_mod, table
 
 
@@ -56,7 +70,36 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_media_columns, op3_token_output, op4_decontamination, op5_language_id, op6_source_mix, op7_license_scan, op8_simhash, op9_toxicity, op10_html_extraction)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fim_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_array_dedup,
+        op2_media_columns,
+        op3_token_output,
+        op4_decontamination,
+        op5_language_id,
+        op6_source_mix,
+        op7_license_scan,
+        op8_simhash,
+        op9_toxicity,
+        op10_html_extraction,
+        op11_sharding,
+        op12_fill_middle,
+        op13_lexical_search,
+    )
+}
 
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 ORACLE_SQL = {
@@ -109,4 +152,54 @@ p AS (
 )
 SELECT doc_id, size, source_size, target,
   (whole * size + greatest(0, least(size, floor(target)::BIGINT - whole * source_size - before)))::BIGINT AS taken FROM p""",
+    "op11_sharding": r"""
+WITH RECURSIVE bits AS (
+  SELECT 0 AS k, i, i::BIGINT AS c FROM range(256) r(i)
+  UNION ALL SELECT k + 1, i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+raw AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+d AS (
+  SELECT doc_id, size::BIGINT AS size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32 FROM raw, crc
+), r AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row_no FROM d),
+total AS (SELECT count(*) AS n FROM d),
+root AS (SELECT n, CASE WHEN n < 2 THEN 1 ELSE ceil(sqrt(n::DOUBLE))::BIGINT END AS q FROM total),
+ab AS (SELECT n, a, (n + a - 1) // a AS b FROM root, LATERAL (SELECT unnest(range(q, greatest(q + 1, 2 * q))) AS a) ORDER BY (a - n % a) % a, a LIMIT 1),
+walk AS (
+  SELECT row_no, 0 AS k, row_no // b AS l, row_no % b AS r, n, a, b FROM r, ab
+  UNION ALL
+  SELECT row_no, CASE WHEN k < 6 THEN k + 1 ELSE 0 END,
+    CASE WHEN k = 6 THEN l WHEN k % 2 = 0 THEN (l + ('0x' || substr(md5('shard-1:' || k || ':' || r), 1, 15))::BIGINT % a) % a ELSE l END,
+    CASE WHEN k = 6 THEN r WHEN k % 2 = 1 THEN (r + ('0x' || substr(md5('shard-1:' || k || ':' || l), 1, 15))::BIGINT % b) % b ELSE r END, n, a, b
+  FROM walk WHERE k < 6 OR l * b + r >= n
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, ((l * b + w.r) % 8)::INT AS shard, (l * b + w.r) // 8 AS slot, NULL::INT AS grown_shard, row_no
+FROM r JOIN walk w USING (row_no) WHERE w.k = 6 AND l * b + w.r < n""",
+    "op12_fill_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (
+  SELECT *, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(u[greatest(a, b) + 1:n], '') AS suffix FROM k
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p""",
+    "op13_lexical_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), q AS (
+  SELECT r, item_id, unnest(list_distinct(ws)) AS term
+  FROM (SELECT row_number() OVER () AS r, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark)
+), size AS (SELECT count(*)::BIGINT AS n, sum(len(ws))::BIGINT AS total FROM d WHERE len(ws) > 0),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * len(ws) * n) // total) AS m FROM d, size WHERE len(ws) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), size),
+scores AS (
+  SELECT q.r, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m ON m.r = tf.r GROUP BY q.r, item_id, doc_id, m.r
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0) WHERE rank <= 10""",
 }
