@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,9 +19,13 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """Cuts lineage by a table in the shared folder.
+
+    A table's size is read from its files; a checkpointed frame keeps the planner's guess, which joins multiply, so that
+    over some rounds the guess alone grows to numbers of thousands of digits."""
+    path = f"{shared_root(df.sparkSession)}/rounds/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

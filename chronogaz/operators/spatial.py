@@ -188,25 +188,6 @@ def simplify(vertices: DataFrame, tolerance: float) -> DataFrame:
         v = new.drop("_new")
 
 
-#: Steps to the eight cells around one, with their costs.
-STEPS = [(dx, dy, 14 if dx and dy else 10) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
-
-
-def grid_edges(cells: DataFrame, stride: int = 1000) -> DataFrame:
-    """(src, dst, weight) between free cells (x, y), named x * stride + y; a diagonal needs both cells beside it free."""
-    name = lambda x, y: x * stride + y
-    x, y = F.col("x"), F.col("y")
-    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).cast("long").alias("weight")) for dx, dy, w in STEPS]))
-    out = cells.select("x", "y", steps.alias("s")).select("x", "y", "s.*")
-    free = cells.select(name(x, y).alias("_k"))
-    straight = out.withColumn("dst", name(x + F.col("dx"), y + F.col("dy"))).join(free, F.col("dst") == F.col("_k"), "left_semi")
-    beside = F.array(name(x + F.col("dx"), y), name(x, y + F.col("dy")))
-    diagonal = straight.where("dx <> 0 and dy <> 0").withColumn("_b", F.explode(beside)).join(free, F.col("_b") == F.col("_k"), "left_semi")
-    diagonal = diagonal.groupBy("x", "y", "dst", "weight").agg(F.count("*").alias("_n")).where("_n = 2")
-    both = straight.where("dx = 0 or dy = 0").select("x", "y", "dst", "weight").unionByName(diagonal.select("x", "y", "dst", "weight"))
-    return both.select(name(x, y).alias("src"), "dst", "weight")
-
-
 def segments(vertices: DataFrame, line: str = "line_id", order: str = "seq") -> DataFrame:
     """Edge table of polylines."""
     w = Window.partitionBy(line).orderBy(order)

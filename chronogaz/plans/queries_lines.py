@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronogaz.functions import geo
 from chronogaz.operators import graph as G
+from chronogaz.operators import gridpath as P
 from chronogaz.operators import spatial as S
 from chronogaz.plans import views as V
 from chronogaz.plans.registry import query
@@ -270,14 +271,13 @@ def grf5_clearance(spark, sf):
 
 _GRID = """, g AS (SELECT DISTINCT floor(lon / 2)::BIGINT AS x, floor(lat / 2)::BIGINT AS y FROM v_probe), st AS (SELECT min(x * 1000 + y) AS node FROM g), o AS (SELECT 1 AS dx, 0 AS dy UNION ALL SELECT -1, 0 UNION ALL SELECT 0, 1 UNION ALL SELECT 0, -1 UNION ALL SELECT 1, 1 UNION ALL SELECT 1, -1 UNION ALL SELECT -1, 1 UNION ALL SELECT -1, -1),
 e AS (SELECT a.x * 1000 + a.y AS src, b.x * 1000 + b.y AS dst, CASE WHEN dx <> 0 AND dy <> 0 THEN 14 ELSE 10 END AS w FROM g a CROSS JOIN o JOIN g b ON b.x = a.x + dx AND b.y = a.y + dy WHERE (dx = 0 OR dy = 0) OR (EXISTS (SELECT 1 FROM g c WHERE c.x = a.x + dx AND c.y = a.y) AND EXISTS (SELECT 1 FROM g c WHERE c.x = a.x AND c.y = a.y + dy))),
-p(node, cost) AS (SELECT node, 0 FROM st UNION SELECT e.dst, p.cost + e.w FROM p JOIN e ON e.src = p.node WHERE p.cost + e.w <= 120)"""
+p(node, cost) USING KEY (node) AS (SELECT node, 0 FROM st UNION SELECT n.node, n.cost FROM (SELECT e.dst AS node, min(p.cost + e.w) AS cost FROM p JOIN e ON e.src = p.node GROUP BY 1) n LEFT JOIN recurring.p k ON k.node = n.node WHERE k.cost IS NULL OR n.cost < k.cost)"""
 
 
 @query(_GRID + " SELECT node::BIGINT AS node, min(cost)::BIGINT AS cost FROM p GROUP BY 1", ("v_probe",))
 def grf4_grid_costs(spark, sf):
-    """Least costs over free cells in eight directions, corners not cut, up to a cost of 120 from the first cell."""
-    g = V.v_probe(spark, sf).select(F.floor(F.col("lon") / 2).alias("x"), F.floor(F.col("lat") / 2).alias("y")).distinct()
-    g = G.checkpointed(g)
-    edges = S.grid_edges(g)
-    start = g.agg(F.min(F.col("x") * 1000 + F.col("y")).alias("node"))
-    return G.shortest_costs(edges, start, 120).select("node", "cost")
+    """Least costs over free cells in eight directions, corners not cut, from the first cell to all that it reaches."""
+    g = G.checkpointed(V.v_probe(spark, sf).select(F.floor(F.col("lon") / 2).alias("x"), F.floor(F.col("lat") / 2).alias("y")).distinct())
+    cells = P.stepped(g, F.lit(10.0), F.lit(10.0), F.lit(10.0)).withColumns({c: F.lit(14.0) for c in P.STEPS[3:]})
+    start = g.agg(F.min(F.struct("x", "y")).alias("s")).where("s is not null").select(F.lit(0).alias("search"), "s.*", F.lit(0.0).alias("cost"))
+    return P.least_costs(cells, start).select((F.col("x") * 1000 + F.col("y")).alias("node"), F.col("cost").cast("long").alias("cost"))

@@ -151,24 +151,25 @@ def grf2_road_graph(spark, sf):
     return both.groupBy("a", "b").agg(F.min("m").alias("m"))
 
 
-_COST = ", e AS (SELECT DISTINCT src, dst, weight FROM v_graph UNION SELECT dst, src, weight FROM v_graph), p(node, cost, hops) AS (SELECT 7, 0, 0 UNION SELECT e.dst, p.cost + e.weight, p.hops + 1 FROM p JOIN e ON e.src = p.node WHERE p.cost + e.weight <= 60 AND p.hops < 40)"
+_COST = """, e AS (SELECT src, dst, min(weight) AS w FROM (SELECT src, dst, weight FROM v_graph UNION ALL SELECT dst, src, weight FROM v_graph) GROUP BY 1, 2),
+p(node, cost) USING KEY (node) AS (SELECT 7::BIGINT, 0::BIGINT UNION SELECT n.node, n.cost FROM (SELECT e.dst AS node, min(p.cost + e.w) AS cost FROM p JOIN e ON e.src = p.node GROUP BY 1) n LEFT JOIN recurring.p k ON k.node = n.node WHERE k.cost IS NULL OR n.cost < k.cost)"""
 
 
-@query(_COST + " SELECT node::BIGINT AS node, min(cost)::BIGINT AS cost FROM p GROUP BY node", ("v_graph",))
-def grf3_shortest_costs(spark, sf):
-    """From node 7, up to a cost of 60."""
+def _both_ways(spark, sf):
     g = V.v_graph(spark, sf)
-    both = g.unionByName(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    start = spark.range(7, 8).select(F.col("id").alias("node"))
-    return G.shortest_costs(both, start, 60).select("node", "cost")
+    return g.unionByName(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
 
 
-@query()
+@query(_COST + " SELECT node, cost FROM p", ("v_graph",))
+def grf3_shortest_costs(spark, sf):
+    """From node 7 to every node that it reaches."""
+    return G.shortest_costs(_both_ways(spark, sf), spark.range(7, 8).select(F.col("id").alias("node"))).select("node", "cost")
+
+
+@query(_COST + " SELECT a.node, any_value(a.cost) AS cost, min(b.node) AS prev FROM p a LEFT JOIN e ON e.dst = a.node AND a.node <> 7 LEFT JOIN p b ON b.node = e.src AND b.cost + e.w = a.cost GROUP BY 1", ("v_graph",))
 def grf3_shortest_paths(spark, sf):
-    """From node 7 to every node that it reaches, with the node before: no limit, and no twin, as SQL would walk all paths."""
-    g = V.v_graph(spark, sf)
-    both = g.unionByName(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    return G.shortest_costs(both, spark.range(7, 8).select(F.col("id").alias("node")))
+    """From node 7 to every node that it reaches, with the node before; of equal costs the least."""
+    return G.shortest_costs(_both_ways(spark, sf), spark.range(7, 8).select(F.col("id").alias("node")))
 
 
 @query(", a(id, ancestor, depth) AS (SELECT id, parent, 1 FROM v_tree WHERE parent IS NOT NULL UNION ALL SELECT a.id, t.parent, a.depth + 1 FROM a JOIN v_tree t ON t.id = a.ancestor WHERE t.parent IS NOT NULL) SELECT id, ancestor::BIGINT AS ancestor, depth::BIGINT AS depth FROM a", ("v_tree",))

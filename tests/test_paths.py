@@ -17,7 +17,7 @@ def test_shortest_paths(spark, sf):
             for m, w in near.get(n, []):
                 heapq.heappush(heap, (c + w, m))
     got = {r.node: r for r in registry.QUERIES["grf3_shortest_paths"](spark, sf).collect()}
-    assert max(cost.values()) > 60  # the bounded query has no row for these
+    assert max(cost.values()) > 60
     assert {n: r.cost for n, r in got.items()} == cost
     for n, r in got.items():
         assert n == 7 and r.prev is None or (r.prev, r.cost - cost[r.prev]) in near[n]
