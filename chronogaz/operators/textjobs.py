@@ -31,32 +31,6 @@ def _any_near(words, q):
     return F.exists(words, lambda w: one_edit(w, q))
 
 
-def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word, at): lower-case words, places from 1."""
-    ws = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9À-ÖØ-öø-ÿ]+"), F.lit(0))
-    return df.select(key, F.posexplode(ws).alias("at", "word")).withColumn("at", F.col("at") + 1)
-
-
-def rare_words(toks: DataFrame, key: str, lo: int, hi: int, length: int) -> DataFrame:
-    """Words of at least `length` letters that stand in lo to hi documents."""
-    n = toks.where(F.length("word") >= length).groupBy("word").agg(F.count_distinct(key).alias("n"))
-    return n.where(F.col("n").between(lo, hi)).select("word")
-
-
-def word_pairs(toks: DataFrame, key: str) -> DataFrame:
-    """(key, at, phrase): each word with the next one of its text."""
-    w = Window.partitionBy(key).orderBy("at")
-    return toks.select(key, "at", F.concat("word", F.lit(" "), F.lead("word").over(w)).alias("phrase")).where("phrase is not null")
-
-
-def every_other(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """Of each run of adjacent places the first, third and so on: the choice in order where only neighbours conflict."""
-    w = Window.partitionBy(key).orderBy(at)
-    runs = rows.withColumn("_run", F.col(at) - F.row_number().over(w))
-    inner = Window.partitionBy(key, "_run").orderBy(at)
-    return runs.withColumn("_n", F.row_number().over(inner)).where("_n % 2 = 1").drop("_run", "_n")
-
-
 def index_quantile(values: DataFrame, by: str, value: str, n: str, share: float, limit: float) -> DataFrame:
     """(by, n, worst, p95, n_long) from values with their counts: the value at place floor((n - 1) * share) in order."""
     totals = values.groupBy(by).agg(F.sum(n).alias("_all"), F.sum(F.when(F.col(value).isNotNull(), F.col(n)).otherwise(0)).alias("_m"), F.max(value).alias("worst"), F.sum(F.when(F.col(value) > limit, F.col(n)).otherwise(0)).alias("n_long"))
@@ -88,39 +62,6 @@ def without_names(df: DataFrame, text: str, names: str) -> DataFrame:
     return df.withColumn("_f", search_fold(F.col(text))).where(~F.coalesce(F.exists(names, lambda n: F.contains(F.col("_f"), F.lower(n))), F.lit(False))).drop("_f")
 
 
-def cased_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, low, cap): words in lower case, places from 1, and whether the word is capitalised."""
-    ws = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("[A-Za-z0-9À-ÖØ-öø-ÿ]+"), F.lit(0))
-    first = F.substring("word", 1, 1)
-    return df.select(key, F.posexplode(ws).alias("pos", "word")).select(key, (F.col("pos") + 1).alias("pos"), F.lower("word").alias("low"), (first != F.lower(first)).alias("cap"))
-
-
-def whole_word_mentions(toks: DataFrame, names: DataFrame, own: DataFrame, key: str) -> DataFrame:
-    """(key, name, pos): words that are names (name), but for a text's own name (key, own) and for capitalised words beside
-    another, which are parts of a longer name."""
-    w = Window.partitionBy(key).orderBy("pos")
-    near = toks.withColumns({"before": F.lag("cap").over(w), "after": F.lead("cap").over(w)})
-    free = ~(F.col("cap") & (F.coalesce("before", F.lit(False)) | F.coalesce("after", F.lit(False))))
-    hits = near.where(free).join(names, F.col("low") == F.col("name"))
-    return hits.join(own, key, "left").where(F.col("own").isNull() | (F.col("name") != F.col("own"))).select(key, "name", "pos")
-
-
-def chosen(mentions_: DataFrame, key: str) -> DataFrame:
-    """(key, place, at, n words) -> those chosen in order of place in the text, longer first: one for each place, none
-    overlapping. A text's mentions are folded in its own row."""
-    order = F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("n"), "place")))
-    rows = mentions_.groupBy(key).agg(order.alias("m"))
-    kind = "array<" + rows.schema["m"].dataType.elementType.simpleString() + ">"
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        free = (F.size(acc) == 0) | (x["at"] >= last["at"] - last["n"])
-        return F.when(free & ~F.exists(acc, lambda y: y["place"] == x["place"]), F.concat(acc, F.array(x))).otherwise(acc)
-
-    kept = F.aggregate("m", F.expr(f"cast(array() as {kind})"), step)
-    return rows.select(key, F.explode(kept).alias("c")).select(key, "c.place", "c.at", (-F.col("c.n")).alias("n"))
-
-
 REFERENCE = r"^((?:[1-3] )?[A-Z][A-Za-z ]*) ([0-9]+):([0-9]+)(?:-([0-9]+))?$"
 
 

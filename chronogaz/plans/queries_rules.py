@@ -122,37 +122,6 @@ def txt5_no_name_in_passage(spark, sf):
     return J.without_names(d.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), own)), "text", "names").select("doc_id", "place")
 
 
-# -- mentions
-
-_TOK = "WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9À-ÖØ-öø-ÿ]+') AS w FROM documents), k AS (SELECT doc_id, word, lower(word) AS low, pos, substr(word, 1, 1) <> lower(substr(word, 1, 1)) AS cap FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d))"
-_DICT = ", dict AS (SELECT low FROM (SELECT low, count(DISTINCT doc_id) AS n FROM k GROUP BY 1) WHERE n BETWEEN 2 AND 5 AND length(low) >= 6)"
-
-
-def _mentions(spark, sf):
-    toks = J.cased_tokens(V.read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
-    names = J.rare_words(toks.select("doc_id", F.col("low").alias("word")), "doc_id", 2, 5, 6).select(F.col("word").alias("name"))
-    own = toks.join(names, F.col("low") == F.col("name")).groupBy("doc_id").agg(F.min("name").alias("own"))  # each text's own place
-    return J.whole_word_mentions(toks, names, own, "doc_id")
-
-
-@query(_TOK + _DICT + """, own AS (SELECT doc_id, min(low) AS own FROM k JOIN dict USING (low) GROUP BY 1),
-c AS (SELECT *, lag(cap) OVER w AS before, lead(cap) OVER w AS after FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-SELECT doc_id, low AS name, pos::BIGINT AS pos FROM c JOIN dict USING (low) LEFT JOIN own USING (doc_id) WHERE low <> own AND NOT (cap AND (coalesce(before, false) OR coalesce(after, false)))""")
-def txt7_whole_word_mentions(spark, sf):
-    """Whole-word mentions of dictionary names (rare words of the corpus), without the text's own name and without parts
-    of longer capitalised names."""
-    return _mentions(spark, sf).select("doc_id", "name", F.col("pos").cast("long").alias("pos"))
-
-
-@query(_TOK + _DICT + """, own AS (SELECT doc_id, min(low) AS own FROM k JOIN dict USING (low) GROUP BY 1),
-c AS (SELECT *, lag(cap) OVER w AS before, lead(cap) OVER w AS after FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-SELECT doc_id, low AS name, min(pos)::BIGINT AS pos FROM c JOIN dict USING (low) LEFT JOIN own USING (doc_id) WHERE low <> own AND NOT (cap AND (coalesce(before, false) OR coalesce(after, false))) GROUP BY 1, 2""")
-def win18_first_mentions(spark, sf):
-    """The first mention of each place in a text; names are single words, so none overlap."""
-    m = _mentions(spark, sf).select("doc_id", F.col("name").alias("place"), F.col("pos").alias("at"), F.lit(1).alias("n"))
-    return J.chosen(m, "doc_id").select("doc_id", F.col("place").alias("name"), F.col("at").cast("long").alias("pos"))
-
-
 # -- records
 
 _ALLOWED = "('STANDARD', 'SMALL', 'MEDIUM')"

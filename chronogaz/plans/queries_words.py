@@ -4,41 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronogaz.functions import text as X
 from chronogaz.operators import textjobs as J
 from chronogaz.plans import views as V
 from chronogaz.plans.registry import query
 
 
-@query("""WITH own AS (SELECT 'part:' || p_partkey AS owner, lower(trim(p_name)) AS norm FROM part UNION ALL SELECT 'customer:' || c_custkey, lower(trim(c_name)) FROM customer UNION ALL SELECT 'region:' || r_regionkey, lower(trim(r_name)) FROM region UNION ALL SELECT 'nation:' || n_nationkey, lower(trim(n_name)) FROM nation)
-SELECT norm, min(owner) AS owner FROM own WHERE norm NOT IN (SELECT lower(trim(n_name)) FROM nation) GROUP BY 1 HAVING count(DISTINCT owner) = 1""")
-def txt6_mention_dictionary(spark, sf):
-    """Names of exactly one owner that are no country's name."""
-    named = lambda t, key, name: V.read(spark, sf, t).select(F.concat(F.lit(f"{t}:"), F.col(key).cast("string")).alias("owner"), X.key_fold(F.col(name)).alias("norm"))
-    nations = named("nation", "n_nationkey", "n_name")
-    own = named("part", "p_partkey", "p_name").unionByName(named("customer", "c_custkey", "c_name")).unionByName(named("region", "r_regionkey", "r_name")).unionByName(nations)
-    alone = own.groupBy("norm").agg(F.min("owner").alias("owner"), F.max("owner").alias("_last")).where("owner = _last").drop("_last")
-    return alone.join(nations.select("norm"), "norm", "left_anti")
-
-
-_WORDS = "WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9À-ÖØ-öø-ÿ]+') AS w FROM documents), k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d)"
-
-
-@query(_WORDS + """, p AS (SELECT doc_id, pos, word || ' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS phrase FROM k), f AS (SELECT doc_id, phrase, min(pos) AS pos FROM p WHERE phrase IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT phrase FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4), c AS (SELECT doc_id, pos, phrase FROM f JOIN r USING (phrase)),
-i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS isl FROM c)
-SELECT doc_id, pos::BIGINT AS pos, phrase FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, isl ORDER BY pos) AS rn FROM i) WHERE rn % 2 = 1""")
-def txt8_chosen_mentions(spark, sf):
-    """First mentions of rare pairs of words, none overlapping, the earlier first.
-
-    A mention of two words overlaps only the next place, so the choice in order takes every other one of each run of
-    adjacent places: a window instead of a fold. The same holds for the first mention of each place in a text."""
-    toks = J.tokens(V.read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
-    first = J.word_pairs(toks, "doc_id").groupBy("doc_id", "phrase").agg(F.min("at").alias("pos"))
-    rare = first.groupBy("phrase").agg(F.count("*").alias("n")).where("n between 2 and 4").select("phrase")
-    return J.every_other(first.join(rare, "phrase"), "doc_id", "pos").select("doc_id", F.col("pos").cast("long").alias("pos"), "phrase")
-
-
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' ELSE 'Partly done' END AS status_label, CASE WHEN o_totalprice >= 250000 THEN 'certain' WHEN o_totalprice >= 100000 THEN 'likely' ELSE 'disputed' END AS confidence_label FROM orders")
 def str12_labels(spark, sf):
     status, price = F.col("o_orderstatus"), F.col("o_totalprice")

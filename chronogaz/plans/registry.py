@@ -26,4 +26,4 @@ def query(oracle: str | None = None, views: tuple[str, ...] = ()):
     return add
 
 
-from chronogaz.plans import queries_audit, queries_checks, queries_cover, queries_files, queries_joins, queries_lines, queries_network, queries_places, queries_records, queries_regions, queries_rules, queries_spatial, queries_tables, queries_temporal, queries_text, queries_words  # noqa: E402, F401
+from chronogaz.plans import queries_audit, queries_checks, queries_cover, queries_files, queries_joins, queries_lines, queries_mentions, queries_network, queries_places, queries_records, queries_regions, queries_rules, queries_spatial, queries_tables, queries_temporal, queries_text, queries_words  # noqa: E402, F401

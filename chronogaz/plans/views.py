@@ -69,6 +69,29 @@ def v_way(spark, sf_dir):
     return read(spark, sf_dir, "part").select(k.alias("way_id"), F.when(k % 2 == 0, a).otherwise(b).alias("start"), F.when(k % 2 == 0, b).otherwise(a).alias("end"), (F.col("p_size") % 6 + 2).cast("long").alias("n_vertices"))
 
 
+def v_place_name(spark, sf_dir):
+    """Names of the parts taken as places: of several words, some shared, one a country's, one with a lower-case word."""
+    k = F.col("p_partkey")
+    word = lambda i: F.initcap(F.split_part("p_name", F.lit(" "), F.lit(i)))
+    a, b, n = word(1), word(2), lambda m: (k % m).cast("string")
+    main, old, short = F.concat(a, F.lit(" "), b, F.lit(" "), n(97)), F.concat(F.lit("The "), a, F.lit(" of "), b, F.lit(" "), n(89)), F.concat(b, F.lit(" "), k.cast("string"))
+    names = F.array(main, old, short, F.concat(F.lit("old "), b), F.when(k % 50 == 0, "Egypt"))
+    return read(spark, sf_dir, "part").select(k.alias("place"), F.posexplode(names).alias("kind", "name")).where("name is not null")
+
+
+def v_story(spark, sf_dir):
+    """Documents with sentences that name places, their own among them."""
+    d, names = F.col("doc_id"), v_place_name(spark, sf_dir).where("place < 200")
+    of = names.groupBy("place").agg(*[F.max(F.when(F.col("kind") == i, F.col("name"))).alias(c) for i, c in enumerate(("main", "old", "short"))])
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", *[((d * m + p) % 200).alias(f"k{i}") for i, (m, p) in enumerate(((7, 0), (13, 5), (29, 1)), 1)])
+    for i in (1, 2, 3):
+        rows = rows.join(of.select(F.col("place").alias(f"k{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("main", "old", "short")]), f"k{i}")
+    lower = F.concat(F.lower(F.substring("old3", 1, 1)), F.expr("substr(old3, 2)"))
+    c, t = F.col, F.lit
+    said = [F.coalesce("text", t("")), t(". By "), c("main1"), t(", "), c("main2"), t(" and "), c("short2"), t(". From "), lower, t("  to Great "), c("main3"), t(" of "), c("short1"), t(". "), c("old2"), t("’s end. (\"Dear "), c("short3"), t("\") by "), c("main1"), t("'s  "), c("old1"), t(".")]
+    return rows.select("doc_id", F.col("k1").alias("place"), F.concat(*said).alias("text"))
+
+
 def v_period(spark, sf_dir):
     """Intervals of customers between their orders, in days; empty ones dropped."""
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", day("o_orderdate").alias("from"), F.col("o_orderstatus").alias("holder"), F.col("o_orderpriority").alias("note"))
@@ -109,6 +132,9 @@ ORACLE_VIEWS = {
     "v_rseg": "SELECT * FROM (SELECT road_id, seq, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM v_road WINDOW w AS (PARTITION BY road_id ORDER BY seq)) WHERE x2 IS NOT NULL",
     "v_rend": "SELECT road_id, 'start' AS side, max(lon) FILTER (seq = 1) AS lon, max(lat) FILTER (seq = 1) AS lat, max(lon) FILTER (seq = 2) AS before_lon, max(lat) FILTER (seq = 2) AS before_lat FROM v_road GROUP BY 1 UNION ALL SELECT road_id, 'end', max(lon) FILTER (seq = 3), max(lat) FILTER (seq = 3), max(lon) FILTER (seq = 2), max(lat) FILTER (seq = 2) FROM v_road GROUP BY 1",
     "v_way": 'SELECT p_partkey AS way_id, p_partkey + p_partkey // 7 + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS "start", p_partkey + p_partkey // 7 + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS "end", (p_size % 6 + 2)::BIGINT AS n_vertices FROM part',
+    "v_place_name": "SELECT place, kind, name FROM (SELECT place, unnest([0, 1, 2, 3, 4]) AS kind, unnest([a || ' ' || b || ' ' || (place % 97), 'The ' || a || ' of ' || b || ' ' || (place % 89), b || ' ' || place, 'old ' || b, CASE WHEN place % 50 = 0 THEN 'Egypt' END]) AS name FROM (SELECT p_partkey AS place, upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) AS a, upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS b FROM part)) WHERE name IS NOT NULL",
+    "v_place_of": "SELECT place, max(name) FILTER (kind = 0) AS main, max(name) FILTER (kind = 1) AS old, max(name) FILTER (kind = 2) AS short FROM v_place_name WHERE place < 200 GROUP BY 1",
+    "v_story": "SELECT doc_id, a.place, coalesce(text, '') || '. By ' || a.main || ', ' || b.main || ' and ' || b.short || '. From ' || lower(substr(c.old, 1, 1)) || substr(c.old, 2) || '  to Great ' || c.main || ' of ' || a.short || '. ' || b.old || '’s end. (\"Dear ' || c.short || '\") by ' || a.main || chr(39) || 's  ' || a.old || '.' AS text FROM documents JOIN v_place_of a ON a.place = doc_id * 7 % 200 JOIN v_place_of b ON b.place = (doc_id * 13 + 5) % 200 JOIN v_place_of c ON c.place = (doc_id * 29 + 1) % 200",
     "v_day": "SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT AS d FROM orders",
     "v_period": "SELECT * FROM (SELECT o_custkey AS area_id, o_orderkey AS id, d AS f, lead(d) OVER (PARTITION BY o_custkey ORDER BY d, o_orderkey) AS t, o_orderstatus AS holder, o_orderpriority AS note FROM v_day) WHERE t > f",
     "v_override": "SELECT area_id, id, f, t, 'X' AS holder FROM (SELECT *, max(t) OVER (PARTITION BY area_id ORDER BY f, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM (SELECT o_custkey AS area_id, o_orderkey AS id, d + 10 AS f, d + 55 AS t FROM v_day WHERE o_orderkey % 7 = 0)) WHERE p IS NULL OR p <= f",
@@ -116,7 +142,7 @@ ORACLE_VIEWS = {
     "v_graph": "SELECT * FROM (SELECT o_custkey % 5000 AS src, o_orderkey % 5000 AS dst, o_orderkey * 31 % 97 + 1 AS weight FROM orders) WHERE src <> dst",
     "v_seg": "SELECT * FROM (SELECT line_id, seq, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM v_line WINDOW w AS (PARTITION BY line_id ORDER BY seq)) WHERE x2 IS NOT NULL",
 }
-_NEEDS = {"v_period": ("v_day",), "v_override": ("v_day",), "v_seg": ("v_line",), "v_rseg": ("v_road",), "v_rend": ("v_road",)}
+_NEEDS = {"v_place_of": ("v_place_name",), "v_story": ("v_place_of",), "v_period": ("v_day",), "v_override": ("v_day",), "v_seg": ("v_line",), "v_rseg": ("v_road",), "v_rend": ("v_road",)}
 
 
 def closure(views: tuple[str, ...]) -> list[str]:

@@ -5,27 +5,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from chronogaz.operators import graph, temporal, textjobs
+from chronogaz.operators import graph, temporal
 from chronogaz.plans import registry
 from chronogaz.plans import views as V
 
 
-def test_chosen_mentions_equal_the_loop(spark):
-    rng = random.Random(2)
-    rows = sorted({(d, f"p{rng.randrange(6)}", rng.randrange(1, 40), rng.randrange(1, 4)) for d in range(6) for _ in range(40)})
-    want = set()
-    for d in range(6):
-        end, seen = 0, set()
-        for _, place, at, n in sorted((r for r in rows if r[0] == d), key=lambda r: (r[2], -r[3], r[1])):
-            if at >= end and place not in seen:
-                want.add((d, place, at, n))
-                end = at + n
-                seen.add(place)
-    df = spark.createDataFrame(rows, "doc_id long, place string, at int, n int")
-    assert {tuple(r) for r in textjobs.chosen(df, "doc_id").collect()} == want
-    assert textjobs.chosen(df.limit(0), "doc_id").count() == 0
-
-
 def test_traced_paths_are_least_cost(spark, sf):
     near = {}
     for r in V.v_graph_ids(spark, sf).collect():
