@@ -19,13 +19,14 @@ A hot host is no single task: each task sorts the suffixes of its own pages and
 its number of pages, and only these are joined across tasks.
 
 Null or empty html gives an empty text. Damaged markup is read as far as it goes: unclosed elements end with their
-parents, a cut-off tag ends the page. Rows repeat as they do in the input; rows with one page_id are not two pages, but
-a page_id that stands in several tasks counts in each. Very long pages are one row of a batch of bounded bytes. Columns
+parents, a cut-off tag ends the page, a quote without its fellow ends with its tag, a head need not be closed. Rows repeat as they do in the input; rows with one page_id are not two pages, but
+a page_id that stands in several tasks counts in each; rows without one are pages of their own. Very long pages are one row of a batch of bounded bytes. Columns
 besides page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 
@@ -40,21 +41,24 @@ LEAST, SHARE = 12, 0.3
 
 # What HTML elements are.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title svg math iframe object head select option button canvas audio video".split())
+RAW = set("script style noscript template textarea title iframe".split())
+HELD = set("svg math object select option optgroup button canvas audio video datalist".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSED_BY_BLOCK = {"p"}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 # Our own choice: elements and names that tell boilerplate, and words that name nothing beside them.
-NOT_TEXT = set("nav header footer aside form menu dialog".split())
+NOT_TEXT = set("nav header footer aside form menu dialog".split()) | HELD
 NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead sidebar cookie cookies consent "
     "notice notices popup modal newsletter subscribe subscription signup login search share sharing social related comment comments commentlist respond disqus widget widgets copyright toolbar pagination pager skip teaser teasers".split()
 )
 PLAIN = set("site main page top bottom left right list area box container wrapper wrap section block slot bar item items primary secondary global inner outer module panel row col link links buttons button icons icon group unit the".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_OPENS = re.compile(r"<(?=[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_QUOTE = re.compile(r"=\s*([\"'])|>")
+_ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 
@@ -78,6 +82,8 @@ def _zone(tag: str, attrs: str, zone: int) -> int:
     named, role = 0, ""
     for m in _ATTR.finditer(attrs) if attrs and tag not in ("html", "body") else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name not in ("class", "id", "role", "hidden", "aria-hidden"):
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
             return BOILERPLATE
         if name in ("class", "id"):
@@ -91,11 +97,42 @@ def _zone(tag: str, attrs: str, zone: int) -> int:
     return {OUTSIDE: SUSPECT_OUTSIDE, ARTICLE: SUSPECT}.get(zone, zone) if named and tag not in ("article", "main") else zone
 
 
+def _tag(page: str, at: int) -> tuple[str, str, bool, int]:
+    """(name, attributes, whether it closes, end) of the markup that opens at `at`; no name for comments and the like.
+
+    A quote after an equals sign holds until its fellow, if white space, a slash or the tag's end follows that; else it
+    stands alone, and the tag ends at the next >."""
+    if page.startswith("<!--", at):
+        end = page.find("-->", at + 4)
+        return "", "", False, len(page) if end < 0 else end + 3
+    if page.startswith("<![CDATA[", at):
+        end = page.find("]]>", at)
+        return "", "", False, len(page) if end < 0 else end + 3
+    m = _NAME.match(page, at)
+    if m is None:
+        end = page.find(">", at)
+        return "", "", False, len(page) if end < 0 else end + 1
+    pos = m.end()
+    while True:
+        q = _QUOTE.search(page, pos)
+        if q is None:
+            return m[1].lower(), page[m.end() :], page[at + 1] == "/", len(page)
+        if q[1] is None:
+            return m[1].lower(), page[m.end() : q.start()], page[at + 1] == "/", q.end()
+        close = page.find(q[1], q.end())
+        if close >= 0 and (close + 1 == len(page) or page[close + 1] in " \t\r\n\f/>"):
+            pos = close + 1
+        else:
+            pos = q.end()
+
+
 def blocks(page: str) -> list[tuple[str, int]]:
     """(text, zone) of each block in page order."""
     out, text = [], []
     stack: list[tuple[str, int]] = []  # open elements and the zone inside them
-    zone, at, end = 1, 0, len(page)
+    count: dict[str, int] = {}  # open elements of each name
+    unclosed: set[str] = set()
+    zone, at, end = OUTSIDE, 0, len(page)
 
     def flush():
         got = _SPACE.sub(" ", html.unescape("".join(text))).strip()
@@ -103,24 +140,26 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if got:
             out.append((got, zone))
 
+    def pop() -> str:
+        tag, _ = stack.pop()
+        count[tag] -= 1
+        return tag
+
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _OPENS.search(page, at)
         if m is None:
             text.append(page[at:])
             break
         text.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        tag, attrs, closes, at = _tag(page, m.start())
         if not tag:
             continue
-        if m[1]:
-            if any(t == tag for t, _ in stack):
+        if closes:
+            if count.get(tag):
                 flush() if tag in BLOCK or tag in NOT_TEXT else None
-                while stack:
-                    t, _ = stack.pop()
-                    if t == tag:
-                        break
-                new = stack[-1][1] if stack else 1
+                while pop() != tag:
+                    pass
+                new = stack[-1][1] if stack else OUTSIDE
                 if new != zone:
                     flush()
                     zone = new
@@ -128,31 +167,54 @@ def blocks(page: str) -> list[tuple[str, int]]:
                 flush()
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = close.end() if close else end
+            if not attrs.rstrip().endswith("/"):
+                close = None if tag in unclosed else _closing(tag).search(page, at)
+                if close:
+                    at = close.end()
+                else:  # a title ends with the next tag, what else is unclosed with the page
+                    unclosed.add(tag)
+                    at = page.find("<", at) if tag == "title" else end
+                    at = end if at < 0 else at
             continue
+        if tag in HELD and tag not in unclosed:  # left out whole if the next tag of its name closes it, else as it stands
+            same = _same(tag).search(page, at)
+            if same is None:
+                unclosed.add(tag)
+            elif same[1]:
+                at = same.end()
+                continue
         if tag == "br":
             text.append(" ")
             continue
         if tag in BLOCK:
             flush()
             while stack and stack[-1][0] not in BLOCK:  # inline elements do not reach over blocks
-                stack.pop()
+                pop()
             if stack and stack[-1][0] in CLOSED_BY_BLOCK:
-                stack.pop()
-            zone = stack[-1][1] if stack else 1
-        if tag in VOID or m[3].rstrip().endswith("/"):
+                pop()
+            zone = stack[-1][1] if stack else OUTSIDE
+        if tag in VOID or attrs.rstrip().endswith("/"):
             continue
-        inside = _zone(tag, m[3], zone)
+        inside = _zone(tag, attrs, zone)
         if inside != zone and tag not in BLOCK:
             flush()
         stack.append((tag, inside))
+        count[tag] = count.get(tag, 0) + 1
         zone = inside
     flush()
     return out
 
 
+@functools.cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
+@functools.cache
+def _same(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(tag)}(?:\s[^>]*)?>", re.I)
+
+
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
@@ -218,17 +280,16 @@ def repeated(parsed: DataFrame, least: int = LEAST) -> DataFrame:
             by_host: dict[str, list[int]] = {}
             for i, h in enumerate(b.column(1).to_pylist()):
                 by_host.setdefault(h, []).append(i)
-            ids, parts, out = b.column(0).to_pylist(), b.column(2).to_pylist(), []
+            ids, parts, out = [-2 - r if p is None else p for p, r in zip(b.column(0).to_pylist(), b.column(3).to_pylist())], b.column(2).to_pylist(), []
             for h, rows in by_host.items():
                 found: dict[int, set[int]] = {}
                 for p, _, _, _, w in windows([[x["text"] for x in parts[i] if x["zone"] != ARTICLE] for i in rows], least):
-                    page = ids[rows[p]]
-                    found.setdefault(w, set()).add(-1 if page is None else page)
+                    found.setdefault(w, set()).add(ids[rows[p]])
                 out += [(h, w, min(ps), max(ps), len(ps)) for w, ps in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64() if k else pa.string()) for k in range(5)], ["host", "w", "lo", "hi", "n"])
         give_back()
 
-    got = parsed.select("page_id", "host", "parts").mapInArrow(run, "host string, w long, lo long, hi long, n long")
+    got = parsed.select("page_id", "host", "parts", "row").mapInArrow(run, "host string, w long, lo long, hi long, n long")
     shared = got.groupBy("host", "w").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("pages")).where("lo < hi")
     hosts = parsed.groupBy("host").agg(F.count("*").alias("of_host"))
     return shared.join(hosts, "host").select("host", "w", "pages", "of_host")

@@ -25,6 +25,8 @@ from chronogaz.llm.common import batches, cut
 DIM = 1 << 13
 PER_LANG, LANDMARKS, RIDGE = 600, 192, 1e-3
 #: Up to so many languages, or ids of the sample, are broadcast (8 bytes each).
+#: Rows that reach the driver at most, of all languages; with very many languages each gives fewer.
+MOST_ROWS = 200_000
 MOST_IDS = 1_000_000
 #: Steepness of the softmax over the scores, which lie about -1 and 1.
 SHARP = 4.0
@@ -78,13 +80,16 @@ class KernelModel:
 
 def training_sample(df: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """(lang, bits): presence rows, packed to bits, of at most per_lang texts of each language."""
-    known = df.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    hashed = known.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    known = df.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"), F.col("doc_id").cast("string"))
+    known = known.withColumn("h", F.xxhash64("lang", "doc_id", "text"))  # a row without an id, or with another's, has a hash of its own
+    hashed = known.select("lang", "h").distinct()
     counts = cut(hashed.groupBy("lang").agg(F.count("*").alias("n")))  # a row for each language
-    counts = F.broadcast(counts) if counts.count() <= MOST_IDS else counts
+    langs = counts.count()
+    per_lang = max(1, min(per_lang, MOST_ROWS // max(1, langs)))
+    counts = F.broadcast(counts) if langs <= MOST_IDS else counts
     near = hashed.join(counts, "lang").where(F.col("h") / 2.0**64 + 0.5 <= (1.5 * per_lang + 200) / F.col("n"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_lang).select("doc_id").distinct()
+    order = Window.partitionBy("lang").orderBy("h")
+    ids = cut(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_lang).select("lang", "h"))
 
     def bits(it):
         for b in it:
@@ -92,7 +97,8 @@ def training_sample(df: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in np.packbits(rows, axis=1)], pa.binary()), b.column(2)], ["lang", "bits", "doc_id"])
 
     ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
-    return known.join(ids, "doc_id", "left_semi").select("lang", F.col("text").cast("string"), F.col("doc_id").cast("string")).mapInArrow(bits, "lang string, bits binary, doc_id string")
+    sample = known.join(ids, ["lang", "h"], "left_semi").groupBy("lang", "h", "doc_id", "text").count()  # equal rows count once
+    return sample.select("lang", "text", "doc_id").mapInArrow(bits, "lang string, bits binary, doc_id string")
 
 
 def fit(df: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel | None:

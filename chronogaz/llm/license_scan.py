@@ -9,6 +9,10 @@ looked at; they must hold c of the template's tokens at all (length filter); and
 find c - 1 others in what is left of the window (positional filter). What is left is counted exactly. Blocks of one
 template that overlap are one match.
 
+A match must also hold the words that tell its template from its kin (`NEEDS`: a licence's name and version), and none of
+those that tell another (`BARS`), so that function words alone never make a label. The method's labels are names of their
+own, apart from those of the base phrases.
+
 Beside the join, base phrases are found at every place where their words stand consecutively.
 
 A null or empty text has no words and no blocks. Repeated rows stay apart. Columns besides doc_id and text are not read,
@@ -20,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +45,7 @@ TEMPLATES = {
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
-    "mit": "Released under the MIT License",
+    "mit-line": "Released under the MIT License",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the software without restriction",
     "mit-notice": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.',
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
@@ -48,6 +53,23 @@ TEMPLATES = {
     "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd-conditions": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
 }
+#: Words that a match of a template must hold, and words that it, and the three words on both sides of it, must not hold:
+#: what tells a notice from one of its kin. Notices that are not named need nothing beside the containment.
+NEEDS = {
+    "gpl-3.0": ("gnu", "general", "public", "license", "3"),
+    "gpl-2.0": ("gnu", "general", "public", "license", "2"),
+    "gpl-notice": ("gnu", "general", "public", "license"),
+    "apache-2.0": ("licensed", "apache", "license", "2"),
+    "apache-notice": ("apache", "license"),
+    "mit-line": ("released", "mit", "license"),
+    "cc-by-4.0": ("creative", "commons", "attribution", "4"),
+    "cc-by-nc-4.0": ("licensed", "cc", "by", "nc", "4"),
+}
+BARS = {
+    "cc-by-4.0": ("sharealike", "share", "noncommercial", "noncommercially", "commercial", "noderivatives", "noderivs", "nc", "nd", "sa"),
+    "cc-by-nc-4.0": ("sa", "nd", "sharealike", "noderivatives"),
+}
+BESIDE = 3
 CONTAINMENT = 0.8
 #: Words of a block, as a multiple of the template's.
 SPAN = 1.5
@@ -86,6 +108,13 @@ class TemplateIndex:
             for t in toks[: len(toks) - need + 1]:
                 self.by_prefix.setdefault(t, []).append(name)
         self.prefix = frozenset(self.by_prefix)
+        of = templates.items() & TEMPLATES.items()  # others of the same name need what they hold
+        self.needs, self.bars = ({name: [w.encode() for w in given.get(name, ())] for name, _ in of} for given in (NEEDS, BARS))
+
+    def told(self, name: str, ws: list[bytes], a: int, z: int) -> bool:
+        """Whether the words a to z tell this template from its kin."""
+        needs, bars = self.needs.get(name, ()), self.bars.get(name, ())
+        return frozenset(needs) <= frozenset(ws[a:z]) and frozenset(bars).isdisjoint(ws[max(0, a - BESIDE) : z + BESIDE])
 
     def matches(self, ws: list[bytes]) -> list[tuple[str, int, int, float]]:
         """(template, first word, end, best containment) of each run of blocks that meet a template."""
@@ -103,7 +132,7 @@ class TemplateIndex:
             for p in [*places, len(ws) + 2 * span]:  # stretches of words that any block about these places lies in
                 if hi and p - span + 1 > hi:
                     if len(toks.intersection(ws[lo:hi])) >= need:
-                        out += [(name, a, z, n / len(toks)) for a, z, n in _blocks(ws, lo, hi, toks, need, span)]
+                        out += [(name, a, z, n / len(toks)) for a, z, n in _blocks(ws, lo, hi, toks, need, span) if self.told(name, ws, a, z)]
                     lo = hi = 0
                 if not hi:
                     lo = max(0, p - span + 1)
@@ -171,10 +200,14 @@ def license_scan(df: DataFrame, templates: dict[str, str] | None = None, contain
                 joined = b" " + b" ".join(ws) + b" "
                 places, labels, score = [], set(), 0.0
                 if any(x in joined for x in lasts):
+                    starts = None
                     for rx, label in base:
                         found = [m.start() for m in rx.finditer(joined)]
-                        places += [joined.count(b" ", 0, at) - 1 for at in found]
-                        labels |= {label} if found else set()
+                        if found:
+                            starts = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) if starts is None else starts
+                            places += np.searchsorted(starts, found, side="left").tolist()
+                            labels.add(label)
+                    places = [p - 1 for p in places]
                 own = set()
                 for name, _, _, c in index.matches(ws):
                     own.add(name)

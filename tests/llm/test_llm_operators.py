@@ -259,7 +259,9 @@ def plain_blocks(text, name, template, containment=0.8, span=1.5):
             runs[-1] = (runs[-1][0], max(runs[-1][1], z))
         else:
             runs.append((a, z))
-    return {(name, a, z - 1) for a, z in runs}
+    L = license_scan
+    told = lambda a, z: set(L.NEEDS.get(name, ())) <= {w.decode() for w in ws[a:z]} and not set(L.BARS.get(name, ())) & {w.decode() for w in ws[max(0, a - 3) : z + 3]}
+    return {(name, a, z - 1) for a, z in runs if told(a, z)}
 
 
 def test_license_blocks(spark, docs):
