@@ -77,7 +77,7 @@ def near_edges(points: DataFrame, edges: DataFrame, max_km: float) -> DataFrame:
     """Points (id, lon, lat) with the edges within max_km and their distance km; a pair may come more than once.
 
     Points are dealt to the cells that they can reach, edges to those that they pass."""
-    size = max(max_km / geo.DEG_LAT_KM, 0.25)
+    size = max(max_km / geo.DEG_LAT_KM, 0.5)
     pad = F.lit(max_km * 1.01 / geo.DEG_LAT_KM)
     pad_x = F.least(F.lit(180.0), pad / F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + pad))))
     p = points.select("id", "lon", "lat")
@@ -93,11 +93,26 @@ def nearest_edge(points: DataFrame, edges: DataFrame, max_km: float, by: list[st
 
 
 def nearest_foot(points: DataFrame, edges: DataFrame, max_km: float, names: list[str]) -> DataFrame:
-    """The nearest edge of each point within max_km, ties by its names: (id, names..., km, t, foot_lon, foot_lat)."""
-    near = near_edges(points, edges, max_km).withColumn("t", geo.segment_t(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    best = near.groupBy("id").agg(F.min(F.struct("km", *names, "t", "x1", "y1", "x2", "y2")).alias("m")).select("id", "m.*")
+    """The nearest edge of each point within max_km, ties by its names: (id, names..., km, t, foot_lon, foot_lat).
+
+    The radius grows three times a round, and points that have an edge leave, so the pairs looked at stay a small multiple of
+    the points whatever the density. The least distance is found first, as a number; names decide among its edges alone."""
+    left, out, km = points.select("id", "lon", "lat"), None, max_km / 27
+    while True:
+        t = geo.segment_t(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+        near = checkpointed(near_edges(left, edges, km).select("id", *names, "km", t.alias("t"), "x1", "y1", "x2", "y2"))
+        least = near.groupBy("id").agg(F.min("km").alias("km"))
+        best = near.join(least, ["id", "km"]).groupBy("id", "km").agg(F.min(F.struct(*names, "t", "x1", "y1", "x2", "y2")).alias("m"))
+        got = best.select("id", "km", "m.*")
+        out = got if out is None else out.unionByName(got)
+        if km >= max_km:
+            break
+        left = checkpointed(left.join(near.select("id").distinct(), "id", "left_anti"))
+        if left.isEmpty():
+            break
+        km = min(km * 3, max_km)
     at = lambda a, b: F.col(a) + F.col("t") * (F.col(b) - F.col(a))
-    return best.select("id", *names, "km", "t", at("x1", "x2").alias("foot_lon"), at("y1", "y2").alias("foot_lat"))
+    return out.select("id", *names, "km", "t", at("x1", "x2").alias("foot_lon"), at("y1", "y2").alias("foot_lat"))
 
 
 def place_status(points: DataFrame, edges: DataFrame, near_km: float = 3.0) -> DataFrame:
@@ -149,15 +164,36 @@ def in_cell_reach(points: DataFrame, segs: DataFrame, size: float) -> DataFrame:
     return p.join(wide, ["_cx", "_cy"])
 
 
-def self_crossings(segs: DataFrame, line: str, size: float) -> DataFrame:
-    """(line, a_seq, b_seq): segments of one line, not neighbours, that cross inside both; met in shared cells."""
-    dealt = segs.withColumn("_cx", cell_span(F.least("x1", "x2"), F.greatest("x1", "x2"), size)).withColumn("_cy", cell_span(F.least("y1", "y2"), F.greatest("y1", "y2"), size))
-    a, b = (dealt.select(line, "_cx", "_cy", *[F.col(c).alias(f"{s}_{c}") for c in ("seq", "x1", "y1", "x2", "y2")]) for s in "ab")
-    side = lambda s, p, q: (F.col(f"{q}_{p[0]}") - F.col(f"{s}_x1")) * (F.col(f"{s}_y2") - F.col(f"{s}_y1")) - (F.col(f"{q}_{p[1]}") - F.col(f"{s}_y1")) * (F.col(f"{s}_x2") - F.col(f"{s}_x1"))
-    crosses = (side("a", ("x1", "y1"), "b") * side("a", ("x2", "y2"), "b") < 0) & (side("b", ("x1", "y1"), "a") * side("b", ("x2", "y2"), "a") < 0)
-    first = lambda c, lo, hi: F.greatest(cell(F.least(f"a_{lo}", f"a_{hi}"), size), cell(F.least(f"b_{lo}", f"b_{hi}"), size)) == F.col(c)
-    met = a.join(b, [line, "_cx", "_cy"]).where("a_seq + 1 < b_seq").where(first("_cx", "x1", "x2") & first("_cy", "y1", "y2"))
-    return met.where(crosses).select(line, "a_seq", "b_seq")
+#: How far a point may lie off a segment's line, as a cross product, and still lie on it.
+TOUCH = 1e-9
+
+
+def ring_faults(edges: DataFrame, ring: str, size: float) -> DataFrame:
+    """Edges (ring, seq from 1, x1 .. y2) of closed rings -> (ring, a_seq, b_seq, kind): pairs that are no neighbours - the
+    last edge and the first are - and cross, touch (an end on the other edge) or overlap (both on one line).
+
+    They meet by ring and cell of their boxes; each pair is kept in its first shared cell."""
+    lo, hi = (lambda c: F.least(f"{c}1", f"{c}2") - TOUCH), (lambda c: F.greatest(f"{c}1", f"{c}2") + TOUCH)
+    last = edges.groupBy(ring).agg(F.max("seq").alias("last"))
+    dealt = edges.withColumns({"lx": cell(lo("x"), size), "ly": cell(lo("y"), size)}).withColumn("_cx", cell_span(lo("x"), hi("x"), size)).withColumn("_cy", cell_span(lo("y"), hi("y"), size))
+    a, b = (dealt.select(ring, "_cx", "_cy", *[F.col(c).alias(f"{s}_{c}") for c in ("seq", "lx", "ly", "x1", "y1", "x2", "y2")]) for s in "ab")
+    met = a.join(b, [ring, "_cx", "_cy"]).where("a_seq + 1 < b_seq").where((F.greatest("a_lx", "b_lx") == F.col("_cx")) & (F.greatest("a_ly", "b_ly") == F.col("_cy")))
+    met = met.join(last, ring).where("not (a_seq = 1 and b_seq = last)")
+    p = lambda s, i: (F.col(f"{s}_x{i}"), F.col(f"{s}_y{i}"))
+    turn = lambda l, m, r: (m[1] - l[1]) * (r[0] - m[0]) - (m[0] - l[0]) * (r[1] - m[1])  # noqa: E731, E741
+    ends = [("b", 1, "a"), ("b", 2, "a"), ("a", 1, "b"), ("a", 2, "b")]
+    met = met.withColumns({f"o{k}": turn(p(s, 1), p(s, 2), p(e, i)) for k, (e, i, s) in enumerate(ends)})
+
+    def lies_on(k: int):
+        e, i, s = ends[k]
+        (x, y), (ax, ay), (bx, by) = p(e, i), p(s, 1), p(s, 2)
+        return (F.abs(f"o{k}") <= TOUCH) & (F.abs((y - ay) * (bx - ax) - (x - ax) * (by - ay)) <= TOUCH) & ((x - ax) * (x - bx) + (y - ay) * (y - by) <= 0)
+
+    apart = lambda i, j: ((F.col(f"o{i}") > 0) & (F.col(f"o{j}") < 0)) | ((F.col(f"o{i}") < 0) & (F.col(f"o{j}") > 0))
+    touch = lies_on(0) | lies_on(1) | lies_on(2) | lies_on(3)
+    flat = F.greatest(*[F.abs(f"o{k}") for k in range(4)]) <= TOUCH
+    kind = F.when(apart(0, 1) & apart(2, 3), "cross").when(touch & flat, "overlap").when(touch, "touch")
+    return met.select(ring, "a_seq", "b_seq", kind.alias("kind")).where("kind is not null")
 
 
 def cover(edges: DataFrame, size: float) -> DataFrame:

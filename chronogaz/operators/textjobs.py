@@ -72,3 +72,22 @@ def references(df: DataFrame, ref: str, books: DataFrame) -> DataFrame:
     rows = df.withColumns({"book": part(1), "chapter": number(2), "first_verse": number(3), "last_verse": F.coalesce(number(4), number(3))}).join(F.broadcast(books), "book", "left")  # some seventy books
     verdict = F.when(F.col("book") == "", "not a reference").when(F.col("code").isNull(), "unknown book").when(F.col("last_verse") < F.col("first_verse"), "ends before it starts").otherwise("ok")
     return rows.withColumn("verdict", verdict).drop("book", ref)
+
+
+def near_names(names: DataFrame) -> DataFrame:
+    """(name) -> (one, other), one < other: distinct names within one edit, or one swap of any two places.
+
+    Names within one edit share a name with one letter left out, or one of them is the other's; names within a swap are found
+    by making the swaps. Rows grow with the letters of a name, not with the pairs of names."""
+    rows = names.where("name is not null").select("name").distinct()
+    places = F.sequence(F.lit(1), F.length("name"))
+    without = lambda i: F.concat(F.substr("name", F.lit(1), i - 1), F.substr("name", i + 1))
+    cut = rows.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), F.when(F.length("name") > 0, F.transform(places, without)).otherwise(F.array().cast("array<string>"))))).alias("key"))
+    a, b = cut.withColumnRenamed("name", "one"), cut.withColumnRenamed("name", "other")
+    edits = a.join(b, "key").where("one < other").select("one", "other").distinct().where(F.levenshtein("one", "other", 1) >= 0)
+    at = lambda i: F.substr("name", i, F.lit(1))
+    swap = lambda i, j: F.concat(F.substr("name", F.lit(1), i - 1), at(j), F.substr("name", i + 1, j - i - 1), at(i), F.substr("name", j + 1))
+    later = lambda i: F.transform(F.filter(places, lambda j: (j > i) & (at(j) > at(i))), lambda j: swap(i, j))
+    swapped = rows.where(F.length("name") > 1).select(F.col("name").alias("one"), F.explode(F.array_distinct(F.flatten(F.transform(places, later)))).alias("other"))
+    swaps = swapped.join(rows.select(F.col("name").alias("other")), "other", "left_semi").select("one", "other")
+    return edits.unionByName(swaps).distinct()

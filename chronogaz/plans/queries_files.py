@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronogaz.operators import graph as G
 from chronogaz.plans import views as V
@@ -16,21 +17,20 @@ def _folder(spark) -> str:
     return f"{G.shared_root(spark)}/files/{uuid.uuid4().hex}"
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus AS status, n::BIGINT AS n_items, o_orderkey % 10 = 3 AS broken FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderkey % 100 < 10")
+@query("""SELECT 'order-' || o_orderkey || '.json' AS file, CASE WHEN bad THEN NULL ELSE o_orderkey END AS id, CASE WHEN bad THEN NULL ELSE o_orderstatus END AS status, CASE WHEN bad THEN NULL ELSE n END::BIGINT AS n_items, CASE WHEN bad THEN 'not a JSON document of this kind' END AS message
+FROM (SELECT *, o_orderkey % 10 = 3 OR o_orderkey % 70 = 5 AS bad FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)""")
 def src1_records(spark, sf):
-    """Records as JSON documents, a tenth of them damaged: what is read, and which are violations. (A document of a tenth of
-    the orders each: one file for each order of a large table is no test of a reader.)"""
+    """Every order as a JSON document with a file name, some damaged: records with their file, and violations."""
     n = V.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    o = V.read(spark, sf, "orders").where("o_orderkey % 100 < 10").join(n, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    body = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("n").alias("n_items")))
+    k = F.col("o_orderkey")
+    o = V.read(spark, sf, "orders").join(n, F.col("l_orderkey") == k, "left")
+    body = F.to_json(F.struct(k.alias("id"), F.col("o_orderstatus").alias("status"), F.col("n").alias("n_items")))
+    damaged = F.when(k % 10 == 3, F.concat(F.lit("{"), body)).when(k % 70 == 5, F.expr("substr(body, 1, length(body) - 1)")).otherwise(F.col("body"))
     out = _folder(spark)
-    o.select(F.col("o_orderkey").alias("name"), F.when(F.col("o_orderkey") % 10 == 3, F.concat(F.lit("{"), body)).otherwise(body).alias("value")).write.parquet(out)
-    schema = "id long, status string, n_items long, _corrupt_record string"
-    rows = spark.read.parquet(out).select("name", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
-    lost = F.col("r._corrupt_record").isNotNull()
-    good = rows.where(~lost).select("r.id", "r.status", "r.n_items", F.lit(False).alias("broken"))
-    o2 = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("n").alias("n_items"))
-    return good.unionByName(rows.where(lost).select(F.col("name").alias("id")).join(o2, "id").withColumn("broken", F.lit(True)))
+    R.write_packed(o.withColumn("body", body).select(F.concat(F.lit("order-"), k.cast("string"), F.lit(".json")).alias("file"), damaged.alias("document")), out)
+    good, bad = R.read_records(spark, out, T.StructType().add("id", "long").add("status", "string").add("n_items", "long"), packed=True)
+    rows = good.select("file", "id", "status", "n_items", F.lit(None).cast("string").alias("message"))
+    return rows.unionByName(bad.select(F.col("path").alias("file"), "message"), allowMissingColumns=True)
 
 
 @query("SELECT line_id, seq::BIGINT AS seq, floor(lon * 100 + 0.5e0)::BIGINT AS x, floor(lat * 100 + 0.5e0)::BIGINT AS y FROM v_line", ("v_line",))

@@ -195,13 +195,34 @@ def geo8_equirectangular(spark, sf):
     return p.join(F.broadcast(mean)).select("id", geo.scaled(F.col("lon") * F.cos(F.radians("phi"))).alias("x"), geo.scaled(F.col("lat")).alias("y"))  # one row
 
 
-_CROSS = "((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1)) * ((b.x2 - a.x1) * (a.y2 - a.y1) - (b.y2 - a.y1) * (a.x2 - a.x1)) < 0 AND ((a.x1 - b.x1) * (b.y2 - b.y1) - (a.y1 - b.y1) * (b.x2 - b.x1)) * ((a.x2 - b.x1) * (b.y2 - b.y1) - (a.y2 - b.y1) * (b.x2 - b.x1)) < 0"
+_RING = """, rp AS (SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY seq) AS seq, x, y FROM (SELECT line_id, seq, floor(lon / 3) AS x, floor(lat / 3) AS y FROM v_line)),
+re AS (SELECT r.line_id, r.seq, r.x AS x1, r.y AS y1, n.x AS x2, n.y AS y2, m AS last FROM rp r JOIN (SELECT line_id, max(seq) AS m FROM rp GROUP BY 1 HAVING max(seq) >= 3) USING (line_id) JOIN rp n ON n.line_id = r.line_id AND n.seq = r.seq % m + 1)"""
 
 
-@query(f"SELECT a.line_id, a.seq AS a_seq, b.seq AS b_seq FROM v_seg a JOIN v_seg b ON a.line_id = b.line_id AND a.seq + 1 < b.seq AND {_CROSS}", ("v_seg",))
-def spa1_self_crossings(spark, sf):
-    """Segments of a line that cross each other: joined by line and cell, each pair kept in its first shared cell."""
-    return S.self_crossings(S.segments(V.v_line(spark, sf)), "line_id", 8.0).select("line_id", F.col("a_seq").cast("long").alias("a_seq"), F.col("b_seq").cast("long").alias("b_seq"))
+def _turn(l: str, m: str, r: str) -> str:  # noqa: E741
+    (lx, ly), (mx, my), (rx, ry) = ((f"{s[0]}.x{s[1]}", f"{s[0]}.y{s[1]}") for s in (l, m, r))
+    return f"(({my} - {ly}) * ({rx} - {mx}) - ({mx} - {lx}) * ({ry} - {my}))"
+
+
+def _on(o: str, p: str, s: str) -> str:
+    x, y = f"{p[0]}.x{p[1]}", f"{p[0]}.y{p[1]}"
+    return f"(abs({o}) <= 1e-9 AND ({x} - {s}.x1) * ({x} - {s}.x2) + ({y} - {s}.y1) * ({y} - {s}.y2) <= 0)"
+
+
+_TURNS = ", ".join(f"{_turn(f'{s}1', f'{s}2', p)} AS o{k}" for k, (p, s) in enumerate((("b1", "a"), ("b2", "a"), ("a1", "b"), ("a2", "b"))))
+_TOUCHES = " OR ".join(f"({c})" for c in (_on("o0", "b1", "a"), _on("o1", "b2", "a"), _on("o2", "a1", "b"), _on("o3", "a2", "b")))
+
+
+@query(_RING + f""" SELECT line_id, a_seq, b_seq, kind FROM (SELECT line_id, a_seq, b_seq, CASE WHEN (o0 > 0 AND o1 < 0 OR o0 < 0 AND o1 > 0) AND (o2 > 0 AND o3 < 0 OR o2 < 0 AND o3 > 0) THEN 'cross' WHEN touches AND greatest(abs(o0), abs(o1), abs(o2), abs(o3)) <= 1e-9 THEN 'overlap' WHEN touches THEN 'touch' END AS kind
+FROM (SELECT a.line_id, a.seq AS a_seq, b.seq AS b_seq, {_TURNS}, ({_TOUCHES}) AS touches FROM re a JOIN re b ON a.line_id = b.line_id AND a.seq + 1 < b.seq AND NOT (a.seq = 1 AND b.seq = b.last))) WHERE kind IS NOT NULL""", ("v_line",))
+def spa1_ring_faults(spark, sf):
+    """Lines closed to rings on a coarse grid: edges that cross, touch or overlap, but for neighbours."""
+    w = Window.partitionBy("line_id")
+    p = V.v_line(spark, sf).select("line_id", F.row_number().over(w.orderBy("seq")).alias("seq"), F.floor(F.col("lon") / 3).cast("double").alias("x"), F.floor(F.col("lat") / 3).cast("double").alias("y"))
+    o = w.orderBy("seq")
+    next_ = lambda c: F.coalesce(F.lead(c).over(o), F.first(c).over(o))
+    e = p.select("line_id", "seq", F.count("*").over(w).alias("n"), F.col("x").alias("x1"), F.col("y").alias("y1"), next_("x").alias("x2"), next_("y").alias("y2")).where("n >= 3").drop("n")
+    return S.ring_faults(e, "line_id", 4.0).select("line_id", *[F.col(c).cast("long").alias(c) for c in ("a_seq", "b_seq")], "kind")
 
 
 @query("""SELECT line_id, count(*)::BIGINT AS n_kept, count(DISTINCT (lon, lat)) < 3 AS dropped FROM (SELECT line_id, lon, lat, lag(lon) OVER w IS NOT DISTINCT FROM lon AND lag(lat) OVER w IS NOT DISTINCT FROM lat AS same FROM (SELECT line_id, seq, floor(lon / 4) AS lon, floor(lat / 4) AS lat FROM v_line) WINDOW w AS (PARTITION BY line_id ORDER BY seq)) WHERE NOT same GROUP BY 1""", ("v_line",))

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronogaz.functions import text
+from chronogaz.operators import textjobs as J
 from chronogaz.plans import views as V
 from chronogaz.plans.registry import query
 
@@ -124,17 +125,12 @@ def str3_keys(spark, sf):
     return V.read(spark, sf, "part").select("p_partkey", text.key_fold(F.col("p_name")).alias("key"), text.space_fold(F.col("p_type")).alias("spaced"))
 
 
-@query("""WITH b AS (SELECT DISTINCT p_brand AS n FROM part)
-SELECT a.n AS one, b.n AS other FROM b a, b WHERE a.n < b.n AND (levenshtein(a.n, b.n) <= 1 OR (length(a.n) = length(b.n) AND (SELECT count(*) FROM range(1, 30) r(i) WHERE a.n[i] <> b.n[i]) = 2
-AND array_to_string(list_sort(string_split(a.n, '')), '') = array_to_string(list_sort(string_split(b.n, '')), '')))""")
+@query("""WITH b AS (SELECT p_name AS n FROM part UNION SELECT c_name FROM customer UNION SELECT p_brand FROM part)
+SELECT a.n AS one, b.n AS other FROM b a, b WHERE a.n < b.n AND abs(length(a.n) - length(b.n)) <= 1 AND (levenshtein(a.n, b.n) <= 1 OR length(a.n) = length(b.n) AND hamming(a.n, b.n) = 2 AND list_sort(string_split(a.n, '')) = list_sort(string_split(b.n, '')))""")
 def str4_one_edit_or_swap(spark, sf):
-    """Pairs of brand names (a fixed vocabulary) within one edit or one swap of any two positions."""
-    a = V.read(spark, sf, "part").select(F.col("p_brand").alias("one")).distinct().withColumn("size", F.explode(F.array(F.length("one") - 1, F.length("one"), F.length("one") + 1)))
-    b = V.read(spark, sf, "part").select(F.col("p_brand").alias("other")).distinct().withColumn("size", F.length("other"))
-    letters = lambda c: F.sort_array(F.split(c, ""))
-    differ = F.size(F.filter(F.arrays_zip(F.split("one", "").alias("x"), F.split("other", "").alias("y")), lambda p: p.x != p.y))
-    near = (F.levenshtein("one", "other") <= 1) | ((F.length("one") == F.length("other")) & (differ == 2) & (letters("one") == letters("other")))
-    return a.join(b, "size").where((F.col("one") < F.col("other")) & near).select("one", "other")
+    """Pairs of names of parts, brands and customers within one edit or one swap of any two places."""
+    name = lambda t, c: V.read(spark, sf, t).select(F.col(c).alias("name"))
+    return J.near_names(name("part", "p_name").unionByName(name("customer", "c_name")).unionByName(name("part", "p_brand")))
 
 
 @query("SELECT p_brand, string_agg(n, ', ' ORDER BY n) AS also FROM (SELECT p_brand, min(p_type) AS n FROM part GROUP BY p_brand, lower(p_type)) GROUP BY 1")

@@ -13,11 +13,22 @@ from pyspark.sql.types import StringType, StructType
 FILE_ID = r"([^/]+)\.[A-Za-z]+$"
 
 
-def read_records(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """(records with `file`, violations): one document per file; unreadable files become violations."""
+def write_packed(docs: DataFrame, path: str) -> None:
+    """(file, document) -> files of many documents, one to a line after its file name and a tab."""
+    flat = F.regexp_replace("document", r"[\r\n]+", " ")  # white space between tokens; inside strings JSON escapes it
+    docs.select(F.concat("file", F.lit("\t"), flat).alias("value")).write.text(path)
+
+
+def read_records(spark: SparkSession, path: str, schema: StructType, packed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records with `file`, violations): one document per file, or as write_packed() packs them; those that cannot be read
+    become violations."""
     wide = StructType([*schema.fields]).add("_corrupt_record", StringType())
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
-    whole = spark.read.text(path, wholetext=True).select(name.alias("file"), F.from_json("value", wide, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    if packed:
+        name, text = F.split_part("value", F.lit("\t"), F.lit(1)), F.expr("substr(value, instr(value, '\t') + 1)")
+    else:
+        text = F.col("value")
+    whole = spark.read.text(path, wholetext=not packed).select(name.alias("file"), F.from_json(text, wide, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     rows = whole.select("r.*", "file")
     bad = rows.where("_corrupt_record is not null").select(F.lit("readable").alias("rule_id"), F.lit("error").alias("severity"), F.col("file").alias("path"), F.lit("not a JSON document of this kind").alias("message"))
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), bad
