@@ -25,7 +25,7 @@ def test_damaged_pages_keep_their_article(spark):
         ("<article><p>see <a title=don't>this</a> and <b data-x = 'a>b' >that</b></p></article>", "see this and that"),
         ('<article><p data-tip="<b>x</b>">tip</p><p>next</p></article>', "tip\nnext"),
         ("<article><p>a <button>press<p>b<select><option>1<option>2</select> c</article>", "a\nb c"),
-        ("<article><p>a<svg><title>s</title><text>drawn</text></svg>b</p><video><p>no video</p></video><p>c</p></article>", "a\nb\nc"),
+        ("<article><p>a<svg><title>s</title><text>drawn</text></svg>b</p><video><p>no video</p></video><p>c</p></article>", "ab\nc"),
         ("<article><p>a<script>var x = '<p>';</script>b &amp; c<!-- no --><![CDATA[no]]></p></article>", "ab & c"),
         ("<article><p hidden>no</p><p HIDDEN=''>no</p><p class='not hidden'>yes</p><p aria-hidden=true>no</p></article>", "yes"),
         ("<article>1 < 2 and a<b>c</b> <p>4 > 3</article>", "1 < 2 and ac\n4 > 3"),
