@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronogaz.functions import geo
 from chronogaz.operators import regions as R
-from chronogaz.operators import rules
+from chronogaz.operators import rules, voronoi
 from chronogaz.operators import spatial as S
 from chronogaz.plans import views as V
 from chronogaz.plans.registry import query
@@ -140,3 +140,21 @@ def spa10_acceptance_report(spark, sf):
         rules.violation(wrong, "anchor", F.col("id"), F.concat(F.lit("lies in "), where)),
         rules.violation(missing, "not-built", F.col("n_nationkey"), F.lit("area not built")),
     )
+
+
+_KX = "cos(radians(35e0))"
+_VOR = f""", sd AS (SELECT min(id) AS id, x, y FROM (SELECT id, lon * {_KX} AS x, lat AS y FROM v_site) GROUP BY x, y),
+pr AS (SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my, a.y - b.y AS dx, b.x - a.x AS dy FROM sd a JOIN sd b ON a.id < b.id),
+ct AS (SELECT a, b, ax, ay, mx, my, dx, dy, 2 * (dx * (c.x - ax) + dy * (c.y - ay)) AS k, c.x * c.x + c.y * c.y - ax * ax - ay * ay - 2 * (mx * (c.x - ax) + my * (c.y - ay)) AS room FROM pr JOIN sd c ON c.id <> a AND c.id <> b
+UNION ALL SELECT *, dx, 50 * {_KX} - mx FROM pr UNION ALL SELECT *, -dx, mx + 10 * {_KX} FROM pr UNION ALL SELECT *, dy, 50 - my FROM pr UNION ALL SELECT *, -dy, my - 20 FROM pr),
+iv AS (SELECT a, b, any_value(mx) AS mx, any_value(my) AS my, any_value(dx) AS dx, any_value(dy) AS dy, max(room / k) FILTER (k < 0) AS t0, min(room / k) FILTER (k > 0) AS t1, bool_or(k = 0 AND room < 0) AS off FROM ct GROUP BY 1, 2)"""
+
+
+@query(_VOR + " SELECT a, b, floor((mx + dx * t0) * 1000 + 0.5e0)::BIGINT AS x1, floor((my + dy * t0) * 1000 + 0.5e0)::BIGINT AS y1, floor((mx + dx * t1) * 1000 + 0.5e0)::BIGINT AS x2, floor((my + dy * t1) * 1000 + 0.5e0)::BIGINT AS y2 FROM iv WHERE NOT off AND t1 - t0 > 1e-9", ("v_site",))
+def spa13_bisectors(spark, sf):
+    """The lines that part the areas nearest to each site, on the plane about 35 degrees north."""
+    kx = F.cos(F.radians(F.lit(35.0)))
+    seeds = V.v_site(spark, sf).select("id", (F.col("lon") * kx).alias("x"), F.col("lat").alias("y"))
+    k = math.cos(math.radians(35.0))
+    lines = voronoi.bisectors(seeds, (-10 * k, 20.0, 50 * k, 50.0))
+    return lines.select("a", "b", *[geo.scaled(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")])
