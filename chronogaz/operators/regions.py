@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronogaz.functions import geo
 from chronogaz.operators import graph as G
 from chronogaz.operators import spatial as S
+from chronogaz.operators.graph import checkpointed
 
 #: Degrees of a coarse cell, how many each side of a border cell is cut into, and how often.
 CELL, SPLIT, LEVELS = 1.0, 5, 4
@@ -168,3 +169,60 @@ def label_points(edges: DataFrame, labels: DataFrame, pins: DataFrame, grid: int
     far = F.coalesce("pin_px", F.lit(float("inf")))
     w = Window.partitionBy("area_id").orderBy("min_zoom", (far < PIN_PX).cast("int"), far.desc(), F.desc("edge_px"), "lon", "lat")
     return rows.withColumn("place", F.row_number().over(w)).where("place = 1").select("area_id", "lon", "lat", "min_zoom", "edge_px", "pin_px")
+
+
+#: Degrees (about a metre) by which a ring may miss the line that it came in on and still turn back on it.
+SPIKE = 0.00001
+
+
+def clean_rings(vertices: DataFrame, tolerance: float = SPIKE) -> DataFrame:
+    """(ring, seq, x, y) of open rings -> the vertices that stay: none that repeats the one before, and no spike, which is a
+    vertex where the ring turns back along the line it came in on.
+
+    A round takes a spike out of each run of neighbouring ones, the first, as the others are judged anew without it. Rings
+    without spikes leave; three vertices stay at least. Rounds grow with the longest spike's vertices."""
+    w, whole = Window.partitionBy("ring").orderBy("seq"), Window.partitionBy("ring")
+    full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at, out = vertices.select("ring", "seq", "x", "y"), None
+    while True:
+        same = F.lag("x").over(w).eqNullSafe(F.col("x")) & F.lag("y").over(w).eqNullSafe(F.col("y"))
+        d = at.withColumn("same", same).where("not same")
+        closes = (F.first("x").over(full) == F.col("x")) & (F.first("y").over(full) == F.col("y")) & F.lead("seq").over(w).isNull() & (F.row_number().over(w) > 1)
+        d = d.withColumn("closes", closes).where("not closes")
+        around = lambda c, step: F.coalesce((F.lag if step < 0 else F.lead)(c).over(w), (F.last if step < 0 else F.first)(c).over(full))
+        d = d.select("ring", "seq", "x", "y", (F.col("x") - around("x", -1)).alias("ix"), (F.col("y") - around("y", -1)).alias("iy"), (around("x", 1) - F.col("x")).alias("ox"), (around("y", 1) - F.col("y")).alias("oy"), F.count("*").over(whole).alias("n"))
+        back = F.col("ix") * F.col("ox") + F.col("iy") * F.col("oy") < 0
+        off = F.abs(F.col("ix") * F.col("oy") - F.col("iy") * F.col("ox")) / F.greatest(F.hypot("ix", "iy"), F.hypot("ox", "oy"))
+        d = d.withColumn("spike", F.coalesce(back & (off <= tolerance) & (F.col("n") > 3), F.lit(False)))
+        first = F.col("spike") & (~around("spike", -1) | (F.min("spike").over(whole) & (F.row_number().over(w) == 1)))
+        d = d.withColumn("goes", first).withColumn("goes", F.col("goes") & (F.sum(F.col("goes").cast("int")).over(w) <= F.col("n") - 3))
+        d = checkpointed(d.select("ring", "seq", "x", "y", "goes", F.max("goes").over(whole).alias("again")))
+        done = d.where("not again").select("ring", "seq", "x", "y")
+        out = done if out is None else out.unionByName(done)
+        at = d.where("again and not goes").select("ring", "seq", "x", "y")
+        if at.isEmpty():
+            return out
+
+
+def ring_km2(vertices: DataFrame) -> DataFrame:
+    """(ring, seq, x, y in degrees) -> (ring, n, places: different ones, km2: on the sphere)."""
+    w = Window.partitionBy("ring").orderBy("seq")
+    full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(full)) for c in ("x", "y"))
+    part = F.radians(nx - F.col("x")) * (2 + F.sin(F.radians("y")) + F.sin(F.radians(ny)))
+    rows = vertices.withColumn("part", part)
+    return rows.groupBy("ring").agg(F.count("*").alias("n"), F.count_distinct("x", "y").alias("places"), (F.abs(F.sum("part")) * (geo.EARTH_KM * geo.EARTH_KM / 2)).alias("km2"))
+
+
+def clean_parts(vertices: DataFrame, parts: DataFrame, least_km2: float, tolerance: float = SPIKE) -> tuple[DataFrame, DataFrame]:
+    """vertices: (ring, seq, x, y); parts: (ring, part, hole) -> the vertices that stay, and a report (part, degenerate rings,
+    small: whether the part was under least_km2 and went, km2: its area less its holes; null where its outer ring went)."""
+    cleaned = checkpointed(clean_rings(vertices, tolerance))
+    sizes = parts.join(ring_km2(cleaned), "ring", "left").withColumn("ok", F.coalesce(F.col("places") >= 3, F.lit(False)))
+    outer, hole = F.col("ok") & ~F.col("hole"), F.col("ok") & F.col("hole")
+    area = F.greatest(F.lit(0.0), F.sum(F.when(outer, F.col("km2"))) - F.sum(F.when(hole, F.col("km2")).otherwise(0.0)))
+    report = sizes.groupBy("part").agg(F.count_if(~F.col("ok")).alias("degenerate"), F.when(F.max(outer), area).alias("km2"))
+    report = checkpointed(report.withColumn("small", F.coalesce(F.col("km2") < least_km2, F.lit(False))))
+    stays = report.where("km2 is not null and not small").select("part")
+    rings = sizes.where("ok").join(stays, "part").select("ring", "part")
+    return cleaned.join(rings, "ring"), report

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronogaz.functions import geo
 from chronogaz.operators import graph as G
 from chronogaz.operators import gridpath as P
+from chronogaz.operators import regions as R
 from chronogaz.operators import spatial as S
 from chronogaz.plans import views as V
 from chronogaz.plans.registry import query
@@ -225,13 +226,30 @@ def spa1_ring_faults(spark, sf):
     return S.ring_faults(e, "line_id", 4.0).select("line_id", *[F.col(c).cast("long").alias(c) for c in ("a_seq", "b_seq")], "kind")
 
 
-@query("""SELECT line_id, count(*)::BIGINT AS n_kept, count(DISTINCT (lon, lat)) < 3 AS dropped FROM (SELECT line_id, lon, lat, lag(lon) OVER w IS NOT DISTINCT FROM lon AND lag(lat) OVER w IS NOT DISTINCT FROM lat AS same FROM (SELECT line_id, seq, floor(lon / 4) AS lon, floor(lat / 4) AS lat FROM v_line) WINDOW w AS (PARTITION BY line_id ORDER BY seq)) WHERE NOT same GROUP BY 1""", ("v_line",))
+def _tidy(src: str) -> str:
+    """Without repeats: line_id, k, p."""
+    return f"(SELECT line_id, k, CASE WHEN len(q) > 1 AND q[1] = q[-1] THEN q[1:len(q) - 1] ELSE q END AS p FROM (SELECT line_id, k, list_filter(p, lambda v, i: i = 1 OR v IS DISTINCT FROM p[i - 1]) AS q FROM {src}))"
+
+
+_SPIKES = "list_transform(p, lambda v, i: len(p) > 3 AND (v.x - {b}.x) * ({n}.x - v.x) + (v.y - {b}.y) * ({n}.y - v.y) < 0 AND abs((v.x - {b}.x) * ({n}.y - v.y) - (v.y - {b}.y) * ({n}.x - v.x)) / greatest(sqrt(pow(v.x - {b}.x, 2) + pow(v.y - {b}.y, 2)), sqrt(pow({n}.x - v.x, 2) + pow({n}.y - v.y, 2))) <= 0.00001)".format(b="p[CASE WHEN i = 1 THEN len(p) ELSE i - 1 END]", n="p[CASE WHEN i = len(p) THEN 1 ELSE i + 1 END]")
+_FIRSTS = "list_transform(s, lambda v, i: v AND (NOT s[CASE WHEN i = 1 THEN len(s) ELSE i - 1 END] OR i = 1 AND len(list_filter(s, lambda u: u)) = len(s)))"
+_GOING = f"(SELECT line_id, k, p, list_transform(g, lambda v, i: v AND len(list_filter(g[1:i], lambda u: u)) <= len(p) - 3) AS g FROM (SELECT line_id, k, p, {_FIRSTS} AS g FROM (SELECT line_id, k, p, {_SPIKES} AS s FROM {{src}})))"
+
+
+@query(f""", raw AS (SELECT line_id, 0 AS k, list({{'x': floor(lon / 3) * 3, 'y': floor(lat / 3) * 3}} ORDER BY seq) AS p FROM v_line GROUP BY 1),
+rd(line_id, k, p, again) AS (SELECT line_id, 0, p, true FROM {_tidy('raw')} UNION ALL SELECT line_id, k, p, true FROM {_tidy(f"(SELECT line_id, k + 1 AS k, list_filter(p, lambda v, i: NOT g[i]) AS p FROM {_GOING.format(src='rd')} WHERE len(list_filter(g, lambda u: u)) > 0)")}),
+fin AS (SELECT line_id, arg_max(p, k) AS p FROM rd GROUP BY 1),
+ar AS (SELECT line_id, len(p) AS n, len(list_distinct(p)) AS places, abs(list_sum(list_transform(p, lambda v, i: radians(p[CASE WHEN i = len(p) THEN 1 ELSE i + 1 END].x - v.x) * (2 + sin(radians(v.y)) + sin(radians(p[CASE WHEN i = len(p) THEN 1 ELSE i + 1 END].y)))))) * (6371.0088e0 * 6371.0088e0 / 2) AS km2 FROM fin)
+SELECT line_id, n::BIGINT AS n_kept, CASE WHEN places < 3 THEN 'degenerate' WHEN km2 < 300000 THEN 'small' END AS dropped, CASE WHEN places >= 3 THEN floor(km2 + 0.5e0)::BIGINT END AS km2 FROM ar""", ("v_line",))
 def spa2_ring_cleanup(spark, sf):
-    """Rings on a coarse grid without repeats; those of fewer than three different vertices are reported as dropped."""
-    w = Window.partitionBy("line_id").orderBy("seq")
-    p = V.v_line(spark, sf).select("line_id", "seq", F.floor(F.col("lon") / 4).alias("lon"), F.floor(F.col("lat") / 4).alias("lat"))
-    p = p.withColumn("same", F.lag("lon").over(w).eqNullSafe(F.col("lon")) & F.lag("lat").over(w).eqNullSafe(F.col("lat"))).where("not same")
-    return p.groupBy("line_id").agg(F.count("*").alias("n_kept"), (F.size(F.collect_set(F.struct("lon", "lat"))) < 3).alias("dropped"))
+    """Rings on a coarse grid without repeats and spikes; those of fewer than three places, or too small, are reported."""
+    p = V.v_line(spark, sf).select(F.col("line_id").alias("ring"), "seq", (F.floor(F.col("lon") / 3) * 3).cast("double").alias("x"), (F.floor(F.col("lat") / 3) * 3).cast("double").alias("y"))
+    parts = p.select("ring").distinct().select("ring", F.col("ring").alias("part"), F.lit(False).alias("hole"))
+    cleaned = G.checkpointed(R.clean_rings(p))
+    n = cleaned.groupBy(F.col("ring").alias("part")).agg(F.count("*").alias("n_kept"))
+    _, report = R.clean_parts(cleaned, parts, 300_000.0)
+    dropped = F.when(F.col("degenerate") > 0, "degenerate").when(F.col("small"), "small")
+    return report.join(n, "part").select(F.col("part").alias("line_id"), "n_kept", dropped.alias("dropped"), geo.scaled(F.col("km2"), 1.0).alias("km2"))
 
 
 @query("SELECT a.area_id AS area_a, b.area_id AS area_b, a.x1, a.y1, a.x2, a.y2 FROM v_edge a JOIN v_edge b ON a.x1 = b.x2 AND a.y1 = b.y2 AND a.x2 = b.x1 AND a.y2 = b.y1 WHERE a.holder < 2 AND b.holder >= 2", ("v_edge",))
