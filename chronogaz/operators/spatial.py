@@ -64,13 +64,18 @@ def passed_cells(segs: DataFrame, size: float) -> DataFrame:
 
     They are dealt out first, as a small table of long segments would be one task's."""
     spread = segs.repartition(int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = spread.withColumn("_cx", cell_span(F.least("x1", "x2"), F.greatest("x1", "x2"), size))
+    # what a segment has once is found before it is dealt out, so that little is left to do for each cell
     slope = (F.col("y2") - F.col("y1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0))
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    at = lambda x: F.least(hi, F.greatest(lo, F.col("y1") + (x - F.col("x1")) * slope))
-    a, b = at(F.col("_cx") * size), at((F.col("_cx") + 1) * size)
-    pad = size * 1e-6  # a crossing at a corner counts for both cells
-    return dealt.withColumn("_cy", cell_span(F.when(slope.isNull(), lo).otherwise(F.least(a, b)) - pad, F.when(slope.isNull(), hi).otherwise(F.greatest(a, b)) + pad, size))
+    spread = spread.withColumns({"_slope": slope, "_lo": F.least("y1", "y2"), "_hi": F.greatest("y1", "y2")})
+    dealt = spread.withColumn("_cx", cell_span(F.least("x1", "x2"), F.greatest("x1", "x2"), size))
+    at = lambda x: F.least(F.col("_hi"), F.greatest(F.col("_lo"), F.col("y1") + (x - F.col("x1")) * F.col("_slope")))
+    dealt = dealt.withColumns({"_a": at(F.col("_cx") * size), "_b": at((F.col("_cx") + 1) * size)})
+    pad = size * 1e-6  # a crossing at a corner counts for both cells; an upright segment has no slope
+    low, high = F.coalesce(F.least("_a", "_b"), F.col("_lo")), F.coalesce(F.greatest("_a", "_b"), F.col("_hi"))
+    up = F.col("_slope").isNull()
+    low, high = F.when(up, F.col("_lo")).otherwise(low) - pad, F.when(up, F.col("_hi")).otherwise(high) + pad
+    dealt = dealt.withColumns({"_a": low, "_b": high})
+    return dealt.withColumn("_cy", cell_span(F.col("_a"), F.col("_b"), size)).drop("_slope", "_lo", "_hi", "_a", "_b")
 
 
 def near_edges(points: DataFrame, edges: DataFrame, max_km: float) -> DataFrame:
@@ -99,10 +104,10 @@ def nearest_foot(points: DataFrame, edges: DataFrame, max_km: float, names: list
     the points whatever the density. The least distance is found first, as a number; names decide among its edges alone."""
     left, out, km = points.select("id", "lon", "lat"), None, max_km / 27
     while True:
-        t = geo.segment_t(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-        near = checkpointed(near_edges(left, edges, km).select("id", *names, "km", t.alias("t"), "x1", "y1", "x2", "y2"))
+        # only the distance is found beside the cells: more expressions there make a method too long for the JIT compiler
+        near = checkpointed(near_edges(left, edges, km).select("id", "lon", "lat", *names, "km", "x1", "y1", "x2", "y2"))
         least = near.groupBy("id").agg(F.min("km").alias("km"))
-        best = near.join(least, ["id", "km"]).groupBy("id", "km").agg(F.min(F.struct(*names, "t", "x1", "y1", "x2", "y2")).alias("m"))
+        best = near.join(least, ["id", "km"]).groupBy("id", "km").agg(F.min(F.struct(*names, "lon", "lat", "x1", "y1", "x2", "y2")).alias("m"))
         got = best.select("id", "km", "m.*")
         out = got if out is None else out.unionByName(got)
         if km >= max_km:
@@ -111,6 +116,7 @@ def nearest_foot(points: DataFrame, edges: DataFrame, max_km: float, names: list
         if left.isEmpty():
             break
         km = min(km * 3, max_km)
+    out = out.withColumn("t", geo.segment_t(*(F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2"))))
     at = lambda a, b: F.col(a) + F.col("t") * (F.col(b) - F.col(a))
     return out.select("id", *names, "km", "t", at("x1", "x2").alias("foot_lon"), at("y1", "y2").alias("foot_lat"))
 
