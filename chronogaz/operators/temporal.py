@@ -43,6 +43,18 @@ def coverage(df: DataFrame, keys: list[str], lo: Column, hi: Column) -> DataFram
     return gaps.unionByName(over).unionByName(tail.select(*keys, F.lit("gap").alias("kind"), F.col("_end").alias("from"), hi.alias("to")))
 
 
+def stop_changes(periods: DataFrame, keys: list[str], state: list[str], stops: DataFrame) -> DataFrame:
+    """(stop) -> (stop, n_meeting, changes): how many pairs of neighbouring periods of a key meet at each stop, and whether
+    the state differs over any of them. A stop where none changes is one too many."""
+    w = Window.partitionBy(*keys).orderBy("from", "to")
+    differs = ~F.lit(True)
+    for c in state:
+        differs = differs | ~F.lag(c).over(w).eqNullSafe(F.col(c))
+    pairs = periods.withColumns({"_meets": F.lag("to").over(w) == F.col("from"), "_differs": differs}).where("_meets")
+    found = pairs.groupBy(F.col("from").alias("stop")).agg(F.count("*").alias("n_meeting"), F.max("_differs").alias("changes"))
+    return stops.select("stop").distinct().join(found, "stop", "left").select("stop", F.coalesce("n_meeting", F.lit(0)).alias("n_meeting"), F.coalesce("changes", F.lit(False)).alias("changes"))
+
+
 def adjacent_same(df: DataFrame, keys: list[str], same: list[str]) -> DataFrame:
     """Intervals that touch a predecessor of equal state: they should have been merged."""
     w = _order(keys)

@@ -32,6 +32,16 @@ def win3_adjacent_same_state(spark, sf):
     return T.adjacent_same(V.v_period(spark, sf), ["area_id"], ["holder", "note"]).select("area_id", "id")
 
 
+@query("""
+, pp AS (SELECT f, lag(t) OVER w = f AS meets, lag(holder) OVER w IS DISTINCT FROM holder OR lag(note) OVER w IS DISTINCT FROM note AS differs FROM v_period WINDOW w AS (PARTITION BY area_id ORDER BY f, t)),
+st AS (SELECT DISTINCT d + o_orderkey % 3 AS stop FROM v_day)
+SELECT stop, count(f)::BIGINT AS n_meeting, coalesce(bool_or(differs), false) AS changes FROM st LEFT JOIN pp ON f = stop AND meets GROUP BY 1""", ("v_period",))
+def win3_stops_with_change(spark, sf):
+    """Stops, and whether the state of any area changes there."""
+    stops = V.read(spark, sf, "orders").select((V.day("o_orderdate") + F.col("o_orderkey") % 3).alias("stop"))
+    return T.stop_changes(V.v_period(spark, sf), ["area_id"], ["holder", "note"], stops)
+
+
 @query(f"SELECT area_id, id, min(f) OVER (PARTITION BY area_id, island) AS run_from, max(t) OVER (PARTITION BY area_id, island) AS run_to FROM ({_ISLAND.format(same='lag(holder) OVER w IS NOT DISTINCT FROM holder')})", ("v_period",))
 def win4_holder_runs(spark, sf):
     return T.holder_runs(V.v_period(spark, sf), ["area_id"], "holder").select("area_id", "id", "run_from", "run_to")
