@@ -79,14 +79,20 @@ def ancestors(tree: DataFrame) -> DataFrame:
 def cycle_members(tree: DataFrame) -> DataFrame:
     """(id, parent) -> (id, cycle): nodes that reach themselves, named by their cycle's smallest node.
 
-    Nodes that nothing points to, or that point to no node left, are on no cycle; they go, round by round."""
+    Pointer doubling: after 2^r steps only nodes that long ways lead to are left, and ways that ended at a root have gone.
+    When one more doubling leaves as many, the steps turn what is left onto itself: these are the cycles. Rounds grow with
+    the log of the longest chain."""
     step = checkpointed(tree.where("parent is not null").select("id", F.col("parent").alias("to")))
+    jump, before = step, None
     while True:
-        ids, tos = step.select(F.col("id").alias("to")).distinct(), step.select(F.col("to").alias("id")).distinct()
-        left = checkpointed(step.join(ids, "to", "left_semi").join(tos, "id", "left_semi").select("id", "to"))
-        if left.count() == step.count():
+        held = checkpointed(jump.select(F.col("to").alias("id")).distinct())
+        n = held.count()
+        if n == before:
             break
-        step = left
+        before = n
+        hop = jump.select(F.col("id").alias("to"), F.col("to").alias("_to"))
+        jump = checkpointed(jump.join(hop, "to").select("id", F.col("_to").alias("to")))
+    step = step.join(held, "id", "left_semi")
     return connected_components(step.select(F.col("id").alias("src"), F.col("to").alias("dst"))).select(F.col("node").alias("id"), F.col("component").alias("cycle"))
 
 

@@ -32,10 +32,32 @@ def within_km(a: DataFrame, b: DataFrame, km: float, distance=geo.haversine_km)
     return pairs.where(F.col("km") <= km).select("a_id", "b_id", "km")
 
 
+def first_radius(b: DataFrame, max_km: float) -> float:
+    """A radius in kilometres that holds some four points where b lies densest, by its fullest degree cell."""
+    full = b.groupBy(cell(F.col("lon"), 1.0).alias("x"), cell(F.col("lat"), 1.0).alias("y")).agg(F.count("*").alias("n"))
+    km2 = F.lit(geo.DEG_LAT_KM * geo.DEG_LON_KM) * F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("y") + 0.5))))
+    least = full.agg(F.min(F.sqrt(km2 * 4 / (F.col("n") * F.pi())))).first()[0]
+    return max_km if least is None else min(max_km, max(least, 1e-3))
+
+
 def nearest(a: DataFrame, b: DataFrame, max_km: float, distance=geo.haversine_km) -> DataFrame:
-    """The nearest b of each a within max_km; ties go to the smaller id. (a_id, b_id, km)"""
-    best = within_km(a, b, max_km, distance).groupBy("a_id").agg(F.min(F.struct("km", "b_id")).alias("m"))
-    return best.select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.km").alias("km"))
+    """The nearest b of each a within max_km; ties go to the smaller id. (a_id, b_id, km)
+
+    Of b's points at one place only the smallest id can win. The radius starts where a few points lie within it and grows
+    three times a round; points that have found one leave, so the pairs looked at stay a small multiple of the points."""
+    places = checkpointed(b.groupBy("lon", "lat").agg(F.min("id").alias("id")))
+    left, out, km = a.select("id", "lon", "lat"), None, first_radius(places, max_km)
+    while True:
+        near = checkpointed(within_km(left, places, km, distance))
+        least = near.groupBy("a_id").agg(F.min("km").alias("km"))
+        got = near.join(least, ["a_id", "km"]).groupBy("a_id", "km").agg(F.min("b_id").alias("b_id")).select("a_id", "b_id", "km")
+        out = got if out is None else out.unionByName(got)
+        if km >= max_km:
+            return out
+        left = checkpointed(left.join(near.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti"))
+        if left.isEmpty():
+            return out
+        km = min(km * 3, max_km)
 
 
 def boxes(edges: DataFrame, by: str) -> DataFrame:

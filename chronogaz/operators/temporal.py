@@ -130,14 +130,19 @@ def override(base: DataFrame, over: DataFrame, key: str, width: int = 365) -> Da
 def history(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
     """Base periods (key, from, to, holder, sources) with the overrides (key, id, from, to, holder, sources) of each key laid
     over them one after the other, by start and id, touching periods of one holder merged after each: their sources unite,
-    and a later cut keeps the united sources on both sides. Rounds grow with the largest number of overrides of a key."""
+    and a later cut keeps the united sources on both sides. Rounds grow with the largest number of overrides of a key; a
+    key leaves after its last, so a round writes the keys that it changes alone."""
     from chronogaz.operators.graph import checkpointed
 
     place = F.row_number().over(Window.partitionBy(key).orderBy("from", "id"))
     laid = checkpointed(over.withColumn("place", place))
     rounds = laid.agg(F.max("place")).first()[0] or 0
-    now = checkpointed(merge_touching(base, [key], ["holder"]))
+    # how many overrides each key still has goes with its periods
+    many = laid.groupBy(key).agg(F.max("place").alias("_n"))
+    now, out = checkpointed(merge_touching(base, [key], ["holder"]).join(many, key, "left")), []
     for r in range(1, rounds + 1):
+        out.append(now.where(F.coalesce("_n", F.lit(0)) < r))
+        now = now.where(F.col("_n") >= r)
         o = laid.where(F.col("place") == r).select(F.col(key).alias("_k"), F.col("from").alias("_f"), F.col("to").alias("_t"), F.col("holder").alias("_h"), F.col("sources").alias("_s"))
         hit = now.join(o, (F.col(key) == F.col("_k")) & (F.col("_f") < F.col("to")) & (F.col("from") < F.col("_t")), "left")
         piece = lambda a, b, h, s: F.struct(a.alias("from"), b.alias("to"), h.alias("holder"), s.alias("sources"))
@@ -146,5 +151,7 @@ def history(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
         cut = F.array(piece(F.col("from"), f, *own), piece(f, t, F.col("_h"), F.col("_s")), piece(t, F.col("to"), *own))
         whole = F.array(piece(F.col("from"), F.col("to"), *own))
         pieces = F.filter(F.when(F.col("_k").isNull(), whole).otherwise(cut), lambda p: p["from"] < p["to"])
-        now = checkpointed(merge_touching(hit.select(key, F.explode(pieces).alias("p")).select(key, "p.*"), [key], ["holder"]))
-    return now
+        now = checkpointed(merge_touching(hit.select(key, "_n", F.explode(pieces).alias("p")).select(key, "_n", "p.*"), [key, "_n"], ["holder"]))
+    for done in out:
+        now = now.unionByName(done)
+    return now.drop("_n")

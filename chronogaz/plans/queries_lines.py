@@ -160,9 +160,9 @@ _D = V.hav("a.lon", "a.lat", "b.lon", "b.lat")
 FROM (SELECT a.id AS a_id, b.id AS b_id, b.id % 2 AS odd, {_D} AS km FROM v_probe a, v_site b WHERE {_D} <= 400) GROUP BY 1)""", ("v_probe", "v_site"))
 def win15_preferred_nearest(spark, sf):
     """The nearest candidate of the first rank, unless one of the second is more than 30 km nearer."""
-    near = S.within_km(V.v_probe(spark, sf), V.v_site(spark, sf), 400.0)
-    best = lambda odd: F.min(F.when(F.col("b_id") % 2 == odd, F.struct("km", "b_id")))
-    g = near.groupBy("a_id").agg(best(0).alias("a"), best(1).alias("b"))
+    a, b = V.v_probe(spark, sf), V.v_site(spark, sf)
+    by_rank = [S.nearest(a, b.where(F.col("id") % 2 == odd), 400.0).select("a_id", F.struct("km", "b_id").alias(name)) for odd, name in ((0, "a"), (1, "b"))]
+    g = by_rank[0].join(by_rank[1], "a_id", "full_outer")
     first = F.col("a").isNotNull() & (F.col("b").isNull() | (F.col("a.km") <= F.col("b.km") + 30))
     return g.select("a_id", F.when(first, F.col("a.b_id")).otherwise(F.col("b.b_id")).alias("b_id"))
 

@@ -75,3 +75,31 @@ def test_simplified_lines_equal_the_plain_version(spark):
     lines = {k: [(float(i * 7 % 5 + i), float(i * (k + 3) % 11)) for i in range(n)] for k, n in enumerate((1, 2, 3, 30, 61))}
     df = spark.createDataFrame([(k, i, x, y) for k, ps in lines.items() for i, (x, y) in enumerate(ps)], "line_id int, seq int, lon double, lat double")
     assert rows(spatial.simplify(df, 2.0), "line_id", "seq") == sorted((k, i) for k, ps in lines.items() for i in plain_simplify(ps, 2.0))
+
+
+def test_cycles_behind_long_chains(spark):
+    n = 3000
+    tree = [(i, i + 1) for i in range(n)] + [(n, n + 1), (n + 1, n + 2), (n + 2, n)] + [(10**6 + i, 10**6 + i + 1) for i in range(n)] + [(2 * 10**6, 2 * 10**6)]
+    got = rows(graph.cycle_members(spark.createDataFrame(tree, "id long, parent long")), "id", "cycle")
+    assert got == [(n, n), (n + 1, n), (n + 2, n), (2 * 10**6, 2 * 10**6)]
+    assert graph.cycle_members(spark.createDataFrame([(1, 2), (2, None)], "id long, parent long")).count() == 0
+    assert graph.cycle_members(spark.createDataFrame([], "id long, parent long")).count() == 0
+
+
+def test_nearest_where_points_lie_dense_and_sparse(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    b = [(i, 10 + rng.random() / 50, 40 + rng.random() / 50) for i in range(1500)] + [(5000 + i, rng.uniform(0, 40), rng.uniform(20, 60)) for i in range(60)] + [(9000 - i, 10.0, 40.0) for i in range(1500)]
+    a = [(i, rng.uniform(-5, 45), rng.uniform(15, 65)) for i in range(120)] + [(500 + i, 10 + rng.random() / 60, 40 + rng.random() / 60) for i in range(120)] + [(900, 10.0, 40.0)]
+
+    def km(p, q):
+        x, y, u, v = map(math.radians, (p[1], p[2], q[1], q[2]))
+        h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2
+        return 2 * geo.EARTH_KM * math.asin(min(1.0, math.sqrt(h)))
+
+    want = {p[0]: min((round(km(p, q), 9), q[0]) for q in b)[1] for p in a if min(km(p, q) for q in b) <= 300}
+    df = lambda ps: spark.createDataFrame([(i, float(x), float(y)) for i, x, y in ps], "id long, lon double, lat double")
+    assert {r.a_id: r.b_id for r in spatial.nearest(df(a), df(b), 300.0).collect()} == want
+    assert spatial.nearest(df(a), df(b).limit(0), 300.0).count() == 0 and spatial.nearest(df(a).limit(0), df(b), 300.0).count() == 0
