@@ -25,6 +25,17 @@ def _class(chars: Iterable[str]) -> str:
     return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
 
 
+#: Letters below the first mark: a range that is tried first, as a class of many ranges is slow to test.
+LOW = "\\x00-\\x{2ff}"
+# Fixed values of Unicode: Hangul syllables are reckoned from their parts, 21 vowels by 28 endings to a first consonant.
+_SYLLABLE, _LEAD, _VOWEL, _TAIL, _VOWELS, _TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7, 21, 28
+_SYLLABLES = frozenset(map(chr, range(_SYLLABLE, _SYLLABLE + 19 * _VOWELS * _TAILS)))
+
+
+def _letter(code: Column) -> Column:
+    return F.decode(F.unhex(F.hex(code.cast("long"))), "UTF-16BE")
+
+
 @cache
 def _tables() -> tuple[dict[str, str], dict[str, int], dict[str, dict[str, str]]]:
     """Whole decompositions, combining classes, and for each second letter what it makes of a first one."""
@@ -34,7 +45,7 @@ def _tables() -> tuple[dict[str, str], dict[str, int], dict[str, dict[str, str]]
         if unicodedata.combining(c):
             marks[c] = unicodedata.combining(c)
         full = unicodedata.normalize("NFD", c)
-        if full == c:
+        if full == c or c in _SYLLABLES:
             continue
         whole[c] = full
         if unicodedata.normalize("NFC", c) == c:  # not left out of composition
@@ -58,39 +69,50 @@ def _in_order(d: Column) -> Column:
     marks = _class(_tables()[1])
     rank = lambda c, i: F.struct(_combining(c).alias("k"), i.alias("i"), c.alias("c"))
     run = lambda r: F.array_join(F.transform(F.array_sort(F.transform(_letters(r), rank)), lambda s: s["c"]), "")
-    several = F.regexp_like(d, F.lit(f"[{marks}]{{2}}"))
-    runs = F.regexp_extract_all(d, F.lit(f"[{marks}]+|[^{marks}]+"), F.lit(0))
-    return F.when(several, F.array_join(F.transform(runs, lambda r: F.when(F.regexp_like(r, F.lit(f"^[{marks}]{{2}}")), run(r)).otherwise(r)), "")).otherwise(d)
+    several = F.regexp_like(d, F.lit(f"(?![{LOW}])[{marks}]{{2}}"))
+    runs = F.regexp_extract_all(d, F.lit(f"[{LOW}]+|[{marks}]+|[^{marks}]+"), F.lit(0))
+    return F.when(several, F.array_join(F.transform(runs, lambda r: F.when(F.regexp_like(r, F.lit(f"^(?![{LOW}])[{marks}]{{2}}")), run(r)).otherwise(r)), "")).otherwise(d)
 
 
 def nfd(x: Column) -> Column:
     """Letters taken apart into base letters and marks, marks in canonical order."""
     whole = _tables()[0]
     by_length = sorted(whole, key=lambda c: -len(whole[c]))  # a shorter replacement deletes the keys after it
-    keys, known = "".join(by_length), _class(whole)
+    keys = "".join(by_length)
+    # whole blocks of 256 that hold a letter with parts: few ranges
+    blocks = _class(chr(i) for b in {ord(c) >> 8 for c in whole} for i in range(max(b << 8, 0xC0), (b << 8) + 256)) + f"\\x{{{_SYLLABLE:x}}}-\\x{{d7a3}}"
     part = lambda c, k: F.translate(c, keys, "".join(whole[b][k] for b in by_length if len(whole[b]) > k))
-    apart = lambda c: F.when(F.translate(c, keys, "") == "", F.concat(*[part(c, k) for k in range(max(map(len, whole.values())))])).otherwise(c)
-    pieces = F.regexp_extract_all(x, F.lit(f"(?s)[{known}]|[^{known}]+"), F.lit(0))
-    d = F.when(F.regexp_like(x, F.lit(f"[{known}]")), F.array_join(F.transform(pieces, lambda p: F.when(F.char_length(p) == 1, apart(p)).otherwise(p)), "")).otherwise(x)
+    n = lambda c: F.ascii(c) - _SYLLABLE
+    rest = lambda c: F.pmod(n(c), F.lit(_TAILS))
+    hangul = lambda c: F.concat(_letter(F.floor(n(c) / (_VOWELS * _TAILS)) + _LEAD), _letter(F.floor(n(c) / _TAILS) % _VOWELS + _VOWEL), F.when(rest(c) > 0, _letter(rest(c) + _TAIL)).otherwise(""))
+    apart = lambda c: F.when(F.translate(c, keys, "") == "", F.concat(*[part(c, k) for k in range(max(map(len, whole.values())))])).when(c.between(chr(_SYLLABLE), "\ud7a3"), hangul(c)).otherwise(c)
+    pieces = F.regexp_extract_all(x, F.lit(f"(?s)[\\x00-\\xbf]+|[{blocks}]|[^{blocks}]+"), F.lit(0))
+    d = F.when(F.regexp_like(x, F.lit("[^\\x00-\\xbf]")), F.array_join(F.transform(pieces, lambda p: F.when((F.char_length(p) == 1) & (p > "\xbf"), apart(p)).otherwise(p)), "")).otherwise(x)
     return _in_order(d)
 
 
 def _composed(first: Column, last: Column) -> Column:
-    """The letter that two make; null if none."""
-    out = F.lit(None).cast("string")
+    """The letter that two make; null if none. For each second letter the first ones and what they become, as two maps of
+    one literal each, which keeps the plan small."""
     second = _tables()[2]
-    made = None
-    for b, firsts in second.items():
-        t = F.when(F.translate(first, "".join(firsts), "") == "", F.translate(first, "".join(firsts), "".join(firsts.values())))
-        made = F.when(last == b, t) if made is None else made.when(last == b, t)
-    return F.when(first == "", out).otherwise(made)
+    table = lambda pick: F.try_element_at(F.str_to_map(F.lit("\n".join(f"{b}\t{''.join(pick(m))}" for b, m in second.items())), F.lit("\n"), F.lit("\t")), last)
+    firsts, made = table(dict.keys), table(dict.values)
+    at = F.when(first != "", F.call_function("instr", firsts, first))
+    a, b = F.ascii(first), F.ascii(last)
+    lead = a.between(_LEAD, _LEAD + 18) & b.between(_VOWEL, _VOWEL + _VOWELS - 1)
+    open_syllable = a.between(_SYLLABLE, 0xD7A3) & ((a - _SYLLABLE) % _TAILS == 0) & b.between(_TAIL + 1, _TAIL + _TAILS - 1)
+    return (
+        F.when(at > 0, F.substr(made, at, F.lit(1)))
+        .when(lead, _letter(((a - _LEAD) * _VOWELS + b - _VOWEL) * _TAILS + _SYLLABLE))
+        .when(open_syllable, _letter(a + b - _TAIL))
+    )
 
 
 def nfc(x: Column) -> Column:
     """The canonical form with letters put together: NFD, then each mark goes into the starter before it unless a mark of
     its class or a higher one stands between."""
     _, marks, second = _tables()
-    joins = _class({*marks, *second})
+    joins = _class({*marks, *second, *map(chr, (*range(_VOWEL, _VOWEL + _VOWELS), *range(_TAIL + 1, _TAIL + _TAILS)))})
     text = F.lit("").cast("string")
     start = F.struct(text.alias("done"), text.alias("head"), text.alias("tail"), F.lit(0).alias("last"))
 
@@ -111,11 +133,16 @@ def nfc(x: Column) -> Column:
 
     together = lambda p: F.aggregate(_letters(p), start, step, lambda s: F.concat(s["done"], s["head"], s["tail"]))
     d = nfd(x)
-    pieces = F.regexp_extract_all(d, F.lit(f"(?s)[^{joins}]?[{joins}]+|[^{joins}]+(?![{joins}])"), F.lit(0))
-    whole = F.transform(pieces, lambda p: F.when(F.regexp_like(p, F.lit(f"[{joins}]")), together(p)).otherwise(p))
-    return F.when(F.regexp_like(d, F.lit(f"[{joins}]")), F.array_join(whole, "")).otherwise(d)
+    pieces = F.regexp_extract_all(d, F.lit(f"[{LOW}]+(?![{joins}])|[^{joins}]?[{joins}]+|[^{joins}]+(?![{joins}])"), F.lit(0))
+    whole = F.transform(pieces, lambda p: F.when(F.regexp_like(p, F.lit(f"(?![{LOW}])[{joins}]")), together(p)).otherwise(p))
+    return F.when(F.regexp_like(d, F.lit(f"(?![{LOW}])[{joins}]")), F.array_join(whole, "")).otherwise(d)
 
 
 def without_marks(x: Column) -> Column:
-    """Decomposed and without the marks of the block 0300 to 036F."""
-    return F.regexp_replace(nfd(x), "[\\x{300}-\\x{36f}]", "")
+    """Decomposed and without marks."""
+    return F.regexp_replace(nfd(x), r"\p{M}+", "")
+
+
+def folded(x: Column) -> Column:
+    """Without marks, lower case: the form that searches compare."""
+    return F.lower(without_marks(x))

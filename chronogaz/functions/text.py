@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chronogaz.functions.normal import nfc
+
 # Accented Latin letters and their base letters.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
 def search_fold(x: Column) -> Column:
-    """Without accents, lower case."""
+    """Without the accents above, lower case; every letter keeps its place, so that a hit can be marked in the text."""
     return F.lower(F.translate(x, ACCENTED, PLAIN))
 
 
@@ -21,8 +23,8 @@ def ascii_fold(x: Column) -> Column:
 
 
 def key_fold(x: Column) -> Column:
-    """Trimmed, lower case."""
-    return F.lower(F.trim(x))
+    """Composed, trimmed, lower case."""
+    return F.lower(F.trim(nfc(x)))
 
 
 def space_fold(x: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronogaz.functions.normal import folded
 from chronogaz.functions.text import one_edit, search_fold
-from chronogaz.operators.graph import running
+from chronogaz.operators.graph import checkpointed, running
 
 
 def ranked_search(names: DataFrame, queries: tuple[str, ...], top: int, key: str = "name") -> DataFrame:
@@ -74,6 +75,54 @@ def references(df: DataFrame, ref: str, books: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", verdict).drop("book", ref)
 
 
+def _left_out(rows: DataFrame, name: str) -> DataFrame:
+    """(name, key): each name with itself and with every form that lacks one letter."""
+    places = F.sequence(F.lit(1), F.length(name))
+    without = lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1))
+    return rows.select(name, F.explode(F.array_distinct(F.concat(F.array(name), F.when(F.length(name) > 0, F.transform(places, without)).otherwise(F.array().cast("array<string>"))))).alias("key"))
+
+
+def near_words(queries: DataFrame, words: DataFrame) -> DataFrame:
+    """(q) and (word), distinct each -> (q, word): equal, within one edit, or within one swap of any two places."""
+    edits = _left_out(queries, "q").join(_left_out(words, "word"), "key").select("q", "word").distinct().where(F.levenshtein("q", "word", 1) >= 0)
+    places, at = F.sequence(F.lit(1), F.length("q")), lambda i: F.substr("q", i, F.lit(1))
+    swap = lambda i, j: F.concat(F.substr("q", F.lit(1), i - 1), at(j), F.substr("q", i + 1, j - i - 1), at(i), F.substr("q", j + 1))
+    made = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: (j > i) & (at(j) != at(i))), lambda j: swap(i, j))))
+    swapped = queries.where(F.length("q") > 1).select("q", F.explode(F.array_distinct(made)).alias("word"))
+    return edits.unionByName(swapped.join(words, "word", "left_semi").select("q", "word")).distinct()
+
+
+#: Letters of a search's key: a search meets the names and words that open with its first letters.
+KEY = 4
+#: A typo is looked for in searches and words of this many letters and more.
+TYPO = 5
+
+
+def search(names: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """(name) and any number of searches (q) -> (q, name, rank, pos): the best names of each search by exact match 0, the
+    name's or one of its words' opening letters 1, a typo in the letters of the name or a word 2; then names that open so
+    first, then by folded name.
+
+    Both sides are folded. They meet by opening letters and by letters left out, so only near candidates become rows.
+    Null and empty names and searches have no match; repeated ones count once."""
+    words, only = (lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), (lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+    # folded once, as each is read several times
+    n = checkpointed(names.select("name").distinct().select("name", folded(F.col("name")).alias("f"))).where("f <> ''")
+    q = checkpointed(queries.select("q").distinct().select("q", folded(F.trim("q")).alias("fq"))).where("fq <> ''")
+    starts = n.select("name", "f", F.explode(F.array_distinct(F.concat(F.array("f"), words(F.col("f"))))).alias("start"))
+    keyed = starts.withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length("start"))), lambda k: F.substr("start", F.lit(1), k))))
+    met = keyed.join(q.withColumn("key", F.substr("fq", F.lit(1), F.lit(KEY))), "key").where(F.startswith("start", "fq"))
+    opens = met.select("q", "name", "f", F.when(F.col("f") == F.col("fq"), 0).otherwise(1).alias("rank"), F.when(F.startswith("f", "fq"), 0).otherwise(1).alias("pref"))
+    letters = n.select("name", "f", F.explode(F.array_distinct(F.transform(F.concat(F.array("f"), words(F.col("f"))), only))).alias("word")).where(F.length("word") >= TYPO)
+    asked = q.select(F.col("q").alias("asked"), only(F.col("fq")).alias("q")).where(F.length("q") >= TYPO)
+    near = near_words(asked.select("q").distinct(), letters.select("word").distinct())
+    typos = near.join(asked, "q").join(letters, "word").select(F.col("asked").alias("q"), "name", "f", F.lit(2).alias("rank"), F.lit(0).alias("pref"))
+    best = opens.unionByName(typos).groupBy("q", "name", "f").agg(F.min(F.col("rank") * 2 + F.col("pref")).alias("r"))
+    w = Window.partitionBy("q").orderBy("r", "f", "name")
+    ranked = best.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= top)
+    return ranked.select("q", "name", F.floor(F.col("r") / 2).alias("rank"), "pos")
+
+
 def near_names(names: DataFrame) -> DataFrame:
     """(name) -> (one, other), one < other: distinct names within one edit, or one swap of any two places.
 
@@ -81,8 +130,7 @@ def near_names(names: DataFrame) -> DataFrame:
     by making the swaps. Rows grow with the letters of a name, not with the pairs of names."""
     rows = names.where("name is not null").select("name").distinct()
     places = F.sequence(F.lit(1), F.length("name"))
-    without = lambda i: F.concat(F.substr("name", F.lit(1), i - 1), F.substr("name", i + 1))
-    cut = rows.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), F.when(F.length("name") > 0, F.transform(places, without)).otherwise(F.array().cast("array<string>"))))).alias("key"))
+    cut = _left_out(rows, "name")
     a, b = cut.withColumnRenamed("name", "one"), cut.withColumnRenamed("name", "other")
     edits = a.join(b, "key").where("one < other").select("one", "other").distinct().where(F.levenshtein("one", "other", 1) >= 0)
     at = lambda i: F.substr("name", i, F.lit(1))

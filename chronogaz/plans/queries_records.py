@@ -120,7 +120,7 @@ def set4_union_of_sources(spark, sf):
     return one.groupBy("area_id", "holder").agg(F.array_join(F.array_sort(F.collect_list("s")), ",").alias("sources"))
 
 
-@query(r"SELECT p_partkey, lower(trim(p_name)) AS key, trim(regexp_replace(lower(p_type), '\s+', ' ', 'g')) AS spaced FROM part")
+@query(r"SELECT p_partkey, lower(trim(nfc_normalize(p_name))) AS key, trim(regexp_replace(lower(p_type), '\s+', ' ', 'g')) AS spaced FROM part")
 def str3_keys(spark, sf):
     return V.read(spark, sf, "part").select("p_partkey", text.key_fold(F.col("p_name")).alias("key"), text.space_fold(F.col("p_type")).alias("spaced"))
 

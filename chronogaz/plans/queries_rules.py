@@ -57,7 +57,7 @@ def jon14_same_names(spark, sf):
     """Pairs of places with equal names after trimming and folding, but for the allowed pairs."""
     half = F.floor(F.col("c_custkey") / 2).cast("string")
     name = F.when(F.col("c_custkey") % 2 == 0, F.upper(F.concat(F.lit("Place "), half))).otherwise(F.concat(F.lit("  place "), half))
-    p = V.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), X.key_fold(name).alias("name"))
+    p = G.checkpointed(V.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), X.key_fold(name).alias("name")))  # folded once
     allowed = p.where("floor(id / 2) % 5 = 0").groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
     return J.same_names(p, allowed)
 
