@@ -34,7 +34,7 @@ EBML, EBML_VERSION, EBML_READ, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286,
 DOCTYPE, DOCTYPE_VERSION, DOCTYPE_READ = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, SCALE, DURATION, MUXER, WRITER = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACKS, TRACK, NUMBER, UID, KIND, LACING, CODEC, AUDIO = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1
-SAMPLING, CHANNELS, DEPTH = 0xB5, 0x9F, 0x6264
+SAMPLING, CHANNELS, DEPTH, FRAME_TIME = 0xB5, 0x9F, 0x6264, 0x23E383
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 UNKNOWN = -1
@@ -59,7 +59,7 @@ def _head(payload_len: int) -> tuple[bytes, bytes]:
     head = element(EBML, uint(EBML_VERSION, 1) + uint(EBML_READ, 1) + uint(EBML_MAX_ID, 4) + uint(EBML_MAX_SIZE, 8) + element(DOCTYPE, b"matroska") + uint(DOCTYPE_VERSION, 4) + uint(DOCTYPE_READ, 2))
     info = element(INFO, uint(SCALE, 1_000_000) + element(DURATION, struct.pack(">d", payload_len * 1000 / RATE)) + element(MUXER, b"pcm8") + element(WRITER, b"pcm8"))
     audio = element(AUDIO, element(SAMPLING, struct.pack(">d", float(RATE))) + uint(CHANNELS, 1) + uint(DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK, uint(NUMBER, 1) + uint(UID, 1) + uint(KIND, 2) + uint(LACING, 1) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK, uint(NUMBER, 1) + uint(UID, 1) + uint(KIND, 2) + uint(LACING, 1) + uint(FRAME_TIME, FRAME * 10**9 // RATE) + element(CODEC, b"A_PCM/INT/LIT") + audio))
     return head, info + tracks
 
 
@@ -149,18 +149,27 @@ def _lace(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 
 
 def parse(data: bytes) -> list[tuple[int, int, int, int, int, bool]]:
-    """Packets in file order: (track, timestamp, start, end, lace index, keyframe)."""
-    out, base = [], 0
+    """Packets in file order: (track, timestamp in milliseconds, start, end, lace index, keyframe).
+
+    A block's time counts in the file's scale; the frames of a lace follow each other by the track's default duration,
+    and stand at their block's time where the track names none."""
+    out, base, scale, frame_ns = [], 0, 10**6, {}
     try:
         for eid, lo, hi in elements(data):
-            if eid == TIMESTAMP:
+            if eid == INFO:
+                scale = next((int.from_bytes(data[a:b], "big") for e, a, b in elements(data, lo, hi) if e == SCALE), scale)
+            elif eid == TRACKS:
+                for entry, a, b in elements(data, lo, hi):
+                    own = {e: int.from_bytes(data[c:d], "big") for e, c, d in elements(data, a, b) if e in (NUMBER, FRAME_TIME)} if entry == TRACK else {}
+                    frame_ns[own.get(NUMBER)] = own.get(FRAME_TIME, 0)
+            elif eid == TIMESTAMP:
                 base = int.from_bytes(data[lo:hi], "big")
             elif eid in (SIMPLE_BLOCK, BLOCK):
                 track, w = _number(data, lo, False)
-                rel = struct.unpack_from(">h", data, lo + w)[0]
-                flags = data[lo + w + 2]
+                at = (base + struct.unpack_from(">h", data, lo + w)[0]) * scale
+                flags, step = data[lo + w + 2], frame_ns.get(track, 0)
                 for k, (a, b) in enumerate(_lace(data, lo + w + 3, hi, flags >> 1 & 3)):
-                    out.append((track, base + rel, a, b, k, bool(flags & 128) and eid == SIMPLE_BLOCK))
+                    out.append((track, (at + k * step) // 10**6, a, b, k, bool(flags & 128) and eid == SIMPLE_BLOCK))
     except (ValueError, IndexError, struct.error):
         pass  # a file that ends early gives what came before
     return out
@@ -203,10 +212,14 @@ def packets(df: DataFrame, media: str = "media") -> DataFrame:
     """The packet table: a row for each packet, with the columns of df but the media."""
 
     names = ("track", "timestamp_ms", "byte_start", "byte_end", "lace", "keyframe")
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
 
-    @F.pandas_udf(PACKETS)
-    def parsed(s):
-        return s.map(lambda x: [dict(zip(names, p)) for p in parse(bytes(x))] if x is not None else [])
+    @F.arrow_udf(PACKETS)
+    def parsed(a: pa.Array) -> pa.Array:
+        found = [parse(x.as_py()) if x.is_valid else [] for x in a]
+        ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        cols = list(zip(*(p for f in found for p in f))) or [()] * len(names)
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names))
 
     own = {"packet_no", *names}
     kept = [c for c in df.columns if c != media and c not in own]
@@ -217,9 +230,10 @@ def packets(df: DataFrame, media: str = "media") -> DataFrame:
 def payloads(df: DataFrame, media: str = "media", payload: str = "payload", track: int = 1) -> DataFrame:
     """Adds a track's bytes, put together from its packets' byte ranges."""
 
-    @F.pandas_udf("binary")
-    def joined(s):
-        return s.map(lambda x: None if x is None else b"".join(x[a:b] for t, _, a, b, _, _ in parse(bytes(x)) if t == track))
+    @F.arrow_udf("binary")
+    def joined(a: pa.Array) -> pa.Array:
+        whole = lambda x: b"".join(x[lo:hi] for t, _, lo, hi, _, _ in parse(x) if t == track)
+        return pa.array([whole(x.as_py()) if x.is_valid else None for x in a], pa.binary())
 
     return df.withColumn(payload, joined(F.col(media)))
 

@@ -88,6 +88,23 @@ def test_media_rows(spark):
     assert len(cues) == 3 and [t for t, _ in cues] == sorted({p[1] // 6144 * 6144 for p in media_columns.parse(full)})
 
 
+def test_media_times(spark):
+    rows = [(n, "x" * (192 * n)) for n in (1, 7, 8, 9, 20, 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = media_columns.packets(media_columns.mux(df, "text"))
+    times = {r.doc_id: r.t for r in table.groupBy("doc_id").agg(F.array_sort(F.collect_list("timestamp_ms")).alias("t")).collect()}
+    assert times == {n: [24 * i for i in range(n)] for n, _ in rows}
+    assert {r.doc_id: r.duration_ms for r in media_columns.media_digest(df).collect()} == {n: 24 * n for n, _ in rows}
+    # a scale of two milliseconds; a track without a default duration
+    m = media_columns
+    track = lambda n, more: m.element(m.TRACK, m.uint(m.NUMBER, n) + more)
+    head = m.element(m.INFO, m.uint(m.SCALE, 2_000_000)) + m.element(m.TRACKS, track(1, m.uint(m.FRAME_TIME, 5_500_000)) + track(2, b""))
+    block = lambda n: m.element(m.SIMPLE_BLOCK, bytes([128 + n]) + b"\x00\x03\x84\x02abc")
+    body = m.element(m.CLUSTER, m.uint(m.TIMESTAMP, 100) + block(1) + block(2))
+    found = m.parse(m._head(0)[0] + m.element(m.SEGMENT, head + body))
+    assert [p[:2] for p in found] == [(1, 206), (1, 211), (1, 217), (2, 206), (2, 206), (2, 206)]
+
+
 def test_media_lacing_and_damage():
     m = media_columns
     frames = [b"a" * 300, b"b" * 5, b"c" * 40]
