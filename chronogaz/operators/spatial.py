@@ -33,10 +33,10 @@ def within_km(a: DataFrame, b: DataFrame, km: float, distance=geo.haversine_km)
 
 
 def first_radius(b: DataFrame, max_km: float) -> float:
-    """A radius in kilometres that holds some four points where b lies densest, by its fullest degree cell."""
+    """A radius in kilometres that holds some dozen points where b lies densest, by its fullest degree cell."""
     full = b.groupBy(cell(F.col("lon"), 1.0).alias("x"), cell(F.col("lat"), 1.0).alias("y")).agg(F.count("*").alias("n"))
     km2 = F.lit(geo.DEG_LAT_KM * geo.DEG_LON_KM) * F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("y") + 0.5))))
-    least = full.agg(F.min(F.sqrt(km2 * 4 / (F.col("n") * F.pi())))).first()[0]
+    least = full.agg(F.min(F.sqrt(km2 * 12 / (F.col("n") * F.pi())))).first()[0]
     return max_km if least is None else min(max_km, max(least, 1e-3))
 
 
