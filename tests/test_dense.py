@@ -47,3 +47,15 @@ def test_lines_that_cross_a_shore_need_no_distance(spark, monkeypatch):
     assert got == {1: 0.0, 2: round(0.02 * geo.EARTH_KM * 0.017453292519943295 * 0.7547095802227721, 2), 3: 4.0, 4: 4.0}
     assert seen == [2]
 
+
+def test_turns_back_along_a_parallel_keep_their_side(spark):
+    """A zero's sign tells the side of a turn of half a circle, as in DuckDB."""
+    import duckdb
+
+    pairs = [(y, x) for y in (0.0, -0.0, 1.0, -1.0) for x in (0.0, -0.0, 2.0, -2.0)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "y double, x double").select(geo.atan2(F.col("y"), F.col("x"))).collect()]
+    want = [duckdb.execute("select atan2(?::double, ?::double)", p).fetchone()[0] for p in pairs]
+    assert got == want
+    # east, a short step back west, east and north: the step's turns are -180 degrees and more than 20 to the right
+    flat = spark.createDataFrame([(1, 1, 9000.0, 0.0, 0.0, 0.0), (1, 2, 0.0, 0.0, 900.0, 0.0), (1, 3, 900.0, 0.0, 900.0, 900.0)], f"line_id long, seq int, {XY}")
+    assert rows(A.stair_steps(flat), "line_id", "seq", "single") == [(1, 2, True)]
