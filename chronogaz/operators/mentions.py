@@ -1,8 +1,7 @@
 """Mentions of names of any length in texts.
 
-Names and texts are rows of words with the gap before each (runs of white space as one space). The names' prefixes, word by
-word, are a table: a trie. A match starts where a word is a prefix, and grows a word at a time through joins of what was
-matched so far, of the words that follow, and of the prefixes; where a prefix is a whole name, it is a mention.
+A text's words, with the gap before each (runs of white space as one space), stay in its row. Words with which some name opens
+leave it with those around them; of each, the runs of as many words as names have are joined to the names.
 Names begin and end with a letter or a digit; others have no mentions.
 """
 
@@ -35,21 +34,37 @@ def _gap(piece: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(piece, f"^[^{LETTERS}]*", 0), r"\s+", " ")
 
 
+def _raw(piece: Column) -> Column:
+    return F.regexp_extract(piece, f"^[^{LETTERS}]*", 0)
+
+
 def _word(piece: Column) -> Column:
     return F.regexp_extract(piece, f"[{LETTERS}]+$", 0)
 
 
-def words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos from 1, raw gap, gap, word, cap, head_cap, head_starts): cap tells a capital; the head is the first piece of a word
-    with apostrophes, head_starts whether it opens a sentence."""
-    rows = df.select(key, F.posexplode(_split(F.coalesce(F.col(text), F.lit("")))).alias("pos", "piece"))
-    raw = F.regexp_extract("piece", f"^[^{LETTERS}]*", 0)
-    rows = rows.select(key, (F.col("pos") + 1).alias("pos"), raw.alias("raw"), _gap(F.col("piece")).alias("gap"), _word(F.col("piece")).alias("word"))
-    head = ~F.col("raw").isin("'", "’")
-    opens = F.regexp_like("raw", F.lit(rf"[.!?][{CLOSING}]*\s*$")) | ((F.col("pos") == 1) & F.regexp_like("raw", F.lit(rf"^[{CLOSING}]*\s*$")))
-    w = Window.partitionBy(key).orderBy("pos")
-    last = lambda c: F.last(F.when(head, c), True).over(w)
-    return rows.withColumn("cap", _capital(F.col("word"))).withColumns({"head_cap": last(F.col("cap")), "head_starts": last(opens)})
+def openings(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+    """(key, text) and (name) -> (key, pos from 1, before, run): each word at which a name may begin, as one does with it; before:
+    the word before it (null at the start), run: it and the words that follow, two more than the longest name has.
+
+    A word is (raw gap, gap, word, cap, head_cap, head_starts): cap tells a capital; the head is the first piece of a word with
+    apostrophes, head_starts whether it opens a sentence. A text's words stay in its row: only openings leave it, and the
+    names' first words, a vocabulary, go to all tasks."""
+    piece = _split(F.col("name"))
+    depth = (names.agg(F.max(F.size(piece))).first()[0] or 0) + 2
+    first = F.broadcast(names.select(F.xxhash64(_word(F.get(piece, F.lit(0)))).alias("_first")).where("_first is not null").distinct())
+    opens = lambda x, at_start: F.regexp_like(_raw(x), F.lit(rf"[.!?][{CLOSING}]*\s*$")) | (at_start & F.regexp_like(_raw(x), F.lit(rf"^[{CLOSING}]*\s*$")))
+    head = lambda x: ~_raw(x).isin("'", "’")
+    # after a letter that is the last, but for one before an apostrophe and a letter: a head and what hangs on it stay together
+    whole = F.split(F.coalesce(F.col(text), F.lit("")), f"(?<=[{LETTERS}])(?![{LETTERS}])(?!['’][{LETTERS}])")
+    groups = F.transform(whole, lambda g, j: F.struct(_split(g).alias("p"), (j == 0).alias("s")))
+    hung = F.flatten(F.transform("_g", lambda g: F.transform(g["p"], lambda x: F.struct(x.alias("x"), F.get(g["p"], F.lit(0)).alias("h"), g["s"].alias("s")))))
+    # texts are dealt out first, as a file of few is one task's
+    dealt = df.select(key, text).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = dealt.select(key, groups.alias("_g")).select(key, hung.alias("_p")).select(key, "_p", F.posexplode("_p").alias("_i", "_x"))
+    rows = rows.join(first, F.xxhash64(_word(F.col("_x.x"))) == F.col("_first"), "left_semi")
+    full = lambda w: F.struct(_raw(w["x"]).alias("raw"), _gap(w["x"]).alias("gap"), _word(w["x"]).alias("word"), _capital(_word(w["x"])).alias("cap"), F.when(head(w["h"]), _capital(_word(w["h"]))).alias("head_cap"), F.when(head(w["h"]), opens(w["h"], w["s"])).alias("head_starts"))
+    before = F.when(F.col("_i") > 0, full(F.get("_p", F.col("_i") - 1)))
+    return rows.select(key, (F.col("_i") + 1).alias("pos"), before.alias("before"), F.transform(F.slice("_p", F.col("_i") + 1, F.lit(depth)), full).alias("run"))
 
 
 def variants(names: DataFrame) -> DataFrame:
@@ -65,36 +80,20 @@ def dictionary(names: DataFrame, countries: tuple[str, ...] = COUNTRIES) -> Data
     small = F.filter(F.regexp_extract_all("name", F.lit(r"\p{L}+(?:['’]\p{L}+)?"), F.lit(0)), lambda w: (w == F.lower(w)) & ~F.lower(w).isin(*CONNECTORS))
     clean = names.withColumn("name", F.trim(F.regexp_replace("name", r"\s+", " ")))
     rows = variants(clean.where(F.size(small) == 0)).where(~F.col("norm").isin(*[c.lower() for c in countries]))
-    alone = rows.groupBy("norm").agg(F.min("place").alias("a"), F.max("place").alias("z")).where("a = z").select("norm")
-    return rows.join(alone, "norm").select("place", "name", "norm")
+    alone = rows.groupBy("norm").agg(F.min("place").alias("place"), F.max("place").alias("_z"), F.collect_set("name").alias("names")).where("place = _z")
+    return alone.select("place", F.explode("names").alias("name"), "norm")
 
 
-def prefixes(names: DataFrame) -> DataFrame:
-    """(name) -> (prefix, depth, whole): the words of each distinct name up to each of them; whole where a name ends."""
-    piece = _split(F.col("name"))
+def matches(opened: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Openings and (name) -> (key, pos, n, name): every place where a name's words stand, overlaps too."""
     ok = F.regexp_like("name", F.lit(f"^[{LETTERS}]")) & F.regexp_like("name", F.lit(f"[{LETTERS}]$"))
-    rows = names.where(ok).select("name").distinct().withColumn("p", piece).withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("p"))))
-    text = F.array_join(F.slice("p", F.lit(1), F.col("depth")), "")
-    return rows.select(F.regexp_replace(text, r"\s+", " ").alias("prefix"), "depth", (F.col("depth") == F.size("p")).alias("whole")).groupBy("prefix", "depth").agg(F.max("whole").alias("whole"))
-
-
-def matches(toks: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """(key, pos, gap, word, ..) and (name) -> (key, pos, n, name): every place where a name's words stand, overlaps too."""
-    trie = checkpointed(prefixes(names))
-    depth = trie.agg(F.max("depth")).first()[0] or 0
-    step = lambda d: trie.where(F.col("depth") == d).select("prefix", "whole")
-    on = toks.select(key, "pos", F.col("word").alias("prefix")).join(step(1), "prefix").select(key, "pos", "prefix", "whole")
-    out, on = [], checkpointed(on)
-    follow = toks.select(F.col(key).alias("_k"), F.col("pos").alias("_p"), "gap", "word")
-    for d in range(1, depth + 1):
-        out.append(on.where("whole").select(key, "pos", F.lit(d).alias("n"), F.col("prefix").alias("name")))
-        if d < depth:
-            more = on.join(follow, (F.col(key) == F.col("_k")) & (F.col("pos") + d == F.col("_p"))).select(key, "pos", F.concat("prefix", "gap", "word").alias("prefix"))
-            on = checkpointed(more.join(step(d + 1), "prefix").select(key, "pos", "prefix", "whole"))
-    found = out[0] if out else toks.select(key, "pos", F.lit(0).alias("n"), F.col("word").alias("name")).limit(0)
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found
+    known = names.where(ok).select(F.regexp_replace("name", r"\s+", " ").alias("name")).distinct()
+    depth = names.agg(F.max(F.size(_split(F.col("name"))))).first()[0] or 0
+    # the words up to each of those that follow, for as many words as names have
+    upto = lambda d: F.concat(F.get("run", F.lit(0))["word"], F.array_join(F.flatten(F.transform(F.slice("run", F.lit(2), d - 1), lambda w: F.array(w["gap"], w["word"]))), ""))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(max(depth, 1)), F.size("run")))
+    runs = opened.select(key, "pos", F.explode(F.transform(sizes, lambda d: F.struct(d.alias("n"), upto(d).alias("name")))).alias("r"))
+    return runs.select(key, "pos", "r.n", "r.name").join(known, "name", "left_semi").select(key, "pos", "n", "name")
 
 
 def mentions(texts: DataFrame, own: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
@@ -102,11 +101,12 @@ def mentions(texts: DataFrame, own: DataFrame, names: DataFrame, key: str, text:
 
     Left out are mentions of the text's own place, of names that stand inside one of its names, those that overlap its names
     where they stand in the text, parts of longer capitalised names, and those followed by "of" and a capitalised word."""
-    toks = checkpointed(words(texts, key, text))
     spelled = checkpointed(dictionary(names))
     every = checkpointed(variants(names))
     about = checkpointed(own.select(key, "place").join(every, "place").select(key, "place", "name"))
-    hits = checkpointed(matches(toks, every.select("name").unionByName(spelled.select("name")), key))
+    both = checkpointed(every.select("name").unionByName(spelled.select("name")).distinct())
+    opened = checkpointed(openings(texts, key, text, both))
+    hits = checkpointed(matches(opened, both, key))
     # its own names hide what they cover: the earlier first, of those that start together the longer
     mine = hits.join(about.select(key, "name"), [key, "name"], "left_semi").select(key, F.col("pos").alias("at"), "n", F.length("name").alias("long"))
     longest = mine.groupBy(key, "at").agg(F.max(F.struct("long", "n")).alias("m")).select(key, "at", "m.n")
@@ -115,18 +115,16 @@ def mentions(texts: DataFrame, own: DataFrame, names: DataFrame, key: str, text:
     masks = longest.groupBy(key).agg(spans.alias("s"))
     masks = masks.select(F.col(key).alias("_k"), F.aggregate("s", F.slice("s", F.lit(1), F.lit(0)), free).alias("masks"))
     # names inside the own place's names, as whole words
-    inside = matches(words(about.select("name").distinct().withColumnRenamed("name", "_n"), "_n", "_n"), spelled.select("name"), "_n").select("_n", "name").distinct()
+    inside = matches(openings(about.select("name").distinct().select(F.col("name").alias("_n")), "_n", "_n", spelled.select("name")), spelled.select("name"), "_n").select("_n", "name").distinct()
     blocked = about.join(inside, about["name"] == inside["_n"]).select(key, inside["name"].alias("name")).join(spelled.select("name", "norm"), "name").select(key, "norm").distinct()
     rows = hits.join(spelled, "name").join(own.select(F.col(key).alias("_o"), F.col("place").alias("_own")), F.col(key) == F.col("_o"), "left").where("_own is null or place <> _own").drop("_o", "_own")
     rows = rows.join(blocked, [key, "norm"], "left_anti").join(masks, F.col(key) == F.col("_k"), "left")
     over = F.exists("masks", lambda m: (m["at"] < F.col("pos") + F.col("n")) & (F.col("pos") < m["at"] + m["n"]))
     rows = rows.where(~F.coalesce(over, F.lit(False))).select(key, "place", "pos", "n", "name")
     at = lambda c, i: F.element_at("near", i)[c]
-    spot = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), p.alias("p")) for k, p in enumerate((F.col("pos") - 1, F.col("pos"), F.col("pos") + F.col("n"), F.col("pos") + F.col("n") + 1))]))
-    ask = rows.select(key, "place", "pos", "n", "name", spot.alias("s")).select(key, "place", "pos", "n", "name", "s.*")
-    got = ask.join(toks.select(F.col(key).alias("_k"), F.col("pos").alias("_p"), F.struct("raw", "word", "cap", "head_cap", "head_starts").alias("t")), (F.col(key) == F.col("_k")) & (F.col("p") == F.col("_p")), "left")
-    one = lambda k: F.max(F.when(F.col("k") == k, F.col("t")))
-    rows = got.groupBy(key, "place", "pos", "n", "name").agg(F.array(one(0), one(1), one(2), one(3)).alias("near"))
+    around = opened.select(F.col(key).alias("_k"), F.col("pos").alias("_p"), "before", "run")
+    after_it = lambda i: F.get("run", F.col("n") + i)
+    rows = rows.join(around, (F.col(key) == F.col("_k")) & (F.col("pos") == F.col("_p"))).withColumn("near", F.array(F.col("before"), F.get("run", F.lit(0)), after_it(0), after_it(1)))
     before = F.regexp_like(at("raw", 2), F.lit(rf"^[.{CLOSING}]*[ -]$")) & at("head_cap", 1) & ~at("head_starts", 1)
     after = F.regexp_like(at("raw", 3), F.lit(rf"^[ -][{OPENING}]*$")) & at("cap", 3)
     of = (at("raw", 3) == " ") & (at("word", 3) == "of") & (at("raw", 4) == " ") & at("cap", 4)

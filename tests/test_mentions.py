@@ -147,3 +147,22 @@ def test_no_names_or_texts(spark):
     assert M.mentions(texts.limit(0), own, names, "doc", "text").count() == 0
     assert M.mentions(texts, own.limit(0), names.limit(0), "doc", "text").count() == 0
     assert M.chosen(M.mentions(texts, own, names.where(F.lit(False)), "doc", "text"), "doc").count() == 0
+
+
+def test_only_openings_leave_a_text(spark):
+    names = spark.createDataFrame([("Old Town",), ("Rome",)], "name string")
+    texts = spark.createDataFrame([(1, "We saw many things. 'Old' men left Rome's Old Town " + "and more " * 500), (2, None), (3, "Rome"), (4, "'twas")], "doc long, text string")
+    got = {(r.doc, r.pos): r for r in M.openings(texts, "doc", "text", names).collect()}
+    assert sorted(got) == [(1, 5), (1, 8), (1, 10), (3, 1)]
+    own = got[1, 10]
+    assert (own.before.word, own.before.head_cap, own.before.head_starts, own.run[0].gap, len(own.run)) == ("s", True, False, " ", 4)
+    assert got[3, 1].before is None and got[3, 1].run[0].head_starts and not got[1, 5].run[0].head_starts is None
+    hits = M.matches(M.openings(texts, "doc", "text", names), names, "doc")
+    assert {tuple(r) for r in hits.collect()} == {(1, 8, 1, "Rome"), (1, 10, 2, "Old Town"), (3, 1, 1, "Rome")}
+
+
+def test_a_name_of_two_places_is_left_out_without_a_join(spark, capsys):
+    d = M.dictionary(spark.createDataFrame([(1, "The Hill"), (2, "the Hill"), (3, "The Dale"), (3, "the Dale")], "place long, name string"))
+    assert {tuple(r) for r in d.collect()} == {(3, "The Dale", "the dale"), (3, "the Dale", "the dale")}
+    d.explain()
+    assert "Join" not in capsys.readouterr().out
