@@ -59,3 +59,15 @@ def test_turns_back_along_a_parallel_keep_their_side(spark):
     # east, a short step back west, east and north: the step's turns are -180 degrees and more than 20 to the right
     flat = spark.createDataFrame([(1, 1, 9000.0, 0.0, 0.0, 0.0), (1, 2, 0.0, 0.0, 900.0, 0.0), (1, 3, 900.0, 0.0, 900.0, 900.0)], f"line_id long, seq int, {XY}")
     assert rows(A.stair_steps(flat), "line_id", "seq", "single") == [(1, 2, True)]
+
+
+def test_ends_on_other_lines_leave_before_the_distances(spark):
+    from chronogaz.operators import network as N
+
+    shape = [(0.0, 0.0, 0.1, 0.0), (0.0, 0.0, 0.0, 0.2), (5.0, 5.0, 5.1, 5.0), (5.0, 5.01, 5.1, 5.02)]
+    segs = spark.createDataFrame([(i, 1, *s) for i, s in enumerate(shape)], f"road_id long, seq int, {XY}")
+    tips = [(i, side, *s[k : k + 2], *s[2 - k : 4 - k]) for i, s in enumerate(shape) for k, side in ((0, "start"), (2, "end"))]
+    ends = spark.createDataFrame(tips, "road_id long, side string, lon double, lat double, before_lon double, before_lat double")
+    assert rows(N._off_others(ends, segs, "road_id"), "road_id", "side") == [(0, "end"), (1, "end"), (2, "end"), (2, "start"), (3, "end"), (3, "start")]
+    got = N.gap_candidates(ends, segs, "road_id")
+    assert rows(got, "road_id", "side") == [(2, "end"), (2, "start"), (3, "end"), (3, "start")]
