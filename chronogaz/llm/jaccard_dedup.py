@@ -2,10 +2,13 @@
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is `least` or more. Words are
 those of simhash_dedup (runs of anything but ASCII white space, A-Z lower-cased); a text of fewer words, but not none,
-is one shingle, and texts without words are equal. A SimHash cannot find these pairs within a small radius: at a
-similarity of 0.8 fingerprints differ in 4 to 14 bits and share no usable block.
+is one shingle, and texts without words are equal.
 
-Shards: minima of hashed shingles, in `BANDS` fingerprints of `ROWS`; texts that share a fingerprint stand in one shard,
+First come the groups of operator 8: SimHash fingerprints, BK-trees within its radius, components. Each such group is a
+shard, whose texts are held against each other exactly. SimHash alone does not find all pairs: at a similarity of 0.8
+fingerprints differ in 4 to 14 bits and share no usable block. Rounds of further shards find the rest.
+
+Further shards: minima of hashed shingles, in `BANDS` fingerprints of `ROWS`; texts that share a fingerprint stand in one shard,
 and a pair of similarity 0.8 shares none with a probability of 3e-6. Texts with the same set of shingles are one class.
 
 In a shard the sets of shingles are counted against each other through their postings, and what leaves the task is a
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronogaz.llm.common import LOWER_ASCII, batches, by_class, cut, give_back, text_bytes
-from chronogaz.llm.simhash_dedup import SEED, components
+from chronogaz.llm.simhash_dedup import SEED, components, fingerprint_of, links
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Bands of each round: the first finds most links with few copies of a text's shingles.
-ROUNDS = ((0, 2), (2, 8), (8, BANDS))
+#: Bands of each round: operator 8's groups, which stand as band -1, then minima; their first round finds most of the
+#: other links with few copies of a text's shingles.
+SIMHASH = -1
+ROUNDS = ((SIMHASH, 0), (0, 2), (2, 8), (8, BANDS))
 #: Texts and shingles in a shard, or in a part of a larger one; texts that stand in every part.
 SHARD, SHINGLES, PIVOTS = 4_000, 1_000_000, 32
 
@@ -110,18 +115,29 @@ def sketch(texts: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per row: doc_id, th (hash of the text), node (its class), size (shingles), and the shards it goes to."""
+    """Per row: doc_id, th (hash of the text), node (its class), size (shingles), the shards it goes to, and its SimHash."""
 
     def run(it):
         for b in (s for x in it for s in batches([x], 1 << 20)):
-            digest, size, bands = sketch(text_bytes(b), shingle)
+            texts = text_bytes(b)
+            digest, size, bands = sketch(texts, shingle)
+            fps = np.array([fingerprint_of(x) for x in texts], np.uint64)
             ends = np.arange(0, BANDS * (b.num_rows + 1), BANDS).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest.view(np.int64)), pa.array(size), lists], ["doc_id", "th", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest.view(np.int64)), pa.array(size), lists, pa.array(fps.view(np.int64))], ["doc_id", "th", "node", "size", "bands", "fp"])
         give_back()
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, node long, size long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, node long, size long, bands array<long>, fp long")
+
+
+def simhash_shards(rows: DataFrame) -> DataFrame:
+    """(node, size, fp) -> (node, size, band, key): the groups that operator 8 makes of fingerprints, as shards."""
+    prints = cut(rows.where("size > 0").select("fp", "node", "size").distinct())
+    near = cut(links(cut(prints.select("fp").distinct())))
+    group = components(near).select(F.col("node").alias("fp"), "root")  # the smallest of a group names it and is not listed
+    key = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp"))
+    return prints.join(group, "fp", "left").select("node", "size", F.lit(SIMHASH).alias("band"), key.alias("key")).distinct()
 
 
 def packed_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -261,7 +277,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, size:
     rows = cut(sketches(docs, shingle))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best")
     classes = cut(rows.groupBy("node").agg(best, F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    banded = classes.where("size > 0").select("node", "size", F.posexplode("bands").alias("band", "key"))
+    banded = classes.where("size > 0").select("node", "size", F.posexplode("bands").alias("band", "key")).unionByName(simhash_shards(rows))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     entries = cut(banded.join(shared, "key"))
     named = entries.select("node").distinct().join(classes, "node").select("node", F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))

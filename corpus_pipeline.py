@@ -1,7 +1,8 @@
 """A training corpus in five stages: each takes what its predecessor kept and returns a frame.
 
 toxicity: documents that the toxicity grammar rejects go. near_duplicates: one document of each group stays
-whose five-word shingles have a Jaccard similarity of 0.8 or more, pair by pair. decontamination: documents that hold a benchmark window go.
+whose five-word shingles have a Jaccard similarity of 0.8 or more, pair by pair: SimHash groups by BK-trees first, then
+rounds of MinHash shards for what they miss, all checked exactly. decontamination: documents that hold a benchmark window go.
 mix: sources come near their target weights, documents repeating by whole epochs. tokens: token files in doc_id order.
 All but the last return the columns of documents.
 """

@@ -64,6 +64,24 @@ def test_near_duplicate_stage(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
 
 
+def test_near_duplicate_stage_takes_simhash_groups(spark, monkeypatch):
+    """Operator 8's groups alone, without any MinHash shard: pairs within its radius are found, and checked exactly."""
+    from chronogaz.llm.simhash_dedup import RADIUS, fingerprint_of
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(0, 40, 2):
+        ws = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(800)]
+        rows += [(i, " ".join(ws), "s"), (i + 1, " ".join([*ws, "end"]), "s")]
+    rows += [(40, "a b a b a b a b a b", "s"), (41, "a b a b a b a b a b a", "s"), (42, "x y z", "s"), (43, "x y z w", "s")]
+    apart = lambda i: (fingerprint_of(rows[i][1].encode()) ^ fingerprint_of(rows[i + 1][1].encode())).bit_count()
+    near = [i for i in range(0, 40, 2) if apart(i) <= RADIUS]
+    assert len(near) >= 10
+    monkeypatch.setattr(jaccard_dedup, "ROUNDS", jaccard_dedup.ROUNDS[:1])
+    got = {r.doc_id for r in jaccard_dedup.keep_one(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == set(range(44)) - {i + 1 for i in near} - {41}
+
+
 def test_near_duplicate_stage_in_parts(spark):
     rows = planted()[:150]
     want, _ = brute_keepers([(d, t and t.lower(), s) for d, t, s in rows])
