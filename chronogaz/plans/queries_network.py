@@ -74,9 +74,9 @@ _U = f"(((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1)) / {_DEN}
 def spa30_intersections(spark, sf):
     """Where two roads cross or touch."""
     segs = _roads(spark, sf)[1]
-    x = N.crossings(segs, segs, 0.5).where("a_road_id < b_road_id")
+    x = N.crossings_of_lines(segs, "road_id", 0.25)
     at = lambda c: geo.scaled(F.col(c), 1e5).alias(c)
-    return x.select(F.col("a_road_id").alias("a"), F.col("a_seq").cast("long").alias("a_seq"), F.col("b_road_id").alias("b"), F.col("b_seq").cast("long").alias("b_seq"), at("x"), at("y"))
+    return x.select("a", F.col("a_seq").cast("long").alias("a_seq"), "b", F.col("b_seq").cast("long").alias("b_seq"), at("x"), at("y"))
 
 
 _FOOT = ", {n} AS (SELECT * FROM (SELECT s.*, t, x1 + t * (x2 - x1) AS fx, y1 + t * (y2 - y1) AS fy, px, py FROM (SELECT s.*, q.lon + {dx} AS px, q.lat + {dy} AS py, {t} AS t FROM v_rseg s JOIN v_road q ON q.road_id = s.road_id AND q.seq = {v}) s) QUALIFY row_number() OVER (PARTITION BY road_id ORDER BY pow(fx - px, 2) + pow(fy - py, 2), seq) = 1)"

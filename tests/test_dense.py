@@ -1,11 +1,13 @@
 """Jobs on tables with many rows at one place: what is looked at must not grow with their product."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from chronogaz.functions import geo
 from chronogaz.operators import audit as A
+from chronogaz.operators import network as N
 from chronogaz.operators import spatial as S
 
 XY = "x1 double, y1 double, x2 double, y2 double"
@@ -71,3 +73,61 @@ def test_ends_on_other_lines_leave_before_the_distances(spark):
     assert rows(N._off_others(ends, segs, "road_id"), "road_id", "side") == [(0, "end"), (1, "end"), (2, "end"), (2, "start"), (3, "end"), (3, "start")]
     got = N.gap_candidates(ends, segs, "road_id")
     assert rows(got, "road_id", "side") == [(2, "end"), (2, "start"), (3, "end"), (3, "start")]
+
+
+def crossing(a, b):
+    """Where two segments (line, seq, x1 .. y2) cross: t on the first and u on the second."""
+    rx, ry, sx, sy = a[4] - a[2], a[5] - a[3], b[4] - b[2], b[5] - b[3]
+    den = rx * sy - ry * sx
+    qx, qy = b[2] - a[2], b[3] - a[3]
+    return ((qx * sy - qy * sx) / den, (qx * ry - qy * rx) / den) if den else (-1.0, -1.0)
+
+
+def dealt(monkeypatch):
+    """Rows that are dealt to cells, each time."""
+    seen, deal = [], S.passed_cells
+    monkeypatch.setattr(S, "passed_cells", lambda df, *a, **k: seen.append(df.count()) or deal(df, *a, **k))
+    return seen
+
+
+def test_lines_that_lie_alike_cross_as_one(spark, monkeypatch):
+    segs = lines(spark, 12, 4)
+    flat, seen = [tuple(r) for r in segs.collect()], dealt(monkeypatch)
+    want = {(a[0], b[0]) for a in flat for b in flat if a[0] < b[0] and all(0 <= v <= 1 for v in crossing(a, b))}
+    got = rows(N.crossings_of_lines(segs, "line_id", 0.5), "a", "b", "x", "y")
+    assert [g[:2] for g in got] == sorted(want) and len(want) > 100 and max(seen) == 12
+    one = {r[0]: r for r in flat}
+    for a, b, x, y in got:
+        t = crossing(one[a], one[b])[0]
+        assert (x, y) == (one[a][2] + t * (one[a][4] - one[a][2]), one[a][3] + t * (one[a][5] - one[a][3]))
+
+
+def test_rays_that_lie_alike_are_one_search(spark, monkeypatch):
+    """Copies meet each other's lines, but never their own; loose ends are those without another line."""
+    rng = random.Random(9)
+    at = [(rng.uniform(0, 1), rng.uniform(40, 41)) for _ in range(30)]
+    shape = [(x, y, x + rng.uniform(-0.2, 0.2), y + rng.uniform(-0.2, 0.2)) for x, y in at]
+    # the first ten stand once, the others three times; the last line starts on the first one
+    flat = [(c * 30 + i, 1, *s) for c in range(3) for i, s in enumerate(shape) if c == 0 or i >= 10] + [(200, 1, *shape[0][:2], 5.0, 45.0)]
+    segs = spark.createDataFrame(flat, f"line_id long, seq int, {XY}")
+    ends = [(r[0], side, *(r[2:] if side == "start" else r[4:] + r[2:4])) for r in flat for side in ("start", "end")]
+    given = spark.createDataFrame(ends, "line_id long, side string, lon double, lat double, before_lon double, before_lat double")
+    seen = dealt(monkeypatch)
+    got = {(r.line_id, r.side): (r.target, r.target_seq, r.km) for r in N.ray_hits(given, segs, "line_id", 40.0).collect()}
+    assert max(seen) <= 2 * 31
+    want = {}
+    for line, side, lon, lat, blon, blat in ends:
+        k = math.cos(math.radians(lat)) * geo.DEG_LON_KM
+        dx, dy = (lon - blon) * k, (lat - blat) * geo.DEG_LAT_KM
+        rx, ry = dx / math.hypot(dx, dy), dy / math.hypot(dx, dy)
+        hits = []
+        for target, seq, x1, y1, x2, y2 in flat:
+            px, py, ex, ey = (x1 - lon) * k, (y1 - lat) * geo.DEG_LAT_KM, (x2 - x1) * k, (y2 - y1) * geo.DEG_LAT_KM
+            cross = rx * ey - ry * ex
+            if target != line and abs(cross) >= 1e-9 and 0 < (px * ey - py * ex) / cross <= 40 and 0 <= (px * ry - py * rx) / cross <= 1:
+                hits.append((round((px * ey - py * ex) / cross, 9), target, seq))
+        if hits:
+            want[line, side] = min(hits)
+    assert {k: v[:2] for k, v in got.items()} == {k: v[1:] for k, v in want.items()} and len(want) >= 60
+    loose = {(r.line_id, r.side) for r in N.loose_ends(given, segs, "line_id").collect()}
+    assert loose == {(i, side) for i in range(10) for side in ("start", "end")} - {(0, "start")} | {(200, "end")}
