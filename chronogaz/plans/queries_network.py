@@ -138,12 +138,16 @@ def geo1_geo2_geo4_distances(spark, sf):
 @query(f"SELECT p.id, road_id, seq::BIGINT AS seq, floor({V.seg('p.lon', 'p.lat')} * 1000 + 0.5e0)::BIGINT AS m, floor((x1 + {V.seg_t('p.lon', 'p.lat')} * (x2 - x1)) * 1e5 + 0.5e0)::BIGINT AS x, floor((y1 + {V.seg_t('p.lon', 'p.lat')} * (y2 - y1)) * 1e5 + 0.5e0)::BIGINT AS y FROM v_site p JOIN v_rseg ON road_id % 100 = p.id % 100", ("v_site", "v_rseg"))
 def geo5_point_to_segment(spark, sf):
     """Distance of a point and a segment, and the foot point."""
-    p = V.v_site(spark, sf)
-    s = _roads(spark, sf)[1]
+    # each place and each shape is measured once; the sites and roads that share them are told apart at the end
+    p = V.v_site(spark, sf).groupBy("lon", "lat", (F.col("id") % 100).alias("g")).agg(F.collect_list("id").alias("ids"))
+    s = _roads(spark, sf)[1].groupBy("x1", "y1", "x2", "y2", F.col("seq").cast("long").alias("seq"), (F.col("road_id") % 100).alias("g")).agg(F.collect_list("road_id").alias("roads"))
     six = [F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")]
     t = geo.segment_t(*six)
     foot = lambda c: geo.scaled(F.col(f"{c}1") + t * (F.col(f"{c}2") - F.col(f"{c}1")), 1e5).alias(c)
-    return p.join(s, F.col("road_id") % 100 == F.col("id") % 100).select("id", "road_id", F.col("seq").cast("long").alias("seq"), geo.scaled(geo.segment_km(*six)).alias("m"), foot("x"), foot("y"))
+    # a site's places are written, as their size lets Spark broadcast them where they are few; the shapes are dealt out
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = S.checkpointed(s).repartition(parts, "x1", "y1", "x2", "y2").join(S.checkpointed(p), "g").select("ids", "roads", "seq", geo.scaled(geo.segment_km(*six)).alias("m"), foot("x"), foot("y"))
+    return met.select(F.explode("ids").alias("id"), "roads", "seq", "m", "x", "y").select("id", F.explode("roads").alias("road_id"), "seq", "m", "x", "y")
 
 
 @query(f"SELECT a.line_id, a.seq::BIGINT AS seq, floor({_T} * 1e6 + 0.5e0)::BIGINT AS t FROM v_seg a JOIN v_seg b ON a.line_id = b.line_id AND b.seq = a.seq + 2 WHERE {_T} BETWEEN 0 AND 1 AND {_U} BETWEEN 0 AND 1", ("v_seg",))
