@@ -115,3 +115,20 @@ def test_empty_searches(spark, grid):
     none = spark.createDataFrame([], "search long, x long, y long, cost double")
     got = P.least_costs(rows, none)
     assert got.count() == 0 and P.traced(got, P.ends(got, spark.createDataFrame([], "search long, goal long, x long, y long, layer long, cost double"))).count() == 0
+
+
+def test_sites_in_one_cell_are_one_search(spark, tmp_path, monkeypatch):
+    """Copies of the sites with shifted keys lie where the first ones lie: they add rows, not searches."""
+    from pyspark.sql import functions as F
+
+    from chronogaz.operators import gridpath
+    from chronogaz.plans import registry
+
+    few = spark.createDataFrame([(k, k % 3) for k in range(4)], "s_suppkey long, s_nationkey int")
+    few.unionByName(few.withColumn("s_suppkey", F.col("s_suppkey") + 6000)).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, f"n{k}", k % 5) for k in range(25)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    seen, costs = [], gridpath.least_costs
+    monkeypatch.setattr(gridpath, "least_costs", lambda cells, sources, *a: seen.append(sources.select("search").distinct().count()) or costs(cells, sources, *a))
+    got = {r.search: (r.total_hm, r.traced) for r in registry.QUERIES["grf4_ways_through_targets"](spark, str(tmp_path)).collect()}
+    assert seen[0] <= 4 and got and all(t for _, t in got.values())
+    assert got == {**{k: got[k] for k in got if k < 4}, **{k + 6000: got[k] for k in got if k < 4}}
