@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronogaz.functions import geo, text
 from chronogaz.operators import graph as G
 from chronogaz.operators import rules
+from chronogaz.operators.graph import checkpointed
 from chronogaz.plans import views as V
 from chronogaz.plans.registry import query
 
@@ -32,12 +33,15 @@ def flt1_inside_bounds(spark, sf):
 @query("""SELECT line_id, area_id FROM (SELECT line_id, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM v_line GROUP BY 1) l,
 (SELECT area_id, min(x1) AS w2, max(x1) AS e2, min(y1) AS s2, max(y1) AS n2 FROM v_edge GROUP BY 1) WHERE w <= e2 AND w2 <= e AND s <= n2 AND s2 <= n""", ("v_line", "v_edge"))
 def flt2_boxes_intersect(spark, sf):
-    """Areas are dealt to the 12 x 6 degree cells that they touch, lines to those of their box."""
-    box = lambda df, k, x, y: df.groupBy(k).agg(F.min(x).alias("w"), F.max(x).alias("e"), F.min(y).alias("s"), F.max(y).alias("n"))
-    cells = lambda df: df.withColumn("cx", F.explode(F.sequence(F.floor(F.col("w") / 12), F.floor(F.col("e") / 12)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("s") / 6), F.floor(F.col("n") / 6))))
-    a = cells(box(V.v_line(spark, sf), "line_id", "lon", "lat"))
-    b = cells(box(V.v_edge(spark, sf), "area_id", "x1", "y1").withColumnsRenamed({"w": "w2", "e": "e2", "s": "s2", "n": "n2"}).withColumns({"w": F.col("w2"), "e": F.col("e2"), "s": F.col("s2"), "n": F.col("n2")})).select("area_id", "w2", "e2", "s2", "n2", "cx", "cy")
-    return a.join(b, ["cx", "cy"]).where("w <= e2 and w2 <= e and s <= n2 and s2 <= n").select("line_id", "area_id").distinct()
+    """Areas are dealt to the 12 x 6 degree cells that they touch, lines to those of their box; a pair is kept in its first
+    shared cell. Areas are written, as their size lets Spark send them to the lines."""
+    cell = lambda c, size: F.floor(F.col(c) / size)
+    cells = lambda df, w, e, s, n: df.withColumn("cx", F.explode(F.sequence(cell(w, 12), cell(e, 12)))).withColumn("cy", F.explode(F.sequence(cell(s, 6), cell(n, 6))))
+    a = cells(V.line_boxes(spark, sf), "w", "e", "s", "n")
+    b = V.v_edge(spark, sf).groupBy("area_id").agg(F.min("x1").alias("w2"), F.max("x1").alias("e2"), F.min("y1").alias("s2"), F.max("y1").alias("n2"))
+    b = checkpointed(cells(b, "w2", "e2", "s2", "n2"))
+    first = (F.col("cx") == F.greatest(cell("w", 12), cell("w2", 12))) & (F.col("cy") == F.greatest(cell("s", 6), cell("s2", 6)))
+    return a.join(b, ["cx", "cy"]).where(first).where("w <= e2 and w2 <= e and s <= n2 and s2 <= n").select("line_id", "area_id")
 
 
 @query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'region' WHEN 1 THEN 'site' ELSE 'town' END AS tier, p_size AS zoom FROM part WHERE CASE p_size % 3 WHEN 0 THEN p_size BETWEEN 4 AND 9 WHEN 1 THEN p_size >= 12 ELSE p_size >= 6 END")
