@@ -104,13 +104,21 @@ def leftovers(edges: DataFrame, pieces: DataFrame, explained: DataFrame, step: f
 
 def permitted(vertices: DataFrame, line: str, sources: dict[str, tuple[DataFrame, float]]) -> DataFrame:
     """(line, kind, worst_km, ok): every vertex of a line of a kind must lie within that kind's tolerance of its declared
-    source (an edge table without the line's own edges). worst_km is null where one lies beyond twice the tolerance."""
-    out = None
+    source (an edge table without the line's own edges). worst_km is null where one lies beyond twice the tolerance.
+
+    Vertices at one place are one search, edges that lie alike one edge with two owners at most: a line's distance is that of
+    its place's nearest owner or, where that is itself, of the nearest other one."""
+    out, xy = None, ("x1", "y1", "x2", "y2")
     for kind, (edges, km) in sources.items():
-        own = vertices.where(F.col("kind") == kind).withColumn("id", F.struct(line, "seq"))
-        near = S.near_edges(own, edges, 2 * km).where(F.col("owner").isNull() | (F.col("owner") != F.col(f"id.{line}")))
-        best = near.groupBy("id").agg(F.min("km").alias("km"))
-        rows = own.join(best, "id", "left").groupBy(line).agg(F.when(F.count("km") == F.count("*"), F.max("km")).alias("worst_km"))
+        own = vertices.where(F.col("kind") == kind)
+        of_shape = Window.partitionBy(*xy).orderBy("owner")
+        two = edges.select("owner", *xy).distinct().withColumn("_n", F.row_number().over(of_shape)).where("_n <= 2").drop("_n")
+        near = S.near_places(own, checkpointed(two), 2 * km).groupBy("lon", "lat", "owner").agg(F.min("km").alias("km"))
+        near = near.withColumn("_n", F.row_number().over(Window.partitionBy("lon", "lat").orderBy("km", "owner"))).where("_n <= 2")
+        pick = lambda n: F.max(F.when(F.col("_n") == n, F.struct("km", "owner"))).alias(f"m{n}")
+        best = checkpointed(near.groupBy("lon", "lat").agg(pick(1), pick(2)))
+        rows = own.join(best, ["lon", "lat"], "left").withColumn("km", F.when(F.col("m1.owner").eqNullSafe(F.col(line)), F.col("m2.km")).otherwise(F.col("m1.km")))
+        rows = rows.groupBy(line).agg(F.when(F.count("km") == F.count("*"), F.max("km")).alias("worst_km"))
         rows = rows.select(line, F.lit(kind).alias("kind"), "worst_km", F.coalesce(F.col("worst_km") <= km, F.lit(False)).alias("ok"))
         out = rows if out is None else out.unionByName(rows)
     return out

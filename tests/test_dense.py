@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from chronogaz.functions import geo
 from chronogaz.operators import audit as A
 from chronogaz.operators import network as N
+from chronogaz.operators import regions as R
 from chronogaz.operators import spatial as S
+from chronogaz.plans import views as V
 
 XY = "x1 double, y1 double, x2 double, y2 double"
 
@@ -131,3 +133,41 @@ def test_rays_that_lie_alike_are_one_search(spark, monkeypatch):
     assert {k: v[:2] for k, v in got.items()} == {k: v[1:] for k, v in want.items()} and len(want) >= 60
     loose = {(r.line_id, r.side) for r in N.loose_ends(given, segs, "line_id").collect()}
     assert loose == {(i, side) for i in range(10) for side in ("start", "end")} - {(0, "start")} | {(200, "end")}
+
+
+def test_vertices_at_one_place_are_one_search_of_their_source(spark, monkeypatch):
+    segs = lines(spark, 20, 3)
+    at = [(r.line_id, 1, r.x1, r.y1, "k") for r in segs.collect()] + [(500, 1, 1.0, 41.0, "k")]
+    given = spark.createDataFrame(at, "line_id long, seq int, lon double, lat double, kind string")
+    seen = dealt(monkeypatch)
+    got = {r.line_id: (r.worst_km, r.ok) for r in R.permitted(given, "line_id", {"k": (segs.withColumnRenamed("line_id", "owner"), 30.0)}).collect()}
+    assert max(seen) <= 2 * 20  # of three copies two stand for all
+    near = [(r.id, r.line_id, r.km) for r in S.near_edges(given.withColumn("id", F.col("line_id")).drop("line_id"), segs, 60.0).collect()]
+    want = {a[0]: min((km for i, other, km in near if i == a[0] and other != a[0]), default=None) for a in at}
+    assert {k: v[0] and round(v[0], 9) for k, v in got.items()} == {k: v and round(v, 9) for k, v in want.items()} and want[0] == 0
+
+
+def test_pieces_of_lines_are_not_shuffled(spark):
+    vertices = spark.createDataFrame([(i, k, float(i % 7 + 3 * k), float(40 + (i * k) % 5)) for i in range(50) for k in range(4)], "line_id long, seq int, lon double, lat double")
+    shores = A.projected(spark.createDataFrame([(1, "land", *e) for e in ((0.0, 40.0, 6.0, 40.0), (6.0, 40.0, 6.0, 44.0), (6.0, 44.0, 0.0, 44.0), (0.0, 44.0, 0.0, 40.0))], f"area_id long, kind string, {XY}"))
+    pieces = A.split_at_shores(A.projected(S.segments(vertices)), shores)
+    assert {r.surface for r in pieces.select("surface").distinct().collect()} == {"land", "sea"}
+    assert pieces._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # of the vertices, to their lines
+
+
+def test_small_and_large_rings_have_the_same_faults(spark, monkeypatch):
+    rng = random.Random(2)
+    at = [[(rng.randrange(5), rng.randrange(5)) for _ in range(n)] for n in (3, 4, 9, 33, 40)]
+    edges = [(i, k + 1, *map(float, p), *map(float, ps[(k + 1) % len(ps)])) for i, ps in enumerate(at) for k, p in enumerate(ps)]
+    df = spark.createDataFrame(edges, f"ring long, seq int, {XY}")
+    got = {}
+    for size in (0, S.SMALL_RING, 99):
+        monkeypatch.setattr(S, "SMALL_RING", size)
+        got[size] = rows(S.ring_faults(df, "ring", 2.0), "ring", "a_seq", "b_seq", "kind")
+    assert got[0] == got[32] == got[99] and len(got[0]) > 100
+
+
+def test_boxes_of_lines_take_no_order(spark, sf):
+    v = V.v_line(spark, sf).groupBy("line_id").agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat"))
+    boxes = V.line_boxes(spark, sf)
+    assert rows(boxes, *boxes.columns) == sorted(map(tuple, v.collect()))
