@@ -1,141 +1,42 @@
 """Canonical forms of text (NFD and NFC) as Column expressions.
 
-The mappings come from the Unicode character database at hand; a text without a letter that they know is left as it is.
-Texts are cut into short pieces by class of letter first, so that the work grows with a text's length and not its square.
+Spark has no function for them, so the standard library's is applied to Arrow batches inside the tasks; its time grows with
+a text's length. Texts of letters that neither form can change do not leave the JVM.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
-from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Texts that are in Python at once, as letters take up to four bytes there.
+ROWS = 64
+# Below these letters nothing can change: the first with parts, and the first mark (nothing below it is put together).
+_FIRST_APART, _FIRST_MARK = "\\x{c0}", "\\x{300}"
 
-def _class(chars: Iterable[str]) -> str:
-    """A character class without its brackets, as ranges of code points."""
-    runs: list[list[int]] = []
-    for c in sorted(map(ord, chars)):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
 
+def _form(x: Column, form: str, first: str) -> Column:
+    def normalized(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(i, ROWS).to_pylist() for i in range(0, len(texts), ROWS))
+        return pa.concat_arrays([pa.array([t if t is None else unicodedata.normalize(form, t) for t in p], pa.string()) for p in parts] or [pa.array([], pa.string())])
 
-#: Letters below the first mark: a range that is tried first, as a class of many ranges is slow to test.
-LOW = "\\x00-\\x{2ff}"
-# Fixed values of Unicode: Hangul syllables are reckoned from their parts, 21 vowels by 28 endings to a first consonant.
-_SYLLABLE, _LEAD, _VOWEL, _TAIL, _VOWELS, _TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7, 21, 28
-_SYLLABLES = frozenset(map(chr, range(_SYLLABLE, _SYLLABLE + 19 * _VOWELS * _TAILS)))
-
-
-def _letter(code: Column) -> Column:
-    return F.decode(F.unhex(F.hex(code.cast("long"))), "UTF-16BE")
-
-
-@cache
-def _tables() -> tuple[dict[str, str], dict[str, int], dict[str, dict[str, str]]]:
-    """Whole decompositions, combining classes, and for each second letter what it makes of a first one."""
-    whole, marks, second = {}, {}, {}
-    for i in range(0x110000):
-        c = chr(i)
-        if unicodedata.combining(c):
-            marks[c] = unicodedata.combining(c)
-        full = unicodedata.normalize("NFD", c)
-        if full == c or c in _SYLLABLES:
-            continue
-        whole[c] = full
-        if unicodedata.normalize("NFC", c) == c:  # not left out of composition
-            second.setdefault(full[-1], {})[unicodedata.normalize("NFC", full[:-1])] = c
-    return whole, marks, second
-
-
-def _letters(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
-
-
-def _combining(c: Column) -> Column:
-    """A letter's combining class; 0 for a starter."""
-    marks = _tables()[1]
-    keys = "".join(marks)
-    return F.when(F.translate(c, keys, "") == "", F.ascii(F.translate(c, keys, "".join(map(chr, marks.values()))))).otherwise(0)
-
-
-def _in_order(d: Column) -> Column:
-    """Marks that follow each other sorted by class, those of one class in their order."""
-    marks = _class(_tables()[1])
-    rank = lambda c, i: F.struct(_combining(c).alias("k"), i.alias("i"), c.alias("c"))
-    run = lambda r: F.array_join(F.transform(F.array_sort(F.transform(_letters(r), rank)), lambda s: s["c"]), "")
-    several = F.regexp_like(d, F.lit(f"(?![{LOW}])[{marks}]{{2}}"))
-    runs = F.regexp_extract_all(d, F.lit(f"[{LOW}]+|[{marks}]+|[^{marks}]+"), F.lit(0))
-    return F.when(several, F.array_join(F.transform(runs, lambda r: F.when(F.regexp_like(r, F.lit(f"^(?![{LOW}])[{marks}]{{2}}")), run(r)).otherwise(r)), "")).otherwise(d)
+    changes = F.regexp_like(x, F.lit(f"[{first}-\\x{{10ffff}}]"))
+    # null where nothing changes; Python cannot read broken UTF-8, so it gets U+FFFD for that, as Spark's regexes do
+    made = F.arrow_udf(normalized, "string")(F.when(changes, F.make_valid_utf8(x)))
+    return F.when(changes, made).otherwise(x)
 
 
 def nfd(x: Column) -> Column:
     """Letters taken apart into base letters and marks, marks in canonical order."""
-    whole = _tables()[0]
-    by_length = sorted(whole, key=lambda c: -len(whole[c]))  # a shorter replacement deletes the keys after it
-    keys = "".join(by_length)
-    # whole blocks of 256 that hold a letter with parts: few ranges
-    blocks = _class(chr(i) for b in {ord(c) >> 8 for c in whole} for i in range(max(b << 8, 0xC0), (b << 8) + 256)) + f"\\x{{{_SYLLABLE:x}}}-\\x{{d7a3}}"
-    part = lambda c, k: F.translate(c, keys, "".join(whole[b][k] for b in by_length if len(whole[b]) > k))
-    n = lambda c: F.ascii(c) - _SYLLABLE
-    rest = lambda c: F.pmod(n(c), F.lit(_TAILS))
-    hangul = lambda c: F.concat(_letter(F.floor(n(c) / (_VOWELS * _TAILS)) + _LEAD), _letter(F.floor(n(c) / _TAILS) % _VOWELS + _VOWEL), F.when(rest(c) > 0, _letter(rest(c) + _TAIL)).otherwise(""))
-    apart = lambda c: F.when(F.translate(c, keys, "") == "", F.concat(*[part(c, k) for k in range(max(map(len, whole.values())))])).when(c.between(chr(_SYLLABLE), "\ud7a3"), hangul(c)).otherwise(c)
-    pieces = F.regexp_extract_all(x, F.lit(f"(?s)[\\x00-\\xbf]+|[{blocks}]|[^{blocks}]+"), F.lit(0))
-    d = F.when(F.regexp_like(x, F.lit("[^\\x00-\\xbf]")), F.array_join(F.transform(pieces, lambda p: F.when((F.char_length(p) == 1) & (p > "\xbf"), apart(p)).otherwise(p)), "")).otherwise(x)
-    return _in_order(d)
-
-
-def _composed(first: Column, last: Column) -> Column:
-    """The letter that two make; null if none. For each second letter the first ones and what they become, as two maps of
-    one literal each, which keeps the plan small."""
-    second = _tables()[2]
-    table = lambda pick: F.try_element_at(F.str_to_map(F.lit("\n".join(f"{b}\t{''.join(pick(m))}" for b, m in second.items())), F.lit("\n"), F.lit("\t")), last)
-    firsts, made = table(dict.keys), table(dict.values)
-    at = F.when(first != "", F.call_function("instr", firsts, first))
-    a, b = F.ascii(first), F.ascii(last)
-    lead = a.between(_LEAD, _LEAD + 18) & b.between(_VOWEL, _VOWEL + _VOWELS - 1)
-    open_syllable = a.between(_SYLLABLE, 0xD7A3) & ((a - _SYLLABLE) % _TAILS == 0) & b.between(_TAIL + 1, _TAIL + _TAILS - 1)
-    return (
-        F.when(at > 0, F.substr(made, at, F.lit(1)))
-        .when(lead, _letter(((a - _LEAD) * _VOWELS + b - _VOWEL) * _TAILS + _SYLLABLE))
-        .when(open_syllable, _letter(a + b - _TAIL))
-    )
+    return _form(x, "NFD", _FIRST_APART)
 
 
 def nfc(x: Column) -> Column:
-    """The canonical form with letters put together: NFD, then each mark goes into the starter before it unless a mark of
-    its class or a higher one stands between."""
-    _, marks, second = _tables()
-    joins = _class({*marks, *second, *map(chr, (*range(_VOWEL, _VOWEL + _VOWELS), *range(_TAIL + 1, _TAIL + _TAILS)))})
-    text = F.lit("").cast("string")
-    start = F.struct(text.alias("done"), text.alias("head"), text.alias("tail"), F.lit(0).alias("last"))
-
-    def step(s, c):
-        def place(v):
-            k, made = v["k"], v["made"]
-            free = made.isNotNull() & ((s["tail"] == "") | (s["last"] < k))
-            row = lambda done, head, tail, last: F.struct(done.alias("done"), head.alias("head"), tail.alias("tail"), last.alias("last"))
-            return (
-                F.when(free, row(s["done"], made, s["tail"], s["last"]))
-                .when(k == 0, row(F.concat(s["done"], s["head"], s["tail"]), c, F.lit(""), F.lit(0)))
-                .otherwise(row(s["done"], s["head"], F.concat(s["tail"], c), k))
-            )
-
-        # found once, used in every branch
-        found = F.array(F.struct(_combining(c).alias("k"), _composed(s["head"], c).alias("made")))
-        return F.get(F.transform(found, place), F.lit(0))
-
-    together = lambda p: F.aggregate(_letters(p), start, step, lambda s: F.concat(s["done"], s["head"], s["tail"]))
-    d = nfd(x)
-    pieces = F.regexp_extract_all(d, F.lit(f"[{LOW}]+(?![{joins}])|[^{joins}]?[{joins}]+|[^{joins}]+(?![{joins}])"), F.lit(0))
-    whole = F.transform(pieces, lambda p: F.when(F.regexp_like(p, F.lit(f"(?![{LOW}])[{joins}]")), together(p)).otherwise(p))
-    return F.when(F.regexp_like(d, F.lit(f"(?![{LOW}])[{joins}]")), F.array_join(whole, "")).otherwise(d)
+    """The canonical form with letters put together."""
+    return _form(x, "NFC", _FIRST_MARK)
 
 
 def without_marks(x: Column) -> Column:

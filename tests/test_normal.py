@@ -1,6 +1,8 @@
 """Canonical forms against the standard library's."""
 
+import hashlib
 import random
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -25,3 +27,17 @@ def test_every_code_point_and_random_texts(spark):
     for i, t in enumerate(texts):
         want = (None, None) if t is None else (unicodedata.normalize("NFD", t), unicodedata.normalize("NFC", t))
         assert (got[i].d, got[i].c) == want, [hex(ord(c)) for c in t[:40]]
+
+
+def test_texts_full_of_marks_take_seconds(spark):
+    text = "e\u0301 a\u0308\u0323c " * 600_000  # of 6 MB, a mark at every second letter
+    df = spark.createDataFrame([(text,)], "t string").select(normal.nfc(F.col("t")).alias("c"))
+    began = time.time()
+    got = df.select(F.md5(F.encode("c", "UTF-8")).alias("h"), F.octet_length("c").alias("n")).first()
+    took, want = time.time() - began, unicodedata.normalize("NFC", text).encode()
+    assert (got.h, got.n) == (hashlib.md5(want).hexdigest(), len(want)) and took < 10
+
+
+def test_broken_utf8_is_replaced(spark):
+    got = spark.sql("select cast(x'6165CC81FF' as string) as t").select(normal.nfc(F.col("t")).alias("c"), normal.nfd(F.col("t")).alias("d")).first()
+    assert tuple(got) == ("a\u00e9\ufffd", "ae\u0301\ufffd")
