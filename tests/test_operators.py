@@ -1,5 +1,8 @@
 """Hand-checked micro tables and invariants."""
 
+import random
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from chronogaz.functions import geo, text
@@ -77,6 +80,26 @@ def test_simplified_lines_equal_the_plain_version(spark):
     assert rows(spatial.simplify(df, 2.0), "line_id", "seq") == sorted((k, i) for k, ps in lines.items() for i in plain_simplify(ps, 2.0))
 
 
+def test_lines_are_simplified_in_one_pass(spark):
+    """Lines longer than a batch, many short ones, and vertices without a place; no round is written."""
+    rng = random.Random(8)
+    lines = {k: [(rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(n)] for k, n in enumerate([25, 700, 1, 2] + [rng.randint(1, 8) for _ in range(200)])}
+    df = spark.createDataFrame([(f"l{k}", i * 3, x, y) for k, ps in lines.items() for i, (x, y) in enumerate(ps)], "line_id string, seq long, lon double, lat double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        root = Path(graph.shared_root(spark).removeprefix("file:"), "rounds")
+        before = len(list(root.glob("*")))
+        got = rows(spatial.simplify(df, 2.0), "line_id", "seq")
+        assert len(list(root.glob("*"))) == before
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted((f"l{k}", i * 3) for k, ps in lines.items() for i in plain_simplify(ps, 2.0))
+    odd = [(1, 0, 0.0, 0.0), (1, 1, None, 5.0), (1, 2, 5.0, 5.0), (1, 3, 9.0, 0.0), (2, 0, None, None), (2, 1, 5.0, 9.0), (2, 2, 1.0, 1.0), (3, 0, 0.0, 0.0), (3, 1, float("nan"), 0.0), (3, 2, 1.0, 0.0)]
+    schema = "line_id int, seq int, lon double, lat double"
+    assert rows(spatial.simplify(spark.createDataFrame(odd, schema), 2.0), "line_id", "seq") == [(1, 0), (1, 2), (1, 3), (2, 0), (2, 2), (3, 0), (3, 1), (3, 2)]
+    assert spatial.simplify(spark.createDataFrame([], schema), 2.0).count() == 0
+
+
 def test_cycles_behind_long_chains(spark):
     n = 3000
     tree = [(i, i + 1) for i in range(n)] + [(n, n + 1), (n + 1, n + 2), (n + 2, n)] + [(10**6 + i, 10**6 + i + 1) for i in range(n)] + [(2 * 10**6, 2 * 10**6)]
