@@ -213,23 +213,32 @@ def clean_rings(vertices: DataFrame, tolerance: float = SPIKE) -> DataFrame:
 
 
 def ring_km2(vertices: DataFrame) -> DataFrame:
-    """(ring, seq, x, y in degrees) -> (ring, n, places: different ones, km2: on the sphere)."""
+    """(ring, seq, x, y in degrees) -> (ring, n, three: whether it has three different places, km2: on the sphere).
+
+    A ring's last row gives its figures, found by windows: a task holds one ring at a time, as groups would hold all of its rings,
+    and all of their places."""
     w = Window.partitionBy("ring").orderBy("seq")
     full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(full)) for c in ("x", "y"))
     part = F.radians(nx - F.col("x")) * (2 + F.sin(F.radians("y")) + F.sin(F.radians(ny)))
-    rows = vertices.withColumn("part", part)
-    return rows.groupBy("ring").agg(F.count("*").alias("n"), F.count_distinct("x", "y").alias("places"), (F.abs(F.sum("part")) * (geo.EARTH_KM * geo.EARTH_KM / 2)).alias("km2"))
+    place = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("x", "y"))
+    rows = vertices.select("ring", "seq", place.alias("place"), part.alias("part"), F.lead(F.lit(1)).over(w).isNull().alias("last"))
+    rows = rows.withColumn("one", F.first("place", True).over(full))
+    rows = rows.withColumn("two", F.first(F.when(F.col("place") != F.col("one"), F.col("place")), True).over(full))
+    other = F.coalesce((F.col("place") != F.col("one")) & (F.col("place") != F.col("two")), F.lit(False))
+    rows = rows.select("ring", "last", F.count("*").over(full).alias("n"), F.max(other).over(full).alias("three"), (F.abs(F.sum("part").over(full)) * (geo.EARTH_KM * geo.EARTH_KM / 2)).alias("km2"))
+    return rows.where("last").drop("last")
 
 
 def clean_parts(vertices: DataFrame, parts: DataFrame, least_km2: float, tolerance: float = SPIKE) -> tuple[DataFrame, DataFrame]:
     """vertices: (ring, seq, x, y); parts: (ring, part, hole) -> the vertices that stay, and a report (part, degenerate rings,
-    small: whether the part was under least_km2 and went, km2: its area less its holes; null where its outer ring went)."""
+    n_kept: vertices of its rings once cleaned, small: whether the part was under least_km2 and went, km2: its area less its holes;
+    null where its outer ring went)."""
     cleaned = checkpointed(clean_rings(vertices, tolerance))
-    sizes = parts.join(ring_km2(cleaned), "ring", "left").withColumn("ok", F.coalesce(F.col("places") >= 3, F.lit(False)))
+    sizes = parts.join(ring_km2(cleaned), "ring", "left").withColumn("ok", F.coalesce("three", F.lit(False)))
     outer, hole = F.col("ok") & ~F.col("hole"), F.col("ok") & F.col("hole")
     area = F.greatest(F.lit(0.0), F.sum(F.when(outer, F.col("km2"))) - F.sum(F.when(hole, F.col("km2")).otherwise(0.0)))
-    report = sizes.groupBy("part").agg(F.count_if(~F.col("ok")).alias("degenerate"), F.when(F.max(outer), area).alias("km2"))
+    report = sizes.groupBy("part").agg(F.count_if(~F.col("ok")).alias("degenerate"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_kept"), F.when(F.max(outer), area).alias("km2"))
     report = checkpointed(report.withColumn("small", F.coalesce(F.col("km2") < least_km2, F.lit(False))))
     stays = report.where("km2 is not null and not small").select("part")
     rings = sizes.where("ok").join(stays, "part").select("ring", "part")

@@ -244,12 +244,11 @@ SELECT line_id, n::BIGINT AS n_kept, CASE WHEN places < 3 THEN 'degenerate' WHEN
 def spa2_ring_cleanup(spark, sf):
     """Rings on a coarse grid without repeats and spikes; those of fewer than three places, or too small, are reported."""
     p = V.v_line(spark, sf).select(F.col("line_id").alias("ring"), "seq", (F.floor(F.col("lon") / 3) * 3).cast("double").alias("x"), (F.floor(F.col("lat") / 3) * 3).cast("double").alias("y"))
-    parts = p.select("ring").distinct().select("ring", F.col("ring").alias("part"), F.lit(False).alias("hole"))
-    cleaned = G.checkpointed(R.clean_rings(p))
-    n = cleaned.groupBy(F.col("ring").alias("part")).agg(F.count("*").alias("n_kept"))
-    _, report = R.clean_parts(cleaned, parts, 300_000.0)
+    rings = V.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ring")).distinct()
+    parts = rings.select("ring", F.col("ring").alias("part"), F.lit(False).alias("hole"))
+    _, report = R.clean_parts(p, parts, 300_000.0)
     dropped = F.when(F.col("degenerate") > 0, "degenerate").when(F.col("small"), "small")
-    return report.join(n, "part").select(F.col("part").alias("line_id"), "n_kept", dropped.alias("dropped"), geo.scaled(F.col("km2"), 1.0).alias("km2"))
+    return report.select(F.col("part").alias("line_id"), "n_kept", dropped.alias("dropped"), geo.scaled(F.col("km2"), 1.0).alias("km2"))
 
 
 @query("SELECT a.area_id AS area_a, b.area_id AS area_b, a.x1, a.y1, a.x2, a.y2 FROM v_edge a JOIN v_edge b ON a.x1 = b.x2 AND a.y1 = b.y2 AND a.x2 = b.x1 AND a.y2 = b.y1 WHERE a.holder < 2 AND b.holder >= 2", ("v_edge",))

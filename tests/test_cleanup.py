@@ -63,6 +63,27 @@ def test_small_and_degenerate_parts_are_reported(spark):
     assert {r.ring for r in kept.collect()} == {1, 2}
 
 
+def test_ring_figures_hold_one_ring_at_a_time(spark):
+    nan = float("nan")
+    rings = {
+        1: [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)],
+        2: [(0.0, 0.0), (-0.0, 0.0), (1.0, 1.0), (1.0, 1.0), (0.0, 0.0)],  # two places, one with a zero of either sign
+        3: [(1.0, 1.0), (None, 1.0), (1.0, None), (2.0, 2.0)],
+        4: [(nan, 1.0), (nan, 1.0), (1.0, 1.0)],
+        5: [(nan, 1.0), (None, None), (1.0, 1.0), (1.0, 1.0), (1.0, 2.0)],
+        6: [(1.0, 1.0)],
+        None: [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)],
+    }
+    df = spark.createDataFrame([(r, i, *p) for r, ps in rings.items() for i, p in enumerate(ps)], "ring long, seq long, x double, y double").repartition(3)
+    figures = regions.ring_km2(df)
+    got = {r.ring: r for r in figures.collect()}
+    assert {r: (g.n, g.three) for r, g in got.items()} == {r: (len(ps), r in (1, 5, None)) for r, ps in rings.items()}
+    assert abs(got[1].km2 - math.radians(2) * math.sin(math.radians(2)) * 6371.0088**2) < 1e-6 and got[6].km2 == 0
+    assert "Aggregate" not in figures._jdf.queryExecution().executedPlan().toString()
+    _, report = regions.clean_parts(df.where("ring < 3"), spark.createDataFrame([(1, 10, False), (2, 10, True), (7, 20, False)], "ring long, part long, hole boolean"), 1.0)
+    assert {(r.part, r.degenerate, r.n_kept) for r in report.collect()} == {(10, 1, 6), (20, 1, 0)}
+
+
 def test_ring_faults(spark):
     rings = {
         1: [(0, 0), (4, 0), (4, 4), (0, 4)],
