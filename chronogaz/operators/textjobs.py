@@ -84,6 +84,8 @@ def _left_out(rows: DataFrame, name: str) -> DataFrame:
 
 def near_words(queries: DataFrame, words: DataFrame) -> DataFrame:
     """(q) and (word), distinct each -> (q, word): equal, within one edit, or within one swap of any two places."""
+    # small rows of which many are made, so they are dealt out first
+    queries = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "q")
     edits = _left_out(queries, "q").join(_left_out(words, "word"), "key").select("q", "word").distinct().where(F.levenshtein("q", "word", 1) >= 0)
     places, at = F.sequence(F.lit(1), F.length("q")), lambda i: F.substr("q", i, F.lit(1))
     swap = lambda i, j: F.concat(F.substr("q", F.lit(1), i - 1), at(j), F.substr("q", i + 1, j - i - 1), at(i), F.substr("q", j + 1))
@@ -92,26 +94,36 @@ def near_words(queries: DataFrame, words: DataFrame) -> DataFrame:
     return edits.unionByName(swapped.join(words, "word", "left_semi").select("q", "word")).distinct()
 
 
-#: Letters of a search's key: a search meets the names and words that open with its first letters.
+#: Letters of a search's key: only names and words that open with the first letters of some search are looked at further.
 KEY = 4
 #: A typo is looked for in searches and words of this many letters and more.
 TYPO = 5
 
 
+def _opened(starts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(start) and (fq), distinct each -> (start, fq): the searches with which a start opens.
+
+    A start meets searches by its whole opening of each length that is asked for, so rows grow with its letters, whatever
+    number of searches and starts share their first letters."""
+    key = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length("start"))), lambda k: F.substr("start", F.lit(1), k)))
+    likely = starts.withColumn("key", key).join(asked.select(F.substr("fq", F.lit(1), F.lit(KEY)).alias("key")).distinct(), "key", "left_semi").select("start").distinct()
+    lengths = asked.select(F.length("fq").alias("k")).distinct()  # as many as the longest search has letters, at most
+    return likely.join(F.broadcast(lengths), F.col("k") <= F.length("start")).withColumn("fq", F.substr("start", F.lit(1), F.col("k"))).join(asked, "fq").select("start", "fq")
+
+
 def search(names: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """(name) and any number of searches (q) -> (q, name, rank, pos): the best names of each search by exact match 0, the
     name's or one of its words' opening letters 1, a typo in the letters of the name or a word 2; then names that open so
     first, then by folded name.
 
-    Both sides are folded. They meet by opening letters and by letters left out, so only near candidates become rows.
+    Both sides are folded. They meet by their openings and by letters left out, so only near candidates become rows.
     Null and empty names and searches have no match; repeated ones count once."""
     words, only = (lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), (lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
     # folded once, as each is read several times
     n = checkpointed(names.select("name").distinct().select("name", folded(F.col("name")).alias("f"))).where("f <> ''")
     q = checkpointed(queries.select("q").distinct().select("q", folded(F.trim("q")).alias("fq"))).where("fq <> ''")
     starts = n.select("name", "f", F.explode(F.array_distinct(F.concat(F.array("f"), words(F.col("f"))))).alias("start"))
-    keyed = starts.withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length("start"))), lambda k: F.substr("start", F.lit(1), k))))
-    met = keyed.join(q.withColumn("key", F.substr("fq", F.lit(1), F.lit(KEY))), "key").where(F.startswith("start", "fq"))
+    met = _opened(starts.select("start").distinct(), q.select("fq").distinct()).join(q, "fq").join(starts, "start")
     opens = met.select("q", "name", "f", F.when(F.col("f") == F.col("fq"), 0).otherwise(1).alias("rank"), F.when(F.startswith("f", "fq"), 0).otherwise(1).alias("pref"))
     letters = n.select("name", "f", F.explode(F.array_distinct(F.transform(F.concat(F.array("f"), words(F.col("f"))), only))).alias("word")).where(F.length("word") >= TYPO)
     asked = q.select(F.col("q").alias("asked"), only(F.col("fq")).alias("q")).where(F.length("q") >= TYPO)

@@ -112,3 +112,21 @@ def test_near_names(spark):
 
     got = {tuple(r) for r in textjobs.near_names(spark.createDataFrame([(n,) for n in [*names, names[0], None]], "name string")).collect()}
     assert got == {(a, b) for a in names for b in names if a < b and near(a, b)} and len(got) > 200
+
+
+def test_searches_that_open_alike_meet_no_pairs(spark):
+    names = [(f"Supplier#{i:09d}",) for i in range(3000)] + [("Évora",), ("su",), (None,), ("",), ("The supper room",)]
+    asked = [f"Supppier#{i:09d}" for i in range(3000)] + ["Supplier#000000007", "suppl", "s", "évo", " SU ", "supper r", "supper", "zzz", None, ""]
+    queries = spark.createDataFrame([(q,) for q in asked], "q string")
+    starts = spark.createDataFrame([(n.lower(),) for (n,) in names if n], "start string")
+    folded = sorted({q.lower() for q in asked if q and q == q.strip()})
+    met = textjobs._opened(starts, spark.createDataFrame([(q,) for q in folded], "fq string"))
+    assert {tuple(r) for r in met.collect()} == {(n.lower(), q) for (n,) in names if n for q in folded if n.lower().startswith(q)}
+    # no join keeps pairs that only share their first letters
+    assert met._jdf.queryExecution().executedPlan().toString().count("StartsWith") == 0
+    got = {(r.q, r.name, r.rank, r.pos) for r in textjobs.search(spark.createDataFrame(names, "name string"), queries, 1).collect()}
+    assert {g for g in got if not g[0].startswith("Supppier")} == {
+        ("Supplier#000000007", "Supplier#000000007", 0, 1), ("suppl", "Supplier#000000000", 1, 1), ("s", "su", 1, 1), ("évo", "Évora", 1, 1),
+        (" SU ", "su", 0, 1), ("supper r", "The supper room", 2, 1), ("supper", "The supper room", 1, 1),
+    }
+    assert {g for g in got if g[0].startswith("Supppier")} == {(q, q.replace("ppp", "ppl"), 2, 1) for q in asked[:3000]}
