@@ -18,12 +18,21 @@ ROWS = 64
 _FIRST_APART, _FIRST_MARK = "\\x{c0}", "\\x{300}"
 
 
+def _reaches(x: Column, first: str) -> Column:
+    return F.regexp_like(x, F.lit(f"[{first}-\\x{{10ffff}}]"))
+
+
+def may_compose(x: Column) -> Column:
+    """Whether NFC may change it; all other texts are their own composed form."""
+    return _reaches(x, _FIRST_MARK)
+
+
 def _form(x: Column, form: str, first: str) -> Column:
     def normalized(texts: pa.Array) -> pa.Array:
         parts = (texts.slice(i, ROWS).to_pylist() for i in range(0, len(texts), ROWS))
         return pa.concat_arrays([pa.array([t if t is None else unicodedata.normalize(form, t) for t in p], pa.string()) for p in parts] or [pa.array([], pa.string())])
 
-    changes = F.regexp_like(x, F.lit(f"[{first}-\\x{{10ffff}}]"))
+    changes = _reaches(x, first)
     # null where nothing changes; Python cannot read broken UTF-8, so it gets U+FFFD for that, as Spark's regexes do
     made = F.arrow_udf(normalized, "string")(F.when(changes, F.make_valid_utf8(x)))
     return F.when(changes, made).otherwise(x)

@@ -166,3 +166,22 @@ def test_a_name_of_two_places_is_left_out_without_a_join(spark, capsys):
     assert {tuple(r) for r in d.collect()} == {(3, "The Dale", "the dale"), (3, "the Dale", "the dale")}
     d.explain()
     assert "Join" not in capsys.readouterr().out
+
+
+def test_only_what_may_be_a_name_leaves_a_text(spark):
+    """And a line's end between words does not make a name a part of a longer one."""
+    names = spark.createDataFrame([("The Old Town",), ("Ur",), ("-x",), (None,)], "name string")
+    texts = spark.createDataFrame([(1, "the The Old Man " * 500 + "in The Old  Town"), (2, None), (3, "to Great \nUr"), (4, "to Great Ur"), (5, "Ur of Ur"), (6, "-x")], "doc long, text string")
+    got = {tuple(r) for r in M.spots(texts, "doc", "text", names).collect()}
+    assert got == {(1, 2002, 3, "The Old Town", True), (3, 3, 1, "Ur", True), (4, 3, 1, "Ur", False), (5, 1, 1, "Ur", False), (5, 3, 1, "Ur", True)}
+    own, places = spark.createDataFrame([(1, 9)], "doc long, place long"), names.selectExpr("hash(name) as place", "name")
+    rows = M.mentions(texts, own, places, "doc", "text").collect()
+    assert {(r.doc, r.pos, r.name) for r in rows} == {(1, 2002, "The Old Town"), (3, 3, "Ur"), (5, 3, "Ur")}
+
+
+def test_names_that_compose_are_one_places_or_none(spark):
+    """A name with a mark and one with its letter put together are one name."""
+    names = spark.createDataFrame([(1, "Sete\u0301"), (2, "Set\u00e9"), (3, "B\u00e2le"), (4, "Ur")], "place long, name string")
+    texts = spark.createDataFrame([(1, "to Set\u00e9, B\u00e2le"), (2, "to Ur")], "doc long, text string")
+    own = spark.createDataFrame([(1, 9)], "doc long, place long")
+    assert {(r.doc, r.place) for r in M.mentions(texts, own, names, "doc", "text").collect()} == {(1, 3), (2, 4)}
