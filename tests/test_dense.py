@@ -171,3 +171,62 @@ def test_boxes_of_lines_take_no_order(spark, sf):
     v = V.v_line(spark, sf).groupBy("line_id").agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat"))
     boxes = V.line_boxes(spark, sf)
     assert rows(boxes, *boxes.columns) == sorted(map(tuple, v.collect()))
+
+
+def plain_km(px, py, x1, y1, x2, y2):
+    k = math.cos(math.radians(py)) * 111.32
+    ax, ay, bx, by = (x1 - px) * k, (y1 - py) * 110.574, (x2 - px) * k, (y2 - py) * 110.574
+    dx, dy = bx - ax, by - ay
+    n = dx * dx + dy * dy
+    t = max(0.0, min(1.0, -(ax * dx + ay * dy) / n)) if n else 0.0
+    return math.hypot(ax + t * dx, ay + t * dy)
+
+
+def test_passes_wait_in_no_aggregation(spark, monkeypatch, capsys):
+    """Lines that end between batches, places and gates with several keys, more targets than a task holds at once: as by
+    plain search; and no pair of a line and a target is grouped or shuffled."""
+    rng = random.Random(4)
+    spot = lambda: (rng.randint(0, 80) / 20, 40 + rng.randint(0, 60) / 20)
+    lines = {i: [spot() for _ in range(rng.randint(2, 6))] for i in range(40)}
+    sites = [(i, *spot()) for i in range(60)]
+    sites += [(100 + i, lon, lat) for i, lon, lat in sites[:10]] + [(999, None, 41.0)]
+    gates = [(i, lon, lat, lon, lat + 0.5) for i, lon, lat in sites if i % 4 == 1]
+    segs = [(i, j + 1, *a, *b) for i, v in lines.items() for j, (a, b) in enumerate(zip(v, v[1:]))]
+    islands = [(5, 1.0, 41.0, 1.5, 41.0), (5, 1.5, 41.0, 1.5, 41.6), (7, 3.0, 42.0, 3.0, 42.5)]
+    frames = [spark.createDataFrame(segs, "line_id long, seq int, " + XY), spark.createDataFrame(sites, "id long, lon double, lat double"), spark.createDataFrame(islands, "key long, " + XY), spark.createDataFrame(gates, "key long, " + XY)]
+    want = {}
+    for i, j, *s in segs:
+        for k, lon, lat in sites:
+            if lon is not None and plain_km(lon, lat, *s) <= 5:
+                want.setdefault((i, "point", k), j)
+        for k, x, y, _, top in gates:
+            if min(s[0], s[2]) <= x <= max(s[0], s[2]) and s[0] != s[2]:
+                my = lambda lat: math.log(math.tan(math.radians(lat) / 2 + math.pi / 4))
+                at = my(s[1]) + (my(s[3]) - my(s[1])) * (x - s[0]) / (s[2] - s[0])
+                if my(y) - 1e-12 <= at <= my(top) + 1e-12:
+                    want.setdefault((i, "gate", k), j)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = A.passes(*frames)
+        rows = {(r.line_id, r.kind, r.key): r["at"] for r in got.collect()}
+        assert len(rows) == got.count()
+        assert {k: v for k, v in rows.items() if k[1] != "island"} == want and len(want) > 100
+        by_shore = A._beside(A.projected(frames[0]), A.projected(frames[2]), ["line_id", "seq"], 10.0).groupBy("line_id", "key").agg(F.min("seq").alias("at"))
+        assert {(k[0], k[2]): v for k, v in rows.items() if k[1] == "island"} == {(r.line_id, r.key): r["at"] for r in by_shore.collect()}
+        got.explain()
+        assert "Aggregate" not in capsys.readouterr().out
+        monkeypatch.setattr(A, "TARGETS", 20)
+        assert {(r.line_id, r.kind, r.key): r["at"] for r in A.passes(*frames).collect()} == rows
+        assert A.passes(frames[0], *[f.limit(0) for f in frames[1:]]).count() == 0 and A.passes(frames[0].limit(0), *frames[1:]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_repeated_items_are_one_vertex(spark, tmp_path, capsys):
+    rows = [(1, 2, 10, 20, 5.0), (1, 1, 10, 20, 5.0), (1, 2, 10, 20, 5.0), (1, 2, 10, 20, 6.0), (2, 1, 7, 8, None), (2, 1, 7, 8, None), (2, 1, 7, 8, 0.0), (2, 1, 7, 8, -0.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    line = V.v_line(spark, str(tmp_path))
+    assert sorted((r.line_id, r.seq) for r in line.collect()) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)]
+    S.segments(line).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
